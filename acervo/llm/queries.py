@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from acervo.llm import site_lines, url_filter
+from acervo.llm import lexicon, site_lines, sst, url_filter
 
 #: Fixed values of the url contract: host, path, verdict.
 URL_RULES = [
@@ -24,11 +24,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """Where the public tokenizer file lies on this machine (the package is on every node)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sst.token_shards(docs, tokenizer_file(), end_id=2)
+
+
 def op3_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return site_lines.line_dedup(docs).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op7_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexicon.bpe_encode(docs, tokenizer_file())
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     listed = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
@@ -80,7 +97,9 @@ SELECT n.page_id, n.host, n.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 FROM named n LEFT JOIN fits f ON n.host = f.host AND n.path = f.path"""
 
 QUERIES = {
+    "op1_token_shards": op1_token_shards,
     "op3_site_lines": op3_site_lines,
+    "op7_bpe_lexicon": op7_bpe_lexicon,
     "op9_url_filter": op9_url_filter,
 }
 
