@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from acervo.llm import lexicon, site_lines, sst, url_filter
+from acervo.llm import lexicon, quality, site_lines, sst, toxicity, url_filter
 
 #: Fixed values of the url contract: host, path, verdict.
 URL_RULES = [
@@ -41,11 +41,21 @@ def op3_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.line_dedup(docs).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score_quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lexicon.bpe_encode(docs, tokenizer_file())
 
 
+def op8_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     listed = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
@@ -99,7 +109,9 @@ FROM named n LEFT JOIN fits f ON n.host = f.host AND n.path = f.path"""
 QUERIES = {
     "op1_token_shards": op1_token_shards,
     "op3_site_lines": op3_site_lines,
+    "op4_quality_gam": op4_quality_gam,
     "op7_bpe_lexicon": op7_bpe_lexicon,
+    "op8_toxicity_trees": op8_toxicity_trees,
     "op9_url_filter": op9_url_filter,
 }
 
