@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from acervo.llm import lexicon, quality, site_lines, sst, toxicity, url_filter
+from acervo.llm import lexicon, minhash, quality, site_lines, sst, toxicity, url_filter
 
 #: Fixed values of the url contract: host, path, verdict.
 URL_RULES = [
@@ -36,6 +36,10 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sst.token_shards(docs, tokenizer_file(), end_id=2)
 
 
+def op2_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return site_lines.line_dedup(docs).select("doc_id", "n_lines", "n_dropped", "text")
@@ -108,6 +112,7 @@ FROM named n LEFT JOIN fits f ON n.host = f.host AND n.path = f.path"""
 
 QUERIES = {
     "op1_token_shards": op1_token_shards,
+    "op2_minhash_hamming": op2_minhash_hamming,
     "op3_site_lines": op3_site_lines,
     "op4_quality_gam": op4_quality_gam,
     "op7_bpe_lexicon": op7_bpe_lexicon,

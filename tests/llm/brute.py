@@ -34,3 +34,92 @@ def shard_rows(docs, path):
         out.add((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     return out
+
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(text):
+    return (text or "").encode().split()
+
+
+def shingle_set(text, k=5):
+    w = (text or "").translate(LOWER).encode().split()
+    if not w:
+        return frozenset()
+    return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1)))
+
+
+def components(nodes, edges):
+    parent = {n: n for n in nodes}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    return {n: root(n) for n in nodes}
+
+
+def near_rows(docs, percent=75):
+    sets = {d: shingle_set(t) for d, t in docs}
+    holders: dict = {}
+    for d, s in sets.items():
+        for g in s:
+            holders.setdefault(g, []).append(d)
+    edges, seen = [], set()
+    for d, s in sets.items():
+        common: dict = {}
+        for g in s:
+            for other in holders[g]:
+                if other < d:
+                    common[other] = common.get(other, 0) + 1
+        for other, n in common.items():
+            if 100 * n >= percent * (len(s) + len(sets[other]) - n):
+                edges.append((d, other))
+    comp = components(sets, edges)
+    return {(d, len(s), comp[d], comp[d] == d) for d, s in sets.items()}
+
+
+def repeat_rows(docs, k=20):
+    """Words removed where a window of k words started earlier."""
+    seen, out = set(), set()
+    for d, t in sorted(docs):
+        w = words(t)
+        gone = [False] * len(w)
+        for i in range(len(w) - k + 1):
+            g = tuple(w[i : i + k])
+            if g in seen:
+                gone[i : i + k] = [True] * k
+            seen.add(g)
+        kept = b" ".join(x for x, no in zip(w, gone) if not no)
+        out.add((d, len(w), sum(gone), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def vector_rows(rows, least=0.98):
+    vec = {}
+    for v, e, label in rows:
+        x = None
+        if e is not None and label is not None and all(c is not None for c in e):
+            x = np.array(e, np.float64)
+            n = np.sqrt((x * x).sum())
+            x = x / n if len(x) and np.isfinite(x).all() and n > 0 else None
+        vec[v] = (label, x)
+    links, edges = dict.fromkeys(vec, 0), []
+    names = [v for v in vec if vec[v][1] is not None]
+    for label in {vec[v][0] for v in names}:
+        own = [v for v in names if vec[v][0] == label]
+        m = np.stack([vec[v][1] for v in own])
+        a, b = np.nonzero(np.triu(m @ m.T >= least, 1))
+        for i, j in zip(a.tolist(), b.tolist()):
+            links[own[i]] += 1
+            links[own[j]] += 1
+            edges.append((own[i], own[j]))
+    comp = components(vec, edges)
+    return {(v, links[v], comp[v], comp[v] == v) for v in vec}
