@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from acervo.llm import lexicon, minhash, quality, site_lines, sst, toxicity, url_filter
+from acervo.llm import lexicon, minhash, quality, site_lines, sst, superkmer, toxicity, url_filter
 
 #: Fixed values of the url contract: host, path, verdict.
 URL_RULES = [
@@ -50,6 +50,10 @@ def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmer.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lexicon.bpe_encode(docs, tokenizer_file())
@@ -115,6 +119,7 @@ QUERIES = {
     "op2_minhash_hamming": op2_minhash_hamming,
     "op3_site_lines": op3_site_lines,
     "op4_quality_gam": op4_quality_gam,
+    "op6_superkmer": op6_superkmer,
     "op7_bpe_lexicon": op7_bpe_lexicon,
     "op8_toxicity_trees": op8_toxicity_trees,
     "op9_url_filter": op9_url_filter,
