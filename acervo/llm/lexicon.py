@@ -358,8 +358,8 @@ def build_lexicon(docs: DataFrame, tokenizer: str, text: str = "text", words: in
     return compile_lexicon(frequent_words(docs, tokenizer, text, words), Merges(spec, Pretokenizer(tokenizer).letters))
 
 
-def bpe_encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", words: int = LEXICON_WORDS, with_ids: bool = False) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` (and ``token_ids``, ``decoded`` if wanted) of every row.
+def bpe_encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", words: int = LEXICON_WORDS, also: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row, and ``token_ids`` or ``decoded`` if named in ``also``.
 
     ``ids_sha256`` digests the decimal ids joined by one space, ``decoded_sha256``
     the decoded text.
@@ -367,7 +367,8 @@ def bpe_encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
     spark = docs.sparkSession
     lexicon = spark.sparkContext.broadcast(build_lexicon(docs, tokenizer, text, words))  # bounded by ``words``
     kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", token_ids array<int>, decoded string" if with_ids else "")
+    kinds = {"token_ids": "array<int>", "decoded": "string"}
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", {c} {kinds[c]}" for c in also)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = TransducerEncoder(tokenizer, lexicon.value)
@@ -380,10 +381,9 @@ def bpe_encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
                 ids_text, decoded = coded.joined(decimals), coded.joined(tokens)
                 columns = [batch.column("doc_id"), pa.array(np.diff(coded.token_bounds)), _digests(ids_text), _digests(decoded)]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    columns += [pa.ListArray.from_arrays(pa.array(coded.token_bounds.astype(np.int32)), pa.array(coded.flat().astype(np.int32))), decoded.cast(pa.string())]
-                    names += ["token_ids", "decoded"]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                for c in also:
+                    columns.append(decoded.cast(pa.string()) if c == "decoded" else pa.ListArray.from_arrays(pa.array(coded.token_bounds.astype(np.int32)), pa.array(coded.flat().astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, [*names, *also])
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, schema)
 

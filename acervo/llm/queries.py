@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from acervo.llm import lexicon, minhash, quality, site_lines, sst, superkmer, toxicity, url_filter
+from acervo.llm import crosspolytope, lexicon, minhash, quality, site_lines, sst, superkmer, tiling, toxicity, url_filter
 
 #: Fixed values of the url contract: host, path, verdict.
 URL_RULES = [
@@ -50,6 +50,10 @@ def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_crosspolytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspolytope.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmer.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -70,6 +74,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(pages, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tiling.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def line_dedup_sql(docs: str) -> str:
     """DuckDB SQL of :func:`site_lines.line_dedup`: ``docs`` plus n_lines, n_dropped, new_text."""
     return f"""
@@ -119,10 +128,12 @@ QUERIES = {
     "op2_minhash_hamming": op2_minhash_hamming,
     "op3_site_lines": op3_site_lines,
     "op4_quality_gam": op4_quality_gam,
+    "op5_crosspolytope": op5_crosspolytope,
     "op6_superkmer": op6_superkmer,
     "op7_bpe_lexicon": op7_bpe_lexicon,
     "op8_toxicity_trees": op8_toxicity_trees,
     "op9_url_filter": op9_url_filter,
+    "op10_string_tiling": op10_string_tiling,
 }
 
 ORACLES = {
