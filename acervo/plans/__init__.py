@@ -1,4 +1,6 @@
 """Registered queries by name and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from acervo.plans import profile_queries, rule_queries, stock_queries
+
+QUERIES = {**stock_queries.QUERIES, **rule_queries.QUERIES, **profile_queries.QUERIES}
+ORACLES = {**stock_queries.ORACLES, **rule_queries.ORACLES, **profile_queries.ORACLES}
