@@ -113,8 +113,8 @@ def vector_rows(rows, least=0.98):
         vec[v] = (label, x)
     links, edges = dict.fromkeys(vec, 0), []
     names = [v for v in vec if vec[v][1] is not None]
-    for label in {vec[v][0] for v in names}:
-        own = [v for v in names if vec[v][0] == label]
+    for label, size in {(vec[v][0], len(vec[v][1])) for v in names}:
+        own = [v for v in names if (vec[v][0], len(vec[v][1])) == (label, size)]
         m = np.stack([vec[v][1] for v in own])
         a, b = np.nonzero(np.triu(m @ m.T >= least, 1))
         for i, j in zip(a.tolist(), b.tolist()):
