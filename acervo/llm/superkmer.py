@@ -49,7 +49,7 @@ WINDOW = 20
 SEED = 4
 HOT = 4096
 LATE = np.uint64(1) << np.uint64(63)
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 BUCKETS_A_PARTITION = 8
 
 
@@ -129,7 +129,7 @@ def repeats(words: np.ndarray, at: np.ndarray, grams: np.ndarray, order_a: np.nd
 
 def _pack(columns: list[np.ndarray], text: bytes) -> bytes:
     data = b"".join(c.astype("<i8").tobytes() for c in columns)
-    return zstandard.ZstdCompressor(level=1).compress(len(columns[0]).to_bytes(8, "little") + data + text)
+    return zstandard.ZstdCompressor(level=3).compress(len(columns[0]).to_bytes(8, "little") + data + text)
 
 
 def _unpack(blob: bytes, columns: int) -> tuple[list[np.ndarray], bytes]:
@@ -258,7 +258,7 @@ def _judge(window: int):
 def _remove(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in batches_of(whole, "text"):
+            for batch in batches_of(whole, "text", BLOCK_BYTES):
                 w = Words(batch.column("text"))
                 gone = np.zeros(len(w.index) + 1, np.int32)
                 for i, packed in enumerate(batch.column("ranges").to_pylist()):
