@@ -38,6 +38,12 @@ def _fold_tables() -> tuple[str, str, list[tuple[str, str]]]:
 
 _FROM, _TO, _LONGER = _fold_tables()
 _LONG_CLASS = "[" + "".join(c for c, _ in _LONGER) + "]"
+_LONG_MAP = "\x02".join(f"{c}\x01{folded}" for c, folded in _LONGER)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: keeps nested rules from multiplying their inputs."""
+    return F.element_at(F.transform(F.array(value), body), F.lit(1))
 
 
 def clean(c: Column) -> Column:
@@ -48,10 +54,8 @@ def clean(c: Column) -> Column:
 def fold(c: Column) -> Column:
     """Compatibility decomposition without combining marks, for the blocks of the table."""
     many = F.translate(c, _FROM, _TO)
-    slow = many
-    for before, after in _LONGER:
-        slow = F.replace(slow, F.lit(before), F.lit(after))
-    return F.when(many.rlike(_LONG_CLASS), slow).otherwise(many)
+    letters = F.transform(F.split(many, ""), lambda x: F.coalesce(F.try_element_at(F.str_to_map(F.lit(_LONG_MAP), F.lit("\x02"), F.lit("\x01")), x), x))
+    return F.when(many.rlike(_LONG_CLASS), F.array_join(letters, "")).otherwise(many)
 
 
 def search_key(c: Column) -> Column:
@@ -162,17 +166,22 @@ def fix_words(c: Column, acronyms: Sequence[str], accents: dict[str, str]) -> Co
 def normal_name(c: Column, pack) -> Column:
     """Base name: replacements, casing, words; null where the key has fewer than three characters."""
     text = F.trim(replace_in_order(c, pack.replacements))
-    text = F.trim(fix_words(sentence_case(text, pack.acronyms), pack.acronyms, pack.accents))
-    return F.when(c.isNotNull() & (F.length(compact_key(c)) >= 3), F.nullif(_upper_first(text), F.lit("")))
+    cased = let(text, lambda t: sentence_case(t, pack.acronyms))
+    named = let(F.trim(fix_words(cased, pack.acronyms, pack.accents)), lambda t: F.nullif(_upper_first(t), F.lit("")))
+    return F.when(c.isNotNull() & (F.length(compact_key(c)) >= 3), named)
 
 
 def standard_name(base: Column, brand: Column, model: Column) -> Column:
     """Base, brand and model, leaving out what the name so far already holds."""
-    key, kb, km = compact_key(base), compact_key(brand), compact_key(model)
-    add_brand = (kb != "") & ~F.contains(key, kb)
-    so_far = F.when(add_brand, F.concat(key, kb)).otherwise(key)
-    add_model = (km != "") & ~F.contains(so_far, km)
-    return F.when(base.isNotNull(), F.concat_ws(" ", base, F.when(add_brand, brand), F.when(add_model, model)))
+    keys = F.struct(compact_key(base).alias("n"), compact_key(brand).alias("b"), compact_key(model).alias("m"))
+
+    def joined(k: Column) -> Column:
+        add_brand = (k["b"] != "") & ~F.contains(k["n"], k["b"])
+        so_far = F.when(add_brand, F.concat(k["n"], k["b"])).otherwise(k["n"])
+        add_model = (k["m"] != "") & ~F.contains(so_far, k["m"])
+        return F.concat_ws(" ", base, F.when(add_brand, brand), F.when(add_model, model))
+
+    return F.when(base.isNotNull(), let(keys, joined))
 
 
 #: Result statuses.
@@ -185,20 +194,15 @@ def operational_status(description: Column, base: Column, flag_pattern: str) ->
 
 def brand_key(c: Column, placeholders: Sequence[str], aliases: dict[str, str]) -> Column:
     """Compact key of a brand, placeholders null, aliases resolved."""
-    k = compact_key(c)
     pairs = [F.lit(x) for kv in sorted(aliases.items()) for x in kv]
     table = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>")
-    return F.when((k != "") & ~k.isin(*placeholders), F.coalesce(compact_key_or_null(F.try_element_at(table, k)), k))
-
-
-def compact_key_or_null(c: Column) -> Column:
-    return F.when(c.isNotNull(), compact_key(c))
+    alias = lambda k: F.nullif(compact_key(F.try_element_at(table, k)), F.lit(""))
+    return let(compact_key(c), lambda k: F.when((k != "") & ~k.isin(*placeholders), F.coalesce(alias(k), k)))
 
 
 def standard_model(c: Column, placeholders: Sequence[str]) -> Column:
     text = F.trim(F.regexp_replace(F.regexp_replace(F.upper(c), r"(?U)\s*[-–]\s*", "-"), SPACES, " "))
-    key = compact_key(text)
-    return F.when((key != "") & ~key.isin(*placeholders), text)
+    return let(text, lambda t: let(compact_key(t), lambda k: F.when((k != "") & ~k.isin(*placeholders), t)))
 
 
 def identity(c: Column, placeholders: Sequence[str]) -> Column:

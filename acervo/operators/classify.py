@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from acervo.functions.text import spaced_key
+from acervo.functions.text import let, spaced_key
 
 #: Names of methods as they appear in results.
 INVALID = "Revisar: descripción inválida"
@@ -18,14 +18,22 @@ AUTOMATIC = (HIGH, BY_NAME, BY_NAME_GENERIC, BY_LABEL, BY_TYPE)
 
 def families_of_name(name: Column, pack) -> Column:
     """All families whose pattern is found, in rule order; one overriding family wins alone; a fallback if none."""
-    key = spaced_key(name)
-    hits = F.array_compact(F.array(*[F.when(key.rlike(p), F.lit(f)) for f, p in pack.family_patterns]))
+    hits = let(spaced_key(name), lambda k: F.array_compact(F.array(*[F.when(k.rlike(p), F.lit(f)) for f, p in pack.family_patterns], *_fallback(k, pack))))
     for winner in pack.overriding:
-        hits = F.when(F.array_contains(hits, winner), F.array(F.lit(winner))).otherwise(hits)
-    if pack.fallback:
-        family, pattern = pack.fallback
-        hits = F.when((F.size(hits) == 0) & key.rlike(pattern), F.array(F.lit(family))).otherwise(hits)
-    return hits
+        hits = let(hits, _prefer(winner))
+    # the fallback counts only where nothing else was found
+    return let(hits, lambda h: F.when(F.size(h) > 1, F.filter(h, lambda x: ~x.startswith(_LAST))).otherwise(F.transform(h, lambda x: F.regexp_replace(x, "^" + _LAST, ""))))
+
+
+_LAST = "\x01"
+
+
+def _prefer(family: str):
+    return lambda h: F.when(F.array_contains(h, family), F.array(F.lit(family))).otherwise(h)
+
+
+def _fallback(key: Column, pack) -> list[Column]:
+    return [F.when(key.rlike(pack.fallback[1]), F.lit(_LAST + pack.fallback[0]))] if pack.fallback else []
 
 
 def families_of_labels(labels: Sequence[Column], aliases: Mapping[str, str]) -> Column:

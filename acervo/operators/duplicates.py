@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acervo.functions.text import group_id
+from acervo.operators.numbering import dense_ids
 
 #: Kinds of groups.
 SAME, OTHER = "Mismo país", "Otro país"
@@ -33,5 +34,5 @@ def kinds(products: DataFrame, key: str, countries: str = "countries") -> DataFr
 def dense_numbers(products: DataFrame, key: str, code: str = "code") -> DataFrame:
     """Groups numbered in order of their keys (``DUP-0001``): numbers are given to keys, not to rows."""
     size = products.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("members")).where("members > 1")
-    numbered = size.withColumn("number", F.row_number().over(Window.orderBy(key)))
+    numbered = dense_ids(size, [key], "number")
     return products.join(numbered, key).select(code, key, "members", F.format_string("DUP-%04d", "number").alias("group_number"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from acervo.operators.numbering import dense_ids
+
 
 def unpivot_labels(rows: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """``keys, field, value`` of every filled label."""
@@ -17,10 +19,10 @@ def encode(long: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame,
     """``(dictionary, links)``: ids of known (field, value) pairs stay, new pairs continue the numbering in order."""
     pairs = long.select("field", "value").distinct()
     if known is None:
-        dictionary = pairs.withColumn("value_id", F.row_number().over(Window.orderBy("field", "value")).cast("long"))
+        dictionary = dense_ids(pairs, ["field", "value"], "value_id")
     else:
         top = known.agg(F.coalesce(F.max("value_id"), F.lit(0))).first()[0]
         new = pairs.join(known.select("field", "value"), ["field", "value"], "left_anti")
-        numbered = new.withColumn("value_id", F.row_number().over(Window.orderBy("field", "value")).cast("long") + F.lit(top))
+        numbered = dense_ids(new, ["field", "value"], "value_id", top)
         dictionary = known.select("field", "value", "value_id").unionByName(numbered)
     return dictionary, long.join(dictionary, ["field", "value"])
