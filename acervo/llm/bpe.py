@@ -181,10 +181,11 @@ class LibraryEncoder(WordEncoder):
         return np.frombuffer(b"".join(found), "<u4"), np.concatenate(([0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)))
 
 
-def batches_of(batch: pa.RecordBatch, column: str, most: int = 24 << 20):
+def batches_of(batch: pa.RecordBatch, column: str, most: int = 6 << 20):
     """Slices of a batch with about ``most`` bytes in a string column, one row at least."""
     from acervo.llm.textkit import blocks, text_buffer
 
     _, offsets = text_buffer(batch.column(column))
     for lo, hi in blocks(offsets, most):
         yield batch.slice(lo, hi - lo)
+        pa.default_memory_pool().release_unused()  # a worker shares its executor's memory with the JVM

@@ -376,7 +376,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
         decimals = pa.array([str(i) for i in range(size)])
         tokens = pa.array([coder.pre.tokenizer.id_to_token(i) or "" for i in range(size)])
         for whole in batches:
-            for batch in batches_of(whole, "text", 16 << 20):
+            for batch in batches_of(whole, "text", 10 << 20):
                 coded = coder.encode(batch.column("text"))
                 ids_text, decoded = coded.joined(decimals), coded.joined(tokens)
                 columns = [batch.column("doc_id"), pa.array(np.diff(coded.token_bounds)), _digests(ids_text), _digests(decoded)]

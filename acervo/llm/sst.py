@@ -241,7 +241,7 @@ def write_shards(docs: DataFrame, directory: str, tokenizer: str, end_id: int |
         end = np.array([] if end_id is None else [end_id], np.uint32)
         writer = sink = None
         for whole in batches:
-            for batch in batches_of(whole, "text"):
+            for batch in batches_of(whole, "text", 24 << 20):
                 if not batch.num_rows:
                     continue
                 if writer is None:
