@@ -11,13 +11,15 @@ document of one to four words has its whole word sequence as the only shingle.
    slots, some chunk differs in at most ``ERRORS`` slots (pigeonhole), so all
    choices of ``ERRORS`` slots to ignore are enumerated for each chunk and the
    remaining slots become a key.  Every pair of signatures within that distance
-   shares a key: with the figures below, any pair that differs in at most 23 of
-   60 slots.  A pair at similarity 0.75 exactly differs in 15 on average and
+   shares a key: with the figures below, any pair that differs in at most 17 of
+   36 slots.  A pair at similarity 0.75 exactly differs in 9 on average and
    shares no key with probability 6e-6; a more similar one less.
 3. *Clusters*: the smallest class of a key is its hub.  Members of a key meet at
    its hub, which bounds rows by (class, key) pairs; all pairs of one key meet
    at one hub.  A large hub is split in blocks of ``BLOCK`` members and pairs of
-   blocks go to different tasks.
+   blocks go to different tasks.  The members' texts are fetched by a broadcast
+   of the memberships while those are at most ``BROADCAST_ROWS`` (counted),
+   else by a shuffled join.
 4. *Confirmation*: in each block pair the full sets are intersected through an
    inverted index of shingles, exactly ``100 * intersection >= 75 * union``.
    Only a spanning forest of the confirmed links leaves the task.
@@ -43,13 +45,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acervo.llm.bpe import batches_of
-from acervo.llm.common import connected_components, cut, partitions
+from acervo.llm.common import connected_components, cut, partitions, sized_broadcast
 from acervo.llm.textkit import LOWER, blocks, mix, shingles, text_buffer
 
 SHINGLE = 5
-CHUNKS, WIDTH, ERRORS, BITS = 12, 5, 1, 16
+CHUNKS, WIDTH, ERRORS, BITS = 9, 4, 1, 16
 SLOTS = CHUNKS * WIDTH
 BLOCK = 1024
+BROADCAST_ROWS = 2_000_000
 PERCENT = 75
 
 _rng = np.random.Generator(np.random.PCG64(977))
@@ -116,16 +119,14 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(member)], ["key", "member"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sorted distinct shingle hashes of members' texts, as bytes."""
-    for whole in batches:
-        for batch in batches_of(whole, "text"):
-            buf, offsets = lowered(batch.column("text"))
-            out = []
-            for lo, hi in blocks(offsets):
-                grams, bounds = shingles(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], SHINGLE)
-                out += [np.unique(grams[a:b]).tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("member"), batch.column("side"), batch.column("b1"), batch.column("b2"), pa.array(out, pa.binary())], ["hub", "member", "side", "b1", "b2", "grams"])
+def sets_of(texts: list[str | None]) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of texts."""
+    buf, offsets = lowered(pa.array(texts, pa.large_string()))
+    out = []
+    for lo, hi in blocks(offsets):
+        grams, bounds = shingles(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], SHINGLE)
+        out += [np.unique(grams[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+    return out
 
 
 def link_forest(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]] | None, percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -178,18 +179,18 @@ def _confirm(percent: int):
         now, sides = None, ([], [])
 
         def flush():
-            left, right = sides
+            left, right = (list(zip((m for m, _ in side), sets_of([t for _, t in side]), strict=True)) for side in sides)
             edges = link_forest(left, None if now[1] == now[2] else right, percent)
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("hub", "b1", "b2", "side", "member", "grams")]
-            for hub, b1, b2, side, member, grams in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("hub", "b1", "b2", "side", "member", "text")]
+            for hub, b1, b2, side, member, text in zip(*columns, strict=True):
                 if (hub, b1, b2) != now:
                     if now is not None:
                         yield flush()
                     now, sides = (hub, b1, b2), ([], [])
-                sides[side].append((member, np.frombuffer(grams, np.uint64)))
+                sides[side].append((member, text))
         if now is not None:
             yield flush()
 
@@ -207,15 +208,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keys = classes.select("member", "sig").mapInArrow(_spread, "key long, member long")
     hubs = keys.groupBy("key").agg(F.min("member").alias("hub"), F.max("member").alias("top")).where("hub < top").select("key", "hub")
     members = cut(keys.join(hubs, "key").select("hub", "member").distinct(), "members")
-    size = members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
-    placed = members.join(size, "hub").withColumn("own", F.pmod(F.xxhash64("member"), F.col("n_blocks")).cast("int"))
-    # block pairs (b1 <= b2) of which a member is in: as the left block of (own, b) and the right block of (b, own)
+    # only hubs of more than one block need their size: at most a row for every BLOCK memberships
+    big = cut(members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks")).where("n_blocks > 1"), "hubs")
+    split = sized_broadcast(big, big.count(), BROADCAST_ROWS)
+    placed = members.join(split, "hub", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("member"), F.col("n_blocks")).cast("int"))
+    # block pairs (b1 <= b2) that a member is in: on the left of (own, b), on the right of (b, own)
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda b: F.struct(F.least("own", b).alias("b1"), F.greatest("own", b).alias("b2"), (b < F.col("own")).cast("int").alias("side"))))
-    tasks = placed.select("hub", "member", pair.alias("p")).select("hub", "member", "p.b1", "p.b2", "p.side")
+    tasks = cut(placed.select("hub", "member", pair.alias("p")).select("hub", "member", "p.b1", "p.b2", "p.side"), "tasks")
     texts = rows.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "member")
-    sets = tasks.join(texts, "member").mapInArrow(_sets, "hub long, member long, side int, b1 int, b2 int, grams binary")
+    filled = texts.join(sized_broadcast(tasks, tasks.count(), BROADCAST_ROWS), "member")
     n = partitions(spark)
-    links = sets.repartition(n, "hub", "b1", "b2").sortWithinPartitions("hub", "b1", "b2").mapInArrow(_confirm(percent), "a long, b long")
+    links = filled.repartition(n, "hub", "b1", "b2").sortWithinPartitions("hub", "b1", "b2").mapInArrow(_confirm(percent), "a long, b long")
     parts = connected_components(links)
 
     rep = classes.select("n_shingles", "h1", "h2", F.col("member").alias("node"))
