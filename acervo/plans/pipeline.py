@@ -117,7 +117,8 @@ class Engine:
         base = base.withColumn("status", T.operational_status(F.col("description"), F.col("base"), self.pack.flag_pattern)).withColumn("name", T.standard_name(F.col("base"), F.col("brand"), F.col("model")))
         base = base.withColumn("by_name", classify.families_of_name(F.col("base"), self.pack)).withColumn("by_label", classify.families_of_labels([F.col("label_a"), F.col("label_b")], self.pack.label_aliases))
         automatic = classify.combine(F.col("base"), F.col("by_name"), F.col("by_label"), self.pack.generic_families, F.col("product_type"), F.col("package"), self.pack.bundle_family, self.pack.staff_family)
-        base = base.withColumn("automatic", automatic)
+        base = base.withColumn("automatic", automatic).persist()  # used by codes, stock and groups: computed and planned once
+        computed = base
         reviews = self.store.read_or_empty("reviews", "master_id long, decision string, reviewed_family string, actor string, reason string")
         base = base.join(reviews.select("master_id", "decision", "reviewed_family"), "master_id", "left")
         base = base.withColumn("d", classify.decide(F.col("decision"), F.col("reviewed_family"), F.col("origin"), F.lit(None).cast("string"), F.col("automatic"))).withColumns({"family": F.col("d.family"), "method": F.col("d.method")})
@@ -129,7 +130,7 @@ class Engine:
         old = self.store.read_or_empty("standards", STANDARD)
         table = F.create_map(*[F.lit(x) for f in self.pack.taxonomy for x in (f, self.pack.code_prefix(f))])
         item = base.join(old.select("master_id", F.col("standard_code").alias("existing_code")), "master_id", "left")
-        item = item.withColumn("prefix", F.when(F.col("status") == T.ACTIVE, F.try_element_at(table, F.col("family"))))
+        item = item.withColumn("prefix", F.when(F.col("status") == T.ACTIVE, F.try_element_at(table, F.col("family")))).persist()
         used = codes.high_water(old.select(F.col("standard_code").alias("code")).unionByName(links.select(F.col("retired_code").alias("code"))).where("code IS NOT NULL"))
         numbered = codes.assign(item.select(F.col("code").alias("item"), "prefix", "existing_code"), used).select(F.col("item").alias("code"), F.col("code").alias("standard_code"))
         wide = item.join(numbered, "code").join(stock, "master_id", "left").join(seen, "master_id", "left").join(legacy, "master_id", "left")
@@ -140,7 +141,8 @@ class Engine:
         rest = old.drop("duplicate_group", "duplicate_kind").join(fresh.select("master_id"), "master_id", "left_anti").join(gone, "master_id", "left_anti")
         everything = self.grouped(rest.unionByName(fresh))
         self.store.commit({"sites": site_rows, "masters": masters, "brands": brands, "standards": everything}, f"standardise {load_id}")
-        fresh.unpersist()
+        for kept_frame in (fresh, item, computed):
+            kept_frame.unpersist()
         return self.summary()
 
     def grouped(self, rows: DataFrame) -> DataFrame:

@@ -24,13 +24,38 @@ ROWS = [
 ]
 
 
+QUICK = {"spark.sql.codegen.wholeStage": "false", "spark.sql.shuffle.partitions": "1", "spark.sql.adaptive.enabled": "false"}  # tiny tables: planning is all the time
+
+
+@pytest.fixture(scope="module", autouse=True)
+def quick(spark):
+    before = {k: spark.conf.get(k) for k in QUICK}
+    for k, v in QUICK.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
 @pytest.fixture()
 def engine(spark, tmp_path):
     return Engine(spark, f"file://{tmp_path}/store", demo)
 
 
-def loaded(engine, spark, rows=ROWS, key="k1"):
-    report = engine.stage(spark.createDataFrame(rows, SCHEMA), "src", key)
+@pytest.fixture(scope="module")
+def catalogue(spark, tmp_path_factory):
+    """One engine with a standardised load; the tests below follow one another on it."""
+    made = Engine(spark, f"file://{tmp_path_factory.mktemp('catalogue')}/store", demo)
+    made.first_report, made.first_summary = loaded(made, spark)
+    return made
+
+
+def staged(engine, spark, rows=ROWS, key="k1"):
+    return engine.stage(spark.createDataFrame(rows, SCHEMA), "src", key)
+
+
+def loaded(engine, spark):
+    report = staged(engine, spark)
     return report, engine.standardise(report["load_id"])
 
 
@@ -38,8 +63,8 @@ def products(engine):
     return {r.code: r for r in engine.store.read("standards").collect()}
 
 
-def test_load_standardise_and_repeat(spark, engine):
-    report, summary = loaded(engine, spark)
+def test_load_standardise_and_repeat(spark, catalogue):
+    engine, report, summary = catalogue, catalogue.first_report, catalogue.first_summary
     assert report["rows"] == 10 and report["accepted"] == 8 and not report["ready"]
     found = {(r.field, r.code): r.n for r in engine.report(1).collect()}
     assert found[("stock", "invalid_number")] == 1 and found[("code", "required_value")] == 1 and found[("stock", "negative_value")] == 1
@@ -57,7 +82,7 @@ def test_load_standardise_and_repeat(spark, engine):
 
 def test_quarantine_rules(spark, engine):
     rows = [row(2, "A", "ring one"), row(3, "A", "ring one"), row(4, "B", "bolt"), row(5, "B", "gear", "S2", "SOUTH 6"), row(6, "C", "ring", "S9", "one"), row(7, "D", "ring", "S9", "two")]
-    report, _ = loaded(engine, spark, rows)
+    report = staged(engine, spark, rows)
     assert report["accepted"] == 0
     codes = {i.code for r in engine.store.read("rows").collect() for i in r.issues if i.severity == "error"}
     assert codes == {"duplicate_key", "conflicting_identity", "conflicting_site"}
@@ -65,8 +90,8 @@ def test_quarantine_rules(spark, engine):
     assert missing["missing"] == ["description", "site", "site_name"] and not missing["ready"]
 
 
-def test_search_and_detail(spark, engine):
-    loaded(engine, spark)
+def test_search_and_detail(catalogue):
+    engine = catalogue
     page, total = engine.search("ring ac")
     assert total == 2 and page[0].code in ("001", "002")
     assert engine.search("", named="with_stock")[1] + engine.search("", named="without_stock")[1] == engine.search("")[1]
@@ -75,8 +100,8 @@ def test_search_and_detail(spark, engine):
     assert [r.site for r in info["rows"]] == ["S2", "S1"] and sum(r.available for r in info["stock"]) == 5.5
 
 
-def test_link_and_unlink(spark, engine):
-    loaded(engine, spark)
+def test_link_and_unlink(catalogue):
+    engine = catalogue
     before = products(engine)
     a, b = before["001"].master_id, before["002"].master_id
     link = engine.link(b, a, 1)
@@ -92,20 +117,21 @@ def test_link_and_unlink(spark, engine):
         engine.unlink(link, 1)
 
 
-def test_create_is_idempotent_and_guarded(spark, engine):
-    loaded(engine, spark)
+def test_create_is_idempotent_and_guarded(catalogue):
+    engine = catalogue
     plan = engine.propose("Small ring", "ACME", "x-1")
     assert len(plan["exact"]) == 2
     with pytest.raises(Rejected):
         engine.create("r1", "Small ring", "ACME", "x-1")
     made = engine.create("r1", "Small ring", "ACME", "x-1", confirm_duplicate=True)
     assert engine.create("r1", "Small ring", "ACME", "x-1") == made
+    assert len(engine.propose("Small ring", "ACME", "x-1")["exact"]) == 3
     with pytest.raises(Rejected):
         engine.create("r1", "other", "ACME", "x-1")
 
 
-def test_people_outrank_rules(spark, engine):
-    loaded(engine, spark)
+def test_people_outrank_rules(catalogue):
+    engine = catalogue
     me = products(engine)["005"]
     with pytest.raises(Rejected):
         engine.review(me.master_id, "approved", "Widgets", "stale", "ana", "seen")
@@ -120,7 +146,7 @@ def test_people_outrank_rules(spark, engine):
 
 def test_publish(spark, engine):
     good = [ROWS[0], ROWS[1], ROWS[5]]
-    report, _ = loaded(engine, spark, good)
+    report = staged(engine, spark, good)
     assert report["ready"]
     plan = engine.preview(1)
     with pytest.raises(Rejected):
@@ -129,7 +155,7 @@ def test_publish(spark, engine):
         engine.publish(1, plan["token"], "2024-01-01T00:00:00")
     engine.publish(1, plan["token"], "2024-01-01T00:00:00Z")
     assert engine.preview(1)["already_published"]
-    loaded(engine, spark, good[:2], "k2")
+    staged(engine, spark, good[:2], "k2")
     second = engine.preview(2)
     assert second["absent_codes"] == 1 and second["ready"]
     with pytest.raises(Rejected):
@@ -137,10 +163,10 @@ def test_publish(spark, engine):
     assert not engine.store.read("publications").where("load_id = 2").count()
 
 
-def test_export(spark, engine, tmp_path):
-    loaded(engine, spark)
+def test_export(catalogue, tmp_path):
+    engine = catalogue
     counts = engine.export(f"file://{tmp_path}/mart")
-    assert counts["products"] == 7 and counts["source_codes"] == 7 and counts["sites"] == 3 and counts["inventory"] == 8
+    assert counts["products"] == 9 and counts["source_codes"] == 7 and counts["sites"] == 3 and counts["inventory"] == 8
 
 
 def test_store_swaps_and_keeps(spark, tmp_path):
