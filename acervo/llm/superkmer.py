@@ -287,10 +287,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     unique = plain.n == plain.d and plain.n == rows.count()
     if unique:  # the id itself orders the documents
         texts = rows.select("doc_id", F.col("doc_id").alias("ord"), "text")
+        source = texts.select("ord", "text")
     else:  # null and repeated ids: number the distinct (id, text) rows in order
-        texts = number_rows(rows)
+        texts, source = number_rows(rows)
     n = partitions(docs.sparkSession)
-    source = texts.select("ord", "text")
     hot = docs.sparkSession.sparkContext.broadcast(frequent_seeds(source, window, seed))
     buckets = n * BUCKETS_A_PARTITION
     sent = source.mapInArrow(_send(hot.value, buckets, window, seed), "bucket long, doc long, data binary")
@@ -302,12 +302,16 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return met.select(F.col("doc_id").cast(kind), "text", "ranges").mapInArrow(_remove(with_text), schema)
 
 
-def number_rows(rows: DataFrame) -> DataFrame:
-    """``doc_id, ord, text`` with ``ord`` the place in order of id (null first) and text; equal rows share it."""
+def number_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, ord, text`` with ``ord`` the place in order of id (null first) and text; equal rows share it.
+
+    Beside it ``ord, text`` with one row for each ``ord``: equal rows are one document.
+    """
     distinct = rows.select("doc_id", "text").distinct()
     n = partitions(rows.sparkSession)
     dealt = cut(distinct.repartitionByRange(n, "doc_id").withColumn("part", F.spark_partition_id()), "numbered")
     size = dealt.groupBy("part").agg(F.count("*").alias("size")).withColumn("before", F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     inner = F.row_number().over(Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()))
     numbered = dealt.withColumn("at", inner).join(F.broadcast(size.select("part", "before")), "part").select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), (F.col("before") + F.col("at")).alias("ord"))
-    return rows.join(numbered, rows["doc_id"].eqNullSafe(F.col("_id")) & rows["text"].eqNullSafe(F.col("_text"))).select("doc_id", "ord", "text")
+    texts = rows.join(numbered, rows["doc_id"].eqNullSafe(F.col("_id")) & rows["text"].eqNullSafe(F.col("_text"))).select("doc_id", "ord", "text")
+    return texts, numbered.select("ord", F.col("_text").alias("text"))

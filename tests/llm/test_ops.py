@@ -202,6 +202,15 @@ def test_remove_repeats_ids(spark):
     assert superkmer.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_remove_repeats_keeps_rows_that_stand_twice(spark, monkeypatch):
+    line, other = (" ".join(f"{c}{i}" for i in range(25)) for c in "kz")
+    made = [(4, line), (4, line), (6, other), (7, line), (None, other), (None, other)]
+    for block in (superkmer.BLOCK_BYTES, 50):  # copies in one block and in blocks of their own
+        monkeypatch.setattr(superkmer, "BLOCK_BYTES", block)
+        found = superkmer.remove_repeats(spark.createDataFrame(made, DOCS)).collect()
+        assert sorted((r.doc_id or 0, r.n_removed) for r in found) == [(0, 0), (0, 0), (4, 0), (4, 0), (6, 25), (7, 25)]
+
+
 def test_equal_hashes_are_told_apart():
     words = np.array([*range(20), *range(20, 40), *range(20)])
     at = np.array([0, 20, 40])
