@@ -28,9 +28,9 @@ def preview(incoming: DataFrame, published: DataFrame, code: str = "code") -> Da
 
 
 def catalogue_view(products: DataFrame, links: DataFrame) -> DataFrame:
-    """Products with the sorted source codes that map to them."""
+    """Every product with the sorted source codes that map to it: a null list and ``n`` 0 where none does."""
     own = links.groupBy("master").agg(F.array_join(F.array_sort(F.collect_list("source_code")), ", ").alias("source_codes"), F.count("*").alias("n"))
-    return products.join(own, products["code"] == own["master"]).drop("master")
+    return products.join(own, products["code"] == own["master"], "left").drop("master").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def publishable(snapshot_at, last) -> object:

@@ -237,7 +237,7 @@ def mart_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = classified(spark, sf_dir)
     links = rows.select((F.col("code") % 500).alias("master"), F.col("code").cast("string").alias("source_code"))
-    return publication.catalogue_view(rows.select("code", "name", "family"), links)
+    return publication.catalogue_view(rows.select("code", "name", "family"), links).where("n > 0")  # the SQL lists linked products only
 
 
 @query(f"""{DECIDED}, s AS (SELECT family, code AS item, row_number() OVER (PARTITION BY family ORDER BY sha256('"' || code || '"'), code) AS place FROM decided WHERE family IS NOT NULL) SELECT family, item, place FROM s WHERE place <= 5""")
