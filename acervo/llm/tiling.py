@@ -18,8 +18,9 @@ of hits, not the length of the document.
 
 Defined cases: null, empty and tokenless texts and items match nothing; null
 item ids are ignored; repeated items count once; of equal coverages the smallest
-item id is reported; every row is judged by its own text, so repeated ids keep
-their rows.  Only id and text are read of both tables.
+item id is reported as the best, and ``items`` holds all at or above the
+threshold; every row is judged by its own text, so repeated ids keep their rows.
+Only id and text are read of both tables.
 """
 
 from __future__ import annotations
@@ -181,6 +182,9 @@ def coverage(item: np.ndarray, doc: np.ndarray, places: np.ndarray) -> float:
     return sum(t[2] for t in tile(item, np.concatenate(pieces), min(SEED, n))) / n if pieces else 0.0
 
 
+_ITEMS = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64())]))
+
+
 def _judge(block_values, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = [Seeds(*b.value) for b in block_values] if len(block_values) == 1 else None
@@ -188,15 +192,17 @@ def _judge(block_values, least: float):
             for batch in batches_of(whole, "text"):
                 buf, offsets = tokens(batch.column("text"))
                 best: list[tuple[float, int | None]] = [(0.0, None)] * batch.num_rows
+                held: list[dict[int, float]] = [{} for _ in range(batch.num_rows)]
                 for own in seeds or (Seeds(*b.value) for b in block_values):
                     for lo, hi in blocks(offsets):
-                        _block(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lo, own, best)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([b[1] for b in best], pa.int64()), pa.array([b[0] for b in best], pa.float64()), pa.array([b[0] >= least for b in best], pa.bool_())], ["doc_id", "item_id", "coverage", "leaked"])
+                        _block(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lo, own, best, held, least)
+                items = [[{"item_id": i, "coverage": c} for i, c in sorted(h.items(), key=lambda x: (-x[1], x[0]))] for h in held]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([b[1] for b in best], pa.int64()), pa.array([b[0] for b in best], pa.float64()), pa.array([b[0] >= least for b in best], pa.bool_()), pa.array(items, _ITEMS)], ["doc_id", "item_id", "coverage", "leaked", "items"])
 
     return run
 
 
-def _block(buf: np.ndarray, offsets: np.ndarray, base: int, seeds: Seeds, best: list) -> None:
+def _block(buf: np.ndarray, offsets: np.ndarray, base: int, seeds: Seeds, best: list, held: list, least: float) -> None:
     starts, ends, first = words(buf, offsets)
     hashes = span_hash(buf, starts, ends)
     item, place = seeds.hits(*ngrams(hashes, first, SEED))
@@ -216,6 +222,8 @@ def _block(buf: np.ndarray, offsets: np.ndarray, base: int, seeds: Seeds, best:
         old = best[base + d]
         if share > old[0] or share == old[0] and share > 0 and seeds.ids[i] < old[1]:
             best[base + d] = (share, seeds.ids[i])
+        if share > 0 and share >= least:
+            held[base + d][seeds.ids[i]] = max(share, held[base + d].get(seeds.ids[i], 0.0))
 
 
 def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str, most: int = BLOCK_BYTES) -> Iterator[tuple[list[int], list[str]]]:
@@ -236,11 +244,14 @@ def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str, most: int =
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = COVERAGE) -> DataFrame:
-    """``doc_id, item_id, coverage, leaked`` for every row: the item covered most (null if none shares a seed)."""
+    """``doc_id, item_id, coverage, leaked, items`` for every row: the item covered most (null if none shares a seed).
+
+    ``items`` lists every item covered by ``least`` or more, the best first.
+    """
     context = docs.sparkSession.sparkContext
     shared = [context.broadcast(b) for b in benchmark_blocks(benchmark, item_id, item_text)]
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_judge(shared, least), f"doc_id {kind}, item_id long, coverage double, leaked boolean")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_judge(shared, least), f"doc_id {kind}, item_id long, coverage double, leaked boolean, items array<struct<item_id: bigint, coverage: double>>")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = COVERAGE) -> DataFrame:

@@ -285,6 +285,16 @@ def test_find_leaks(spark):
     assert tiling.find_leaks(table.limit(0), bench).count() == 0
 
 
+def test_leaks_of_several_items(spark, monkeypatch):
+    words = lambda c, n: [f"{c}{i}" for i in range(n)]
+    bench = spark.createDataFrame([(1, " ".join(words("a", 20))), (2, " ".join(words("b", 20))), (3, " ".join(words("c", 20))), (4, "short one"), (5, " ".join(words("d", 20))), (5, " ".join(words("d", 10)))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join([*words("b", 20), "x", *words("a", 15), "y", *words("c", 6), "short one", *words("d", 12)])), (2, " ".join(words("c", 6))), (3, None)], DOCS)
+    for most in (tiling.BLOCK_BYTES, 8):
+        monkeypatch.setattr(tiling.benchmark_blocks, "__defaults__", (most,))
+        got = {r.doc_id: (r.item_id, [(x.item_id, round(x.coverage, 2)) for x in r["items"]]) for r in tiling.find_leaks(docs, bench).collect()}
+        assert got == {1: (2, [(2, 1.0), (4, 1.0), (5, 1.0), (1, 0.75)]), 2: (3, []), 3: (None, [])}
+
+
 def test_leaks_in_many_benchmark_blocks(spark, monkeypatch):
     monkeypatch.setattr(tiling.benchmark_blocks, "__defaults__", (8,))
     bench = spark.createDataFrame([(i, f"q{i} r{i} s{i} t{i} u{i} v{i}") for i in range(5)], "item_id long, text string")
