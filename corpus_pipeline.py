@@ -6,8 +6,10 @@ but the last return the columns of ``documents``.
 
 1. ``quality``: documents that the quality model rejects go.
 2. ``lines``: boilerplate lines of a source go; ``n_chars`` is counted anew.
-3. ``near_duplicates``: of each group of near-duplicates the smallest id stays
-   (rows without an id have no group and stay).
+3. ``near_duplicates``: of each group of near-duplicates the smallest id stays,
+   and one row of it.  Every distinct (id, text) is a document of its own, in
+   order of id (null last); of rows equal in both, the least by their
+   other columns stays.
 4. ``benchmark``: documents that hold a benchmark item go.
 5. ``tokens``: ids of the whole remaining texts.
 """
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acervo.llm import lexicon, minhash, quality, site_lines, tiling
-from acervo.llm.common import cut
+from acervo.llm.common import cut, partitions
 from acervo.llm.queries import table, tokenizer_file
 
 
@@ -33,9 +35,19 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = minhash.near_duplicates(docs)
-    gone = found.where("doc_id IS NOT NULL AND NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    count = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
+    keyed, key = (docs, "doc_id") if count.n == count.d else (row_keys(docs), "_row")
+    gone = minhash.near_duplicates(keyed, doc_id=key).where("NOT kept").select(F.col("doc_id").alias(key))
+    return keyed.join(gone, key, "left_anti").select(*docs.columns)
+
+
+def row_keys(docs: DataFrame) -> DataFrame:
+    """One row of each distinct (doc_id, text), with its key ``_row`` ascending by id (null last)."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = docs.groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("_none"), *others)).alias("_rest")).select("doc_id", "text", *[F.col("_rest")[c].alias(c) for c in others])
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("text")]
+    dealt = one.repartitionByRange(partitions(docs.sparkSession), *order[:2]).sortWithinPartitions(*order)
+    return cut(dealt.withColumn("_row", F.monotonically_increasing_id()), "rows")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

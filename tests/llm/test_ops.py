@@ -326,3 +326,20 @@ def test_pipeline(spark):
             assert after == {a for a, _, _ in before}
     want = brute.bpe_rows([(r.doc_id, r.text) for r in docs.collect()], TOKENIZER)
     assert rows(corpus_pipeline.run(spark, SF), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
+
+
+def test_pipeline_keeps_one_row_of_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    made = [
+        (5, a, "s"), (5, a, "s"), (5, a, "r"), (None, a, "s"),  # one row, that with the id
+        (None, b, "s"), (None, b, "s"), (None, b + " end", "s"),  # a group without ids
+        (9, b + " tail", "s"), (9, c, "s"), (12, c + " end", "s"),  # b goes to 9; both texts of 9 stay
+        (None, None, "s"), (None, None, "s"), (20, "", "s"), (21, "", "s"), (None, d, "s"),
+    ]
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string").repartition(3)
+    found = corpus_pipeline.one_of_each(spark, docs, SF)
+    assert found.columns == docs.columns
+    want = [(5, a, "r"), (9, b + " tail", "s"), (9, c, "s"), (None, None, "s"), (20, "", "s"), (21, "", "s"), (None, d, "s")]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
