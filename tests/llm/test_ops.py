@@ -177,6 +177,40 @@ def test_near_vectors(spark, monkeypatch):
     assert crosspolytope.near_vectors(table.limit(0)).count() == 0
 
 
+def test_near_vectors_recall_at_the_threshold(spark):
+    """64 dimensions, pairs planted at cosine 0.98 to 0.99 among vectors that are far from each other."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(1500, 64))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    off = rng.normal(size=base.shape)
+    off -= (off * base).sum(1)[:, None] * base
+    off /= np.linalg.norm(off, axis=1)[:, None]
+    cosine = np.linspace(0.9801, 0.99, 1500)[:, None]
+    both = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * off])
+    table = [(i, [float(c) for c in v], i % 1500 % 4) for i, v in enumerate(both)]
+    frame = spark.createDataFrame(table, "vec_id long, embedding array<double>, label int")
+    found, want = rows(crosspolytope.near_vectors(frame), "vec_id", "n_links"), {(v, n) for v, n, _, _ in brute.vector_rows(table)}
+    assert sum(n for _, n in want) >= 3000
+    assert all(n <= dict(want)[v] for v, n in found)
+    assert sum(n for _, n in found) >= 0.99 * sum(n for _, n in want)
+
+
+@pytest.mark.parametrize("sf, share", [("sf0.01", 0.1), ("sf0.1", 0.02)])
+def test_near_vectors_compares_few_pairs(spark, sf, share):
+    """Pairs that meet, of all pairs within a label: few, and fewer on a larger table."""
+    _, classes = crosspolytope.vector_classes(spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet"), "vec_id", "embedding", "label")
+    pairs = lambda df, key: sum(r["count"] * (r["count"] - 1) // 2 for r in df.groupBy(key).count().collect())
+    assert pairs(crosspolytope.candidates(classes), "hub") <= share * pairs(classes, "label")
+
+
+def test_near_vectors_repeated_ids_and_text_labels(spark):
+    x, y, z = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 2.0]
+    data = [(5, x, "a"), (5, y, "a"), (3, x, "a"), (9, y, "a"), (9, y, "a"), (7, z, "a"), (8, z, "b"), (None, z, "a")]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<float>, label string").withColumn("h1", F.lit(1)).withColumn("cid", F.lit(1))
+    got = sorted((tuple(r) for r in crosspolytope.near_vectors(frame).collect()), key=str)
+    assert got == sorted([(3, 1, 3, True), (5, 1, 3, False), (5, 2, 3, False), (7, 0, 7, True), (8, 0, 8, True), (9, 2, 3, False), (9, 2, 3, False), (None, 0, None, False)], key=str)
+
+
 def test_rotation_keeps_lengths():
     x = np.random.default_rng(1).normal(size=(5, 8))
     assert np.allclose((crosspolytope.hadamard(x) ** 2).sum(1), (x**2).sum(1))
