@@ -16,11 +16,14 @@ document of one to four words has its whole word sequence as the only shingle.
    shares no key with probability 6e-6; a more similar one less.
 3. *Clusters*: the smallest class of a key is its hub.  Members of a key meet at
    its hub, which bounds rows by (class, key) pairs; all pairs of one key meet
-   at one hub.  A large hub is split in blocks of ``BLOCK`` members and pairs of
-   blocks go to different tasks.  The members' texts are fetched by a broadcast
-   of the memberships while those are at most ``BROADCAST_ROWS`` (counted),
-   else by a shuffled join.
-4. *Confirmation*: in each block pair the full sets are intersected through an
+   at one hub.  A hub of more than ``BLOCK`` members or ``BLOCK_SHINGLES``
+   shingles is cut into blocks: first every block meets the hub itself, so each
+   text travels once, whatever the size of the cluster; only members that are not
+   linked to their hub then meet the blocks of all its members, in different
+   tasks (members linked to the hub are already in one component).  Texts are
+   fetched by a broadcast of the memberships while those are at most
+   ``BROADCAST_ROWS`` (counted), else by a shuffled join.
+4. *Confirmation*: in each block the full sets are intersected through an
    inverted index of shingles, exactly ``100 * intersection >= 75 * union``.
    Only a spanning forest of the confirmed links leaves the task.
 5. Components of the links give each document its smallest reachable id.
@@ -31,7 +34,8 @@ Defined cases: null, empty and wordless texts have the empty set and link with
 nothing; a null id is returned with a null component and is not kept; rows that
 repeat an id are one node of the graph with the links of all their texts, each
 row returned with its own set size; only id and text are read, so other columns
-cannot clash; an empty table gives an empty result.
+cannot clash; an empty table gives an empty result.  Ids are integers (others
+fail in the cast).  A text of any length is one member: a block holds at least one.
 """
 
 from __future__ import annotations
@@ -46,13 +50,13 @@ from pyspark.sql import functions as F
 
 from acervo.llm.bpe import batches_of
 from acervo.llm.common import connected_components, cut, partitions, sized_broadcast
-from acervo.llm.textkit import LOWER, blocks, mix, shingles, text_buffer
+from acervo.llm.textkit import LOWER, blocks, mix, ranges, shingles, text_buffer
 
 SHINGLE = 5
 CHUNKS, WIDTH, ERRORS, BITS = 9, 4, 1, 16
 SLOTS = CHUNKS * WIDTH
-BLOCK = 1024
-BROADCAST_ROWS = 2_000_000
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+BROADCAST_ROWS = 500_000
 PERCENT = 75
 
 _rng = np.random.Generator(np.random.PCG64(977))
@@ -129,21 +133,53 @@ def sets_of(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def link_forest(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]] | None, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """A spanning forest of the links among ``left``, or between ``left`` and ``right``.
+class Index:
+    """Which of some sets hold a shingle, for intersections of one set with all of them."""
 
-    Intersections of one set with all others come from an inverted index of the
-    other side's shingles; pairs that are already joined are still counted in
-    the same pass, so the work is the sum of the intersections.
+    def __init__(self, sets: list[np.ndarray], some: np.ndarray):
+        self.n, self.some = len(sets), some
+        own = [sets[i] for i in some.tolist()]
+        flat, owner = np.concatenate(own) if own else np.zeros(0, np.uint64), np.repeat(some, [len(x) for x in own])
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.owner = flat[order], owner[order]
+
+    def common(self, own: np.ndarray) -> np.ndarray:
+        lo, hi = np.searchsorted(self.flat, own, "left"), np.searchsorted(self.flat, own, "right")
+        return np.bincount(self.owner[ranges(lo, hi - lo)], minlength=self.n)
+
+
+def forest_among(members: list[tuple[int, np.ndarray]], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """A spanning forest of the links among ``members``: a search from each that no earlier one has reached.
+
+    Sets already reached leave the index each time they are half of it, so near
+    copies of one text cost one pass and not a pass for each.
     """
-    others = right if right is not None else left
-    if not left or not others:
-        return []
-    sizes = np.array([len(s) for _, s in others], np.int64)
-    flat = np.concatenate([s for _, s in others])
-    owner = np.repeat(np.arange(len(others)), sizes)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
+    sets, sizes = [s for _, s in members], np.array([len(s) for _, s in members], np.int64)
+    open_ = np.ones(len(sets), bool)
+    index, left, edges = Index(sets, np.arange(len(sets))), len(sets), []
+    for start in range(len(sets)):
+        if not open_[start]:
+            continue
+        open_[start] = False
+        left -= 1
+        reached = [start]
+        while reached and left:
+            i = reached.pop()
+            if 2 * left < len(index.some):
+                index = Index(sets, np.flatnonzero(open_))
+            common = index.common(sets[i])
+            for j in np.flatnonzero(open_ & (100 * common >= percent * (sizes[i] + sizes - common))).tolist():
+                open_[j] = False
+                left -= 1
+                reached.append(j)
+                edges.append((members[i][0], members[j][0]))
+    return edges
+
+
+def forest_between(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """A spanning forest of the links between ``left`` and ``right``."""
+    sizes = np.array([len(s) for _, s in left], np.int64)
+    index = Index([s for _, s in left], np.arange(len(left)))
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -153,43 +189,43 @@ def link_forest(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.nd
         return x
 
     edges = []
-    for i, (name, own) in enumerate(left):
-        lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
-        common = np.bincount(owner[_spans(lo, hi)], minlength=len(others))
-        linked = np.flatnonzero(100 * common >= percent * (len(own) + sizes - common))
-        if right is None:
-            linked = linked[linked < i]
-        for j in linked.tolist():
-            a, b = root(name), root(others[j][0])
+    for name, own in right:
+        common = index.common(own)
+        for i in np.flatnonzero(100 * common >= percent * (len(own) + sizes - common)).tolist():
+            a, b = root(name), root(left[i][0])
             if a != b:
                 parent[a] = b
-                edges.append((name, others[j][0]))
+                edges.append((name, left[i][0]))
     return edges
 
 
-def _spans(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    from acervo.llm.textkit import ranges
-
-    return ranges(lo, hi - lo)
+ALL, HUB = 0, 1  # what a block meets: itself, or its hub; larger numbers: open members
 
 
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by (hub, b1, b2): one block pair at a time is held."""
+        """Rows sorted by (hub, block, other): edges ``(null, a, b)``, and ``(hub, a, null)`` for members not linked to it."""
         now, sides = None, ([], [])
 
-        def flush():
+        def flush() -> pa.RecordBatch:
             left, right = (list(zip((m for m, _ in side), sets_of([t for _, t in side]), strict=True)) for side in sides)
-            edges = link_forest(left, None if now[1] == now[2] else right, percent)
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], ["a", "b"])
+            hubs = []
+            if now[2] == ALL:
+                edges = forest_among(left, percent)
+            else:
+                edges = forest_between(left, right, percent) if left and right else []
+            if now[2] == HUB:
+                hubs = sorted({m for m, _ in left} - {m for e in edges for m in e} - {now[0]})
+            rows = [(None, a, b) for a, b in edges if a != b] + [(now[0], m, None) for m in hubs]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["hub", "a", "b"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("hub", "b1", "b2", "side", "member", "text")]
-            for hub, b1, b2, side, member, text in zip(*columns, strict=True):
-                if (hub, b1, b2) != now:
+            columns = [batch.column(c).to_pylist() for c in ("hub", "block", "other", "side", "member", "text")]
+            for hub, block, other, side, member, text in zip(*columns, strict=True):
+                if (hub, block, other) != now:
                     if now is not None:
                         yield flush()
-                    now, sides = (hub, b1, b2), ([], [])
+                    now, sides = (hub, block, other), ([], [])
                 sides[side].append((member, text))
         if now is not None:
             yield flush()
@@ -197,9 +233,45 @@ def _confirm(percent: int):
     return run
 
 
+def _met(tasks: DataFrame, texts: DataFrame, percent: int, label: str) -> DataFrame:
+    """The confirmed links of tasks ``(hub, block, other, side, member)``."""
+    n = partitions(texts.sparkSession)
+    tasks = cut(tasks, "tasks")
+    filled = texts.join(sized_broadcast(tasks, tasks.count(), BROADCAST_ROWS), "member").select("hub", "block", "other", "side", "member", "text")
+    where = ["hub", "block", "other"]
+    return cut(filled.repartition(n, *where).sortWithinPartitions(*where).mapInArrow(_confirm(percent), "hub long, a long, b long"), label)
+
+
+def _in_blocks(members: DataFrame, weights: DataFrame, name: str) -> DataFrame:
+    """``members (hub, member)`` of hubs with more than one block, with the number of blocks and the member's own."""
+    size = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    counted = members.join(weights, "member").groupBy("hub").agg(size.alias(name)).where(F.col(name) > 1)
+    return members.join(counted, "hub").withColumn("own", F.pmod(F.xxhash64("member"), F.col(name)).cast("int"))
+
+
+def confirmed_links(members: DataFrame, classes: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``(a, b)``: links that join all members linked in their clusters ``(hub, member)``."""
+    weights = classes.groupBy("member").agg(F.sum("n_shingles").alias("n_shingles"))  # a repeated id stands for several classes
+    big = cut(_in_blocks(members, weights, "n_blocks"), "big")
+    whole = members.join(big.select("hub").distinct(), "hub", "left_anti").select("hub", F.lit(0).alias("block"), F.lit(ALL).alias("other"), F.lit(0).alias("side"), "member")
+    own = big.select("hub", F.col("own").alias("block"), F.lit(HUB).alias("other"), F.lit(0).alias("side"), "member")
+    hubs = big.select("hub", F.col("own").alias("block")).distinct().select("hub", "block", F.lit(HUB).alias("other"), F.lit(1).alias("side"), F.col("hub").alias("member"))
+    first = _met(whole.unionByName(own).unionByName(hubs), texts, percent, "links")
+
+    open_ = first.where("b IS NULL").select("hub", F.col("a").alias("member"))
+    if open_.isEmpty():
+        return first.select("a", "b")
+    counted = open_.join(weights, "member").groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("n_open"))
+    every = big.join(counted, "hub")
+    left = every.select("hub", F.col("own").alias("block"), F.explode(F.sequence(F.lit(2), F.col("n_open") + 1)).alias("other"), F.lit(0).alias("side"), "member")
+    spread = open_.join(counted, "hub").join(big.select("hub", "n_blocks").distinct(), "hub")
+    right = spread.select("hub", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), (F.pmod(F.xxhash64(F.lit("open"), "member"), F.col("n_open")) + 2).cast("int").alias("other"), F.lit(1).alias("side"), "member")
+    second = _met(left.unionByName(right), texts, percent, "more-links")
+    return first.where("b IS NOT NULL").select("a", "b").unionByName(second.select("a", "b"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketch = cut(rows.mapInArrow(_sketch, "doc_id long, n_shingles long, h1 long, h2 long, sig binary"), "sketch")
     full = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -208,18 +280,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keys = classes.select("member", "sig").mapInArrow(_spread, "key long, member long")
     hubs = keys.groupBy("key").agg(F.min("member").alias("hub"), F.max("member").alias("top")).where("hub < top").select("key", "hub")
     members = cut(keys.join(hubs, "key").select("hub", "member").distinct(), "members")
-    # only hubs of more than one block need their size: at most a row for every BLOCK memberships
-    big = cut(members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks")).where("n_blocks > 1"), "hubs")
-    split = sized_broadcast(big, big.count(), BROADCAST_ROWS)
-    placed = members.join(split, "hub", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("member"), F.col("n_blocks")).cast("int"))
-    # block pairs (b1 <= b2) that a member is in: on the left of (own, b), on the right of (b, own)
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda b: F.struct(F.least("own", b).alias("b1"), F.greatest("own", b).alias("b2"), (b < F.col("own")).cast("int").alias("side"))))
-    tasks = cut(placed.select("hub", "member", pair.alias("p")).select("hub", "member", "p.b1", "p.b2", "p.side"), "tasks")
     texts = rows.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "member")
-    filled = texts.join(sized_broadcast(tasks, tasks.count(), BROADCAST_ROWS), "member")
-    n = partitions(spark)
-    links = filled.repartition(n, "hub", "b1", "b2").sortWithinPartitions("hub", "b1", "b2").mapInArrow(_confirm(percent), "a long, b long")
-    parts = connected_components(links)
+    parts = connected_components(confirmed_links(members, classes, texts, percent))
 
     rep = classes.select("n_shingles", "h1", "h2", F.col("member").alias("node"))
     where = ["n_shingles", "h1", "h2"]

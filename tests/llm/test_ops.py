@@ -94,6 +94,40 @@ def test_near_duplicates_large_hub(spark, monkeypatch):
     assert got == brute.near_rows(made)
 
 
+def test_near_duplicates_long_texts_and_members_far_from_their_hub(spark, monkeypatch):
+    """Blocks bounded by shingles; a cluster whose members are linked to each other and not to the hub."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 500)
+    rng = random.Random(2)
+    base = [f"b{i}" for i in range(200)]
+    made = []
+    for group in range(3):
+        own = list(base)
+        for _ in range(9 * group):
+            own[rng.randrange(200)] = f"g{rng.random()}"
+        for i in range(12):
+            w = list(own)
+            w[rng.randrange(200)] = f"r{rng.random()}"
+            made.append((100 * group + i, " ".join(w)))
+    made.append((900, " ".join(f"long{i}" for i in range(30_000))))
+    made.append((901, made[-1][1] + " end"))
+    got = rows(minhash.near_duplicates(spark.createDataFrame(made, DOCS)), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == brute.near_rows(made)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_forests_join_what_brute_force_joins(seed):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 60, (6, 80)).astype(np.uint64)
+    sets = [(i, np.unique(np.concatenate([base[i % 6][: 80 - i % 23], rng.integers(0, 1 << 60, i % 9).astype(np.uint64)]))) for i in range(70)]
+    linked = lambda x, y: 100 * (k := len(np.intersect1d(x, y))) >= 75 * (len(x) + len(y) - k)
+    pairs = [(a, b) for a, x in sets for b, y in sets if a < b and linked(x, y)]
+    every = dict(sets)
+    assert brute.components(every, minhash.forest_among(sets)) == brute.components(every, pairs)
+    across = [(a, b) for a, b in pairs if (a < 30) != (b < 30)]
+    assert brute.components(every, minhash.forest_between(sets[:30], sets[30:])) == brute.components(every, across)
+
+
 def test_near_duplicates_ids(spark):
     a, b = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(20))
     found = minhash.near_duplicates(spark.createDataFrame([(None, a), (5, a), (5, b), (9, b), (9, b)], DOCS)).collect()
