@@ -15,8 +15,10 @@ so a hot host is dealt to many tasks.
 
 Defined cases: blank lines are never removed; a null text stays null and has no
 lines; an empty text is one blank line; a null host is a host of its own; every
-row is a page, repeated ids and rows included; other columns pass through, and
-``n_lines`` and ``n_dropped`` (long) replace columns of those names.
+row is a page, repeated ids and rows included; a text of any length is one array
+of lines; an empty table gives an empty result.  All other columns pass through
+(work columns take names that ``docs`` does not have), and ``n_lines`` and
+``n_dropped`` (long) replace columns of those names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acervo.llm.common import cut
+from acervo.llm.common import cut, unused
 
 
 def _digest(line: Column) -> Column:
@@ -60,22 +62,21 @@ def line_dedup(
 ) -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text``, plus ``n_lines`` and ``n_dropped``."""
     marked = cut(boilerplate(docs, host, text, ratio, min_pages), "lines")
-    by_host = marked.groupBy(F.col("_host").alias("_site")).agg(F.collect_list("_digest").alias("_drop"))
-    same = F.col(host).eqNullSafe(F.col("_site"))
+    site, drop, work, salt, row_salt = unused([*docs.columns, "n_lines", "n_dropped"], "site", "drop", "work", "salt", "row_salt")
+    by_host = marked.groupBy(F.col("_host").alias(site)).agg(F.collect_list("_digest").alias(drop))
+    same = F.col(host).eqNullSafe(F.col(site))
     if marked.count() <= broadcast_lines:
         met = docs.join(F.broadcast(by_host), same, "left")
     else:
-        salt = F.pmod(F.xxhash64(text), F.lit(salts)).cast("int")
-        spread = by_host.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        met = docs.withColumn("_row_salt", salt).join(spread, same & (F.col("_row_salt") == F.col("_salt")), "left").drop("_row_salt", "_salt")
+        spread = by_host.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = docs.withColumn(row_salt, F.pmod(F.xxhash64(text), F.lit(salts)).cast("int")).join(spread, same & (F.col(row_salt) == F.col(salt)), "left")
     lines = F.split(text, "\n", -1)
-    kept = F.filter(lines, lambda x: _blank(x) | ~F.array_contains(F.col("_drop"), _digest(x)))
-    return (
-        met.withColumns({"_lines": lines, "_kept": F.when(F.col("_drop").isNull(), lines).otherwise(kept)})
-        .withColumns({
-            text: F.array_join("_kept", "\n"),
-            "n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"),
-            "n_dropped": F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0)).cast("long"),
-        })
-        .drop("_site", "_drop", "_lines", "_kept")
+    kept = F.filter(lines, lambda x: _blank(x) | ~F.array_contains(F.col(drop), _digest(x)))
+    counted = F.struct(F.size(lines).alias("all"), F.when(F.col(drop).isNull(), lines).otherwise(kept).alias("kept"))
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    n_lines, n_kept = F.col(work)["all"], F.size(F.col(work)["kept"])
+    return met.withColumn(work, counted).select(
+        *[F.array_join(F.col(work)["kept"], "\n").alias(text) if c == text else F.col(f"`{c}`") for c in columns],
+        F.when(F.col(text).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
+        F.when(F.col(text).isNull(), 0).otherwise(n_lines - n_kept).cast("long").alias("n_dropped"),
     )

@@ -13,13 +13,20 @@ filter is broadcast only while it has at most ``broadcast_blocks`` blocks (32
 bytes each), the list only while it has at most ``broadcast_entries`` entries;
 beyond that both joins shuffle.
 
+Verdicts go back to the rows by (host, path).  Pairs that stand on more than a
+``HOT``-th of all rows (fewer than ``HOT`` pairs, so they fit a broadcast) meet
+their rows where those are; only the other rows are shuffled, and of them no
+key has more than that share.
+
 Defined cases: a null url, or one without ``://``, has empty host and path and
-fits nothing; an empty list leaves every url to ``default``; null hosts or
-verdicts in the list are ignored, a null path there counts as empty, repeated
-entries count once (for contradicting verdicts ``block`` wins).  Rows of the
-input are never merged: repeated urls and ids keep all their rows, and other
-columns pass through.  Results are named by ``host_col``, ``path_col``,
-``rule_col`` and ``verdict_col`` and replace columns of those names.
+fits nothing; an empty list leaves every url to ``default``; null or empty hosts
+and null verdicts in the list are ignored, a null path there counts as empty,
+repeated entries count once (for contradicting verdicts ``block`` wins).  Rows of
+the input are never merged: repeated urls and ids keep all their rows, and all
+other columns pass through (work columns take names that ``pages`` does not
+have).  Very long urls are judged whole; an empty table gives an empty result.
+Results are named by ``host_col``, ``path_col``, ``rule_col`` and ``verdict_col``
+and replace columns of those names.
 """
 
 from __future__ import annotations
@@ -29,9 +36,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from acervo.llm.common import cut, unused
+
 BITS_PER_KEY = 16
 BLOCK_BITS = 256
 PROBES = 8
+HOT = 1024
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -84,17 +94,25 @@ def url_filter(
 ) -> DataFrame:
     """``pages`` with host, path, the longest fitting rule (or null) and its verdict (else ``default``)."""
     entries = (
-        listed.where("host IS NOT NULL AND verdict IS NOT NULL")
+        listed.where("host <> '' AND verdict IS NOT NULL")
         .select(F.translate("host", UPPER, LOWER).alias("_host"), F.coalesce("path", F.lit("")).alias("_path"), "verdict")
         .groupBy("_host", "_path")
         .agg(F.when(F.bool_or(F.col("verdict") == "block"), "block").otherwise(F.max("verdict")).alias("_verdict"))
         .withColumn("_key", F.concat("_host", F.lit("\n"), "_path"))
     )
-    rows = pages.withColumns({host_col: host_of(F.col(url)), path_col: path_of(F.col(url))})
+    results = (host_col, path_col, rule_col, verdict_col)
+    work, key, won = unused([*pages.columns, *results], "work", "key", "won")
+    others = [F.col(f"`{c}`") for c in pages.columns if c not in results]
+    parts = F.struct(host_of(F.col(url)).alias("h"), path_of(F.col(url)).alias("p"))
+    rows = pages.select(*others, parts.alias(work))
+
+    def judged(some: DataFrame, best: Column) -> DataFrame:
+        return some.select(*others, F.col(work)["h"].alias(host_col), F.col(work)["p"].alias(path_col), best["rule"].alias(rule_col), F.coalesce(best["verdict"], F.lit(default)).alias(verdict_col))
+
     total = entries.agg(F.count("*"), F.collect_set(F.length("_path"))).first()
     n, lengths = total[0], sorted(total[1])
     if not n:
-        return rows.withColumns({rule_col: F.lit(None).cast("string"), verdict_col: F.lit(default)})
+        return judged(rows, F.lit(None).cast("struct<rule: string, verdict: string>"))
     n_blocks = max(1, math.ceil(n * BITS_PER_KEY / BLOCK_BITS))
     blocks = bloom_blocks(entries, "_key", n_blocks)
     if n_blocks <= broadcast_blocks:
@@ -103,7 +121,7 @@ def url_filter(
     if n <= broadcast_entries:
         exact = F.broadcast(exact)
 
-    seen = rows.select(F.col(host_col).alias("_h"), F.col(path_col).alias("_p")).distinct()
+    seen = cut(rows.groupBy(F.col(work)["h"].alias("_h"), F.col(work)["p"].alias("_p")).agg(F.count("*").alias("_n")), "urls")
     labels = F.split("_h", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(F.split("_h", r"\."), i, 1_000_000), "."))
     prefixes = F.array_distinct(F.array(*[F.when(F.length("_p") >= k, F.substring("_p", 1, k)) for k in lengths]))
@@ -123,8 +141,12 @@ def url_filter(
         .groupBy("_h", "_p")
         .agg(F.max("_b").alias("_b"))
     )
-    return (
-        rows.join(best, (rows[host_col] == best["_h"]) & (rows[path_col] == best["_p"]), "left")
-        .withColumns({rule_col: F.col("_b.rule"), verdict_col: F.coalesce("_b.verdict", F.lit(default))})
-        .drop("_h", "_p", "_b")
-    )
+    # rows meet verdicts: hot pairs by a broadcast of fewer than HOT rows, the others by their key
+    most = (seen.agg(F.sum("_n")).first()[0] or 0) / HOT
+    pair = F.struct(F.col("_h").alias("h"), F.col("_p").alias("p")).alias(key)
+    hot = F.broadcast(seen.where(F.col("_n") > most).join(best, ["_h", "_p"], "left").select(pair, F.col("_b").alias(won)))
+    rest = best.select(pair, F.col("_b").alias(won))
+    meet = F.col(work) == F.col(key)
+    often = judged(rows.join(hot, meet), F.col(won))
+    seldom = judged(rows.join(hot.select(key), meet, "left_anti").join(rest, meet, "left"), F.col(won))
+    return often.unionByName(seldom)

@@ -156,6 +156,44 @@ def test_site_lines(spark):
     assert site_lines.line_dedup(table.limit(0)).count() == 0
 
 
+CLASHES = ["site", "drop", "work", "salt", "row_salt", "key", "won", "_site", "_drop", "_lines", "_kept", "_salt", "_row_salt", "_b", "_h", "_p", "_k", "_host", "_text", "_digest", "_key", "a.b"]
+
+
+def clashing(frame):
+    """``frame`` with a column of each name that an operator might use for itself."""
+    return frame.withColumns({c: F.lit(f"of {c}") for c in CLASHES}).withColumnRenamed("work", "WORK")
+
+
+def test_site_lines_columns_clash_with_nothing_and_long_texts(spark):
+    long = "\n".join(["menu", *(f"line {i}" for i in range(50_000))])
+    made = [(i, "h", "menu\nx" if i else long) for i in range(20)]
+    table = clashing(spark.createDataFrame(made, "doc_id long, source string, text string"))
+    for limit in (50_000, 0):
+        out = site_lines.line_dedup(table, broadcast_lines=limit)
+        assert out.columns == [*table.columns, "n_lines", "n_dropped"]
+        found = {r["doc_id"]: r for r in out.collect()}
+        assert found[0]["text"] == long[5:] and found[0]["n_lines"] == 50_001 and found[0]["n_dropped"] == 1
+        assert all(found[0][c] == f"of {c}" for c in CLASHES if c != "work")
+    assert {r.text for r in out.where("doc_id > 0").collect()} == {""}
+
+
+def test_url_filter_columns_clash_with_nothing_and_hot_urls(spark, monkeypatch):
+    long = "http://b.com/fr/" + "x" * 100_000
+    urls = [None] * 40 + ["http://x.com/de/1"] * 30 + [f"http://b.com/fr/{i}" for i in range(20)] + [long]
+    pages = clashing(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"))
+    listed = spark.createDataFrame([*URL_RULES, ("", "", "block")], "host string, path string, verdict string")
+    for hot in (1024, 4):  # all pairs hot, or only the two frequent ones
+        monkeypatch.setattr(url_filter, "HOT", hot)
+        out = url_filter.url_filter(pages, listed)
+        assert out.columns == [*pages.columns, "host", "path", "rule", "verdict"]
+        got = {r["page_id"]: r for r in out.collect()}
+        assert len(got) == len(urls) == out.count()
+        assert {(got[i]["rule"], got[i]["verdict"]) for i in range(40)} == {(None, "allow")}
+        assert {(got[i]["rule"], got[i]["verdict"]) for i in range(40, 70)} == {("com/de/", "block")}
+        assert {(got[i]["rule"], got[i]["verdict"]) for i in range(70, 91)} == {("com/fr/", "allow")}
+        assert got[90]["path"] == long[len("http://b.com"):] and all(got[0][c] == f"of {c}" for c in CLASHES if c != "work")
+
+
 # ---------------------------------------------------------------- 4 and 8
 def accuracy(spark, name, target):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
