@@ -17,18 +17,29 @@ def held_out(doc_id: Column) -> Column:
 def labelled_sample(labels: DataFrame, target: str, most: int, doc_id: str = "doc_id") -> tuple[DataFrame, dict[int, float]]:
     """At most ``most`` labelled training rows of each class, and the weight that restores the classes' shares.
 
-    Rows are taken in order of a hash of their id, the same at any partitioning.
-    Held-out rows, null ids and null labels are never taken.  The sample's size
-    is bounded by ``2 * most`` ids, so it may be broadcast.
+    Rows are taken in order of a hash of their id, the same at any partitioning;
+    only those below a cut of the hash that leaves a little more than ``most`` are
+    sorted.  Held-out rows, null ids and null labels are never taken.  The sample's
+    size is bounded by ``2 * most`` ids, so it may be broadcast.
     """
     rows = labels.select(F.col(doc_id).alias("doc_id"), F.col(target).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"))).distinct()
     counts = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     mixed = F.xxhash64(F.lit(target), "doc_id")
-    parts = [rows.where(F.col("y") == y).orderBy(mixed, "doc_id").limit(most) for y in (0, 1)]
+    parts = []
+    for y in (0, 1):
+        share = min(1.0, (most + 10 * most**0.5) / max(1, counts.get(y, 0)))
+        below = F.lit(True) if share == 1.0 else mixed < int((share - 0.5) * 2**64)
+        parts.append(rows.where((F.col("y") == y) & below).orderBy(mixed, "doc_id").limit(most))
     sample = parts[0].union(parts[1]).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(6)).cast("int"))
     return sample, {y: max(1.0, n / most) for y, n in counts.items()}
 
 
+def labelled_texts(docs: DataFrame, sample: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc_id, y, fold, text`` of the sample, one row for each of its rows: of texts under one id the least (null last)."""
+    met = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")
+    return met.groupBy("doc_id", "y", "fold").agg(F.min("text").alias("text"))
+
+
 def cut_points(x: np.ndarray, bins: int) -> np.ndarray:
     """Upper edges of about equally filled bins of a feature (at most ``bins`` bins)."""
     values = np.unique(x)

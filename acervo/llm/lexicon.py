@@ -5,7 +5,7 @@ compiled, in sorted order, into the minimal acyclic automaton of the word list:
 equal suffixes share states.  Every arc carries a count, and the counts along a
 word add up to the word's number, which addresses its token ids - the output of
 the transducer.  States are laid out as a double array in one flat file that
-each worker memory-maps.  A batch's distinct pieces walk the automaton together
+Spark ships to each machine once and every worker memory-maps.  A batch's distinct pieces walk the automaton together
 (one numpy step per byte position).  Pieces outside the lexicon are merged
 exactly, all at once, by merge rank; so the lexicon's size changes speed only,
 never a result.
@@ -16,31 +16,37 @@ file without a decoder does.
 Defined cases: a null text counts as empty and gives no ids, the empty id string
 and the empty decoded text; every row is encoded on its own, whatever its id;
 other columns are not touched (:func:`bpe_encode` returns only the columns it
-names).  An empty table gives an empty result.
+names); texts of any length are encoded whole.  An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import heapq
 import json
 import mmap
 import os
+import shutil
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acervo.llm.bpe import SUFFIX, Pretokenizer, WordEncoder, batches_of
+from acervo.llm.common import cut, strongest
 from acervo.llm.textkit import ranges
 
 LEXICON_WORDS = 1 << 17
 LONG = 96  # pieces of more bytes are merged one by one with a heap
 NONE = np.int64(1) << 40
+_SHIPPED: dict[str, set[str]] = {}
 
 
 class Merges:
@@ -270,15 +276,10 @@ class Lexicon:
         self.base, self.final, self.owner, self.target, self.out, self.bounds, self.ids = (flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
 
     @classmethod
-    def mapped(cls, data: bytes) -> Lexicon:
-        """Write to a file of the worker's own, map it and unlink it: the pages stay until the map goes."""
-        handle, path = tempfile.mkstemp(prefix="lexicon-")
-        try:
-            os.write(handle, data)
-            return cls(mmap.mmap(handle, 0, access=mmap.ACCESS_READ))
-        finally:
-            os.close(handle)
-            os.unlink(path)
+    def mapped(cls, path: str) -> Lexicon:
+        """Map the file: workers of one machine share its pages."""
+        with open(path, "rb") as f:
+            return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
     def find(self, buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Word numbers of byte spans, -1 for those outside the lexicon."""
@@ -303,10 +304,10 @@ class Lexicon:
 class TransducerEncoder(WordEncoder):
     """Ids of pieces from the lexicon, the others by exact merging."""
 
-    def __init__(self, path: str, data: bytes):
+    def __init__(self, path: str, lexicon: str):
         super().__init__(path)
         self.merges = Merges(self.pre.spec, self.pre.letters)
-        self.lexicon = Lexicon.mapped(data)
+        self.lexicon = Lexicon.mapped(lexicon)
 
     def ids_of(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         from acervo.llm.textkit import text_buffer
@@ -348,8 +349,8 @@ def frequent_words(docs: DataFrame, tokenizer: str, text: str = "text", words: i
                 yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(often)), pa.array(totals[often])], ["word", "n"])
 
     counted = docs.select(F.col(text).alias("text")).mapInArrow(count, "word string, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
-    return [r.word.encode() for r in top.collect()]
+    totals = cut(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    return sorted(r.word.encode() for r in strongest(totals, "n", "word", words).select("word").collect())
 
 
 def build_lexicon(docs: DataFrame, tokenizer: str, text: str = "text", words: int = LEXICON_WORDS) -> bytes:
@@ -358,6 +359,28 @@ def build_lexicon(docs: DataFrame, tokenizer: str, text: str = "text", words: in
     return compile_lexicon(frequent_words(docs, tokenizer, text, words), Merges(spec, Pretokenizer(tokenizer).letters))
 
 
+def ship(spark: SparkSession, data: bytes) -> str:
+    """Send a file to every machine, once each; the name under which tasks find it.
+
+    Spark fetches it from the driver for each executor, also for one that joins later.
+    """
+    name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}"
+    folder = tempfile.mkdtemp(prefix="acervo-")
+    path = os.path.join(folder, name)
+    try:
+        with open(path, "wb") as f:
+            f.write(data)
+        if name not in _SHIPPED.setdefault(spark.sparkContext.applicationId, set()):
+            spark.sparkContext.addFile(path)
+            _SHIPPED[spark.sparkContext.applicationId].add(name)
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the driver serves it until then
+            folder = None
+    finally:
+        if folder:
+            shutil.rmtree(folder)
+    return name
+
+
 def bpe_encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", words: int = LEXICON_WORDS, also: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row, and ``token_ids`` or ``decoded`` if named in ``also``.
 
@@ -365,13 +388,13 @@ def bpe_encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
     the decoded text.
     """
     spark = docs.sparkSession
-    lexicon = spark.sparkContext.broadcast(build_lexicon(docs, tokenizer, text, words))  # bounded by ``words``
+    lexicon = ship(spark, build_lexicon(docs, tokenizer, text, words))  # bounded by ``words``
     kind = docs.schema[doc_id].dataType.simpleString()
     kinds = {"token_ids": "array<int>", "decoded": "string"}
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", {c} {kinds[c]}" for c in also)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = TransducerEncoder(tokenizer, lexicon.value)
+        coder = TransducerEncoder(tokenizer, SparkFiles.get(lexicon))
         size = coder.pre.tokenizer.get_vocab_size()
         decimals = pa.array([str(i) for i in range(size)])
         tokens = pa.array([coder.pre.tokenizer.id_to_token(i) or "" for i in range(size)])

@@ -13,7 +13,9 @@ driver's work, not on what is scored); only their feature rows reach the driver.
 Defined cases: null and empty texts have all-zero features and get a score;
 every row is scored by its text alone, so repeated ids keep their rows; null or
 other labels than 0 and 1 are ignored; if no class or only one is labelled, the
-score is that class's smoothed share.  Other columns are not touched.
+score is that class's smoothed share.  Texts of any length are read whole; equal
+texts have equal scores, and a score equal to the threshold is accepted.  An empty
+table gives an empty result.  Other columns are not touched.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from acervo.llm.bpe import batches_of
 from acervo.llm.features import QUALITY, quality_features
-from acervo.llm.learn import cut_points, grow, held_out, labelled_sample, sigmoid
+from acervo.llm.learn import cut_points, grow, held_out, labelled_sample, labelled_texts, sigmoid
 
 SAMPLE = 8_000  # labelled documents of each class that a model may learn from
 THRESHOLD = 0.3
@@ -109,7 +111,7 @@ def features_of(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", target: str = "quality", most: int = SAMPLE) -> AdditiveModel:
     sample, weight = labelled_sample(labels, target, most, "doc_id")
-    known = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")
+    known = labelled_texts(docs, sample, doc_id, text)
     found = features_of(known, "text", ["doc_id", "y"]).orderBy("doc_id", "y").collect()
     y = np.array([r.y for r in found], np.float64)
     x = np.array([r.features for r in found], np.float64).reshape(len(found), len(QUALITY))

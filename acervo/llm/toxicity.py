@@ -13,8 +13,9 @@ Learning takes at most ``most`` labelled documents of each class; the lexicon
 has at most ``LEXICON`` entries.  Every document is scored over its whole text.
 
 Defined cases as for the quality classifier: null and empty texts are scored,
-rows are scored by text alone, null labels are ignored, and without labels of
-both classes the score is the smoothed share of toxic labels.
+rows are scored by text alone, whole texts of any length, null labels are ignored,
+and without labels of both classes the score is the smoothed share of toxic labels.
+Equal texts have equal scores, and a score equal to the threshold is toxic.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acervo.llm.bpe import batches_of
-from acervo.llm.common import cut
+from acervo.llm.common import cut, strongest
 from acervo.llm.features import TOXICITY, Words, terms, toxicity_features
-from acervo.llm.learn import cut_points, grow, held_out, isotonic, labelled_sample, sigmoid
+from acervo.llm.learn import cut_points, grow, held_out, isotonic, labelled_sample, labelled_texts, sigmoid
 
 SAMPLE = 8_000  # labelled documents of each class that a model may learn from
 LEXICON = 4_000
@@ -74,8 +75,8 @@ def count_terms(known: DataFrame, most: int) -> list[tuple[str, list[int], list[
     counted = known.select("text", "y", "fold").mapInArrow(count, "term string, " + ", ".join(f"{c} long" for c in NUMBERS))
     totals = counted.groupBy("term").agg(*[F.sum(c).alias(c) for c in NUMBERS])
     n0, n1 = (sum((F.col(c) for c in NUMBERS[y::2]), F.lit(0)) for y in (0, 1))
-    often = totals.where(n1 >= LEAST_DOCS).where(n1 > 2 * n0)
-    top = often.orderBy(F.desc(n1 - 2 * n0), "term").limit(most).collect()
+    often = cut(totals.where(n1 >= LEAST_DOCS).where(n1 > 2 * n0).withColumn("gap", n1 - 2 * n0), "terms")
+    top = sorted(strongest(often, "gap", "term", most).collect(), key=lambda r: (-r.gap, r.term))
     return [(r.term, [r[c] for c in NUMBERS[0::2]], [r[c] for c in NUMBERS[1::2]]) for r in top]
 
 
@@ -109,7 +110,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 80,
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", target: str = "toxic", most: int = SAMPLE) -> ToxicityModel:
     sample, weight = labelled_sample(labels, target, most, "doc_id")
-    known = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id"), "labelled")
+    known = cut(labelled_texts(docs, sample, doc_id, text), "labelled")
     size = ([0] * PARTS, [0] * PARTS)
     for r in known.groupBy("y", (F.col("fold") % PARTS).alias("part")).agg(F.count("*").alias("n")).collect():
         size[r.y][r.part] = r.n

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -123,3 +126,133 @@ def vector_rows(rows, least=0.98):
             edges.append((own[i], own[j]))
     comp = components(vec, edges)
     return {(v, links[v], comp[v], comp[v] == v) for v in vec}
+
+
+def tiles(item, doc, least):
+    """Greedy string tiling, one tile at a time: the longest common run of unmarked tokens, the first of equal ones."""
+    free_a, free_b, out = [True] * len(item), [True] * len(doc), []
+    while True:
+        best = (0, 0, 0)
+        run = [[0] * (len(doc) + 1) for _ in range(len(item) + 1)]
+        for i in range(len(item) - 1, -1, -1):
+            for j in range(len(doc) - 1, -1, -1):
+                if free_a[i] and free_b[j] and item[i] == doc[j]:
+                    run[i][j] = run[i + 1][j + 1] + 1
+                    best = min(best, (-run[i][j], i, j))
+        n = -best[0]
+        if n < least or not n:
+            return out
+        _, i, j = best
+        out.append((i, j, n))
+        free_a[i : i + n] = [False] * n
+        free_b[j : j + n] = [False] * n
+
+
+def token_list(text):
+    return re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def leak_rows(docs, items, least=0.5, seed=5):
+    """``(doc_id, best item, coverage, items)`` of every document."""
+    out = []
+    for d, text in docs:
+        doc, shares = token_list(text), {}
+        for i, t in items:
+            item = token_list(t)
+            if i is None or not item:
+                continue
+            share = sum(n for _, _, n in tiles(item, doc, min(seed, len(item)))) / len(item)
+            if share:
+                shares[i] = max(share, shares.get(i, 0))
+        best = min(shares.items(), key=lambda x: (-x[1], x[0]), default=(None, 0.0))
+        out.append((d, best[0], round(best[1], 9), tuple(sorted(i for i, c in shares.items() if c >= least))))
+    return out
+
+
+SPACES = " \t\n\x0b\x0c\r"
+
+
+def word_list(text):
+    return [w for w in re.split(f"[{SPACES}]+", text or "") if w]
+
+
+def _letters(raw):
+    return sum(b >= 128 or chr(b).isalpha() for b in raw)
+
+
+def _marks(raw):
+    return sum(33 <= b < 127 and not chr(b).isalnum() for b in raw)
+
+
+def _upper(raw):
+    return sum(65 <= b <= 90 for b in raw)
+
+
+def quality_row(text):
+    """The quality features of one text, in plain Python."""
+    own = [w.encode() for w in word_list(text)]
+    n, size, total = len(own), sum(map(len, own)), len((text or "").encode())
+    part = lambda a, b: a / b if b else 0.0
+    times = Counter(own)
+    is_mark = lambda b: 33 <= b < 127 and not chr(b).isalnum()
+    return [
+        math.log1p(n), part(size, n), part(sum(map(_upper, own)), sum(map(_letters, own))), part(sum(48 <= b <= 57 for w in own for b in w), size), part(sum(map(_marks, own)), size),
+        part(sum(not _letters(w) for w in own), n), part(sum(len(w) > 2 and is_mark(w[-1]) and is_mark(w[-2]) for w in own), n), part(sum(_upper(w) > 1 and _upper(w) == _letters(w) for w in own), n),
+        part(len(times), n), part(sum(a == b for a, b in zip(own, own[1:])), n), part(max(times.values(), default=0), n), math.log1p(n / ((text or "").count("\n") + 1)), part(total - size, total),
+    ]
+
+
+def quality_score(model, text):
+    """A fitted additive model applied to one text: table entries, one after another."""
+    x = quality_row(text)
+    bin_of = lambda edges, v: sum(v > e for e in edges)
+    z = model.intercept + sum(t[bin_of(e, v)] for t, e, v in zip(model.tables, model.edges, x))
+    z += sum(grid[bin_of(model.coarse[a], x[a]), bin_of(model.coarse[b], x[b])] for a, b, grid in model.pairs)
+    return 1 / (1 + math.exp(-max(-40, min(40, z))))
+
+
+def toxicity_row(text, lexicon):
+    """The toxicity features of one text, in plain Python."""
+    from acervo.llm.features import EDGE_MARKS, LOOKALIKES, SECOND_PERSON
+
+    rows = []
+    for word in word_list(text):
+        raw, bare = word.encode(), word.lower().strip(EDGE_MARKS)
+        if bare and not bare.isalpha():
+            plain = "".join(c for c in bare.translate(LOOKALIKES) if c not in "*.-_")
+            bare = plain if plain.isalpha() else bare
+        exact = lexicon.get("=" + bare, 0.0) if bare else 0.0
+        stems = [lexicon.get(bare[:k] + "*", 0.0) for k in range(4, 8) if len(bare) > k]
+        edge = word.strip(EDGE_MARKS)
+        odd = bool(bare) and not edge.isalpha() and any(c in "0134571357@$!*" for c in edge) and any(c.isalpha() for c in edge)
+        rows.append((raw, exact, max([exact, *stems]), bare in SECOND_PERSON, odd, word))
+    n, size = len(rows), sum(len(r[0]) for r in rows)
+    part = lambda a, b: a / b if b else 0.0
+    hits = [i for i, r in enumerate(rows) if r[2] > 0]
+    near = sum(any(r[3] for r in rows[max(0, i - 5) : i + 6]) for i in hits)
+    return [
+        part(sum(r[1] > 0 for r in rows), n), part(len(hits), n), math.log1p(len(hits)), math.log1p(len({rows[i][5] for i in hits})), max((rows[i][2] for i in hits), default=0.0), part(near, n),
+        part(sum(r[3] for r in rows), n), part(sum(_upper(r[0]) for r in rows), sum(_letters(r[0]) for r in rows)), part(sum(_upper(r[0]) > 1 and _upper(r[0]) == _letters(r[0]) for r in rows), n),
+        part(sum(r[0].count(b"!") + r[0].count(b"?") for r in rows), n), part(sum(_marks(r[0]) for r in rows), size), part(sum(r[4] for r in rows), n), math.log1p(n),
+    ]
+
+
+def toxicity_score(model, text):
+    """A fitted tree model applied to one text: every tree walked from its root, then the calibration's line."""
+    x = toxicity_row(text, model.lexicon)
+    binned = [sum(v > e for e in edges) for v, edges in zip(x, model.edges)]
+    z = model.base
+    for tree in model.trees:
+        node = 0
+        while tree.feature[node] >= 0:
+            node = tree.left[node] if binned[tree.feature[node]] <= tree.cut[node] else tree.right[node]
+        z += tree.value[node]
+    xs, ys = model.knots
+    if not len(xs):
+        return 1 / (1 + math.exp(-max(-40, min(40, z))))
+    if z <= xs[0]:
+        return ys[0]
+    for a, b, lo, hi in zip(xs, xs[1:], ys, ys[1:]):
+        if z < b:
+            return lo + (hi - lo) * (z - a) / (b - a)
+    return ys[-1]

@@ -219,6 +219,47 @@ def test_scores_of_awkward_rows(spark, docs, module, score):
     assert score(empty, module.train(empty, labels)).count() == 0
 
 
+AWKWARD = [(900, None), (901, ""), (902, " \t\n"), (903, "you IDIOT!! y0u 1d10t ** -- \x1c x"), (904, "ÀÉ ß ünï \u2028 \u00a0 naïve"), (905, "word " * 30_000), (906, "x" * 50_000)]
+
+
+@pytest.mark.parametrize("module, target", [(quality, "quality"), (toxicity, "toxic")])
+def test_scores_against_plain_scoring(spark, module, target):
+    """The query's rows from a plain version of the features and of the fitted model, on whole tables and awkward texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = module.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    plain = getattr(brute, f"{target if target == 'quality' else 'toxicity'}_score")
+    more = spark.createDataFrame(AWKWARD, DOCS)
+    score = module.score_quality if target == "quality" else module.score_toxicity
+    found = {r.doc_id: r for r in score(docs.unionByName(more), model).collect()}
+    assert any(r.predicted for r in found.values()) and not all(r.predicted for r in found.values())
+    named = {r.doc_id: r for r in QUERIES["op4_quality_gam" if target == "quality" else "op8_toxicity_trees"](spark, SF).collect()}
+    for i, text in [tuple(r) for r in docs.collect()] + AWKWARD:
+        want = plain(model, text)
+        assert found[i].score == pytest.approx(want, abs=1e-9) and found[i].predicted == int(found[i].score >= module.THRESHOLD)
+        assert i not in named or named[i] == found[i]
+
+
+def test_sample_is_bounded_and_takes_one_text_of_an_id(spark):
+    from acervo.llm.learn import labelled_sample, labelled_texts
+
+    labels = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic"))
+    sample, weight = labelled_sample(labels, "toxic", 100)
+    assert sample.groupBy("y").count().where("count = 100").count() == 2 and all(w > 1 for w in weight.values())
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.explode(F.array(F.lit("b"), F.lit("a"), F.lit(None))).alias("text"))
+    assert {(r.text, r["count"]) for r in labelled_texts(docs, sample, "doc_id", "text").groupBy("text").count().collect()} == {("a", 200)}
+
+
+def test_strongest_is_bounded_and_exact(spark):
+    from acervo.llm.common import strongest
+
+    rows_ = spark.range(2000).select(F.concat(F.lit("w"), "id").alias("name"), F.when(F.col("id") < 300, F.col("id") + 1000).otherwise(F.col("id") % 3).alias("n"))
+    few = {r.name for r in strongest(rows_, "n", "name", 200).collect()}
+    assert 150 < len(few) <= 200 and min(int(x[1:]) for x in few) >= 80
+    most = {r.name for r in strongest(rows_, "n", "name", 500).collect()}
+    assert {f"w{i}" for i in range(300)} <= most and 450 < len(most) <= 500
+    assert strongest(rows_, "n", "name", 5000).count() == rows_.where("n > 0").count()
+
+
 def test_labels_of_held_out_rows_are_not_used(spark):
     from acervo.llm.learn import labelled_sample
 
@@ -379,6 +420,52 @@ def test_tiling_of_reordered_passages():
     assert tiling.tile(item, numbers("q r s t")) == []
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_tiling_against_naive_tiling(seed):
+    rng = random.Random(seed)
+    for _ in range(60):
+        letters = rng.choice([1, 2, 3, 12])
+        item, doc = ([rng.randrange(letters) for _ in range(rng.randrange(1, 40))] for _ in range(2))
+        if rng.random() < 0.5:
+            doc = doc + item[rng.randrange(len(item)) :] + item[: rng.randrange(len(item))]
+        as_hashes = [textkit.mix(np.array(x, np.uint64) + np.uint64(1)) for x in (item, doc)]
+        least = rng.choice([1, 3, 5])
+        assert sorted(tiling.tile(*as_hashes, least)) == sorted(brute.tiles(item, doc, min(least, 99)))
+
+
+def test_tiling_of_long_periodic_texts_is_quick():
+    import time
+
+    item, doc = (textkit.mix(np.arange(n, dtype=np.uint64) % np.uint64(3)) for n in (400, 20_000))
+    start = time.time()
+    assert tiling.coverage(item, doc, np.arange(20_000 - 5)) == 1.0 and time.time() - start < 3
+
+
+@pytest.mark.parametrize("blocks", [(1 << 20, 4), (60, 2)])
+def test_find_leaks_against_brute_force(spark, monkeypatch, blocks):
+    """Items with a shared phrase, reordered and partial copies; one broadcast, and several passes of small blocks."""
+    monkeypatch.setattr(tiling.benchmark_blocks, "__defaults__", (blocks[0],))
+    monkeypatch.setattr(tiling, "BLOCKS", blocks[1])
+    rng = random.Random(5)
+    phrase = "which of the following statements is true"
+    items = [(i, f"{phrase} " + " ".join(f"w{rng.randrange(30)}" for _ in range(rng.randrange(4, 30)))) for i in range(12)]
+    items += [(20, "short one"), (21, "Short, ONE!"), (22, None), (None, "no id at all here please"), (23, "..."), (3, items[3][1])]
+    docs = []
+    for d in range(60):
+        own = [f"x{rng.randrange(50)}" for _ in range(rng.randrange(30))]
+        for _, text in rng.sample(items[:12], 2):
+            w = text.split()
+            cut = rng.randrange(len(w))
+            own += w[cut:] + [f"y{d}"] + w[: rng.randrange(cut + 1)]
+        docs.append((d, " ".join(own)))
+    docs += [(100, None), (101, ""), (102, "..."), (103, f"{phrase} only"), (104, "a short one, here"), (105, phrase + " z " * 3000)]
+    found = tiling.find_leaks(spark.createDataFrame(docs, DOCS).withColumn("item_id", F.lit("clash")), spark.createDataFrame(items, "item_id long, text string"))
+    got = [(r.doc_id, r.item_id, round(r.coverage, 9), tuple(sorted(i.item_id for i in r["items"]))) for r in found.orderBy("doc_id").collect()]
+    assert got == brute.leak_rows(docs, items)
+    kept = tiling.without_leaks(spark.createDataFrame(docs, DOCS).withColumn("verdict", F.lit(1)), spark.createDataFrame(items, "item_id long, text string"))
+    assert kept.columns == ["doc_id", "text", "verdict"] and {r.doc_id for r in kept.collect()} == {d for d, _, c, _ in got if c < 0.5}
+
+
 def test_find_leaks(spark):
     item = [f"t{i}" for i in range(30)]
     made = [(1, " ".join(["x"] * 9 + item[15:] + ["y"] + item[:15])), (2, " ".join(item).upper().replace(" ", ", ")), (3, " ".join(item[:10])), (4, None), (5, ""), (6, "short one"), (6, "z short one z"), (None, " ".join(item))]
