@@ -242,29 +242,33 @@ def _met(tasks: DataFrame, texts: DataFrame, percent: int, label: str) -> DataFr
     return cut(filled.repartition(n, *where).sortWithinPartitions(*where).mapInArrow(_confirm(percent), "hub long, a long, b long"), label)
 
 
-def _in_blocks(members: DataFrame, weights: DataFrame, name: str) -> DataFrame:
-    """``members (hub, member)`` of hubs with more than one block, with the number of blocks and the member's own."""
+def _blocks_of(members: DataFrame, weights: DataFrame, name: str, least: int) -> DataFrame:
+    """``hub, name``: blocks of each hub's ``members (hub, member)``, for hubs of ``least`` blocks or more.
+
+    Such hubs are few (one for ``BLOCK`` memberships at most), so the table is
+    broadcast while it is counted to be small: a large hub's members stay where they are.
+    """
     size = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
-    counted = members.join(weights, "member").groupBy("hub").agg(size.alias(name)).where(F.col(name) > 1)
-    return members.join(counted, "hub").withColumn("own", F.pmod(F.xxhash64("member"), F.col(name)).cast("int"))
+    counted = cut(members.join(weights, "member").groupBy("hub").agg(size.alias(name)).where(F.col(name) >= least), "hubs")
+    return sized_broadcast(counted, counted.count(), BROADCAST_ROWS)
 
 
 def confirmed_links(members: DataFrame, classes: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``(a, b)``: links that join all members linked in their clusters ``(hub, member)``."""
     weights = classes.groupBy("member").agg(F.sum("n_shingles").alias("n_shingles"))  # a repeated id stands for several classes
-    big = cut(_in_blocks(members, weights, "n_blocks"), "big")
-    whole = members.join(big.select("hub").distinct(), "hub", "left_anti").select("hub", F.lit(0).alias("block"), F.lit(ALL).alias("other"), F.lit(0).alias("side"), "member")
+    large = _blocks_of(members, weights, "n_blocks", 2)
+    big = members.join(large, "hub").withColumn("own", F.pmod(F.xxhash64("member"), F.col("n_blocks")).cast("int"))
+    whole = members.join(large, "hub", "left_anti").select("hub", F.lit(0).alias("block"), F.lit(ALL).alias("other"), F.lit(0).alias("side"), "member")
     own = big.select("hub", F.col("own").alias("block"), F.lit(HUB).alias("other"), F.lit(0).alias("side"), "member")
-    hubs = big.select("hub", F.col("own").alias("block")).distinct().select("hub", "block", F.lit(HUB).alias("other"), F.lit(1).alias("side"), F.col("hub").alias("member"))
+    hubs = large.select("hub", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), F.lit(HUB).alias("other"), F.lit(1).alias("side"), F.col("hub").alias("member"))
     first = _met(whole.unionByName(own).unionByName(hubs), texts, percent, "links")
 
     open_ = first.where("b IS NULL").select("hub", F.col("a").alias("member"))
     if open_.isEmpty():
         return first.select("a", "b")
-    counted = open_.join(weights, "member").groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("n_open"))
-    every = big.join(counted, "hub")
-    left = every.select("hub", F.col("own").alias("block"), F.explode(F.sequence(F.lit(2), F.col("n_open") + 1)).alias("other"), F.lit(0).alias("side"), "member")
-    spread = open_.join(counted, "hub").join(big.select("hub", "n_blocks").distinct(), "hub")
+    counted = _blocks_of(open_, weights, "n_open", 1)
+    left = big.join(counted, "hub").select("hub", F.col("own").alias("block"), F.explode(F.sequence(F.lit(2), F.col("n_open") + 1)).alias("other"), F.lit(0).alias("side"), "member")
+    spread = open_.join(counted, "hub").join(large, "hub")
     right = spread.select("hub", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), (F.pmod(F.xxhash64(F.lit("open"), "member"), F.col("n_open")) + 2).cast("int").alias("other"), F.lit(1).alias("side"), "member")
     second = _met(left.unionByName(right), texts, percent, "more-links")
     return first.where("b IS NOT NULL").select("a", "b").unionByName(second.select("a", "b"))
