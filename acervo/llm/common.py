@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -55,6 +56,22 @@ def _clean() -> None:
             continue
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> SparkSession:
+    """Let Spark hand texts to Python in batches of at most ``most`` bytes.
+
+    A batch is held by the JVM and by the worker, two of which share an executor's
+    memory; the operators read texts in blocks of a few megabytes anyway.  A
+    smaller setting of the session stays.
+    """
+    size = re.fullmatch(r"(-?[0-9]+)b", spark.conf.get(BATCH, "-1b"))
+    if size and not 0 < int(size[1]) <= most:
+        spark.conf.set(BATCH, f"{most}b")
+    return spark
+
+
 def unused(columns: Iterable[str], *names: str) -> list[str]:
     """``names``, each with as many ``_`` behind it as no column of ``columns`` has (in any case)."""
     taken = {c.lower() for c in columns}

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acervo.llm.common import connected_components, cut, partitions
+from acervo.llm.common import bounded_batches, connected_components, cut, partitions
 from acervo.llm.textkit import mix
 
 PROBES, NEAR = 3, 3
@@ -256,7 +256,7 @@ def candidates(classes: DataFrame, least: float = LEAST) -> DataFrame:
 
 def near_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = LEAST) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``table``."""
-    n = partitions(table.sparkSession)
+    n = partitions(bounded_batches(table.sparkSession))
     rows, classes = vector_classes(table, vec_id, embedding, label)
     members = cut(candidates(classes, least), "members")
     size = members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks")).where("n_blocks > 1")

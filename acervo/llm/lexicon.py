@@ -40,10 +40,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acervo.llm.bpe import SUFFIX, Pretokenizer, WordEncoder, batches_of
-from acervo.llm.common import cut, strongest
+from acervo.llm.common import bounded_batches, cut, strongest
 from acervo.llm.textkit import ranges
 
 LEXICON_WORDS = 1 << 17
+BLOCK_BYTES = 4 << 20  # of text that is encoded at a time
 LONG = 96  # pieces of more bytes are merged one by one with a heap
 NONE = np.int64(1) << 40
 _SHIPPED: dict[str, set[str]] = {}
@@ -387,7 +388,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
     ``ids_sha256`` digests the decimal ids joined by one space, ``decoded_sha256``
     the decoded text.
     """
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     lexicon = ship(spark, build_lexicon(docs, tokenizer, text, words))  # bounded by ``words``
     kind = docs.schema[doc_id].dataType.simpleString()
     kinds = {"token_ids": "array<int>", "decoded": "string"}
@@ -399,13 +400,12 @@ def bpe_encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
         decimals = pa.array([str(i) for i in range(size)])
         tokens = pa.array([coder.pre.tokenizer.id_to_token(i) or "" for i in range(size)])
         for whole in batches:
-            for batch in batches_of(whole, "text", 10 << 20):
+            for batch in batches_of(whole, "text", BLOCK_BYTES):
                 coded = coder.encode(batch.column("text"))
-                ids_text, decoded = coded.joined(decimals), coded.joined(tokens)
-                columns = [batch.column("doc_id"), pa.array(np.diff(coded.token_bounds)), _digests(ids_text), _digests(decoded)]
+                columns = [batch.column("doc_id"), pa.array(np.diff(coded.token_bounds)), _digests(coded.joined(decimals)), _digests(coded.joined(tokens))]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 for c in also:
-                    columns.append(decoded.cast(pa.string()) if c == "decoded" else pa.ListArray.from_arrays(pa.array(coded.token_bounds.astype(np.int32)), pa.array(coded.flat().astype(np.int32))))
+                    columns.append(coded.joined(tokens).cast(pa.string()) if c == "decoded" else pa.ListArray.from_arrays(pa.array(coded.token_bounds.astype(np.int32)), pa.array(coded.flat().astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, [*names, *also])
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, schema)

@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acervo.llm.bpe import batches_of
-from acervo.llm.common import connected_components, cut, partitions, sized_broadcast
+from acervo.llm.common import bounded_batches, connected_components, cut, partitions, sized_broadcast
 from acervo.llm.textkit import LOWER, blocks, mix, ranges, shingles, text_buffer
 
 SHINGLE = 5
@@ -276,6 +276,7 @@ def confirmed_links(members: DataFrame, classes: DataFrame, texts: DataFrame, pe
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketch = cut(rows.mapInArrow(_sketch, "doc_id long, n_shingles long, h1 long, h2 long, sig binary"), "sketch")
     full = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acervo.llm.bpe import batches_of
+from acervo.llm.common import bounded_batches
 from acervo.llm.features import QUALITY, quality_features
 from acervo.llm.learn import cut_points, grow, held_out, labelled_sample, labelled_texts, sigmoid
 
@@ -110,6 +111,7 @@ def features_of(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", target: str = "quality", most: int = SAMPLE) -> AdditiveModel:
+    bounded_batches(docs.sparkSession)
     sample, weight = labelled_sample(labels, target, most, "doc_id")
     known = labelled_texts(docs, sample, doc_id, text)
     found = features_of(known, "text", ["doc_id", "y"]).orderBy("doc_id", "y").collect()

@@ -20,7 +20,8 @@ and earlier start) is removed; windows are judged on the input.
    hash one by one before it calls them equal.  All but the first are repeats.
 5. Repeats return as ranges of words and meet the texts by id.
 
-Buckets are many times the partitions; one bucket at a time is unpacked.
+Buckets are many times the partitions, and so many that one holds ``BUCKET_WINDOWS``
+windows on average whatever the size of the input; one bucket at a time is unpacked.
 
 Defined cases: null, empty and wordless texts have no words; rows that repeat an
 id have no order between them, so their texts, sorted and made distinct, count
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from acervo.llm.bpe import batches_of
-from acervo.llm.common import cut, partitions
+from acervo.llm.common import bounded_batches, cut, partitions
 from acervo.llm.features import Words
 from acervo.llm.textkit import mix, ngrams, ranges, span_hash
 
@@ -49,8 +50,8 @@ WINDOW = 20
 SEED = 4
 HOT = 4096
 LATE = np.uint64(1) << np.uint64(63)
-BLOCK_BYTES = 6 << 20
-BUCKETS_A_PARTITION = 8
+BLOCK_BYTES = 3 << 20
+BUCKETS_A_PARTITION, BUCKET_WINDOWS = 8, 1 << 18
 
 
 def word_hashes(w: Words) -> np.ndarray:
@@ -159,7 +160,7 @@ def _found(doc: np.ndarray, start: np.ndarray, window: int) -> tuple[list[int],
 
 def _hot_counter(window: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Minimisers of a block that hold at least a ``HOT``-th of its super-k-mers, with their number; null: all."""
+        """Minimisers of a block that hold at least a ``HOT``-th of its super-k-mers, with their number; null: all, and all windows."""
         for whole in batches:
             for batch in batches_of(whole, "text", BLOCK_BYTES):
                 w = Words(batch.column("text"))
@@ -167,18 +168,18 @@ def _hot_counter(window: int, seed: int):
                 a, _b = runs_of(at, key)
                 value, times = np.unique(key[a], return_counts=True)
                 often = times > max(1, len(a) // HOT)
-                yield pa.RecordBatch.from_arrays([pa.array([None, *value[often].view(np.int64).tolist()], pa.int64()), pa.array([len(a), *times[often].tolist()], pa.int64())], ["key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([None, *value[often].view(np.int64).tolist()], pa.int64()), pa.array([len(a), *times[often].tolist()], pa.int64()), pa.array([len(at), *[0] * int(often.sum())], pa.int64())], ["key", "n", "windows"])
 
     return run
 
 
-def frequent_seeds(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> np.ndarray:
-    """Minimisers with more than a ``HOT``-th of all super-k-mers, ascending; at most ``HOT``."""
-    counted = docs.mapInArrow(_hot_counter(window, seed), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+def frequent_seeds(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, int]:
+    """Minimisers with more than a ``HOT``-th of all super-k-mers, ascending, at most ``HOT``; and the number of windows."""
+    counted = docs.mapInArrow(_hot_counter(window, seed), "key long, n long, windows long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("windows").alias("windows"))
     counted = cut(counted, "seeds")
-    total = counted.where("key IS NULL").agg(F.sum("n")).first()[0] or 0
+    total, windows = (x or 0 for x in counted.where("key IS NULL").agg(F.sum("n"), F.sum("windows")).first())
     rows = counted.where("key IS NOT NULL").where(F.col("n") > total / HOT).collect()
-    return np.sort(np.array([r.key for r in rows], np.int64).view(np.uint64))
+    return np.sort(np.array([r.key for r in rows], np.int64).view(np.uint64)), windows
 
 
 def _send(hot: np.ndarray, buckets: int, window: int, seed: int):
@@ -290,9 +291,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         source = texts.select("ord", "text")
     else:  # null and repeated ids: number the distinct (id, text) rows in order
         texts, source = number_rows(rows)
-    n = partitions(docs.sparkSession)
-    hot = docs.sparkSession.sparkContext.broadcast(frequent_seeds(source, window, seed))
-    buckets = n * BUCKETS_A_PARTITION
+    n = partitions(bounded_batches(docs.sparkSession))
+    frequent, windows = frequent_seeds(source, window, seed)
+    hot = docs.sparkSession.sparkContext.broadcast(frequent)
+    buckets = max(n * BUCKETS_A_PARTITION, windows // BUCKET_WINDOWS)
     sent = source.mapInArrow(_send(hot.value, buckets, window, seed), "bucket long, doc long, data binary")
     judged = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_judge(window), "doc long, data binary")
     marked = judged.groupBy("doc").agg(F.collect_list("data").alias("ranges"))

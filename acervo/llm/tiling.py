@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from acervo.llm.bpe import batches_of
-from acervo.llm.common import cut, unused
+from acervo.llm.common import bounded_batches, cut, unused
 from acervo.llm.textkit import LOWER, blocks, mix, ngrams, ranges, shingles, span_hash, text_buffer, words
 
 SEED = 5
@@ -295,7 +295,7 @@ def _pass(docs: DataFrame, text: str, shared: list, least: float, column: str, k
 
 def judged(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, least: float, column: str, keep: list[str]) -> DataFrame:
     """``keep`` of ``docs`` and ``column``, a struct of item_id, coverage and items, for every row."""
-    context, queue = docs.sparkSession.sparkContext, benchmark_blocks(benchmark, item_id, item_text)
+    context, queue = bounded_batches(docs.sparkSession).sparkContext, benchmark_blocks(benchmark, item_id, item_text)
     columns = list(dict.fromkeys([*keep, text]))
     at, held, more = docs.select(*[F.col(f"`{c}`") for c in columns]), list(islice(queue, BLOCKS)), True
     while more:

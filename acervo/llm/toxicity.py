@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acervo.llm.bpe import batches_of
-from acervo.llm.common import cut, strongest
+from acervo.llm.common import bounded_batches, cut, strongest
 from acervo.llm.features import TOXICITY, Words, terms, toxicity_features
 from acervo.llm.learn import cut_points, grow, held_out, isotonic, labelled_sample, labelled_texts, sigmoid
 
@@ -109,6 +109,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 80,
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", target: str = "toxic", most: int = SAMPLE) -> ToxicityModel:
+    bounded_batches(docs.sparkSession)
     sample, weight = labelled_sample(labels, target, most, "doc_id")
     known = cut(labelled_texts(docs, sample, doc_id, text), "labelled")
     size = ([0] * PARTS, [0] * PARTS)
