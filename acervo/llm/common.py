@@ -66,7 +66,7 @@ def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> SparkSession:
     memory; the operators read texts in blocks of a few megabytes anyway.  A
     smaller setting of the session stays.
     """
-    size = re.fullmatch(r"(-?[0-9]+)b", spark.conf.get(BATCH, "-1b"))
+    size = re.fullmatch(r"(-?[0-9]+)b", spark.conf.get(BATCH, "67108864b"))
     if size and not 0 < int(size[1]) <= most:
         spark.conf.set(BATCH, f"{most}b")
     return spark
