@@ -8,6 +8,7 @@ the module is loaded.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Sequence
 
@@ -15,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACES = r"(?U)\s+"
+_LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def _fold_tables() -> tuple[str, str, list[tuple[str, str]]]:
@@ -38,6 +40,7 @@ def _fold_tables() -> tuple[str, str, list[tuple[str, str]]]:
 
 _FROM, _TO, _LONGER = _fold_tables()
 _LONG_CLASS = "[" + "".join(c for c, _ in _LONGER) + "]"
+_AROUND = f"(?<={_LONG_CLASS})|(?={_LONG_CLASS})"
 _LONG_MAP = "\x02".join(f"{c}\x01{folded}" for c, folded in _LONGER)
 
 
@@ -52,10 +55,17 @@ def clean(c: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Compatibility decomposition without combining marks, for the blocks of the table."""
-    many = F.translate(c, _FROM, _TO)
-    letters = F.transform(F.split(many, ""), lambda x: F.coalesce(F.try_element_at(F.str_to_map(F.lit(_LONG_MAP), F.lit("\x02"), F.lit("\x01")), x), x))
-    return F.when(many.rlike(_LONG_CLASS), F.array_join(letters, "")).otherwise(many)
+    """Compatibility decomposition without combining marks, for the blocks of the table.
+
+    Single letters are translated at once.  A text with characters that fold to
+    several letters is split around those alone and each is looked up.
+    """
+    return let(F.translate(c, _FROM, _TO), lambda m: F.when(m.rlike(_LONG_CLASS), F.array_join(_folded(m), "")).otherwise(m))
+
+
+def _folded(text: Column) -> Column:
+    table = F.str_to_map(F.lit(_LONG_MAP), F.lit("\x02"), F.lit("\x01"))
+    return F.transform(F.split(text, _AROUND), lambda x: F.when(F.length(x) == 1, F.coalesce(F.try_element_at(table, x), x)).otherwise(x))
 
 
 def search_key(c: Column) -> Column:
@@ -63,14 +73,19 @@ def search_key(c: Column) -> Column:
     return fold(F.upper(clean(c)))
 
 
-def compact_key(c: Column) -> Column:
+def upper_fold(c: Column) -> Column:
+    """Upper case, folded: what both keys are cut from."""
+    return fold(F.upper(c))
+
+
+def compact_key(c: Column, folded: bool = False) -> Column:
     """Only A-Z and 0-9 of the folded upper-case text; null becomes empty."""
-    return F.coalesce(F.regexp_replace(fold(F.upper(c)), "[^A-Z0-9]", ""), F.lit(""))
+    return F.coalesce(F.regexp_replace(c if folded else upper_fold(c), "[^A-Z0-9]+", ""), F.lit(""))
 
 
-def spaced_key(c: Column) -> Column:
+def spaced_key(c: Column, folded: bool = False) -> Column:
     """Folded upper-case words of A-Z and 0-9, one space between; null becomes empty."""
-    return F.coalesce(F.trim(F.regexp_replace(fold(F.upper(c)), "[^A-Z0-9]+", " ")), F.lit(""))
+    return F.coalesce(F.trim(F.regexp_replace(c if folded else upper_fold(c), "[^A-Z0-9]+", " ")), F.lit(""))
 
 
 # ---------------------------------------------------------------- numbers
@@ -120,12 +135,16 @@ def number_or_zero(c: Column) -> Column:
 
 
 def general_number(c: Column) -> Column:
-    """A double with at most six significant digits and no trailing zeros (``13``, ``2.5``)."""
-    scale = F.lit(5) - F.floor(F.log10(F.abs(c))).cast("int")
-    rounded = F.call_function("round", c.cast("decimal(38,12)"), F.lit(5))
-    plain = F.regexp_replace(F.regexp_replace(F.format_string("%.5f", rounded.cast("double")), "0+$", ""), r"\.$", "")
-    big = F.when(scale <= 0, F.format_string("%.0f", c))
-    return F.when(c == 0, F.lit("0")).otherwise(F.coalesce(big, plain))
+    """A double with six significant digits and no trailing zeros, as ``%g`` prints it (``13``, ``2.5``, ``1.23e-05``).
+
+    Rounding looks at the exact binary value.
+    """
+    digits = F.call_function("format_number", c, F.lit("0.#####E0"))
+    mantissa, power = F.split_part(digits, F.lit("E"), F.lit(1)), F.split_part(digits, F.lit("E"), F.lit(2)).try_cast("int")
+    plain = F.regexp_replace(F.regexp_replace(digits.try_cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", "")
+    far = F.concat(mantissa, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    near = F.when(power.between(-4, 5), plain).otherwise(F.when(F.abs(power) > 99, F.concat(mantissa, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.abs(power).cast("string"))).otherwise(far))
+    return F.when(c == 0, F.lit("0")).when(F.isnan(c), F.lit("nan")).when(F.abs(c) == float("inf"), F.when(c > 0, "inf").otherwise("-inf")).otherwise(near)
 
 
 # ---------------------------------------------------------------- names
@@ -150,7 +169,7 @@ def sentence_case(c: Column, acronyms: Sequence[str], share: float = 0.7) -> Col
 
 
 def fix_words(c: Column, acronyms: Sequence[str], accents: dict[str, str]) -> Column:
-    """Acronyms in capitals; known words with their accents, a leading capital kept."""
+    """The letters a-z of acronyms in capitals; known words with their accents, a leading capital kept."""
     known = F.array(*[F.lit(a) for a in sorted(acronyms)]) if acronyms else F.array().cast("array<string>")
     pairs = [F.lit(x) for kv in sorted(accents.items()) for x in kv]
     table = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>")
@@ -158,7 +177,7 @@ def fix_words(c: Column, acronyms: Sequence[str], accents: dict[str, str]) -> Co
     def word(w: Column) -> Column:
         fixed = F.try_element_at(table, F.lower(w))
         capital = F.substring(w, 1, 1).rlike(r"^\p{Lu}")
-        return F.when(F.array_contains(known, spaced_key(w)), F.upper(w)).when(fixed.isNotNull(), F.when(capital, F.concat(F.upper(F.substring(fixed, 1, 1)), F.lower(F.substring(fixed, 2, 1_000_000)))).otherwise(fixed)).otherwise(w)
+        return F.when(F.array_contains(known, spaced_key(w)), F.translate(w, _LOWER, _UPPER)).when(fixed.isNotNull(), F.when(capital, F.concat(F.upper(F.substring(fixed, 1, 1)), F.lower(F.substring(fixed, 2, 1_000_000)))).otherwise(fixed)).otherwise(w)
 
     return F.array_join(F.transform(F.split(c, " "), word), " ")
 
@@ -236,12 +255,18 @@ def short_method(c: Column) -> Column:
     return F.when(c.startswith("Revisar: conflicto"), "Revisar: conflicto").otherwise(c)
 
 
+#: Characters beside letters, digits and white space that descriptions may hold, and wrongly coded accents.
+COMMON_MARKS = ".,;:-/()\"'#%&+°º´`!?¿¡*=<>@[]_"
+GRAVE = "òàèìù"
+
+
 def uncommon_characters(c: Column) -> Column:
-    return c.rlike(r"[^A-Za-z0-9ÁÉÍÓÚÜÑáéíóúüñ .,;:/()+&%#°º\"'*\-_]")
+    """Whether a text holds a character that is no letter or digit of any alphabet, no white space and no common mark."""
+    return c.rlike(rf"[^\p{{L}}\p{{N}}\p{{IsWhite_Space}}{re.escape(COMMON_MARKS)}]")
 
 
 def grave_accents(c: Column) -> Column:
-    return c.rlike("[àèìòùÀÈÌÒÙ]")
+    return c.rlike(f"[{GRAVE}]")
 
 
 # ---------------------------------------------------------------- digests

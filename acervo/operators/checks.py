@@ -51,10 +51,14 @@ def key_repeats(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def conflicts(rows: DataFrame, key: str, attributes: Sequence[str]) -> DataFrame:
-    """Keys with more than one distinct non-null value of an attribute: ``key, attribute, n_values``."""
-    counts = rows.groupBy(key).agg(*[F.count_distinct(a).alias(a) for a in attributes])
-    long = counts.unpivot([key], list(attributes), "attribute", "n_values")
-    return long.where("n_values > 1")
+    """Keys with more than one distinct non-null value of an attribute: ``key, attribute, n_values``.
+
+    Values are made distinct by (key, attribute, value) first, as text, so a key
+    with most of the rows is combined before the shuffle.
+    """
+    long = rows.select(key, *[F.col(a).cast("string").alias(a) for a in attributes]).unpivot([key], list(attributes), "attribute", "value").where("value IS NOT NULL")
+    counted = long.distinct().groupBy(key, "attribute").agg(F.count("*").alias("n_values"))
+    return counted.where("n_values > 1")
 
 
 def quarantined(issues: str = "issues", missing_columns: bool = False) -> Column:
@@ -62,8 +66,9 @@ def quarantined(issues: str = "issues", missing_columns: bool = False) -> Column
 
 
 def report(rows: DataFrame, issues: str = "issues") -> DataFrame:
-    """Issue counts by severity, field and code."""
-    return rows.select(F.explode(issues).alias("i")).groupBy("i.severity", "i.field", "i.code").agg(F.count("*").alias("n"))
+    """Issue counts by severity, field and code, the most frequent of a severity first."""
+    counts = rows.select(F.explode(issues).alias("i")).groupBy("i.severity", "i.field", "i.code").agg(F.count("*").alias("n"))
+    return counts.orderBy("severity", F.desc("n"), "field", "code")
 
 
 def missing_columns(columns: Sequence[str], required: Sequence[str]) -> list[str]:
@@ -87,3 +92,21 @@ def best_spelling(rows: DataFrame, key: str, spelling: str, order: Sequence[str]
     counted = rows.groupBy(key, spelling).agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("_first"))
     ranked = counted.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "_first")))
     return ranked.where("_r = 1").select(key, spelling, "n")
+
+
+def file_issues(columns: Sequence[str], required: Sequence[str], rows: int) -> list[tuple[str, str, str]]:
+    """Issues of a file as a whole ``(severity, field, code)``: a required column that is not there, no rows."""
+    found = [("error", c, "missing_column") for c in missing_columns(columns, required)]
+    return found + ([("error", "file", "empty_file")] if not rows else [])
+
+
+def product_rows(rows: DataFrame, code: str, order: Sequence[str], fields: Sequence[str], ordinal: str, status: str = "status") -> DataFrame:
+    """Per code: the first filled value of each field, the ordinals of its rows in order, and whether any is quarantined."""
+    filled = first_filled(rows, code, order, fields)
+    listed = rows.groupBy(code).agg(F.array_sort(F.collect_list(ordinal)).alias("rows"), F.bool_or(F.col(status) == "quarantined").alias("quarantined"))
+    return filled.join(listed, code)
+
+
+def newest(rows: DataFrame, key: str, order: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """Kept columns of each key's last row in the full order."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(*keep), F.struct(*order)).alias("_h")).select(key, *[f"_h.{c}" for c in keep])

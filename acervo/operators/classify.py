@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acervo.functions.text import let, spaced_key
@@ -65,25 +65,69 @@ def combine(name: Column, by_name: Column, by_label: Column, generic: Sequence[s
     )
 
 
-def review(quarantine: Column, lexical: Column, labels: Column, package: Column, product_type: Column, warning: Column) -> Column:
-    """Conservative review ``struct(family, status, reason)``: approved only where both kinds of evidence agree."""
+#: Statuses and reasons of the conservative review, and the names of what waits.
+APPROVED, PENDING, QUARANTINED = "approved_by_rule", "pending", "quarantined"
+AGREE, NAME_ONLY, LABEL_ONLY, UNCLEAR = "Objeto principal y etiqueta especifica coinciden", "Descripcion sugiere familia; etiquetas ausentes o distintas", "Solo etiqueta: descripcion requiere revision", "Evidencias ambiguas o contradictorias"
+SOURCE_PENDING = "Validacion de origen pendiente"
+PACKAGE_NOTE, WARNING_NOTE, TYPE_NOTE, MASTER_NOTE = "; validar composicion del paquete", "; advertencia operacional", "; validar tipo de servicio/repuesto/cargo", "; maestro existente requiere aprobacion explicita"
+WAITING = ("Cuarentena", "Paquetes", "Advertencias operacionales", "Servicios, repuestos o cargos", "Evidencia contradictoria", "Familia propuesta por confirmar", "Sin familia suficiente")
+
+
+def review(quarantine: Column, lexical: Column, labels: Column, package: Column, product_type: Column, warning: Column, has_master: Column | None = None) -> Column:
+    """Conservative review ``struct(family, status, reason)``: approved only where both kinds of evidence name one family.
+
+    Packages, operational warnings and other types than ITEM go back to pending,
+    and so does what has a master already.
+    """
+    name, label = F.try_element_at(lexical, F.lit(1)), F.try_element_at(labels, F.lit(1))
     one_l, one_g = F.size(lexical) == 1, F.size(labels) == 1
-    agree = one_l & one_g & (F.array_sort(lexical) == F.array_sort(labels))
-    family = F.when(one_l, lexical[0]).when(one_g, labels[0])
-    reason = F.when(agree, "name and label agree").when(one_l, "name only").when(one_g, "label only").otherwise("no clear evidence")
-    demote = (F.coalesce(package, F.lit("")) == "PACKAGE") | warning | (F.coalesce(product_type, F.lit("")) != "ITEM")
-    notes = F.concat(reason, F.when(package == "PACKAGE", "; package").otherwise(""), F.when(warning, "; warning").otherwise(""), F.when(F.coalesce(product_type, F.lit("")) != "ITEM", "; type").otherwise(""))
-    open_ = F.struct(family.alias("family"), F.when(agree & ~demote, "approved_by_rule").otherwise("pending").alias("status"), notes.alias("reason"))
-    return F.when(quarantine, F.struct(F.lit(None).cast("string").alias("family"), F.lit("quarantined").alias("status"), F.lit("source validation pending").alias("reason"))).otherwise(open_)
+    agree = one_l & one_g & (name == label)
+    is_package, odd_type = F.coalesce(package == "PACKAGE", F.lit(False)), ~F.coalesce(product_type == "ITEM", F.lit(False))
+    warned = F.coalesce(warning, F.lit(False))
+    held = F.coalesce(has_master, F.lit(False)) if has_master is not None else F.lit(False)
+    clean_ = agree & ~is_package & ~warned & ~odd_type
+    reason = F.concat(
+        F.when(agree, AGREE).when(one_l, NAME_ONLY).when(one_g, LABEL_ONLY).otherwise(UNCLEAR),
+        F.when(is_package, PACKAGE_NOTE).otherwise(""), F.when(warned, WARNING_NOTE).otherwise(""), F.when(odd_type, TYPE_NOTE).otherwise(""), F.when(clean_ & held, MASTER_NOTE).otherwise(""),
+    )
+    open_ = F.struct(F.when(one_l, name).when(one_g, label).alias("family"), F.when(clean_ & ~held, APPROVED).otherwise(PENDING).alias("status"), reason.alias("reason"))
+    return F.when(F.coalesce(quarantine, F.lit(False)), F.struct(F.lit(None).cast("string").alias("family"), F.lit(QUARANTINED).alias("status"), F.lit(SOURCE_PENDING).alias("reason"))).otherwise(open_)
+
+
+def without_overridden(hits: Column, specific: str, generic: str) -> Column:
+    """Families without ``generic`` where ``specific`` was found too."""
+    return F.when(F.array_contains(hits, specific), F.array_remove(hits, generic)).otherwise(hits)
+
+
+def with_history(decisions: DataFrame, history: DataFrame, code: str, order: Sequence[str]) -> DataFrame:
+    """Pending ``decisions (code, family, status, reason)`` under their newest earlier proposal ``(code, field, value, version)``.
+
+    A proposed family is kept as the family to confirm; a proposal of a category
+    alone takes the family away.
+    """
+    newest = history.groupBy(code).agg(F.max_by(F.struct("field", "value", "version"), F.struct(*order)).alias("_h"))
+    met = decisions.join(newest, code, "left")
+    waits = (F.col("status") == PENDING) & F.col("_h").isNotNull()
+    family = waits & (F.col("_h.field") == "family") & F.col("_h.value").isNotNull()
+    category = waits & (F.col("_h.field") == "category")
+    kept = F.concat(F.lit("Propuesta previa mas reciente conservada ("), F.col("_h.version"), F.lit("); no cumple aprobacion automatica"))
+    return met.withColumns({
+        "family": F.when(family, F.col("_h.value")).when(category, F.lit(None)).otherwise(F.col("family")),
+        "reason": F.when(family, kept).when(category, "Revision previa permite solo categoria; familia pendiente").otherwise(F.col("reason")),
+    }).drop("_h")
+
+
+#: Methods of decisions that people made.
+BY_REVIEWER, BY_REJECTION, REOPENED, BY_HAND = "Revisor", "Revisar: rechazada por revisor", "Revisar: reabierta por revisor", "Alta manual"
 
 
 def decide(reviewer: Column, reviewed_family: Column, origin: Column, own_family: Column, automatic: Column) -> Column:
     """People outrank rules: an approving or rejecting reviewer, then a manual origin, then the rules."""
     out = lambda family, method: F.struct(family.alias("family"), F.lit(method).alias("method"))
     return (
-        F.when(reviewer == "approved", out(reviewed_family, "Revisor"))
-        .when(reviewer == "rejected", out(F.lit(None).cast("string"), "Revisar: rechazada por revisor"))
-        .when(origin == "manual", out(own_family, "Alta manual"))
+        F.when(reviewer == "approved", out(reviewed_family, BY_REVIEWER))
+        .when(reviewer == "rejected", out(F.lit(None).cast("string"), BY_REJECTION))
+        .when(origin == "manual", out(own_family, BY_HAND))
         .otherwise(automatic)
     )
 
@@ -92,11 +136,11 @@ def pending_group(status: Column, reason: Column, n_lexical: Column, n_labels: C
     """Why an item waits: the first rule that holds."""
     low = F.lower(reason)
     return (
-        F.when(status == "quarantined", "quarantine")
-        .when(low.contains("package"), "packages")
-        .when(low.contains("warning"), "operational warnings")
-        .when(low.contains("type"), "services, parts or charges")
-        .when((n_lexical > 1) | (n_labels > 1), "contradictory evidence")
-        .when(family.isNotNull(), "family to confirm")
-        .otherwise("no family")
+        F.when(status == QUARANTINED, WAITING[0])
+        .when(low.contains("paquete"), WAITING[1])
+        .when(low.contains("advertencia"), WAITING[2])
+        .when(low.contains("tipo de"), WAITING[3])
+        .when((n_lexical > 1) | (n_labels > 1), WAITING[4])
+        .when(family.isNotNull(), WAITING[5])
+        .otherwise(WAITING[6])
     )

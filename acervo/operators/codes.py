@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acervo.functions.text import padded_code
+from acervo.operators.numbering import dense_ids
+from acervo.session import cut, unused
 
 
 def high_water(codes: DataFrame, code: str = "code") -> DataFrame:
@@ -17,15 +19,18 @@ def high_water(codes: DataFrame, code: str = "code") -> DataFrame:
 def assign(items: DataFrame, used: DataFrame, item: str = "item", prefix: str = "prefix", existing: str = "existing_code") -> DataFrame:
     """``items`` plus ``code``: existing, else ``prefix-NNNNN`` in item order after the highest used number.
 
-    Retired codes belong to ``used`` too, so no number is ever given twice.
-    Numbers within a prefix need its rows in order; prefixes are families, and
-    only rows without a code are numbered.
+    Retired codes belong to ``used`` too, so no number is ever given twice.  Items
+    are written once; only those without a code are numbered, in ranges of
+    (prefix, item), so a family with most of them is many tasks.
     """
-    high = used.select("prefix", "highest").withColumnRenamed("prefix", "_p")
-    new = items.where(F.col(existing).isNull() & F.col(prefix).isNotNull())
-    numbered = new.join(F.broadcast(high), F.col(prefix) == F.col("_p"), "left").withColumn("_n", F.coalesce("highest", F.lit(0)) + F.row_number().over(Window.partitionBy(prefix).orderBy(item)))
-    made = numbered.select(*items.columns, padded_code(F.col(prefix), F.col("_n")).alias("code"))
-    kept = items.where(F.col(existing).isNotNull() | F.col(prefix).isNull()).withColumn("code", F.col(existing))
+    (new,) = unused(items.columns, "number")
+    planned = cut(items, "items")
+    open_ = planned.where(F.col(existing).isNull() & F.col(prefix).isNotNull())
+    numbered = dense_ids(open_, [item], new, within=[prefix]).alias("o")
+    high = used.select(F.col("prefix").alias("p"), "highest").alias("h")  # a row for each family
+    made = numbered.join(high, F.col(f"o.{prefix}") == F.col("h.p"), "left").select("o.*", F.coalesce("h.highest", F.lit(0)).alias("top"))
+    made = made.select(*items.columns, padded_code(F.col(prefix), F.col("top") + F.col(new)).alias("code"))
+    kept = planned.where(F.col(existing).isNotNull() | F.col(prefix).isNull()).withColumn("code", F.col(existing))
     return kept.unionByName(made)
 
 

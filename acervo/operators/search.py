@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from acervo.functions.text import ACTIVE
+
 MOST_TOKENS, MOST_ROWS = 8, 200
 
 
@@ -21,7 +23,7 @@ def filters() -> dict[str, Column]:
     stock = F.col("stock")
     return {
         "classified": F.col("family").isNotNull(),
-        "review": F.col("family").isNull(),
+        "review": F.col("method").startswith("Revisar") | (F.col("status") != ACTIVE),
         "duplicates": F.col("duplicate_kind").isNotNull(),
         "dup_same": F.col("duplicate_kind") == "Mismo país",
         "dup_cross": F.col("duplicate_kind") == "Otro país",
@@ -32,12 +34,24 @@ def filters() -> dict[str, Column]:
     }
 
 
-def search(catalogue: DataFrame, query_key: str = "", country: str | None = None, named: str | None = None, limit: int = 50, offset: int = 0) -> tuple[DataFrame, DataFrame]:
+#: What a search returns: the internal total is for ordering only, stock is never added across countries.
+SHOWN = "master_id code standard_code name brand model family method status duplicate_group duplicate_kind countries stock_by_country legacy_codes origin".split()
+
+
+def in_list(text: Column, value: str) -> Column:
+    """Whether comma-separated text holds a whole value."""
+    return F.concat(F.lit(", "), text, F.lit(",")).contains(f", {value},")
+
+
+def search(catalogue: DataFrame, query_key: str = "", country: str | None = None, named: str | None = None, limit: int = 50, offset: int = 0, family: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``(page, total)``: coded products first, then stock, name and id; unknown filter names are ignored."""
     rows = catalogue.where(matches(F.col("search_text"), query_key))
     if country:
         rows = rows.where(F.array_contains("countries", country))
+    if family:
+        rows = rows.where(F.col("family") == family)
     if named in filters():
         rows = rows.where(filters()[named])
     order = [F.col("standard_code").isNull(), F.desc_nulls_last("stock"), F.asc_nulls_first("name"), F.col("master_id")]
-    return rows.orderBy(*order).limit(min(limit, MOST_ROWS)).offset(offset) if not offset else rows.orderBy(*order).limit(offset + min(limit, MOST_ROWS)).offset(offset), rows.agg(F.count("*").alias("total"))
+    shown = [c for c in SHOWN if c in catalogue.columns]
+    return rows.orderBy(*order).limit(offset + min(limit, MOST_ROWS)).offset(offset).select(*shown), rows.agg(F.count("*").alias("total"))

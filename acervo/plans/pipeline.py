@@ -1,86 +1,230 @@
 """The catalogue engine: commands over versioned tables.
 
-Every command reads the current version, computes its tables with the operators
-of this package and commits them at once; a failing guard raises before
-anything is written.  Rows of a load are append-only; gold tables are replaced.
+Every command reads one version of the store, computes its tables with the
+operators of this package and commits all of them at once on that version; a
+failing guard, an error in between or another writer's commit leaves nothing
+behind.  Rows of a load are append-only; gold tables are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Mapping
+import time
+from collections.abc import Callable, Mapping, Sequence
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acervo.functions import text as T
-from acervo.operators import checks, classify, codes, duplicates, inventory, publication, search, sites
+from acervo.operators import checks, classify, codes, duplicates, inventory, labels, profile, publication, search, sites
 from acervo.operators.numbering import dense_ids
 from acervo.rulepack import RulePack
-from acervo.sources.store import Store
+from acervo.session import cut
+from acervo.sources.store import Store, Written
+
+#: Headers of the source's sheet, their columns here, and the values that enumerations and flags may have.
+HEADERS = {
+    "Product ID": "code", "Description": "description", "Type": "product_type", "ITEMCATEGORY": "category", "Package": "package", "MANUFACTURER": "brand", "MODEL": "model", "SITEID": "site", "SITENAME": "site_name",
+    "Stock": "stock", "Cost": "cost", "Replacement Cost": "replacement_cost", "CostoTotal": "total_cost", "RETAILPRICE": "retail_price", "LOWRETAILPRICE": "low_retail_price", "MSRP": "msrp",
+    "MAXIMUMQTY": "most", "MINIMUMQTY": "least", "REORDERQTY": "reorder", "CANRENT": "can_rent", "CANSELL": "can_sell", "CANSUBRENT": "can_subrent",
+    "AFFECTSAVAILABILITY": "affects_availability", "ISFREIGHT": "is_freight", "ISMISCITEM": "is_misc_item", "Bin Loaction": "bin_location", "Shelf Location": "shelf_location",
+    "Report Group": "label_a", "EXCHANGEGROUP": "label_b", "INVENTORYGROUP": "label_c", "DEPARTMENT": "label_d", "REVENUEGROUP": "label_e", "Availability Group": "label_f",
+    "ACCUMULATEDDEPRECIATIONGLCODE": "label_g", "WRITEOFFGLCODE": "label_h", "COGSGROUP": "label_i", "TAXGROUP": "label_j", "DEPRCIATIONGLCODE": "label_k", "DISCOUNTGROUP": "label_l",
+    "SUBRENTGLCODE": "label_m", "SELLGLCODE": "label_n", "Price Group": "label_o",
+}
+ENUMS = {"product_type": ("ITEM", "MISCCHARGE", "LABOR", "PARTS"), "package": ("ITEM", "PACKAGE"), "category": ("SERIAL", "NONSERIAL")}
+FLAGS = {"can_rent": {"RENTABLE": 1, "NOTRENTABLE": 0}, "can_sell": {"SELLABLE": 1, "NOTSELLABLE": 0}, "can_subrent": {"SUBRENT": 1, "NOTSUBRENT": 0}}
+PUBLISHED_FLAGS = {"affects_availability": {"TRUE": 1, "FALSE": 0}, "is_freight": {"FREIGHT": 1, "NOTFREIGHT": 0}, "is_misc_item": {"MISCITEM": 1, "NOTMISCITEM": 0}}
 
 REQUIRED = ("code", "description", "site", "site_name")
 IDENTITY = ("brand", "model")
-ATTRIBUTES = ("description", "product_type", "package", "brand", "model")
+ATTRIBUTES = ("description", "product_type", "package", "category", "brand", "model")
+NUMBERS = ("stock", "cost", "replacement_cost", "total_cost", "retail_price", "low_retail_price", "msrp", "most", "least", "reorder")
+LABELS = tuple(f"label_{c}" for c in "abcdefghijklmno")
+EVIDENCE = LABELS[:3]
 COLUMNS = ("row_number", "code", "description", "product_type", "package", "brand", "model", "site", "site_name", "stock", "label_a", "label_b")
-ENUMS = {"product_type": ("ITEM", "MISCCHARGE", "LABOR", "PARTS"), "package": ("ITEM", "PACKAGE")}
+MORE = ("category", *NUMBERS[1:], *FLAGS, *PUBLISHED_FLAGS, "bin_location", "shelf_location", *LABELS[2:])
+ROWS = (*COLUMNS, *MORE)
+MOST_ROWS = search.MOST_ROWS
+
 STANDARD = "master_id long, code string, standard_code string, name string, brand string, model string, family string, method string, status string, duplicate_key string, countries array<string>, stock_by_country map<string,double>, stock double, search_text string, legacy_codes array<string>, origin string, duplicate_group string, duplicate_kind string"
+TABLES = {
+    "loads": "load_id long, source string, key string, rows long, accepted long, missing array<string>, issues array<struct<severity: string, field: string, code: string>>, received_at string",
+    "files": "source string, sha256 string, load_id long",
+    "label_values": "source string, field string, value string, value_id long",
+    "row_labels": "load_id long, row_number long, field string, value_id long",
+    "masters": "code string, master_id long, origin string",
+    "brands": "brand_key string, brand string",
+    "brand_aliases": "source string, brand_key string, spelling string",
+    "links": "link_id long, source_code string, target_id long, retired_code string, undone boolean, actor string, reason string, at string",
+    "reviews": "master_id long, decision string, reviewed_family string, actor string, reason string",
+    "proposals": "load_id long, code string, family string, status string, reason string, lexical array<string>, labels array<string>",
+    "samples": "load_id long, family string, code string, original string",
+    "decisions": "load_id long, row_number long, decision string, actor string, reason string",
+    "publications": "source string, load_id long, snapshot_at string, date_basis string, actor string, reason string, published_at string",
+    "manual_entries": "master_id long, site string, stock double, actor string, reason string",
+    "requests": "request_id string, payload string, master_id long",
+    "runs": "run_id long, load_id long, summary string",
+    "audit": "entity string, entity_id string, action string, before string, after string, actor string, reason string, at string",
+}
 
 
 class Rejected(ValueError):
     """A command's guard did not hold; nothing was written."""
 
 
+class ExportLocked(RuntimeError):
+    """The exported mart could not be replaced; the one before is still there."""
+
+
 def digest(value) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, default=str, ensure_ascii=False).encode()).hexdigest()
 
 
+def now() -> str:
+    return datetime.now(timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")
+
+
+def people(actor: str, reason: str) -> None:
+    if not ((actor or "").strip() and (reason or "").strip()):
+        raise Rejected("actor and reason are needed")
+
+
 class Engine:
     def __init__(self, spark: SparkSession, root: str, pack: RulePack):
         self.spark, self.store, self.pack = spark, Store(spark, root), pack
 
+    def table(self, name: str) -> DataFrame:
+        return self.store.read_or_empty(name, TABLES.get(name, STANDARD))
+
+    def rows_as(self, name: str, rows: Sequence[tuple]) -> DataFrame:
+        return self.spark.createDataFrame(list(rows), TABLES.get(name, STANDARD))
+
+    def event(self, entity: str, key, action: str, before, after, actor: str, reason: str) -> DataFrame:
+        text = lambda v: None if v is None else json.dumps(v, sort_keys=True, default=str, ensure_ascii=False)
+        return self.rows_as("audit", [(entity, str(key), action, text(before), text(after), actor, reason, now())])
+
+    def migrate(self, name: str, schema: str) -> None:
+        """Bring a stored table to ``schema``: missing columns come as nulls, others are cast; its rows stay."""
+        at = self.store.version()
+        old, fields = self.store.read(name), self.spark.createDataFrame([], schema).schema.fields
+        self.store.commit({name: old.select(*[(F.col(f.name) if f.name in old.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])}, f"migrate {name}", expected=at)
+
     # ------------------------------------------------------------ loads
-    def stage(self, frame: DataFrame, source: str, key: str) -> dict:
-        """Validate and append a file's rows; the same (source, key) again changes nothing."""
+    def stage(self, frame: DataFrame, source: str, key: str, files: DataFrame | None = None) -> dict:
+        """Validate and append a file's rows, its labels and its load in one commit; the same (source, key) again changes nothing.
+
+        Columns may have the sheet's headers or the names here; ``files`` lists the
+        ``sha256`` of the files that the rows come from.
+        """
         if not source.strip():
             raise Rejected("a source is needed")
-        loads = self.store.read_or_empty("loads", "load_id long, source string, key string, rows long, accepted long, missing array<string>")
+        at = self.store.version()
+        loads = self.table("loads")
         known = loads.where((F.col("source") == source) & (F.col("key") == key)).first()
         if known:
             return {**known.asDict(), "repeated": True}
-        missing = checks.missing_columns(frame.columns, REQUIRED)
-        raw = frame
-        for c in COLUMNS:
-            if c not in raw.columns:
+        raw = frame.withColumnsRenamed({h: c for h, c in HEADERS.items() if h in frame.columns})
+        missing = checks.missing_columns(raw.columns, REQUIRED)
+        given = set(raw.columns)
+        for c in ROWS:
+            if c not in given:
                 raw = raw.withColumn(c, F.lit("") if c != "row_number" else F.monotonically_increasing_id() + 2)
         load_id = (loads.agg(F.max("load_id")).first()[0] or 0) + 1
-        staged = self.validated(raw, bool(missing)).withColumn("load_id", F.lit(load_id)).withColumn("source", F.lit(source))
-        version = self.store.commit({}, f"stage {source}", append={"rows": staged})
-        own = self.store.read("rows").where(F.col("load_id") == load_id)
-        n = own.agg(F.count("*").alias("rows"), F.count_if(F.col("status") == "accepted").alias("accepted")).first()
-        row = {"load_id": load_id, "source": source, "key": key, "rows": n.rows, "accepted": n.accepted, "missing": missing}
-        self.store.commit({}, f"load {load_id}", expected=version, append={"loads": self.spark.createDataFrame([row], loads.schema)})
-        return {**row, "repeated": False, "ready": not missing and n.rows > 0 and n.rows == n.accepted}
-
-    def validated(self, raw: DataFrame, missing: bool) -> DataFrame:
+        staged = self.store.write("rows", self.validated(raw, bool(missing), given).withColumn("load_id", F.lit(load_id)).withColumn("source", F.lit(source)))
+        n = staged.rows.agg(F.count("*").alias("rows"), F.count_if(F.col("status") == "accepted").alias("accepted")).first()
+        issues = checks.file_issues(sorted(given), REQUIRED, n.rows)
+        load = (load_id, source, key, n.rows, n.accepted, missing, [{"severity": a, "field": b, "code": c} for a, b, c in issues], now())
+        append: dict[str, DataFrame | Written] = {"rows": staged, "loads": self.rows_as("loads", [load])}
+        report = {"rows": n.rows, "accepted": n.accepted, "missing": missing}
+        append |= self.labelled(staged.rows, source, load_id) | {"audit": self.event("load", load_id, "stage", None, report, "importer", "staged, not published")}
+        if files is not None:
+            append["files"] = files.select(F.lit(source).alias("source"), "sha256", F.lit(load_id).cast("long").alias("load_id"))
+        self.store.commit({}, f"stage {source}", expected=at, append=append)
+        return {"load_id": load_id, "source": source, "key": key, **report, "repeated": False, "ready": not issues and n.rows == n.accepted}
+
+    def labelled(self, rows: DataFrame, source: str, load_id: int) -> dict[str, DataFrame]:
+        """The dictionary's new (field, value) pairs of the source, and the rows' links to it: values are stored once."""
+        long = labels.unpivot_labels(rows.select("row_number", *LABELS), ["row_number"], LABELS)
+        every = self.table("label_values")
+        known = every.where(F.col("source") == source)
+        top = every.agg(F.coalesce(F.max("value_id"), F.lit(0))).first()[0]
+        dictionary, links = labels.encode(long, known, top)
+        fresh = dictionary.join(known.select("field", "value"), ["field", "value"], "left_anti")
+        return {
+            "label_values": fresh.select(F.lit(source).alias("source"), "field", "value", "value_id"),
+            "row_labels": links.select(F.lit(load_id).cast("long").alias("load_id"), F.col("row_number").cast("long").alias("row_number"), "field", "value_id"),
+        }
+
+    def validated(self, raw: DataFrame, missing: bool, given: set[str]) -> DataFrame:
         """Cleaned rows with their issues and status; set-level checks join only the violating keys back."""
-        found = checks.issues_of(raw.columns, required=REQUIRED, identity=IDENTITY, placeholders=self.pack.placeholders, enums=ENUMS, numbers=("stock",), zero_code="code")
-        clean = {c: F.nullif(T.clean(F.col(c)), F.lit("")) for c in COLUMNS if c not in ("row_number", "stock")}
-        rows = raw.withColumn("issues", found).withColumn("amount", T.decimal_text(F.col("stock"))["value"].try_cast("double")).withColumns(clean).select(*COLUMNS, "amount", "issues")
+        present = lambda rules: {c: v for c, v in rules.items() if c in given}
+        flags = {c: tuple(v) for c, v in present(FLAGS).items()}
+        found = checks.issues_of(raw.columns, required=REQUIRED, identity=IDENTITY, placeholders=self.pack.placeholders, enums={**{c: v for c, v in ENUMS.items() if c != "category"}, **({"category": ENUMS["category"]} if "category" in given else {})}, flags=flags, numbers=[c for c in NUMBERS if c in given or c == "stock"], zero_code="code")
+        numbers = {c: T.decimal_text(F.col(c))["value"] for c in NUMBERS[1:]}
+        clean = {c: F.nullif(T.clean(F.col(c)), F.lit("")) for c in ROWS if c not in ("row_number", *NUMBERS)}
+        rows = raw.withColumn("issues", found).withColumn("amount", T.decimal_text(F.col("stock"))["value"].try_cast("double")).withColumns({**clean, **numbers}).select(*ROWS, "amount", "issues")
         twice = rows.groupBy("code", "site").count().where("count > 1").select(F.col("code").alias("_c"), F.col("site").alias("_s"), F.lit("duplicate_key").alias("_dup"))
         mixed = checks.conflicts(rows, "code", ATTRIBUTES).select(F.col("code").alias("_k"), F.lit("conflicting_identity").alias("_con")).distinct()
         names = checks.conflicts(rows, "site", ["site_name"]).select(F.col("site").alias("_t"), F.lit("conflicting_site").alias("_site")).distinct()
         joined = rows.join(twice, F.col("code").eqNullSafe(F.col("_c")) & F.col("site").eqNullSafe(F.col("_s")), "left").join(mixed, F.col("code") == F.col("_k"), "left").join(names, F.col("site") == F.col("_t"), "left")
         more = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit("error").alias("severity"), F.lit(f).alias("field"), F.col(c).alias("code"))) for c, f in (("_dup", "code + site"), ("_con", "code"), ("_site", "site_name"))]))
         issues = F.concat("issues", more)
-        return joined.withColumn("issues", issues).withColumn("status", F.when(checks.quarantined(missing_columns=missing), "quarantined").otherwise("accepted")).select(*COLUMNS, "amount", "issues", "status")
+        return joined.withColumn("issues", issues).withColumn("status", F.when(checks.quarantined(missing_columns=missing), "quarantined").otherwise("accepted")).select(*ROWS, "amount", "issues", "status")
+
+    def rows_of(self, load_id: int) -> DataFrame:
+        return self.store.read("rows").where(F.col("load_id") == load_id)
 
     def report(self, load_id: int) -> DataFrame:
-        return checks.report(self.store.read("rows").where(F.col("load_id") == load_id))
+        return checks.report(self.rows_of(load_id))
+
+    def load(self, load_id: int):
+        found = self.table("loads").where(F.col("load_id") == load_id).first()
+        if found is None:
+            raise Rejected("no such load")
+        return found
+
+    # ------------------------------------------------------------ conservative masters
+    def build(self, load_id: int) -> dict:
+        """A master for each code that is not quarantined, and a conservative review of each code; again, it changes nothing."""
+        at = self.store.version()
+        rows = self.rows_of(load_id).where("code IS NOT NULL")
+        masters, done = self.table("masters"), self.table("proposals")
+        products = cut(checks.product_rows(rows, "code", ["row_number"], ["description", "product_type", "package", *EVIDENCE], "row_number"), "products")
+        base = T.normal_name(F.col("description"), self.pack)
+        known = masters.select("code", F.lit(True).alias("has_master"))
+        seen = products.join(known, "code", "left").withColumns({"lexical": classify.families_of_name(base, self.pack), "found": classify.families_of_labels([F.col(c) for c in EVIDENCE], self.pack.label_aliases)})
+        warning = F.col("description").rlike("(?iU)" + self.pack.flag_pattern)
+        r = classify.review(F.col("quarantined"), F.col("lexical"), F.col("found"), F.col("package"), F.col("product_type"), warning, F.col("has_master"))
+        fresh = seen.withColumn("r", r).select(F.lit(load_id).cast("long").alias("load_id"), "code", "r.family", "r.status", "r.reason", "lexical", F.col("found").alias("labels"))
+        fresh = self.store.write("proposals", fresh.join(done.where(F.col("load_id") == load_id).select("code"), "code", "left_anti").select(*done.columns))
+        made = self.store.write("masters", self.with_masters(products.where("NOT quarantined").select("code"), masters))
+        n = (made.rows.count(), fresh.rows.count())
+        states = {r.status: r["count"] for r in done.where(F.col("load_id") == load_id).unionByName(fresh.rows).groupBy("status").count().collect()}
+        if any(n):
+            self.store.commit({}, f"build {load_id}", expected=at, append={"proposals": fresh, "masters": made})
+        return {"load_id": load_id, "codes": sum(states.values()), "status": states, "new_masters": n[0], "new_reviews": n[1]}
+
+    def with_masters(self, wanted: DataFrame, masters: DataFrame, origin: str = "import") -> DataFrame:
+        """Master rows for codes that have none, numbered on in order of the code."""
+        top = masters.agg(F.coalesce(F.max("master_id"), F.lit(0))).first()[0]
+        new = wanted.distinct().join(masters.select("code"), "code", "left_anti")
+        return dense_ids(new, ["code"], "master_id", top).withColumn("origin", F.lit(origin)).select("code", "master_id", "origin")
+
+    def freeze_sample(self, load_id: int) -> int:
+        """The quality sample of a load, drawn once: up to five codes of each family that rules approved."""
+        at = self.store.version()
+        old = self.table("samples").where(F.col("load_id") == load_id)
+        if old.isEmpty():
+            rows = self.table("proposals").where((F.col("load_id") == load_id) & (F.col("status") == classify.APPROVED))
+            drawn = profile.stratified_sample(rows, "family", "code").select("load_id", "family", "code", F.to_json(F.struct(*[F.col(c) for c in sorted(rows.columns)])).alias("original"))
+            self.store.commit({}, f"sample {load_id}", expected=at, append={"samples": drawn})
+        return self.table("samples").where(F.col("load_id") == load_id).count()
 
     # ------------------------------------------------------------ masters and standards
-    def site_table(self, rows: DataFrame) -> DataFrame:
+    def site_table(self, rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
         prefix = T.code_country(F.col("code"), self.pack.countries)
         proof = sites.prefix_evidence(rows.select("site", prefix.alias("prefix")), "site", "prefix")
         named = sites.site_names(rows, "site", "site_name", ["row_number"])
@@ -88,21 +232,39 @@ class Engine:
         fresh = named.join(proof.drop("n_rows"), "site", "left").select(
             "site", F.col("first_name").alias("site_name"), sites.country(text, self.pack.country_rules, F.col("prefixed_share"), F.col("top_prefix"), F.col("dominance")).alias("c"), sites.kind(text, self.pack.site_type_rules, self.pack.default_site_type).alias("site_type")
         ).select("site", "site_name", "c.country", F.col("c.source").alias("country_source"), "site_type")
-        if not self.store.has("sites"):
+        if known is None and not self.store.has("sites"):
             return fresh
-        old = self.store.read("sites")
+        old = self.store.read("sites") if known is None else known
         manual = old.where("country_source = 'manual'")
         return fresh.join(manual.select("site"), "site", "left_anti").unionByName(manual).unionByName(old.where("country_source <> 'manual'").join(fresh.select("site"), "site", "left_anti"))
 
-    def standardise(self, load_id: int) -> dict:
+    def standardise(self, load_id: int, actor: str = "rules") -> dict:
         """Masters, brands, families, codes, stock and duplicate groups of a load; applying twice changes nothing."""
-        rows = self.store.read("rows").where((F.col("load_id") == load_id) & F.col("code").isNotNull())
-        site_rows = self.site_table(rows.where("site IS NOT NULL"))
-        masters = self.store.read_or_empty("masters", "code string, master_id long, origin string")
-        top = masters.agg(F.coalesce(F.max("master_id"), F.lit(0))).first()[0]
-        good = rows.where("status = 'accepted'").select("code").distinct().join(masters.select("code"), "code", "left_anti")
-        masters = masters.unionByName(dense_ids(good, ["code"], "master_id", top).withColumn("origin", F.lit("import")).select("code", "master_id", "origin"))
-        links = self.store.read_or_empty("links", "link_id long, source_code string, target_id long, retired_code string, undone boolean")
+        return self.applied(load_id, f"standardise {load_id}", actor)
+
+    def applied(self, load_id: int, action: str, actor: str, append: Mapping[str, DataFrame] | None = None, **instead: DataFrame) -> dict:
+        """Standardise a load with some tables taken from ``instead``; all of them and ``append`` in one commit."""
+        at = self.store.version()
+        tables, before = self.standard_tables(load_id, instead), self.table("standards")
+        stored = {name: self.store.write(name, df) for name, df in {**instead, **tables}.items()}
+        known = before.where("standard_code IS NOT NULL").select("standard_code")
+        new_codes = stored["standards"].rows.where("standard_code IS NOT NULL").join(known, "standard_code", "left_anti").count()
+        summary = self.summarised(load_id, stored["standards"].rows, stored["sites"].rows, new_codes)
+        run = (self.table("runs").agg(F.coalesce(F.max("run_id"), F.lit(0))).first()[0] + 1, load_id, json.dumps(summary, sort_keys=True, ensure_ascii=False))
+        more = {"runs": self.rows_as("runs", [run]), "audit": self.event("load", load_id, action, None, {"products": summary["products"]}, actor, action)}
+        if append:
+            more["audit"] = more["audit"].unionByName(append["audit"]) if "audit" in append else more["audit"]
+            more |= {name: df for name, df in append.items() if name != "audit"}
+        self.store.commit(stored, action, expected=at, append=more)
+        return summary
+
+    def standard_tables(self, load_id: int, instead: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+        get = lambda name: instead.get(name, self.table(name))
+        rows = self.rows_of(load_id).where("code IS NOT NULL")
+        site_rows = self.site_table(rows.where("site IS NOT NULL"), instead.get("sites"))
+        masters = get("masters")
+        masters = cut(masters.unionByName(self.with_masters(rows.where("status = 'accepted'").select("code"), masters)), "masters")
+        links = get("links")
         live = links.where("NOT undone").select(F.col("source_code").alias("code"), F.col("target_id"))
         mapped = masters.join(live, "code", "left").withColumn("master_id", F.coalesce("target_id", "master_id")).withColumn("linked", F.col("target_id").isNotNull()).drop("target_id")
         mine = rows.join(mapped, "code")
@@ -110,16 +272,16 @@ class Engine:
 
         spelled = rows.select("row_number", "brand", T.brand_key(F.col("brand"), self.pack.placeholders, self.pack.brand_aliases).alias("brand_key")).where("brand_key IS NOT NULL")
         best = checks.best_spelling(spelled, "brand_key", "brand", ["row_number"]).select(F.col("brand_key").alias("_bk"), F.upper("brand").alias("_best"))
-        kept = self.store.read_or_empty("brands", "brand_key string, brand string")
+        kept = get("brands")
+        spellings = spelled.select(F.lit(self.load(load_id).source).alias("source"), "brand_key", F.col("brand").alias("spelling")).unionByName(get("brand_aliases")).distinct()
         brands = codes.carry_over(kept, best.select(F.col("_bk").alias("brand_key"), F.col("_best").alias("brand")), "brand_key", ["brand"], [])
         base = first.withColumn("brand_key", T.brand_key(F.col("brand"), self.pack.placeholders, self.pack.brand_aliases)).drop("brand").join(brands, "brand_key", "left")
         base = base.withColumn("base", T.normal_name(F.col("description"), self.pack)).withColumn("model", T.standard_model(F.col("model"), self.pack.placeholders))
         base = base.withColumn("status", T.operational_status(F.col("description"), F.col("base"), self.pack.flag_pattern)).withColumn("name", T.standard_name(F.col("base"), F.col("brand"), F.col("model")))
         base = base.withColumn("by_name", classify.families_of_name(F.col("base"), self.pack)).withColumn("by_label", classify.families_of_labels([F.col("label_a"), F.col("label_b")], self.pack.label_aliases))
         automatic = classify.combine(F.col("base"), F.col("by_name"), F.col("by_label"), self.pack.generic_families, F.col("product_type"), F.col("package"), self.pack.bundle_family, self.pack.staff_family)
-        base = base.withColumn("automatic", automatic).persist()  # used by codes, stock and groups: computed and planned once
-        computed = base
-        reviews = self.store.read_or_empty("reviews", "master_id long, decision string, reviewed_family string, actor string, reason string")
+        base = cut(base.withColumn("automatic", automatic), "base")  # used by codes, stock and groups: computed and planned once
+        reviews = get("reviews")
         base = base.join(reviews.select("master_id", "decision", "reviewed_family"), "master_id", "left")
         base = base.withColumn("d", classify.decide(F.col("decision"), F.col("reviewed_family"), F.col("origin"), F.lit(None).cast("string"), F.col("automatic"))).withColumns({"family": F.col("d.family"), "method": F.col("d.method")})
 
@@ -127,96 +289,166 @@ class Engine:
         stock = inventory.stock_map(obs, self.pack.available_types, "master_id").withColumn("stock", F.aggregate(F.map_values("stock_by_country"), F.lit(0.0), lambda a, x: a + x)).drop("stock_text")
         seen = inventory.presence(obs, "master_id")
         legacy = mine.select("master_id", "linked", "code").distinct().groupBy("master_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("linked", "code"))), lambda x: x["code"]).alias("legacy_codes"))
-        old = self.store.read_or_empty("standards", STANDARD)
+        old = get("standards")
         table = F.create_map(*[F.lit(x) for f in self.pack.taxonomy for x in (f, self.pack.code_prefix(f))])
         item = base.join(old.select("master_id", F.col("standard_code").alias("existing_code")), "master_id", "left")
-        item = item.withColumn("prefix", F.when(F.col("status") == T.ACTIVE, F.try_element_at(table, F.col("family")))).persist()
+        item = item.withColumn("prefix", F.when(F.col("status") == T.ACTIVE, F.try_element_at(table, F.col("family"))))
+        item = cut(item, "items")
         used = codes.high_water(old.select(F.col("standard_code").alias("code")).unionByName(links.select(F.col("retired_code").alias("code"))).where("code IS NOT NULL"))
         numbered = codes.assign(item.select(F.col("code").alias("item"), "prefix", "existing_code"), used).select(F.col("item").alias("code"), F.col("code").alias("standard_code"))
         wide = item.join(numbered, "code").join(stock, "master_id", "left").join(seen, "master_id", "left").join(legacy, "master_id", "left")
         key = F.when(F.col("base").isNotNull() & (F.col("status") == T.ACTIVE), F.concat_ws("|", T.compact_key(F.col("base")), F.coalesce("brand_key", F.lit("")), T.compact_key(F.col("model"))))
         words = T.spaced_key(F.concat_ws(" ", "name", "brand", "model", "standard_code", F.array_join("legacy_codes", " "), "description"))
-        fresh = wide.select("master_id", "code", "standard_code", "name", "brand", "model", "family", "method", "status", key.alias("duplicate_key"), F.coalesce("countries", F.array().cast("array<string>")).alias("countries"), F.coalesce("stock_by_country", F.create_map().cast("map<string,double>")).alias("stock_by_country"), F.coalesce("stock", F.lit(0.0)).alias("stock"), words.alias("search_text"), "legacy_codes", "origin").persist()
+        fresh = wide.select("master_id", "code", "standard_code", "name", "brand", "model", "family", "method", "status", key.alias("duplicate_key"), F.coalesce("countries", F.array().cast("array<string>")).alias("countries"), F.coalesce("stock_by_country", F.create_map().cast("map<string,double>")).alias("stock_by_country"), F.coalesce("stock", F.lit(0.0)).alias("stock"), words.alias("search_text"), "legacy_codes", "origin")
+        fresh = cut(fresh, "fresh")
         gone = links.where("NOT undone").join(masters.select(F.col("code").alias("source_code"), "master_id"), "source_code").select("master_id")
         rest = old.drop("duplicate_group", "duplicate_kind").join(fresh.select("master_id"), "master_id", "left_anti").join(gone, "master_id", "left_anti")
-        everything = self.grouped(rest.unionByName(fresh))
-        self.store.commit({"sites": site_rows, "masters": masters, "brands": brands, "standards": everything}, f"standardise {load_id}")
-        for kept_frame in (fresh, item, computed):
-            kept_frame.unpersist()
-        return self.summary()
+        return {"sites": site_rows, "masters": masters, "brands": brands, "brand_aliases": spellings, "standards": self.grouped(rest.unionByName(fresh))}
 
     def grouped(self, rows: DataFrame) -> DataFrame:
         kinds = duplicates.kinds(rows, "duplicate_key").select(F.col("duplicate_key").alias("_k"), F.col("kind").alias("duplicate_kind"))
         return rows.join(kinds, F.col("duplicate_key") == F.col("_k"), "left").withColumn("duplicate_group", F.when(F.col("duplicate_kind").isNotNull(), T.group_id(F.col("duplicate_key")))).select(*[c.split()[0] for c in STANDARD.split(", ")])
 
-    def summary(self) -> dict:
-        s = self.store.read("standards")
-        one = s.agg(F.count("*").alias("products"), F.count_if(F.col("family").isNotNull()).alias("classified"), F.count("standard_code").alias("with_code"), F.count_distinct("duplicate_group").alias("groups")).first().asDict()
-        one["percent"] = round(100 * one["classified"] / one["products"], 1) if one["products"] else 0.0
-        one["methods"] = {r.method: r["count"] for r in s.groupBy(T.short_method(F.col("method")).alias("method")).count().collect()}
+    def summarised(self, load_id: int, standards: DataFrame, site_rows: DataFrame, new_codes: int) -> dict:
+        """The figures of a run: products, codes, methods, duplicates, brands and sites."""
+        same, cross = (F.col("duplicate_kind") == k for k in ("Mismo país", "Otro país"))
+        one = standards.agg(
+            F.count("*").alias("products"), F.count("family").alias("classified"), F.count("standard_code").alias("with_code"), F.count_distinct("duplicate_group").alias("groups"),
+            F.count_distinct(F.when(same, F.col("duplicate_group"))).alias("groups_same_country"), F.count_distinct(F.when(cross, F.col("duplicate_group"))).alias("groups_other_country"),
+            F.count("duplicate_group").alias("duplicate_products"), F.count_distinct("brand").alias("brands"),
+        ).first().asDict()
+        counts = lambda df, c: {r[0]: r[1] for r in df.groupBy(c).count().collect()}
+        one |= {"load_id": load_id, "new_codes": new_codes, "percent": round(100 * one["classified"] / one["products"], 1) if one["products"] else 0.0}
+        one |= {"methods": counts(standards, T.short_method(F.col("method"))), "statuses": counts(standards, "status"), "raw_brands": self.rows_of(load_id).agg(F.count_distinct("brand")).first()[0]}
+        one |= {"sites_by_country": counts(site_rows, F.coalesce("country", F.lit(inventory.NO_COUNTRY))), "sites_by_type": counts(site_rows, "site_type")}
         return one
 
+    def latest_summary(self) -> dict | None:
+        row = self.table("runs").orderBy(F.desc("run_id")).first()
+        return json.loads(row.summary) if row else None
+
+    def run(self, frame: DataFrame, source: str, key: str, actor: str, reason: str, export_to: str | None = None) -> dict:
+        """A file all the way: staged, masters built, sample frozen, standardised and exported; never published."""
+        people(actor, reason)
+        staged = self.stage(frame, source, key)
+        self.build(staged["load_id"])
+        self.freeze_sample(staged["load_id"])
+        summary = self.standardise(staged["load_id"], actor)
+        return {"import": staged, "standardization": summary, "export": self.refresh_export(export_to) if export_to else None}
+
+    def start(self, export_to: str | None = None) -> dict | None:
+        """Standardise the newest load if that was never done, and export if asked to; what a server does first."""
+        newest = self.table("loads").agg(F.max("load_id")).first()[0]
+        if newest and self.latest_summary() is None:
+            self.standardise(newest, "start")
+        if newest and export_to:
+            self.refresh_export(export_to)
+        return self.latest_summary()
+
     # ------------------------------------------------------------ people
     def review(self, master_id: int, decision: str, family: str | None, revision: str, actor: str, reason: str) -> None:
-        if not (actor.strip() and reason.strip()):
-            raise Rejected("actor and reason are needed")
+        """Record a decision and show it in the product at once: family, method and, where it is the first family, a code."""
+        people(actor, reason)
+        at = self.store.version()
         if decision not in ("approved", "rejected", "pending"):
             raise Rejected("unknown decision")
         if decision == "approved" and family not in self.pack.taxonomy:
             raise Rejected("an approval needs a known family")
         if revision != self.revision(master_id):
             raise Rejected("the product has changed since it was read")
-        old = self.store.read_or_empty("reviews", "master_id long, decision string, reviewed_family string, actor string, reason string")
-        new = self.spark.createDataFrame([(master_id, decision, family, actor, reason)], old.schema)
-        self.store.commit({"reviews": old.where(F.col("master_id") != master_id).unionByName(new)}, f"review {master_id} by {actor}")
+        old, standards = self.table("reviews"), self.table("standards")
+        before = standards.where(F.col("master_id") == master_id).first().asDict()
+        after = dict(before, family=family if decision == "approved" else None if decision == "rejected" else before["family"])
+        after["method"] = {"approved": classify.BY_REVIEWER, "rejected": classify.BY_REJECTION, "pending": classify.REOPENED}[decision]
+        if after["family"] and after["status"] == T.ACTIVE and not after["standard_code"]:
+            after["standard_code"] = self.next_code(after["family"])
+            after["search_text"] = " ".join([after["search_text"] or "", *after["standard_code"].split("-")])
+        other = F.col("master_id") != master_id
+        row = tuple(after[c.split()[0]] for c in STANDARD.split(", "))
+        self.store.commit(
+            {"reviews": old.where(other).unionByName(self.rows_as("reviews", [(master_id, decision, family, actor, reason)])), "standards": standards.where(other).unionByName(self.rows_as("standards", [row]))},
+            f"review {master_id} by {actor}", expected=at, append={"audit": self.event("master_product", master_id, decision, before, {"family": after["family"], "method": after["method"]}, actor, reason)},
+        )
+
+    def next_code(self, family: str) -> str:
+        live = self.table("standards").select(F.col("standard_code").alias("code")).unionByName(self.table("links").select(F.col("retired_code").alias("code")))
+        prefix = self.pack.code_prefix(family)
+        top = codes.high_water(live.where("code IS NOT NULL")).where(F.col("prefix") == prefix).first()
+        return f"{prefix}-{(top.highest if top else 0) + 1:05d}"
 
     def revision(self, master_id: int) -> str:
-        row = self.store.read("standards").where(F.col("master_id") == master_id).first()
+        row = self.table("standards").where(F.col("master_id") == master_id).first()
         if row is None:
             raise Rejected("no such product")
-        decided = self.store.read_or_empty("reviews", "master_id long, decision string, reviewed_family string, actor string, reason string").where(F.col("master_id") == master_id).first()
+        decided = self.table("reviews").where(F.col("master_id") == master_id).first()
         return digest([row.asDict(), decided.asDict() if decided else None])
 
-    def set_site(self, site: str, country: str | None, kind: str | None, actor: str) -> None:
-        if not actor.strip():
-            raise Rejected("an actor is needed")
+    def exclude(self, load_id: int, row_number: int, decision: str, actor: str, reason: str) -> None:
+        """Leave a quarantined row of a technical code out of the load's publication, or take that back."""
+        people(actor, reason)
+        at = self.store.version()
+        if decision not in ("pending", "exclude"):
+            raise Rejected("unknown decision")
+        row = self.technical(load_id).where(F.col("row_number") == row_number).first()
+        if row is None or not row.eligible:
+            raise Rejected("only quarantined rows of the technical codes can be left out; mend other rows at their source")
+        if not self.table("publications").where(F.col("load_id") == load_id).isEmpty():
+            raise Rejected("the load is published: its scope needs a new load")
+        old = self.table("decisions").where(~((F.col("load_id") == load_id) & (F.col("row_number") == row_number)))
+        new = self.rows_as("decisions", [(load_id, row_number, decision, actor, reason)])
+        self.store.commit({"decisions": old.unionByName(new)}, f"{decision} {load_id}:{row_number} by {actor}", expected=at, append={"audit": self.event("technical_record", f"{load_id}:{row_number}", decision, {"decision": row.decision}, {"decision": decision}, actor, reason)})
+
+    def technical(self, load_id: int) -> DataFrame:
+        return publication.technical_rows(self.rows_of(load_id), self.table("decisions"), ["load_id", "row_number"])
+
+    def set_site(self, site: str, country: str | None, kind: str | None, actor: str, reason: str = "confirmed", load_id: int | None = None) -> None:
+        """Set a site by hand; with ``load_id`` the stock of that load follows in the same commit."""
+        people(actor, reason)
+        at = self.store.version()
         table = self.store.read("sites")
-        if table.where(F.col("site") == site).isEmpty():
+        before = table.where(F.col("site") == site).first()
+        if before is None:
             raise Rejected("no such site")
         if country is not None and country not in self.pack.countries or kind is not None and kind not in self.pack.site_types:
             raise Rejected("unknown country or kind of site")
         me = F.col("site") == site
-        self.store.commit({"sites": table.withColumns({"country": F.when(me, F.lit(country)).otherwise(F.col("country")), "country_source": F.when(me, "manual").otherwise(F.col("country_source")), "site_type": F.when(me & F.lit(kind is not None), F.lit(kind)).otherwise(F.col("site_type"))})}, f"site {site} by {actor}")
-
-    def link(self, source_id: int, target_id: int, load_id: int) -> int:
-        """Put the source's code under the target; its standard code is retired, never reused."""
+        changed = table.withColumns({"country": F.when(me, F.lit(country)).otherwise(F.col("country")), "country_source": F.when(me, "manual").otherwise(F.col("country_source")), "site_type": F.when(me & F.lit(kind is not None), F.lit(kind)).otherwise(F.col("site_type"))})
+        event = self.event("site", site, "set_site", before.asDict(), {"country": country, "site_type": kind}, actor, reason)
+        if load_id is None:
+            self.store.commit({"sites": changed}, f"site {site} by {actor}", expected=at, append={"audit": event})
+        else:
+            self.applied(load_id, f"site {site} by {actor}", actor, {"audit": event}, sites=changed)
+
+    def link(self, source_id: int, target_id: int, load_id: int, actor: str = "people", reason: str = "equivalent") -> int:
+        """Put the source's code under the target; its standard code is retired, never reused.  One commit."""
+        people(actor, reason)
         if source_id == target_id:
             raise Rejected("a product cannot be linked to itself")
-        found = {r.master_id: r for r in self.store.read("standards").where(F.col("master_id").isin(source_id, target_id)).collect()}
+        found = {r.master_id: r for r in self.table("standards").where(F.col("master_id").isin(source_id, target_id)).collect()}
         if len(found) != 2:
             raise Rejected("both products must exist")
         if found[source_id].origin == "manual":
             raise Rejected("a manual product cannot be the source")
-        links = self.store.read_or_empty("links", "link_id long, source_code string, target_id long, retired_code string, undone boolean")
+        links = self.table("links")
         link_id = (links.agg(F.max("link_id")).first()[0] or 0) + 1
-        new = self.spark.createDataFrame([(link_id, found[source_id].code, target_id, found[source_id].standard_code, False)], links.schema)
-        self.store.commit({"links": links.unionByName(new)}, f"link {source_id} to {target_id}")
-        self.standardise(load_id)
+        new = self.rows_as("links", [(link_id, found[source_id].code, target_id, found[source_id].standard_code, False, actor, reason, now())])
+        event = self.event("master_product", target_id, "link", None, {"source": found[source_id].code, "retired": found[source_id].standard_code}, actor, reason)
+        self.applied(load_id, f"link {source_id} to {target_id}", actor, {"audit": event}, links=cut(links.unionByName(new), "links"))
         return link_id
 
-    def unlink(self, link_id: int, load_id: int) -> None:
-        links = self.store.read("links") if self.store.has("links") else None
-        row = links.where((F.col("link_id") == link_id) & ~F.col("undone")).first() if links is not None else None
+    def unlink(self, link_id: int, load_id: int, actor: str = "people", reason: str = "not equivalent") -> None:
+        """Undo a link: the source is a product of its own again, under the code it had.  One commit."""
+        people(actor, reason)
+        links = self.table("links")
+        row = links.where((F.col("link_id") == link_id) & ~F.col("undone")).first()
         if row is None:
             raise Rejected("no such open link")
-        old = self.store.read("standards")
-        master = self.store.read("masters").where(F.col("code") == row.source_code).first().master_id
-        back = self.spark.createDataFrame([(master, row.source_code, row.retired_code)], "master_id long, code string, standard_code string")
-        for c in [c for c in STANDARD.split(", ") if c.split()[0] not in back.columns]:
-            name, kind = c.split(" ", 1)
-            back = back.withColumn(name, F.lit("Revisar: vínculo deshecho" if name == "method" else "import" if name == "origin" else None).cast(kind))
-        self.store.commit({"links": links.withColumn("undone", F.col("undone") | (F.col("link_id") == link_id)), "standards": old.unionByName(back.withColumn("countries", F.array().cast("array<string>")))}, f"unlink {link_id}")
-        self.standardise(load_id)
+        old = self.table("standards")
+        master = self.table("masters").where(F.col("code") == row.source_code).first().master_id
+        back = {"master_id": master, "code": row.source_code, "standard_code": row.retired_code, "method": UNDONE, "origin": "import", "countries": []}
+        fresh = self.rows_as("standards", [tuple(back.get(c.split()[0]) for c in STANDARD.split(", "))])
+        event = self.event("master_product", row.target_id, "unlink", {"link": link_id}, {"source": row.source_code}, actor, reason)
+        self.applied(load_id, f"unlink {link_id}", actor, {"audit": event}, links=cut(links.withColumn("undone", F.col("undone") | (F.col("link_id") == link_id)), "links"), standards=cut(old.unionByName(fresh), "standards"))
 
     def propose(self, description: str, brand: str | None = None, model: str | None = None) -> dict:
         """What creating a product would give; nothing is written."""
@@ -227,107 +459,249 @@ class Engine:
         row = one.select(base.alias("base"), key.alias("brand_key"), F.upper(T.clean(F.col("brand"))).alias("upper"), model_.alias("model")).first()
         if row.base is None:
             raise Rejected("no usable name")
-        known = self.store.read_or_empty("brands", "brand_key string, brand string").where(F.col("brand_key") == row.brand_key).first() if row.brand_key else None
+        known = self.table("brands").where(F.col("brand_key") == row.brand_key).first() if row.brand_key else None
         brand_name = known.brand if known else row.upper if row.brand_key else None
         made = self.spark.createDataFrame([(row.base, brand_name, row.model, row.brand_key)], "base string, brand string, model string, brand_key string")
         made = made.withColumn("by_name", classify.families_of_name(F.col("base"), self.pack))
         decision = classify.combine(F.col("base"), F.col("by_name"), F.array().cast("array<string>"), self.pack.generic_families, F.lit("ITEM"), F.lit("ITEM"), self.pack.bundle_family, self.pack.staff_family)
         dup = F.concat_ws("|", T.compact_key(F.col("base")), F.coalesce("brand_key", F.lit("")), T.compact_key(F.col("model")))
         out = made.select(T.standard_name(F.col("base"), F.col("brand"), F.col("model")).alias("name"), "brand", "model", decision.alias("d"), dup.alias("duplicate_key"), T.spaced_key(F.col("base")).alias("words")).select("*", "d.family", "d.method").drop("d").first().asDict()
-        standards = self.store.read_or_empty("standards", STANDARD)
+        standards = self.table("standards")
         exact = standards.where(F.col("duplicate_key") == out["duplicate_key"])
         alike, _ = search.search(standards, " ".join(out["words"].split()[:3]), limit=8)
         out["exact"] = [r.master_id for r in exact.select("master_id").collect()]
         out["similar"] = [r.master_id for r in alike.join(exact.select("master_id"), "master_id", "left_anti").select("master_id").collect()]
         return out
 
-    def create(self, request_id: str, description: str, brand: str | None = None, model: str | None = None, confirm_duplicate: bool = False) -> int:
-        """Add a manual product; the same request again gives the same product, another payload is refused."""
+    def create(self, request_id: str, description: str, brand: str | None = None, model: str | None = None, confirm_duplicate: bool = False, product_type: str = "ITEM", site: str | None = None, stock: str | None = None, actor: str = "people", reason: str = "new product") -> int:
+        """Add a manual product, with an observed stock at a site if given; the same request again gives the same product, another payload is refused."""
+        people(actor, reason)
         if not request_id.strip():
             raise Rejected("a request id is needed")
-        payload = digest([description, brand, model])
-        requests = self.store.read_or_empty("requests", "request_id string, payload string, master_id long")
-        seen = requests.where(F.col("request_id") == request_id).first()
+        at = self.store.version()
+        payload = digest([description, brand, model, product_type, site, stock])
+        seen = self.table("requests").where(F.col("request_id") == request_id).first()
         if seen:
             if seen.payload != payload:
                 raise Rejected("this request id was used for another product")
             return seen.master_id
+        amount = self.spark.createDataFrame([(stock or "",)], "s string").select(T.decimal_text(F.col("s")).alias("d")).select("d.*").first()
+        if amount.error:
+            raise Rejected(amount.error)
+        if amount.value is not None and site is None:
+            raise Rejected("a stock needs a site")
+        if site is not None and (not self.store.has("sites") or self.store.read("sites").where(F.col("site") == site).isEmpty()):
+            raise Rejected("no such site")
         plan = self.propose(description, brand, model)
         if plan["exact"] and not confirm_duplicate:
             raise Rejected("an equal product exists")
-        masters = self.store.read_or_empty("masters", "code string, master_id long, origin string")
+        masters, standards = self.table("masters"), self.table("standards")
         master_id = (masters.agg(F.max("master_id")).first()[0] or 0) + 1
-        standards = self.store.read_or_empty("standards", STANDARD)
-        links = self.store.read_or_empty("links", "link_id long, source_code string, target_id long, retired_code string, undone boolean")
-        code = None
-        if plan["family"]:
-            used = codes.high_water(standards.select(F.col("standard_code").alias("code")).unionByName(links.select(F.col("retired_code").alias("code"))).where("code IS NOT NULL"))
-            prefix = self.pack.code_prefix(plan["family"])
-            top = used.where(F.col("prefix") == prefix).first()
-            code = f"{prefix}-{(top.highest if top else 0) + 1:05d}"
+        code = self.next_code(plan["family"]) if plan["family"] else None
         name = f"manual-{master_id}"
-        row = (master_id, name, code, plan["name"], plan["brand"], plan["model"], plan["family"], "Alta manual", T.ACTIVE, plan["duplicate_key"], [], {}, 0.0, None, [], "manual", None, None)
-        new = self.spark.createDataFrame([row], STANDARD).withColumn("search_text", T.spaced_key(F.concat_ws(" ", "name", "brand", "model", "standard_code")))
-        self.store.commit({"masters": masters.unionByName(self.spark.createDataFrame([(name, master_id, "manual")], masters.schema)), "standards": self.grouped(standards.unionByName(new).drop("duplicate_group", "duplicate_kind")), "requests": requests.unionByName(self.spark.createDataFrame([(request_id, payload, master_id)], requests.schema))}, f"create {master_id}")
+        row = (master_id, name, code, plan["name"], plan["brand"], plan["model"], plan["family"], classify.BY_HAND, T.ACTIVE, plan["duplicate_key"], [], {}, 0.0, None, [], "manual", None, None)
+        new = self.rows_as("standards", [row]).withColumn("search_text", T.spaced_key(F.concat_ws(" ", "name", "brand", "model", "standard_code")))
+        append = {"masters": self.rows_as("masters", [(name, master_id, "manual")]), "requests": self.rows_as("requests", [(request_id, payload, master_id)]), "audit": self.event("master_product", master_id, "manual_create", None, {"name": plan["name"], "product_type": product_type}, actor, reason)}
+        if site is not None:
+            append["manual_entries"] = self.rows_as("manual_entries", [(master_id, site, float(amount.value) if amount.value is not None else None, actor, reason)])
+        self.store.commit({"standards": self.grouped(standards.unionByName(new).drop("duplicate_group", "duplicate_kind"))}, f"create {master_id}", expected=at, append=append)
         return master_id
 
     # ------------------------------------------------------------ publication
+    def current(self, source: str):
+        """The publication that is current for a source."""
+        return self.table("publications").where(F.col("source") == source).orderBy(F.desc("load_id")).first()
+
     def preview(self, load_id: int) -> dict:
         """Counts and the token that a publication must repeat."""
-        rows = self.store.read("rows")
-        load = self.store.read("loads").where(F.col("load_id") == load_id).first()
-        if load is None:
-            raise Rejected("no such load")
-        current = self.store.read_or_empty("publications", "source string, load_id long, snapshot_at string").where(F.col("source") == load.source).orderBy(F.desc("load_id")).first()
-        before = rows.where(F.col("load_id") == (current.load_id if current else -1))
-        counts = publication.preview(rows.where(F.col("load_id") == load_id).withColumn("accepted", F.col("status") == "accepted"), before).first().asDict()
-        newest = self.store.read("loads").where(F.col("source") == load.source).agg(F.max("load_id")).first()[0]
-        counts |= {"load_id": load_id, "stale": newest != load_id, "already_published": bool(current and current.load_id >= load_id), "last": current.snapshot_at if current else None}
-        counts["ready"] = not counts["stale"] and not counts["already_published"] and counts["unresolved"] == 0 and counts["accepted"] > 0
+        load, rows = self.load(load_id), self.rows_of(load_id)
+        current = self.current(load.source)
+        before = self.table_of_snapshots().where((F.col("source") == load.source) & (F.col("load_id") == (current.load_id if current else -1)))
+        waiting = self.table("proposals").where((F.col("load_id") == load_id) & F.col("status").isin("pending", "rejected"))
+        errors = sum(i.severity == "error" for i in load.issues)
+        counts = publication.preview(rows.withColumn("accepted", F.col("status") == "accepted"), before, self.technical(load_id), self.table("masters"), errors, waiting).first().asDict()
+        newest = self.table("loads").where(F.col("source") == load.source).agg(F.max("load_id")).first()[0]
+        counts |= {"load_id": load_id, "stale": newest != load_id, "already_published": bool(current and current.load_id >= load_id), "last": current.snapshot_at if current else None, "last_basis": current.date_basis if current else None}
+        blocked = counts["stale"] or counts["already_published"] or counts["unresolved"] or counts["global_errors"] or counts["missing_masters"]
+        counts["ready"] = not blocked and counts["accepted"] > 0
         return counts | {"token": digest(counts)}
 
-    def publish(self, load_id: int, token: str, snapshot_at: str) -> None:
+    def table_of_snapshots(self) -> DataFrame:
+        return self.store.read("snapshots") if self.store.has("snapshots") else self.spark.createDataFrame([], "source string, load_id long, code string, site string, amount double")
+
+    def publish(self, load_id: int, token: str, snapshot_at: str | None, full_snapshot: bool = False, date_basis: str = "confirmed", actor: str = "people", reason: str = "publication") -> dict:
+        """Make a load the current inventory of its source: facts, commercial values, flags and labels in one commit."""
+        people(actor, reason)
+        at = self.store.version()
+        if full_snapshot is not True:
+            raise Rejected("confirm that the file is complete for its source")
+        if date_basis not in ("confirmed", "received_at"):
+            raise Rejected("unknown basis of the date")
         plan = self.preview(load_id)
         if plan["token"] != token:
             raise Rejected("the preview is out of date")
         if not plan["ready"]:
             raise Rejected("the load is not ready")
-        fits = self.spark.createDataFrame([(snapshot_at, plan["last"])], "now string, last string").select(publication.publishable(F.col("now"), F.col("last"))).first()[0]
+        load = self.load(load_id)
+        date = load.received_at if date_basis == "received_at" else snapshot_at
+        last = plan["last"] if date_basis == plan["last_basis"] == "confirmed" else None
+        fits = self.spark.createDataFrame([(date, last)], "now string, last string").select(publication.publishable(F.col("now"), F.col("last"))).first()[0]
         if not fits:
             raise Rejected("the cut-off needs a time zone and must be later than the last one")
-        load = self.store.read("loads").where(F.col("load_id") == load_id).first()
-        new = self.spark.createDataFrame([(load.source, load_id, snapshot_at)], "source string, load_id long, snapshot_at string")
-        self.store.commit({}, f"publish {load_id}", append={"publications": new})
+        rows = self.rows_of(load_id)
+        accepted = rows.where("status = 'accepted'")
+        wrong = publication.unknown_flags(accepted, PUBLISHED_FLAGS).orderBy("field", "value").first()
+        if wrong:
+            raise Rejected(f"unknown flag: {wrong.field}={wrong.value}")
+        keep = ["source", "load_id", "row_number", "site", "amount", "bin_location", "shelf_location"]
+        facts = self.store.write("snapshots", publication.snapshots(rows, self.table("masters"), NUMBERS[1:], {**FLAGS, **PUBLISHED_FLAGS}, keep))
+        own = self.table("row_labels").where(F.col("load_id") == load_id).join(facts.rows.select("row_number"), "row_number", "left_semi")
+        names = sites.site_names(accepted.where("site IS NOT NULL"), "site", "site_name", ["row_number"]).select(F.col("site").alias("_s"), "first_name")
+        tables = {}
+        if self.store.has("sites"):
+            old = self.store.read("sites")
+            tables["sites"] = old.join(names, F.col("site") == F.col("_s"), "left").withColumn("site_name", F.coalesce("first_name", "site_name")).select(*old.columns)
+        made = self.rows_as("publications", [(load.source, load_id, date, date_basis, actor, reason, now())])
+        n = facts.rows.count()
+        event = self.event("load", load_id, "publish_full_snapshot", plan, {"rows": n, "excluded": plan["excluded"], "date_basis": date_basis, "at": date}, actor, reason)
+        self.store.commit(tables, f"publish {load_id}", expected=at, append={"publications": made, "snapshots": facts, "snapshot_labels": own, "audit": event})
+        return {"published": True, "rows": n, "load_id": load_id, "date_basis": date_basis, "at": date}
+
+    def inventory(self) -> DataFrame:
+        """The current facts: of each source those of its newest publication."""
+        active = checks.newest(self.table("publications"), "source", ["load_id"], ["load_id"])
+        return self.table_of_snapshots().join(active, ["source", "load_id"], "left_semi")
 
     # ------------------------------------------------------------ reading
-    def search(self, query: str = "", country: str | None = None, named: str | None = None, limit: int = 50, offset: int = 0) -> tuple[list, int]:
+    def search(self, query: str = "", country: str | None = None, named: str | None = None, limit: int = 50, offset: int = 0, family: str | None = None) -> tuple[list, int]:
         key = self.spark.createDataFrame([(query,)], "q string").select(T.spaced_key(F.col("q"))).first()[0]
-        page, total = search.search(self.store.read("standards"), key, country, named, limit, offset)
+        page, total = search.search(self.store.read("standards"), key, country, named, limit, offset, family)
         return page.collect(), total.first()[0]
 
-    def detail(self, master_id: int) -> dict:
-        """A product with its observations (available stock first) and its stock by country."""
-        product = self.store.read("standards").where(F.col("master_id") == master_id).first()
+    def detail(self, master_id: int, most: int = MOST_ROWS) -> dict:
+        """A product: its observations (available stock first, at most ``most``), stock by country, equals, links and history."""
+        product = self.table("standards").where(F.col("master_id") == master_id).first()
         if product is None:
             raise Rejected("no such product")
-        rows = self.store.read("rows").where(F.col("code").isin(list(product.legacy_codes or []))).join(self.store.read("sites").select("site", "country", "site_type"), "site", "left").withColumn("stock", F.coalesce("amount", F.lit(0.0)))
-        free = F.col("site_type").isin(*self.pack.available_types)
-        listed = rows.select("code", "site", "country", "site_type", "stock", free.alias("available")).orderBy(F.desc("available"), F.desc("stock"), "site", "code")
-        by = inventory.stock_summary(rows, self.pack.available_types).orderBy(F.col("country") == inventory.NO_COUNTRY, "country")
-        return {"product": product, "rows": listed.collect(), "stock": by.collect()}
-
-    def export(self, path: str) -> dict:
-        """The mart as Parquet tables below ``path``; returns rows by table."""
+        own = self.store.read("rows").where(F.col("code").isin(list(product.legacy_codes or []))) if self.store.has("rows") else None
+        out = {"product": product, "rows": [], "stock": [], "originals": {}}
+        if own is not None:
+            rows = own.join(self.store.read("sites").select("site", "country", "site_type"), "site", "left").withColumn("stock", F.coalesce("amount", F.lit(0.0)))
+            free = F.col("site_type").isin(*self.pack.available_types)
+            out["rows"] = rows.select("code", "site", "country", "site_type", "stock", free.alias("available")).orderBy(F.desc("available"), F.desc("stock"), "site", "code").limit(most).collect()
+            out["stock"] = inventory.stock_summary(rows, self.pack.available_types).orderBy(F.col("country") == inventory.NO_COUNTRY, "country").collect()
+            first = checks.first_row(own, "code", ["load_id", "row_number"], ["description", "brand", "model", "product_type", "package", "label_a", "label_b", "label_e"])
+            out["originals"] = {r.code: r.asDict() for r in first.collect()}
+        out["manual_stock"] = self.table("manual_entries").where(F.col("master_id") == master_id).select("site", "stock").collect()
+        equal = (F.col("duplicate_group") == product.duplicate_group) & (F.col("master_id") != master_id)
+        out["duplicates"] = self.table("standards").where(equal).orderBy("standard_code", "master_id").limit(most).collect() if product.duplicate_group else []
+        out["links"] = self.table("links").where((F.col("target_id") == master_id) & ~F.col("undone")).orderBy("link_id").collect()
+        out["history"] = self.table("audit").where((F.col("entity") == "master_product") & (F.col("entity_id") == str(master_id))).orderBy(F.desc("at")).limit(10).collect()
+        return out
+
+    def sites(self) -> list:
+        """Sites without a country first, then by name."""
+        return self.store.read("sites").orderBy(F.col("country").isNotNull(), "site_name", "site").collect() if self.store.has("sites") else []
+
+    def review_rows(self, load_id: int) -> DataFrame:
+        """The load's conservative reviews with their products and why they wait, in order of the code."""
+        known = self.table("masters").select("code", "master_id").join(self.table("standards").select("master_id", "standard_code", "name"), "master_id", "left")
+        group = classify.pending_group(F.col("status"), F.col("reason"), F.size("lexical"), F.size("labels"), F.col("family"))
+        return self.table("proposals").where(F.col("load_id") == load_id).join(known, "code", "left").withColumn("waits_as", group).orderBy("code")
+
+    def state(self, load_id: int | None = None, most: int = MOST_ROWS) -> dict:
+        """What a screen shows: loads, latest run, sites, countries with stock, manual products and the chosen load's reviews, issues and preview."""
+        loads = self.table("loads").orderBy(F.desc("load_id")).limit(most).collect()
+        load_id = load_id or (loads[0].load_id if loads else None)
+        standards = self.table("standards")
+        by_country = standards.select(F.explode("stock_by_country").alias("country", "quantity")).groupBy("country").agg(F.count("*").alias("products"))
+        out = {
+            "loads": loads, "load_id": load_id, "latest": self.latest_summary(), "sites": self.sites(), "site_types": list(self.pack.site_types), "families": sorted(self.pack.taxonomy),
+            "stock_countries": by_country.orderBy(F.col("country") == inventory.NO_COUNTRY, "country").collect(),
+            "manual_products": standards.where("origin = 'manual'").orderBy(F.desc("master_id")).limit(20).select("code", "standard_code", "name").collect(),
+        }
+        if load_id is None:
+            return out | {"rows": [], "counts": {}, "groups": {}, "technical": [], "issues": [], "preview": None, "sample": []}
+        rows = self.review_rows(load_id)
+        return out | {
+            "rows": rows.limit(most).collect(), "counts": {r.status: r["count"] for r in rows.groupBy("status").count().collect()},
+            "groups": {r.waits_as: r["count"] for r in rows.where("status = 'pending'").groupBy("waits_as").count().collect()},
+            "technical": self.technical(load_id).orderBy("row_number").limit(most).collect(), "issues": self.report(load_id).collect(), "preview": self.preview(load_id),
+            "sample": [r.code for r in self.table("samples").where(F.col("load_id") == load_id).collect()],
+        }
+
+    # ------------------------------------------------------------ export
+    def export(self, path: str, attempts: int = 5, wait: Callable[[int], float] = lambda n: 0.2 * n) -> dict:
+        """The mart as Parquet tables below ``path``; returns rows by table.
+
+        Tables are written beside ``path`` and checked; then the folder is replaced.
+        Readers find the old mart or the new one.  A folder that cannot be replaced
+        after some attempts raises :class:`ExportLocked` and stays as it was.
+        """
+        jvm = self.spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+        fs = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        draft, old = (jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{kind}-{time.time_ns()}") for kind in ("draft", "old"))
+        try:
+            counts = self.exported(draft.toString())
+            for attempt in range(1, attempts + 1):
+                try:
+                    moved = not fs.exists(target) or fs.rename(target, old)
+                    if moved and fs.rename(draft, target):
+                        fs.delete(old, True)
+                        return counts
+                except Exception as failed:  # a reader may hold files open: try again
+                    if attempt == attempts:
+                        raise ExportLocked(path) from failed
+                finally:
+                    if fs.exists(old) and not fs.exists(target):
+                        fs.rename(old, target)
+                time.sleep(wait(attempt))
+            raise ExportLocked(path)
+        finally:
+            fs.delete(draft, True)
+
+    def refresh_export(self, path: str) -> dict:
+        """Export after a change; a locked mart is reported, not raised: the change itself is done."""
+        try:
+            return {"path": path, "tables": self.export(path)}
+        except ExportLocked as locked:
+            return {"path": path, "locked": str(locked)}
+
+    def exported(self, path: str) -> dict:
         s = self.store.read("standards")
+        site_rows = self.store.read("sites")
+        load = self.table("loads").orderBy(F.desc("load_id")).first()
+        info = {"exported_at": now(), "rules": self.pack.version, "load_id": load.load_id if load else None, "source": load.source if load else None, "key": load.key if load else None}
         tables: Mapping[str, DataFrame] = {
             "products": s.drop("countries", "stock_by_country", "stock", "legacy_codes"),
             "stock_by_country": s.select("master_id", F.explode("stock_by_country").alias("country", "quantity")),
             "source_codes": s.select("master_id", F.explode("legacy_codes").alias("source_code")),
-            "sites": self.store.read("sites"),
-            "brands": self.store.read("brands"),
-            "retired_codes": self.store.read_or_empty("links", "link_id long, source_code string, target_id long, retired_code string, undone boolean").where("NOT undone AND retired_code IS NOT NULL").select("retired_code", "target_id"),
-            "inventory": self.store.read("rows").where("status = 'accepted'").select("load_id", "code", "site", F.col("amount").alias("stock")).join(s.select(F.explode("legacy_codes").alias("code")), "code", "left_semi"),
+            "sites": site_rows,
+            "brands": self.table("brands"),
+            "brand_aliases": self.table("brand_aliases"),
+            "families": self.spark.createDataFrame([(f, c, self.pack.code_prefix(f)) for f, (c, _, _) in sorted(self.pack.taxonomy.items())] or [], "family string, category string, prefix string"),
+            "retired_codes": self.table("links").where("NOT undone AND retired_code IS NOT NULL").select("retired_code", "target_id", F.col("source_code").alias("codes"), "actor", "reason", "at"),
+            "inventory": self.store.read("rows").where("status = 'accepted'").select("load_id", "code", "site", F.col("amount").alias("stock"), F.col("cost").try_cast("double").alias("cost")).join(s.select(F.explode("legacy_codes").alias("code")), "code", "left_semi").join(site_rows.select("site"), "site", "left_semi"),
+            "metadata": self.spark.createDataFrame([(k, None if v is None else str(v)) for k, v in info.items()], "name string, value string"),
         }
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{path}/{name}")
-        return {name: self.spark.read.parquet(f"{path}/{name}").count() for name in tables}
+            df.write.parquet(f"{path}/{name}")
+        back = {name: self.spark.read.parquet(f"{path}/{name}") for name in tables}
+        if back["products"].groupBy("master_id").count().where("count > 1").count():
+            raise ValueError("products are not unique")
+        for name in ("stock_by_country", "source_codes"):
+            if back[name].join(back["products"], "master_id", "left_anti").count():
+                raise ValueError(f"{name} names unknown products")
+        return {name: df.count() for name, df in back.items()}
+
+
+#: Fixed value: the method of a product whose link was undone.
+UNDONE = "Revisar: vínculo deshecho"
+
+
+def describe_mart(spark: SparkSession, path: str, tables: Sequence[str]) -> dict:
+    """What an exported mart holds: its metadata, and columns and rows of its tables."""
+    read = {t: spark.read.parquet(f"{path}/{t}") for t in tables}
+    meta = {r.name: r.value for r in read["metadata"].collect()} if "metadata" in read else {}
+    return {"metadata": meta, "tables": {t: {"columns": df.columns, "rows": df.count()} for t, df in read.items()}}

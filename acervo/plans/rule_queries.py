@@ -129,7 +129,8 @@ def decimal_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT doc_id, regexp_replace(strip_accents(upper(replace(text, 'ß', 'ss'))), '[^A-Z0-9]', '', 'g') AS compact, trim(regexp_replace(strip_accents(upper(replace(text, 'ß', 'ss'))), '[^A-Z0-9]+', ' ', 'g')) AS spaced FROM documents""")
 def text_key_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", T.compact_key(F.col("text")).alias("compact"), T.spaced_key(F.col("text")).alias("spaced"))
+    keys = T.let(T.upper_fold(F.col("text")), lambda u: F.struct(T.compact_key(u, folded=True).alias("compact"), T.spaced_key(u, folded=True).alias("spaced")))
+    return read(spark, sf_dir, "documents").select("doc_id", keys.alias("k")).select("doc_id", "k.compact", "k.spaced")
 
 
 @query(r"""SELECT doc_id, CASE WHEN regexp_matches(lower(text), '\bdo not use\b|\bobsolete\b|\bworthless\b|\btrash\b') THEN 'Revisar: marcado no usar / eliminar' ELSE 'Activo' END AS status,

@@ -54,6 +54,7 @@ def rows(path: str, sheet: str | None = None) -> Iterator[list[str]]:
             for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")):
                 shared.append("".join(t.text or "" for t in item.iter(f"{_MAIN}t")))
         with book.open(_sheet_path(book, sheet)) as part:
+            seen = None
             for _, element in ElementTree.iterparse(part):
                 if element.tag != f"{_MAIN}row":
                     continue
@@ -69,6 +70,10 @@ def rows(path: str, sheet: str | None = None) -> Iterator[list[str]]:
                     elif kind == "b":
                         value = "TRUE" if value == "1" else "FALSE"
                     out[i] = value
+                number = int(element.get("r") or (seen or 0) + 1)
+                seen = number - 1 if seen is None else seen
+                yield from ([] for _ in range(seen + 1, number))  # blank rows that the sheet leaves out
+                seen = number
                 yield out
                 element.clear()
 

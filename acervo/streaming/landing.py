@@ -1,20 +1,46 @@
-"""A landing folder as a stream: each micro-batch of observation files is staged once."""
+"""A landing folder as a stream: the files of each micro-batch are staged once, by their content."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from acervo.plans.pipeline import Engine
+from acervo.sources import files
+
+MOST_FILES = 1000  # of a micro-batch
 
 
 def watch(spark: SparkSession, folder: str, schema: StructType, engine: Engine, source: str, checkpoint: str) -> StreamingQuery:
-    """Stage every new CSV file of ``folder``; the engine's load key makes a replayed batch harmless."""
-    stream = spark.readStream.schema(schema).option("header", True).csv(folder)
+    """Stage every new CSV file of ``folder``.
+
+    A load's key is the digest of its files' contents, and each file's SHA-256 is
+    stored with the load: a replayed batch, a fresh checkpoint, another folder or a
+    renamed copy brings no row twice, and no file is taken for another one.
+    """
+    stream = spark.readStream.schema(schema).option("header", True).option("maxFilesPerTrigger", MOST_FILES).csv(folder).select("*", F.col("_metadata.file_path").alias("_file"))
 
     def stage(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            engine.stage(batch.fillna(""), source, key=f"{source}-batch-{batch_id}")
+        paths = [r[0] for r in batch.select("_file").distinct().collect()]
+        if not paths:
+            return
+        found = files.file_hashes(batch.sparkSession, *paths).select(F.col("path").alias("_file"), "sha256")
+        one = found.groupBy("sha256").agg(F.min("_file").alias("_file"))
+        loaded = engine.table("files").where(F.col("source") == source)
+        fresh = files.new_files(one, loaded).orderBy("sha256").collect()
+        if not fresh:
+            return
+        own = spark.createDataFrame([(r["_file"], r.sha256) for r in fresh], "_file string, sha256 string")
+        rows = batch.where(F.regexp_replace("_file", "^file:/+", "/").isin([_plain(r["_file"]) for r in fresh])).drop("_file")
+        engine.stage(rows.fillna(""), source, key=hashlib.sha256("".join(r.sha256 for r in fresh).encode()).hexdigest(), files=own)
 
     return stream.writeStream.foreachBatch(stage).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _plain(path: str) -> str:
+    """A path as both file listings write it: local ones without their scheme."""
+    return "/" + path.split(":", 1)[1].lstrip("/") if path.startswith("file:") else path

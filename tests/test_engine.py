@@ -5,7 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from acervo.plans.pipeline import COLUMNS, Engine, Rejected
+from acervo.plans.pipeline import COLUMNS, Engine, Rejected, describe_mart
 from acervo.rulepack import demo
 from acervo.sources import files, xlsx
 from acervo.sources.store import StaleVersion, Store
@@ -77,7 +77,7 @@ def test_load_standardise_and_repeat(spark, catalogue):
     assert "003" not in p and p["007"].name is None
     again = engine.stage(spark.createDataFrame(ROWS, SCHEMA), "src", "k1")
     assert again["repeated"] and engine.store.read("rows").count() == 10
-    assert engine.standardise(1) == summary and products(engine) == p
+    assert engine.standardise(1) == summary | {"new_codes": 0} and products(engine) == p
 
 
 def test_quarantine_rules(spark, engine):
@@ -150,16 +150,25 @@ def test_publish(spark, engine):
     assert report["ready"]
     plan = engine.preview(1)
     with pytest.raises(Rejected):
-        engine.publish(1, "wrong", "2024-01-01T00:00:00Z")
+        engine.publish(1, "wrong", "2024-01-01T00:00:00Z", True)
     with pytest.raises(Rejected):
-        engine.publish(1, plan["token"], "2024-01-01T00:00:00")
-    engine.publish(1, plan["token"], "2024-01-01T00:00:00Z")
-    assert engine.preview(1)["already_published"]
+        engine.publish(1, plan["token"], "2024-01-01T00:00:00Z", True)  # its codes have no masters yet
+    engine.build(1)
+    plan = engine.preview(1)
+    assert plan["ready"] and plan["pending_families"] >= 0 and plan["missing_masters"] == 0
+    with pytest.raises(Rejected):
+        engine.publish(1, plan["token"], "2024-01-01T00:00:00Z")  # not confirmed as complete
+    with pytest.raises(Rejected):
+        engine.publish(1, plan["token"], "2024-01-01T00:00:00", True)
+    made = engine.publish(1, plan["token"], "2024-01-01T00:00:00Z", True)
+    assert made["rows"] == 3 and engine.inventory().count() == 3 and engine.preview(1)["already_published"]
+    facts = {(r.code, r.site): r.amount for r in engine.inventory().collect()}
+    assert facts[("001", "S2")] == 3.5
     staged(engine, spark, good[:2], "k2")
     second = engine.preview(2)
     assert second["absent_codes"] == 1 and second["ready"]
     with pytest.raises(Rejected):
-        engine.publish(2, second["token"], "2023-01-01T00:00:00Z")
+        engine.publish(2, second["token"], "2023-01-01T00:00:00Z", True)
     assert not engine.store.read("publications").where("load_id = 2").count()
 
 
@@ -191,12 +200,24 @@ def test_xlsx_and_hashes(spark, tmp_path):
     xlsx.register(spark)
     got = spark.read.format("acervo_xlsx").option("sheet", "Data").load(str(path)).orderBy("row_number").collect()
     assert [tuple(r) for r in got] == [(2, "00123", ""), (3, "", "x")]
+    with zipfile.ZipFile(path) as z:
+        parts = {n: z.read(n) for n in z.namelist()}
+    parts["xl/worksheets/s.xml"] = parts["xl/worksheets/s.xml"].replace(b"<row><c r=\"A1\"", b"<row r=\"1\"><c r=\"A1\"").replace(b"<row><c r=\"A2\"", b"<row r=\"2\"><c r=\"A2\"").replace(b"<row><c r=\"B3\"", b"<row r=\"5\"><c r=\"B5\"")
+    with zipfile.ZipFile(path, "w") as z:
+        for name, data in parts.items():
+            z.writestr(name, data)
+    gaps = spark.read.format("acervo_xlsx").option("sheet", "Data").load(str(path)).orderBy("row_number").collect()
+    assert [tuple(r) for r in gaps] == [(2, "00123", ""), (3, "", ""), (4, "", ""), (5, "", "x")]  # blank rows the sheet leaves out
     with pytest.raises(Exception, match="no sheet"):
         spark.read.format("acervo_xlsx").option("sheet", "Other").load(str(path)).collect()
     found = files.file_hashes(spark, f"file://{tmp_path}")
     assert found.count() == 1 and files.new_files(found, found).count() == 0
     df = spark.createDataFrame([(1, "a"), (2, None)], "i int, s string")
     assert files.fingerprint(df).first() == files.fingerprint(df.orderBy(F.desc("i"))).first()
+    same, turned = df.orderBy(F.desc("i")), df.withColumn("i", 3 - F.col("i"))
+    assert files.ordered_fingerprint(df, "i") == files.ordered_fingerprint(same, "i") != files.ordered_fingerprint(turned, "i")
+    files.write_csv(df, f"{tmp_path}/out")
+    assert files.read_text_csv(spark, f"{tmp_path}/out").columns == ["i", "s"] and files.read_text_csv(spark, f"{tmp_path}/out").count() == 2
 
 
 def test_landing_stream(spark, engine, tmp_path):
@@ -207,6 +228,123 @@ def test_landing_stream(spark, engine, tmp_path):
     header = [c for c in COLUMNS if c != "row_number"]
     (folder / "a.csv").write_text(",".join(header) + "\n" + ",".join(["001", "small ring", "ITEM", "ITEM", "Acme", "X1", "S1", "NORTH 5", "2", "", ""]) + "\n")
     schema = spark.createDataFrame([], ", ".join(f"{c} string" for c in header)).schema
-    for _ in range(2):
-        watch(spark, str(folder), schema, engine, "stream", f"{tmp_path}/cp").awaitTermination()
+    watch(spark, str(folder), schema, engine, "stream", f"{tmp_path}/cp").awaitTermination()
+    watch(spark, str(folder), schema, engine, "stream", f"{tmp_path}/cp").awaitTermination()
     assert engine.store.read("loads").count() == 1 and engine.store.read("rows").count() == 1
+    other = tmp_path / "other"
+    other.mkdir()
+    text = (folder / "a.csv").read_text()
+    (other / "b.csv").write_text(text.replace("001", "002"))
+    (other / "copy.csv").write_text(text)  # a renamed copy brings nothing
+    watch(spark, str(other), schema, engine, "stream", f"{tmp_path}/cp2").awaitTermination()
+    assert sorted(r.code for r in engine.store.read("rows").collect()) == ["001", "002"] and engine.store.read("loads").count() == 2
+    watch(spark, str(other), schema, engine, "stream", f"{tmp_path}/cp3").awaitTermination()  # a fresh checkpoint
+    assert engine.store.read("rows").count() == 2
+
+
+def test_a_failing_commit_leaves_nothing(spark, engine, monkeypatch):
+    create = Store._create
+
+    def broken(self, version, manifest):
+        raise OSError("no room")
+
+    monkeypatch.setattr(Store, "_create", broken)
+    with pytest.raises(OSError):
+        staged(engine, spark)
+    assert engine.store.names() == [] and engine.store.version() == 0
+    monkeypatch.setattr(Store, "_create", create)
+    report = staged(engine, spark)
+    assert engine.store.read("rows").count() == 10 and report["load_id"] == 1 and engine.store.version() == 1
+
+
+def test_two_writers_on_one_version(spark, tmp_path, monkeypatch):
+    one, two = (Store(spark, f"file://{tmp_path}/s") for _ in range(2))
+    seen = one.manifest()
+    monkeypatch.setattr(two, "manifest", lambda: seen)  # it read before the other committed
+    one.commit({"t": spark.range(3)}, "first")
+    with pytest.raises(StaleVersion):
+        two.commit({"t": spark.range(5)}, "second")
+    assert one.read("t").count() == 3 and one.version() == 1
+
+
+def test_labels_are_stored_once(spark, engine):
+    first = [row(2, "001", "ring", label="GROUP A"), row(3, "002", "bolt", label="GROUP B")]
+    staged(engine, spark, first, "k1")
+    staged(engine, spark, [row(2, "003", "gear", label="GROUP A")], "k2")
+    values = {r.value: r.value_id for r in engine.store.read("label_values").collect()}
+    assert values == {"GROUP A": 1, "GROUP B": 2}
+    assert sorted((r.load_id, r.row_number, r.value_id) for r in engine.store.read("row_labels").collect()) == [(1, 2, 1), (1, 3, 2), (2, 2, 1)]
+
+
+def test_technical_exclusion_unlocks_a_publication(spark, engine):
+    staged(engine, spark, [row(2, "001", "small ring"), row(3, "SYSTEMDEFAULT", "internal", site="", site_name=""), row(4, "002", "red bolt", site="", site_name="")])
+    engine.build(1)
+    assert engine.preview(1)["unresolved"] == 2
+    with pytest.raises(Rejected):
+        engine.exclude(1, 4, "exclude", "ana", "not a technical code")
+    engine.exclude(1, 3, "exclude", "ana", "system code")
+    plan = engine.preview(1)
+    assert plan["excluded"] == 1 and plan["unresolved"] == 1 and not plan["ready"]
+    assert {r.row_number: (r.eligible, r.decision) for r in engine.technical(1).collect()} == {3: (True, "exclude"), 4: (False, "pending")}
+    staged(engine, spark, [row(2, "001", "small ring"), row(3, "SYSTEMDEFAULT", "internal", site="", site_name="")], "k2")
+    engine.build(2)
+    engine.exclude(2, 3, "exclude", "ana", "system code")
+    plan = engine.preview(2)
+    assert plan["ready"] and engine.publish(2, plan["token"], None, True, "received_at", "ana", "complete")["rows"] == 1
+    with pytest.raises(Rejected):
+        engine.exclude(2, 3, "pending", "ana", "too late")
+
+
+def test_unknown_flag_stops_the_whole_publication(spark, engine):
+    frame = spark.createDataFrame([row(2, "001", "small ring"), row(3, "002", "red bolt")], SCHEMA).withColumn("is_freight", F.when(F.col("code") == "002", "PERHAPS").otherwise("FREIGHT"))
+    engine.stage(frame, "src", "k1")
+    engine.build(1)
+    plan = engine.preview(1)
+    with pytest.raises(Rejected, match="is_freight=PERHAPS"):
+        engine.publish(1, plan["token"], "2024-01-01T00:00:00Z", True)
+    assert not engine.store.has("snapshots") and not engine.store.has("publications")
+
+
+def test_build_review_sample_and_state(spark, engine):
+    rows = [row(2, "001", "red ring", label="SMALL"), row(3, "002", "red bolt"), row(4, "003", "big ring obsolete", label="SMALL"), row(5, "004", "thing"), row(6, "005", "ring", site="", site_name="")]
+    staged(engine, spark, rows)
+    first = engine.build(1)
+    assert first["new_masters"] == 4 and first["status"] == {"approved_by_rule": 1, "pending": 3, "quarantined": 1}
+    assert engine.build(1)["new_reviews"] == 0 and engine.freeze_sample(1) == 1 == engine.freeze_sample(1)
+    state = engine.state(1)
+    assert state["counts"]["pending"] == 3 and sum(state["groups"].values()) == 3 and state["sample"] == ["001"] and state["latest"] is None
+    assert {r.code: r.waits_as for r in state["rows"]}["003"] == "Advertencias operacionales" and len(state["technical"]) == 1
+    engine.migrate("samples", "load_id long, family string, code string, original string, note string")
+    assert engine.store.read("samples").columns[-1] == "note" and engine.store.read("samples").count() == 1
+
+
+def test_a_locked_export_keeps_the_old_one(catalogue, tmp_path, monkeypatch):
+    engine, path = catalogue, f"file://{tmp_path}/mart"
+    engine.export(path)
+    monkeypatch.setattr(engine, "exported", lambda draft: {"products": 0})  # nothing to move: every rename fails
+    assert "locked" in engine.refresh_export(path)
+    assert engine.spark.read.parquet(f"{path}/products").count() == 9
+    found = describe_mart(engine.spark, path, ["products", "metadata"])
+    assert found["tables"]["products"]["rows"] == 9 and found["metadata"]["source"] == "src"
+
+
+def test_manual_product_with_a_stock_at_a_site(catalogue):
+    engine = catalogue
+    with pytest.raises(Rejected):
+        engine.create("r20", "blue gear", stock="2,00")
+    with pytest.raises(Rejected):
+        engine.create("r20", "blue gear", site="nowhere", stock="2,00")
+    made = engine.create("r20", "blue gear", site="S1", stock="2,00", actor="ana", reason="found in store")
+    info = engine.detail(made)
+    assert [(r.site, r.stock) for r in info["manual_stock"]] == [("S1", 2.0)] and info["history"][0].action == "manual_create"
+
+
+def test_review_gives_a_code_at_once(catalogue):
+    engine = catalogue
+    me = products(engine)["008"]
+    engine.review(me.master_id, "rejected", None, engine.revision(me.master_id), "ana", "no")
+    assert products(engine)["008"].family is None and products(engine)["008"].method == "Revisar: rechazada por revisor"
+    engine.review(me.master_id, "approved", "Widgets", engine.revision(me.master_id), "ana", "yes")
+    after = products(engine)["008"]
+    assert after.family == "Widgets" and after.standard_code and engine.search(after.standard_code)[1] == 1
+    assert engine.state()["latest"]["products"] > 0 and len(engine.sites()) == 3
