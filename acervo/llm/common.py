@@ -1,60 +1,15 @@
-"""Session helpers shared by the operators: shared storage, lineage cuts, components."""
+"""Session helpers shared by the operators: batches, bounded choices, components."""
 
 from __future__ import annotations
 
-import atexit
 import re
-import tempfile
-import uuid
-from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_MADE: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session names none, a temporary folder is set once for a session
-    whose executors are threads of the driver (tests); on a cluster that would be
-    another folder on each machine, so it is an error there.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="acervo-")
-    spark.sparkContext.setCheckpointDir(made)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder, removed when the driver exits."""
-    path = f"{shared_dir(spark)}/acervo-{label}-{uuid.uuid4().hex}"
-    _MADE.append((spark, path))
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _MADE:
-        try:
-            remove(spark, path)
-        except Exception:  # the session may be gone already; nothing depends on this
-            continue
+from acervo.session import cut, fresh_path, partitions, shared_dir, unused
 
+__all__ = ["bounded_batches", "connected_components", "cut", "fresh_path", "partitions", "shared_dir", "sized_broadcast", "strongest", "unused"]
 
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -72,34 +27,6 @@ def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> SparkSession:
     return spark
 
 
-def unused(columns: Iterable[str], *names: str) -> list[str]:
-    """``names``, each with as many ``_`` behind it as no column of ``columns`` has (in any case)."""
-    taken = {c.lower() for c in columns}
-    out = []
-    for name in names:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Later stages then restart from replicated files instead of recomputing, so
-    a lost executor costs one task; the plan above it is dropped.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def sized_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
     """Hint a broadcast only when the counted ``rows`` do not exceed ``most``."""
     return F.broadcast(df) if rows <= most else df
