@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from acervo.llm.bpe import batches_of
@@ -182,9 +182,18 @@ def frequent_seeds(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> t
     return np.sort(np.array([r.key for r in rows], np.int64).view(np.uint64)), windows
 
 
-def _send(hot: np.ndarray, buckets: int, window: int, seed: int):
+def even_keys(spark: SparkSession, n: int) -> np.ndarray:
+    """A number for each of ``n`` partitions that Spark's hash deals to it: buckets in turn then fill them alike."""
+    found = spark.range(30 * n + 100).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).collect()
+    keys = np.arange(n, dtype=np.int64)
+    for r in found:
+        keys[r.p] = r.id
+    return keys
+
+
+def _send(hot: np.ndarray, buckets: int, window: int, seed: int, deal: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows ``(bucket, doc, data)``: packed super-k-mers (doc null) and ranges already known to repeat."""
+        """Rows ``(task, bucket, doc, data)``: packed super-k-mers (doc null) and ranges already known to repeat."""
         for whole in batches:
             for batch in batches_of(whole, "text", BLOCK_BYTES):
                 ids = batch.column("ord").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -210,8 +219,8 @@ def _send(hot: np.ndarray, buckets: int, window: int, seed: int):
                 per_bucket = pa.LargeListArray.from_arrays(pa.array(ends[np.append(first, len(a))]), words.cast(pa.large_string()))
                 texts = pc.binary_join(per_bucket, pa.scalar(" ", pa.large_string()))
                 blobs = [_pack([doc[a[i:j]], start[a[i:j]], n_words[i:j]], t.encode()) for i, j, t in zip(first.tolist(), np.append(first[1:], len(a)).tolist(), texts.to_pylist(), strict=True)]
-                spots = [*bucket[first].tolist(), *[int(k) % buckets for k in known]]
-                yield pa.RecordBatch.from_arrays([pa.array(spots, pa.int64()), pa.array([*[None] * len(blobs), *known], pa.int64()), pa.array([*blobs, *ranges_of], pa.binary())], ["bucket", "doc", "data"])
+                spots = np.array([*bucket[first].tolist(), *[int(k) % buckets for k in known]], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(deal[spots % len(deal)]), pa.array(spots), pa.array([*[None] * len(blobs), *known], pa.int64()), pa.array([*blobs, *ranges_of], pa.binary())], ["task", "bucket", "doc", "data"])
 
     return run
 
@@ -295,8 +304,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     frequent, windows = frequent_seeds(source, window, seed)
     hot = docs.sparkSession.sparkContext.broadcast(frequent)
     buckets = max(n * BUCKETS_A_PARTITION, windows // BUCKET_WINDOWS)
-    sent = source.mapInArrow(_send(hot.value, buckets, window, seed), "bucket long, doc long, data binary")
-    judged = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_judge(window), "doc long, data binary")
+    deal = even_keys(docs.sparkSession, n)
+    sent = source.mapInArrow(_send(hot.value, buckets, window, seed, deal), "task long, bucket long, doc long, data binary")
+    judged = sent.repartition(n, "task").sortWithinPartitions("bucket").mapInArrow(_judge(window), "doc long, data binary")
     marked = judged.groupBy("doc").agg(F.collect_list("data").alias("ranges"))
     met = texts.join(marked, texts["ord"] == marked["doc"], "left").select("doc_id", "text", "ranges")
     kind = docs.schema[doc_id].dataType.simpleString()
