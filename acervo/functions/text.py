@@ -137,9 +137,13 @@ def number_or_zero(c: Column) -> Column:
 def general_number(c: Column) -> Column:
     """A double with six significant digits and no trailing zeros, as ``%g`` prints it (``13``, ``2.5``, ``1.23e-05``).
 
-    Rounding looks at the exact binary value.
+    Rounding looks at the exact binary value, ties to even.
     """
-    digits = F.call_function("format_number", c, F.lit("0.#####E0"))
+    scientific = lambda x: F.call_function("format_number", x, F.lit("0.#####E0"))
+    step = F.pow(F.lit(10.0), F.split_part(scientific(c), F.lit("E"), F.lit(2)).try_cast("int") - 5)
+    kept = F.floor(F.abs(c) / step)
+    tie_to_even = (step > 1) & ((F.abs(c) - kept * step) * 2 == step) & (kept % 2 == 0)  # whole numbers of seven digits and more
+    digits = scientific(F.when(tie_to_even, c - F.signum(c)).otherwise(c))
     mantissa, power = F.split_part(digits, F.lit("E"), F.lit(1)), F.split_part(digits, F.lit("E"), F.lit(2)).try_cast("int")
     plain = F.regexp_replace(F.regexp_replace(digits.try_cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", "")
     far = F.concat(mantissa, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
@@ -294,3 +298,14 @@ def percent(part: Column, whole: Column) -> Column:
 def close(a: Column, b: Column, absolute: float = 1.0, relative: float = 0.001) -> Column:
     gap = F.abs(a - b)
     return (gap <= absolute) | (gap <= relative * F.abs(b))
+
+
+# ---------------------------------------------------------------- JSON
+def json_valid(c: Column) -> Column:
+    """Whether a text is one JSON object; null for null."""
+    return F.when(c.isNotNull(), F.try_parse_json(c).isNotNull()) if hasattr(F, "try_parse_json") else F.when(c.isNotNull(), F.json_object_keys(c).isNotNull())
+
+
+def json_map(c: Column) -> Column:
+    """A JSON object as a map of text, null where it is none."""
+    return F.when(json_valid(c), F.from_json(c, "map<string,string>"))

@@ -1,6 +1,7 @@
 """Registered queries by name and the SQL that gives the same rows."""
 
-from acervo.plans import profile_queries, rule_queries, stock_queries
+from acervo.plans import catalogue_queries, profile_queries, rule_queries, stock_queries, text_queries
 
-QUERIES = {**stock_queries.QUERIES, **rule_queries.QUERIES, **profile_queries.QUERIES}
-ORACLES = {**stock_queries.ORACLES, **rule_queries.ORACLES, **profile_queries.ORACLES}
+_MODULES = (stock_queries, rule_queries, profile_queries, text_queries, catalogue_queries)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
