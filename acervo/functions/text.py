@@ -140,15 +140,22 @@ def general_number(c: Column) -> Column:
     Rounding looks at the exact binary value, ties to even.
     """
     scientific = lambda x: F.call_function("format_number", x, F.lit("0.#####E0"))
-    step = F.pow(F.lit(10.0), F.split_part(scientific(c), F.lit("E"), F.lit(2)).try_cast("int") - 5)
-    kept = F.floor(F.abs(c) / step)
-    tie_to_even = (step > 1) & ((F.abs(c) - kept * step) * 2 == step) & (kept % 2 == 0)  # whole numbers of seven digits and more
-    digits = scientific(F.when(tie_to_even, c - F.signum(c)).otherwise(c))
-    mantissa, power = F.split_part(digits, F.lit("E"), F.lit(1)), F.split_part(digits, F.lit("E"), F.lit(2)).try_cast("int")
-    plain = F.regexp_replace(F.regexp_replace(digits.try_cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", "")
-    far = F.concat(mantissa, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
-    near = F.when(power.between(-4, 5), plain).otherwise(F.when(F.abs(power) > 99, F.concat(mantissa, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.abs(power).cast("string"))).otherwise(far))
-    return F.when(c == 0, F.lit("0")).when(F.isnan(c), F.lit("nan")).when(F.abs(c) == float("inf"), F.when(c > 0, "inf").otherwise("-inf")).otherwise(near)
+    power = lambda text: F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int")
+
+    def even(v: Column) -> Column:
+        """Whole numbers of seven digits and more that lie half-way: moved towards the even neighbour."""
+        step, size = F.pow(F.lit(10.0), power(scientific(v)) - 5), F.abs(v)
+        kept = F.floor(size / step)
+        return F.when((size >= 1e6) & ((size - kept * step) * 2 == step) & (kept % 2 == 0), v - F.signum(v)).otherwise(v)
+
+    def shown(text: Column) -> Column:
+        sign, n = F.when(power(text) < 0, "-").otherwise("+"), F.abs(power(text)).cast("string")
+        plain = F.regexp_replace(F.regexp_replace(text.try_cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", "")
+        far = F.concat(F.split_part(text, F.lit("E"), F.lit(1)), F.lit("e"), sign, F.lpad(n, F.greatest(F.length(n), F.lit(2)), F.lit("0")))
+        return F.when(power(text).between(-4, 5), plain).otherwise(far)
+
+    special = F.when(c == 0, F.lit("0")).when(F.isnan(c), F.lit("nan")).when(F.abs(c) == float("inf"), F.when(c > 0, "inf").otherwise("-inf"))
+    return F.coalesce(special, let(let(c, lambda v: scientific(even(v))), shown))
 
 
 # ---------------------------------------------------------------- names

@@ -110,3 +110,8 @@ def product_rows(rows: DataFrame, code: str, order: Sequence[str], fields: Seque
 def newest(rows: DataFrame, key: str, order: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """Kept columns of each key's last row in the full order."""
     return rows.groupBy(key).agg(F.max_by(F.struct(*keep), F.struct(*order)).alias("_h")).select(key, *[f"_h.{c}" for c in keep])
+
+
+def last_rows(rows: DataFrame, key: str, order: Sequence[str], most: int) -> DataFrame:
+    """The last ``most`` rows of each key, newest first, numbered in ``place``."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order]))).where(F.col("place") <= most)

@@ -74,3 +74,10 @@ def stock_by_kind(obs: DataFrame, code: str = "code", name: str = "name") -> Dat
 def unavailable_share(obs: DataFrame, types: Sequence[str]) -> DataFrame:
     all_, off = money(F.greatest("stock", F.lit(0.0))), ~F.col("site_type").isin(*types)
     return obs.agg(F.sum(F.when(off, all_)).cast("double").alias("unavailable"), F.sum(all_).cast("double").alias("total")).withColumn("share", F.round(F.col("unavailable") / F.col("total"), 6))
+
+
+def unavailable_map(obs: DataFrame, types: Sequence[str]) -> DataFrame:
+    """``country, unavailable``: positive stock at other than available kinds of sites, as a sorted map by kind."""
+    off = obs.where(~F.col("site_type").isin(*types) & (F.col("stock") > 0))
+    per = off.groupBy(F.coalesce("country", F.lit(NO_COUNTRY)).alias("country"), "site_type").agg(F.sum(money(F.col("stock"))).cast("double").alias("stock"))
+    return per.groupBy("country").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("site_type", "stock")))).alias("unavailable"))

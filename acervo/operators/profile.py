@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from acervo.operators.numbering import ranged
+
 
 def columns(table: DataFrame, names: Sequence[str]) -> DataFrame:
-    """One row a column: filled, null share, distinct values, mode (smallest on ties) and its number.
+    """One row a column: filled, null share, distinct values, mode (smallest on ties), its number and share of all rows.
 
     The table is read once: values are unpivoted as text and counted by
     (column, value) with a combined aggregate.
@@ -24,14 +27,35 @@ def columns(table: DataFrame, names: Sequence[str]) -> DataFrame:
         F.round(100 * (F.sum("n") - F.coalesce(F.sum(filled), F.lit(0))) / F.sum("n"), 4).alias("null_percent"),
         F.count("value").alias("distinct_values"),
         best.alias("_m"),
-    ).select("column_name", "filled", "null_percent", "distinct_values", F.col("_m.value").alias("mode_value"), (-F.col("_m.n")).alias("mode_count"))
+        F.sum("n").alias("_all"),
+    ).select("column_name", "filled", "null_percent", "distinct_values", F.col("_m.value").alias("mode_value"), (-F.col("_m.n")).alias("mode_count"), F.round(-100 * F.col("_m.n") / F.col("_all"), 4).alias("mode_percent"))
+
+
+def percentiles(table: DataFrame, c: str, points: Sequence[float]) -> DataFrame:
+    """One row of exact percentiles ``p0, p1, ...``, linear between neighbours.
+
+    Values are counted, dealt by ranges and given their ranks by the counts of
+    the ranges before; only the values at the wanted ranks are kept, so no task
+    holds all distinct values.
+    """
+    value, n, part, hi = "value", "n", "part", "hi"
+    counts = ranged(table.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("double").alias(value)).agg(F.count("*").alias(n)), [value], part)
+    size = counts.groupBy(part).agg(F.sum(n).alias("size"))
+    before = size.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("size")
+    inner = F.sum(n).over(Window.partitionBy(part).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn(hi, inner).join(F.broadcast(before), part).select(value, (F.col(hi) + F.col("before") - F.col(n)).alias("lo"), (F.col(hi) + F.col("before")).alias(hi))
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    at = [p * max(total - 1, 0) for p in points]
+    held = lambda r: F.max(F.when((F.col("lo") <= r) & (F.col(hi) > r), F.col(value)))
+    found = placed.agg(*[held(math.floor(x)).alias(f"a{i}") for i, x in enumerate(at)], *[held(math.ceil(x)).alias(f"b{i}") for i, x in enumerate(at)])
+    return found.select(*[(F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (x - math.floor(x))).alias(f"p{i}") for i, x in enumerate(at)])
 
 
 def describe(table: DataFrame, c: str, points: Sequence[float] = (0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
     """Count, mean, deviation, extremes and exact linear percentiles."""
-    q = F.percentile(c, F.array(*[F.lit(p) for p in points]))
-    out = table.agg(F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_samp(c), 6).alias("std"), F.min(c).alias("lowest"), F.max(c).alias("highest"), q.alias("_q"))
-    return out.select("n", "mean", "std", "lowest", "highest", *[F.round(F.col("_q")[i], 6).alias(f"p{int(p * 100)}") for i, p in enumerate(points)])
+    out = table.agg(F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_samp(c), 6).alias("std"), F.min(c).alias("lowest"), F.max(c).alias("highest"))
+    both = out.withColumn("_one", F.lit(1)).join(percentiles(table, c, points).withColumn("_one", F.lit(1)), "_one")
+    return both.select("n", "mean", "std", "lowest", "highest", *[F.round(f"p{i}", 6).alias(f"p{int(p * 100)}") for i, p in enumerate(points)])
 
 
 def signs(table: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -88,3 +112,30 @@ def stratified_sample(rows: DataFrame, stratum: str, item: str, most: int = 5) -
     """At most ``most`` items of each stratum, in order of the SHA-256 of the quoted item."""
     digest = F.sha2(F.concat(F.lit('"'), F.col(item).cast("string"), F.lit('"')), 256)
     return rows.withColumn("_h", digest).withColumn("place", F.row_number().over(Window.partitionBy(stratum).orderBy("_h", item))).where(F.col("place") <= most).drop("_h")
+
+
+def grouping_fields(table: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
+    """For each field: distinct values, share of nulls, and keys that hold more than one of its values.
+
+    ``fields`` names the columns; the field called like ``key`` is not compared with it.
+    """
+    total = table.agg(F.count("*")).first()[0]
+    long = table.select(F.col(key).alias("_key"), *[F.col(c).cast("string").alias(f"f{i}") for i, c in enumerate(fields.values())]).unpivot(["_key"], [f"f{i}" for i in range(len(fields))], "slot", "value").where("value IS NOT NULL")
+    names = F.create_map(*[F.lit(x) for i, f in enumerate(fields) for x in (f"f{i}", f)])
+    counted = long.groupBy("slot", "_key", "value").agg(F.count("*").alias("n"))
+    values = counted.groupBy("slot", "value").agg(F.sum("n").alias("n")).groupBy("slot").agg(F.count("*").alias("n_values"), F.round(100 * (1 - F.sum("n") / total), 4).alias("null_percent"))
+    varying = counted.groupBy("slot", "_key").agg(F.count("*").alias("k")).groupBy("slot").agg(F.count_if(F.col("k") > 1).alias("varying"))
+    field = F.element_at(names, F.col("slot"))
+    return values.join(varying, "slot").select(field.alias("field"), "n_values", "null_percent", F.when(field == key, F.lit(0)).otherwise(F.col("varying")).cast("long").alias("varying"))
+
+
+def findings(table: DataFrame, tests: Sequence[tuple[str, str, Column]]) -> DataFrame:
+    """A numbered table of findings ``(place, area, finding, n)``, all counted in one pass."""
+    wide = table.agg(*[F.count_if(t).alias(f"n{i}") for i, (_, _, t) in enumerate(tests)])
+    row = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("place"), F.lit(a).alias("area"), F.lit(b).alias("finding"), F.col(f"n{i}").alias("n")) for i, (a, b, _) in enumerate(tests)]))
+    return wide.select(row.alias("r")).select("r.*")
+
+
+def seeded_sample(table: DataFrame, item: str, seed: int, rows: int) -> DataFrame:
+    """``rows`` rows in order of a hash of seed and item: the same at any partitioning."""
+    return table.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(item).cast("string")), 256), item).limit(rows)

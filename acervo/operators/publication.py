@@ -54,6 +54,13 @@ def snapshots(rows: DataFrame, masters: DataFrame, numbers: Sequence[str], flags
     return facts.select(*keep, code, "master_id", *[F.col(c).try_cast("double").alias(c) for c in numbers], *[flag_number(F.col(f), known).alias(f) for f, known in flags.items()])
 
 
+def code_changes(incoming: DataFrame, published: DataFrame, code: str = "code") -> DataFrame:
+    """How many codes of the published load are absent from the incoming one, and how many it brings, as one row."""
+    now, old = incoming.select(code).distinct(), published.select(code).distinct()
+    absent, new = old.join(now, code, "left_anti").agg(F.count("*").alias("absent_codes")), now.join(old, code, "left_anti").agg(F.count("*").alias("new_codes"))
+    return absent.withColumn("_one", F.lit(1)).join(new.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
 def preview(incoming: DataFrame, published: DataFrame, technical: DataFrame, masters: DataFrame, global_errors: int = 0, pending: DataFrame | None = None, code: str = "code") -> DataFrame:
     """The seven counters that decide whether a load may be published, as one row.
 

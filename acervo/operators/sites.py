@@ -26,10 +26,10 @@ def prefix_evidence(rows: DataFrame, site: str, prefix: str) -> DataFrame:
     )
 
 
-def country(text: Column, rules: Sequence[tuple[str, str]], share: Column, prefix: Column, dominance: Column) -> Column:
+def country(text: Column, rules: Sequence[tuple[str, str]], share: Column, prefix: Column, dominance: Column, least_share: float = LEAST_SHARE, least_dominance: float = LEAST_DOMINANCE) -> Column:
     """``struct(country, source)``: a keyword first, then a dominant prefix, else none."""
     by_word = F.coalesce(first_match(spaced_key(text), rules), first_match(F.upper(text), rules))
-    strong = prefix.isNotNull() & (share >= LEAST_SHARE) & (dominance >= LEAST_DOMINANCE)
+    strong = prefix.isNotNull() & (share >= least_share) & (dominance >= least_dominance)
     value = F.coalesce(by_word, F.when(strong, prefix))
     source = F.when(by_word.isNotNull(), BY_KEYWORD).when(strong, BY_PREFIX).otherwise(NO_EVIDENCE)
     return F.struct(value.alias("country"), source.alias("source"))

@@ -1 +1,476 @@
+"""Queries on the catalogue's commands: search, reviews, publication, site and run figures, with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from acervo.functions import text as T
+from acervo.operators import checks, classify, codes, duplicates, inventory, labels, profile, publication, search, sites
+from acervo.plans.frames import AVAILABLE, AVAILABLE_SQL, OBS_SQL, ORDER, observations, read
+from acervo.plans.pipeline import PUBLISHED_FLAGS
+from acervo.plans.rule_queries import ASSIGNED, CODED, DECIDED, _coded, classified
+from acervo.rulepack import demo
+
 QUERIES, ORACLES = {}, {}
+
+
+def query(sql: str):
+    def keep(f):
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
+        return f
+
+    return keep
+
+
+LOAD = 2000  # the year that counts as the load at hand; the one before it as the published one
+
+# ---------------------------------------------------------------- the catalogue as one table
+CATALOGUE = f"""{ASSIGNED}, {OBS_SQL}, free AS (SELECT code, CAST(sum(CAST(stock AS DECIMAL(18,2))) AS DOUBLE) AS stock FROM obs WHERE site_type IN ({AVAILABLE_SQL}) AND stock > 0 AND load = {LOAD} GROUP BY code),
+    seen AS (SELECT code, list_sort(list(DISTINCT country) FILTER (country IS NOT NULL)) AS countries FROM obs WHERE load = {LOAD} GROUP BY code),
+    cat0 AS (SELECT d.code AS master_id, m.code AS standard_code, d.name, p_brand AS brand, d.family, d.method, CASE WHEN d.size % 17 = 0 THEN 'Revisar: marcado no usar / eliminar' ELSE 'Activo' END AS status,
+        CASE WHEN d.size % 9 = 0 THEN 'manual' ELSE 'import' END AS origin, f.stock, coalesce(s.countries, []) AS countries, p_name || '|' || p_brand AS key, CASE WHEN d.size % 4 = 0 THEN 2 ELSE 1 END AS n_codes,
+        trim(regexp_replace(upper(d.name || ' ' || p_brand || coalesce(' ' || m.code, '')), '[^A-Z0-9]+', ' ', 'g')) AS search_text
+        FROM decided d JOIN part ON d.code = p_partkey JOIN made m ON m.item = d.code LEFT JOIN free f ON f.code = d.code LEFT JOIN seen s ON s.code = d.code),
+    shared AS (SELECT key, max(n) > 1 AS shared FROM (SELECT key, c, count(*) AS n FROM (SELECT key, unnest(countries) AS c FROM cat0) GROUP BY 1, 2) GROUP BY key),
+    kinds AS (SELECT c.key, CASE WHEN bool_or(len(countries) = 0) OR coalesce(any_value(shared), false) THEN 'Mismo país' ELSE 'Otro país' END AS kind FROM cat0 c LEFT JOIN shared h ON c.key = h.key GROUP BY c.key HAVING count(*) > 1),
+    cat AS (SELECT c.*, k.kind AS duplicate_kind FROM cat0 c LEFT JOIN kinds k ON c.key = k.key)"""
+
+
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part as a product with code, stock, countries and duplicates."""
+    rows = classified(spark, sf_dir)
+    table = F.create_map(*[F.lit(x) for f in demo.taxonomy for x in (f, demo.code_prefix(f))])
+    items = rows.withColumn("prefix", F.try_element_at(table, F.col("family")))
+    items = items.withColumn("existing_code", F.when((F.col("code") % 4 == 0) & F.col("prefix").isNotNull(), T.padded_code(F.col("prefix"), F.col("code"))))
+    items = items.select(F.col("code").alias("master_id"), "prefix", "existing_code", "name", "brand", "family", "method", "size")
+    used = codes.high_water(items.where("existing_code IS NOT NULL").select(F.col("existing_code").alias("code")))
+    coded = codes.assign(items, used, item="master_id").withColumnRenamed("code", "standard_code")
+    obs = observations(spark, sf_dir).where(F.col("load") == LOAD).withColumnRenamed("code", "master_id")
+    free = inventory.available(obs, AVAILABLE).groupBy("master_id").agg(F.sum(inventory.money(F.col("stock"))).cast("double").alias("stock"))
+    out = coded.join(free, "master_id", "left").join(inventory.presence(obs, "master_id"), "master_id", "left")
+    out = out.select(
+        "master_id", "standard_code", "name", "brand", "family", "method", F.when(F.col("size") % 17 == 0, T.FLAGGED).otherwise(T.ACTIVE).alias("status"), F.when(F.col("size") % 9 == 0, "manual").otherwise("import").alias("origin"), "stock",
+        F.coalesce("countries", F.array().cast("array<string>")).alias("countries"), F.concat_ws("|", "name", "brand").alias("key"), F.when(F.col("size") % 4 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"))).alias("legacy_codes"),
+        T.spaced_key(F.concat_ws(" ", "name", "brand", "standard_code")).alias("search_text"),
+    )
+    kinds = duplicates.kinds(out, "key").select("key", F.col("kind").alias("duplicate_kind"))
+    return out.join(kinds, "key", "left")
+
+
+_FILTERS = {
+    "classified": "family IS NOT NULL", "review": "starts_with(method, 'Revisar') OR status <> 'Activo'", "duplicates": "duplicate_kind IS NOT NULL", "dup_same": "duplicate_kind = 'Mismo país'", "dup_cross": "duplicate_kind = 'Otro país'",
+    "linked": "n_codes > 1", "with_stock": "stock > 0", "without_stock": "stock IS NULL OR stock <= 0", "manual": "origin = 'manual'",
+}
+
+
+@query(f"{CATALOGUE} " + " UNION ALL ".join(f"SELECT '{k}' AS filter_name, count(*) FILTER ({v}) AS n FROM cat" for k, v in _FILTERS.items()))
+def all_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = search.filters()
+    one = catalogue(spark, sf_dir).agg(*[F.count_if(c).alias(k) for k, c in named.items()])
+    return one.unpivot([], one.columns, "filter_name", "n")
+
+
+_WHERE = "WHERE ' ' || search_text LIKE '% R%' AND ' ' || search_text LIKE '% BRAND%' AND list_contains(countries, 'NATION_3')"
+_ORDER = "ORDER BY standard_code IS NULL, stock DESC NULLS LAST, name ASC NULLS FIRST, master_id"
+
+
+@query(f"{CATALOGUE} SELECT master_id, standard_code, name, brand, family, method, status, duplicate_kind, origin, array_to_string(countries, ', ') AS countries FROM cat {_WHERE} {_ORDER} LIMIT 50 OFFSET 10")
+def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page, _ = search.search(catalogue(spark, sf_dir), "R BRAND", country="NATION_3", limit=50, offset=10)
+    return page.select("master_id", "standard_code", "name", "brand", "family", "method", "status", "duplicate_kind", "origin", F.array_join("countries", ", ").alias("countries"))
+
+
+@query(f"{CATALOGUE} SELECT count(*) AS total FROM cat {_WHERE} AND family IS NOT NULL")
+def search_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(catalogue(spark, sf_dir), "R BRAND", country="NATION_3", named="classified")[1]
+
+
+@query(f"{CATALOGUE} SELECT master_id, ', ' || array_to_string(countries, ', ') || ',' LIKE '%, NATION_1,%' AS stands_in FROM cat")
+def list_member(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue(spark, sf_dir).select("master_id", search.in_list(F.array_join("countries", ", "), "NATION_1").alias("stands_in"))
+
+
+@query(f"{CATALOGUE} SELECT master_id, standard_code, name FROM cat WHERE origin = 'manual' ORDER BY master_id DESC LIMIT 20")
+def newest_manual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue(spark, sf_dir).where("origin = 'manual'").orderBy(F.desc("master_id")).limit(20).select("master_id", "standard_code", "name")
+
+
+@query(f"""{CATALOGUE} SELECT c.master_id, c.standard_code, c.name, c.brand, c.family, {"CASE c.family " + " ".join(f"WHEN '{f}' THEN '{v[0]}'" for f, v in demo.taxonomy.items()) + " END"} AS category, c.stock FROM cat c""")
+def catalogue_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    families = spark.createDataFrame([(f, c) for f, (c, _, _) in demo.taxonomy.items()], "family string, category string")
+    return catalogue(spark, sf_dir).join(F.broadcast(families), "family", "left").select("master_id", "standard_code", "name", "brand", "family", "category", "stock")
+
+
+@query(f"""{CATALOGUE} SELECT count(*) AS products, count(family) AS classified, round(100.0 * count(family) / count(*), 1) AS percent, count(standard_code) AS with_code, count(*) FILTER (status <> 'Activo') AS flagged,
+    count(DISTINCT CASE WHEN duplicate_kind IS NOT NULL THEN key END) AS groups, count(DISTINCT CASE WHEN duplicate_kind = 'Mismo país' THEN key END) AS groups_same, count(duplicate_kind) AS duplicate_products, count(DISTINCT brand) AS brands FROM cat""")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("duplicate_kind")
+    return catalogue(spark, sf_dir).agg(
+        F.count("*").alias("products"), F.count("family").alias("classified"), F.round(100 * F.count("family") / F.count("*"), 1).alias("percent"), F.count("standard_code").alias("with_code"), F.count_if(F.col("status") != T.ACTIVE).alias("flagged"),
+        F.count_distinct(F.when(kind.isNotNull(), F.col("key"))).alias("groups"), F.count_distinct(F.when(kind == duplicates.SAME, F.col("key"))).alias("groups_same"), F.count(kind).alias("duplicate_products"), F.count_distinct("brand").alias("brands"),
+    )
+
+
+@query(f"""{CATALOGUE}, me AS (SELECT * FROM cat WHERE master_id % 20 = 0) SELECT me.master_id, o.master_id AS similar_id FROM me JOIN cat o ON ' ' || o.search_text LIKE '% ' || split_part(me.search_text, ' ', 1) || '%'
+    AND ' ' || o.search_text LIKE '% ' || split_part(me.search_text, ' ', 2) || '%' WHERE o.key <> me.key""")
+def similar_not_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products whose text starts words with the first two of another's, without its exact equals; asked for every product whose id 20 divides."""
+    every = catalogue(spark, sf_dir).select("master_id", "search_text", "key")
+    words = F.split("search_text", " ")
+    word = F.explode(F.array_distinct(F.split("search_text", " ")))
+    asked = every.where("master_id % 20 = 0").select(F.col("master_id").alias("me"), F.col("key").alias("mine"), words[0].alias("a"), words[1].alias("b"))
+    prefixes = asked.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("prefix")).distinct()
+    lengths = [r[0] for r in prefixes.select(F.length("prefix")).distinct().collect()]
+    known = every.select("master_id", word.alias("w")).select("master_id", F.explode(F.array(*[F.when(F.length("w") >= n, F.substring("w", 1, n)) for n in lengths])).alias("prefix")).where("prefix IS NOT NULL").distinct().join(F.broadcast(prefixes), "prefix")
+    first = asked.join(known.withColumnRenamed("master_id", "other"), F.col("a") == F.col("prefix")).drop("prefix")
+    both = first.join(known, (F.col("b") == F.col("prefix")) & (F.col("other") == F.col("master_id"))).drop("prefix", "master_id")
+    return both.join(every.select(F.col("master_id").alias("other"), "key"), "other").where("key <> mine").select(F.col("me").alias("master_id"), F.col("other").alias("similar_id"))
+
+
+# ---------------------------------------------------------------- loads and validation
+STAGED = f"""staged AS (SELECT {", ".join(ORDER)}, code, site, load, stock, CASE WHEN l_orderkey % 10 = 0 THEN 'quarantined' ELSE 'accepted' END AS status,
+    CASE WHEN l_orderkey % 30 = 0 THEN 'SYSTEMDEFAULT' WHEN l_orderkey % 20 = 0 THEN 'DEFAULTITEM' ELSE CAST(code AS VARCHAR) END AS product FROM obs)"""
+
+
+def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("l_orderkey")
+    product = F.when(k % 30 == 0, "SYSTEMDEFAULT").when(k % 20 == 0, "DEFAULTITEM").otherwise(F.col("code").cast("string"))
+    return observations(spark, sf_dir).withColumns({"status": F.when(k % 10 == 0, "quarantined").otherwise("accepted"), "product": product})
+
+
+_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+@query(f"""WITH {OBS_SQL}, {STAGED} SELECT s.l_orderkey, s.l_linenumber, s.l_partkey, s.l_suppkey, s.product, s.product IN ('DEFAULTITEM', 'DEFAULTLABOR', 'DEFAULTMISC', 'SYSTEMDEFAULT') AS eligible,
+    coalesce(CASE WHEN s.l_linenumber % 2 = 0 THEN 'exclude' END, 'pending') AS decision FROM staged s WHERE status = 'quarantined'""")
+def technical_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = staged(spark, sf_dir)
+    made = rows.where("l_linenumber % 2 = 0 AND status = 'quarantined'").select(*_KEYS).distinct().withColumn("decision", F.lit("exclude"))
+    return publication.technical_rows(rows, made, _KEYS, "product").select(*_KEYS, "product", "eligible", "decision")
+
+
+@query(f"""WITH {OBS_SQL}, {STAGED}, held AS (SELECT *, product IN ('DEFAULTITEM', 'DEFAULTLABOR', 'DEFAULTMISC', 'SYSTEMDEFAULT') AND l_linenumber % 2 = 0 AS out FROM staged WHERE status = 'quarantined' AND load = {LOAD}),
+    good AS (SELECT * FROM staged WHERE status = 'accepted' AND load = {LOAD}), masters AS (SELECT DISTINCT code FROM obs WHERE code % 7 <> 0)
+    SELECT (SELECT count(*) FROM good) AS accepted, (SELECT count(*) FROM held WHERE out) AS excluded, (SELECT count(*) FROM held WHERE NOT out) AS unresolved, (SELECT count(*) FROM good WHERE code NOT IN (SELECT code FROM masters)) AS missing_masters,
+        (SELECT count(*) FROM (SELECT DISTINCT code FROM obs WHERE load = {LOAD - 1}) WHERE code NOT IN (SELECT code FROM good)) AS absent_codes, (SELECT count(DISTINCT code) FROM good WHERE code % 5 = 0) AS pending_families, 1 AS global_errors""")
+def preview_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = staged(spark, sf_dir)
+    now = rows.where(F.col("load") == LOAD)
+    made = now.where("l_linenumber % 2 = 0 AND status = 'quarantined'").select(*_KEYS).distinct().withColumn("decision", F.lit("exclude"))
+    masters = rows.where("code % 7 <> 0").select("code").distinct()
+    pending = now.where("status = 'accepted' AND code % 5 = 0").select("code").distinct()
+    return publication.preview(now.withColumn("accepted", F.col("status") == "accepted"), rows.where(F.col("load") == LOAD - 1), publication.technical_rows(now, made, _KEYS, "product"), masters, 1, pending)
+
+
+_FLAGS = """CASE l_returnflag WHEN 'A' THEN 'TRUE' WHEN 'N' THEN 'FALSE' END AS affects_availability, CASE l_linestatus WHEN 'O' THEN 'FREIGHT' ELSE 'NOTFREIGHT' END AS is_freight, CASE WHEN l_linenumber = 7 THEN 'PERHAPS' WHEN l_linenumber < 3 THEN 'MISCITEM' END AS is_misc_item"""
+
+
+def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(spark, sf_dir).withColumns({
+        "affects_availability": F.when(F.col("l_returnflag") == "A", "TRUE").when(F.col("l_returnflag") == "N", "FALSE"), "is_freight": F.when(F.col("l_linestatus") == "O", "FREIGHT").otherwise("NOTFREIGHT"),
+        "is_misc_item": F.when(F.col("l_linenumber") == 7, "PERHAPS").when(F.col("l_linenumber") < 3, "MISCITEM"), "source": F.lit("s"), "row_number": F.col("l_orderkey"),
+    })
+
+
+@query(f"WITH f AS (SELECT {_FLAGS} FROM lineitem) SELECT 'is_misc_item' AS field, is_misc_item AS value, count(*) AS n FROM f WHERE is_misc_item NOT IN ('MISCITEM', 'NOTMISCITEM') GROUP BY 2")
+def flag_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return publication.unknown_flags(flagged(spark, sf_dir), PUBLISHED_FLAGS)
+
+
+SNAPSHOT = f"""snap AS (SELECT s.l_orderkey, s.l_linenumber, s.l_suppkey, s.code, m.master_id, s.site, s.stock, CASE f.affects_availability WHEN 'TRUE' THEN 1 WHEN 'FALSE' THEN 0 END AS affects_availability,
+    CASE f.is_freight WHEN 'FREIGHT' THEN 1 WHEN 'NOTFREIGHT' THEN 0 END AS is_freight, CASE f.is_misc_item WHEN 'MISCITEM' THEN 1 WHEN 'NOTMISCITEM' THEN 0 END AS is_misc_item, s.load
+    FROM (SELECT *, row_number() OVER () AS r FROM staged) s JOIN LATERAL (SELECT CASE s.l_returnflag WHEN 'A' THEN 'TRUE' WHEN 'N' THEN 'FALSE' END AS affects_availability, CASE s.l_linestatus WHEN 'O' THEN 'FREIGHT' ELSE 'NOTFREIGHT' END AS is_freight,
+        CASE WHEN s.l_linenumber = 7 THEN 'PERHAPS' WHEN s.l_linenumber < 3 THEN 'MISCITEM' END AS is_misc_item) f ON true JOIN (SELECT DISTINCT code, code + 1000 AS master_id FROM obs WHERE code % 7 <> 0) m ON m.code = s.code WHERE s.status = 'accepted')"""
+_STAGED_FLAGS = STAGED.replace("AS status,", "AS status, l_returnflag, l_linestatus,")
+
+
+def snapshot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = flagged(spark, sf_dir)
+    masters = rows.where("code % 7 <> 0").select("code", (F.col("code") + 1000).alias("master_id")).distinct()
+    return publication.snapshots(rows, masters, ["stock"], PUBLISHED_FLAGS, ["l_orderkey", "l_linenumber", "l_suppkey", "site", "load"])
+
+
+@query(f"WITH {OBS_SQL}, {_STAGED_FLAGS}, {SNAPSHOT} SELECT l_orderkey, l_linenumber, l_suppkey, code, master_id, site, stock, affects_availability, is_freight, is_misc_item FROM snap")
+def publish_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot_rows(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_suppkey", "code", "master_id", "site", "stock", "affects_availability", "is_freight", "is_misc_item")
+
+
+@query(f"""WITH {OBS_SQL}, {_STAGED_FLAGS}, {SNAPSHOT}, l AS (SELECT p_partkey AS code, unnest([p_brand, p_type]) AS value, unnest(['p_brand', 'p_type']) AS field FROM part)
+    SELECT s.l_orderkey, s.l_linenumber, s.l_suppkey, s.code, l.field, l.value FROM snap s JOIN l ON s.code = l.code WHERE s.load = {LOAD}""")
+def snapshot_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = labels.unpivot_labels(read(spark, sf_dir, "part").withColumnRenamed("p_partkey", "code"), ["code"], ["p_brand", "p_type"])
+    return snapshot_rows(spark, sf_dir).where(F.col("load") == LOAD).join(own, "code").select("l_orderkey", "l_linenumber", "l_suppkey", "code", "field", "value")
+
+
+@query("""SELECT c_nationkey AS source, max(c_custkey) AS load_id, arg_max(c_name, c_custkey) AS snapshot_at FROM customer GROUP BY 1""")
+def active_publications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("source"), F.col("c_custkey").alias("load_id"), F.col("c_name").alias("snapshot_at"))
+    return checks.newest(rows, "source", ["load_id"], ["load_id", "snapshot_at"])
+
+
+@query(f"""WITH {OBS_SQL}, known AS (SELECT s_suppkey AS site FROM supplier WHERE s_suppkey % 6 <> 0), {STAGED} SELECT l_orderkey, l_linenumber, code, site, stock FROM staged WHERE status = 'accepted' AND code % 7 <> 0 AND site IN (SELECT site FROM known)""")
+def export_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = staged(spark, sf_dir).where("status = 'accepted'")
+    masters = read(spark, sf_dir, "part").where("p_partkey % 7 <> 0").select(F.col("p_partkey").alias("code"))
+    known = read(spark, sf_dir, "supplier").where("s_suppkey % 6 <> 0").select(F.col("s_suppkey").alias("site"))
+    return rows.join(masters, "code", "left_semi").join(known, "site", "left_semi").select("l_orderkey", "l_linenumber", "code", "site", "stock")
+
+
+@query("SELECT 'error' AS severity, unnest(['r_comment', 'file']) AS field, unnest(['missing_column', 'empty_file']) AS code")
+def file_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    empty = read(spark, sf_dir, "region").where("r_regionkey < 0")
+    return spark.createDataFrame(checks.file_issues(empty.columns, ["r_name", "r_comment"], empty.count()), "severity string, field string, code string")
+
+
+_ISSUES = """i AS (SELECT c_custkey, c_acctbal < 0 AS warn, c_custkey % 11 = 0 AS bad FROM customer)"""
+
+
+def _issue_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    raw = read(spark, sf_dir, "customer").select(k, F.when(k % 11 == 0, "").otherwise(F.col("c_name")).alias("name"), F.format_string("%.2f", "c_acctbal").alias("balance"))
+    return raw.withColumn("issues", checks.issues_of(raw.columns, required=["name"], numbers=["balance"]))
+
+
+@query(f"WITH {_ISSUES} SELECT c_custkey, bad AS quarantined, CAST(bad AS INT) + CAST(warn AS INT) AS n_issues FROM i")
+def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _issue_rows(spark, sf_dir).select("c_custkey", checks.quarantined().alias("quarantined"), F.size("issues").alias("n_issues"))
+
+
+@query(f"""WITH {_ISSUES}, c AS (SELECT 'error' AS severity, 'name' AS field, 'required_value' AS code, count(*) FILTER (bad) AS n FROM i UNION ALL SELECT 'warning', 'balance', 'negative_value', count(*) FILTER (warn) FROM i)
+    SELECT *, row_number() OVER (ORDER BY severity, n DESC, field, code) AS place FROM c""")
+def issue_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = checks.report(_issue_rows(spark, sf_dir))
+    return rows.withColumn("place", F.row_number().over(Window.orderBy("severity", F.desc("n"), "field", "code")))  # one row for each kind of issue
+
+
+@query("""SELECT s_nationkey, count(DISTINCT s_name) AS n_values FROM supplier GROUP BY 1 HAVING count(DISTINCT s_name) > 1""")
+def site_name_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.conflicts(read(spark, sf_dir, "supplier"), "s_nationkey", ["s_name"]).select("s_nationkey", "n_values")
+
+
+_IDENTITY = ["l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax", "l_linenumber", "l_suppkey", "l_shipdate", "l_extendedprice"]
+
+
+@query("WITH " + ", ".join(f"c{i} AS (SELECT l_partkey, count(DISTINCT {a}) AS n FROM lineitem GROUP BY 1 HAVING count(DISTINCT {a}) > 1)" for i, a in enumerate(_IDENTITY)) + " " + " UNION ALL ".join(f"SELECT '{a}' AS attribute, count(*) AS n_codes, max(n) AS most_values FROM c{i}" for i, a in enumerate(_IDENTITY)))
+def identity_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = checks.conflicts(read(spark, sf_dir, "lineitem"), "l_partkey", _IDENTITY)
+    return found.groupBy("attribute").agg(F.count("*").alias("n_codes"), F.max("n_values").alias("most_values"))
+
+
+# ---------------------------------------------------------------- products of a load and their conservative review
+@query(f"""WITH {OBS_SQL}, {STAGED} SELECT code, array_to_string(list_sort(list(l_orderkey)), ',') AS rows, bool_or(status = 'quarantined') AS quarantined,
+    arg_min(CASE WHEN stock > 25 THEN stock END, CASE WHEN stock > 25 THEN [l_orderkey, l_linenumber, site] END) AS stock FROM staged GROUP BY code""")
+def product_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = staged(spark, sf_dir).withColumn("stock", F.when(F.col("stock") > 25, F.col("stock")))
+    return checks.product_rows(rows, "code", ["l_orderkey", "l_linenumber", "site"], ["stock"], "l_orderkey").select("code", F.array_join(F.transform("rows", lambda x: x.cast("string")), ",").alias("rows"), "quarantined", "stock")
+
+
+_BRAND = "'" + "', '".join(f for f, _ in demo.family_patterns) + "'"
+REVIEWED = f"""{DECIDED}, ev AS (SELECT f.code, f.by_name AS lex, f.by_label AS grp, f.size % 13 = 0 AS held, CASE WHEN f.size % 10 = 0 THEN 'PACKAGE' ELSE 'ITEM' END AS package, CASE WHEN f.size % 7 = 0 THEN 'LABOR' WHEN f.size % 11 = 0 THEN NULL ELSE 'ITEM' END AS ptype,
+        f.size % 8 = 0 AS warned, f.size % 3 = 0 AS has_master FROM fam f), ok AS (SELECT *, len(lex) = 1 AND len(grp) = 1 AND lex[1] = grp[1] AS agree, coalesce(ptype <> 'ITEM', true) AS odd FROM ev),
+    rev AS (SELECT code, lex, grp, CASE WHEN held THEN NULL WHEN len(lex) = 1 THEN lex[1] WHEN len(grp) = 1 THEN grp[1] END AS family,
+        CASE WHEN held THEN 'quarantined' WHEN agree AND package <> 'PACKAGE' AND NOT warned AND NOT odd AND NOT has_master THEN 'approved_by_rule' ELSE 'pending' END AS status,
+        CASE WHEN held THEN 'Validacion de origen pendiente' ELSE CASE WHEN agree THEN 'Objeto principal y etiqueta especifica coinciden' WHEN len(lex) = 1 THEN 'Descripcion sugiere familia; etiquetas ausentes o distintas'
+            WHEN len(grp) = 1 THEN 'Solo etiqueta: descripcion requiere revision' ELSE 'Evidencias ambiguas o contradictorias' END || CASE WHEN package = 'PACKAGE' THEN '; validar composicion del paquete' ELSE '' END || CASE WHEN warned THEN '; advertencia operacional' ELSE '' END
+            || CASE WHEN odd THEN '; validar tipo de servicio/repuesto/cargo' ELSE '' END || CASE WHEN agree AND package <> 'PACKAGE' AND NOT warned AND NOT odd AND has_master THEN '; maestro existente requiere aprobacion explicita' ELSE '' END END AS reason FROM ok)"""
+
+
+def reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("size")
+    package, kind = F.when(size % 10 == 0, "PACKAGE").otherwise("ITEM"), F.when(size % 7 == 0, "LABOR").when(size % 11 != 0, "ITEM")
+    r = classify.review(size % 13 == 0, F.col("by_name"), F.col("by_label"), package, kind, size % 8 == 0, size % 3 == 0)
+    return classified(spark, sf_dir).drop("family", "method").withColumn("r", r).select("code", "size", "by_name", "by_label", "r.family", "r.status", "r.reason")
+
+
+@query(f"{REVIEWED} SELECT code, family, status, reason FROM rev")
+def conservative_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reviewed(spark, sf_dir).select("code", "family", "status", "reason")
+
+
+_WAITS = """CASE WHEN status = 'quarantined' THEN 'Cuarentena' WHEN lower(reason) LIKE '%paquete%' THEN 'Paquetes' WHEN lower(reason) LIKE '%advertencia%' THEN 'Advertencias operacionales' WHEN lower(reason) LIKE '%tipo de%' THEN 'Servicios, repuestos o cargos'
+    WHEN len(grp) > 1 OR len(lex) > 1 THEN 'Evidencia contradictoria' WHEN family IS NOT NULL THEN 'Familia propuesta por confirmar' ELSE 'Sin familia suficiente' END"""
+
+
+def waiting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reviewed(spark, sf_dir).withColumn("waits_as", classify.pending_group(F.col("status"), F.col("reason"), F.size("by_name"), F.size("by_label"), F.col("family")))
+
+
+@query(f"{REVIEWED} SELECT code, {_WAITS} AS waits_as FROM rev")
+def pending_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return waiting(spark, sf_dir).select("code", "waits_as")
+
+
+@query(f"{REVIEWED}, w AS (SELECT status, {_WAITS} AS waits_as FROM rev) SELECT status, CASE WHEN status = 'pending' THEN waits_as END AS waits_as, count(*) AS n FROM w GROUP BY 1, 2")
+def build_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return waiting(spark, sf_dir).groupBy("status", F.when(F.col("status") == "pending", F.col("waits_as")).alias("waits_as")).agg(F.count("*").alias("n"))
+
+
+@query(f"""{REVIEWED}, a AS (SELECT family, CAST(code AS VARCHAR) AS item, row_number() OVER (PARTITION BY family ORDER BY sha256('"' || code || '"'), CAST(code AS VARCHAR)) AS place FROM rev WHERE status = 'approved_by_rule') SELECT family, item, place FROM a WHERE place <= 5""")
+def frozen_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reviewed(spark, sf_dir).where("status = 'approved_by_rule'").select("family", F.col("code").cast("string").alias("item"))
+    return profile.stratified_sample(rows, "family", "item").withColumn("place", F.col("place").cast("long"))
+
+
+@query(f"""{REVIEWED}, h AS (SELECT code, CASE WHEN code % 3 = 0 THEN 'family' ELSE 'category' END AS field, CASE WHEN code % 6 <> 3 THEN 'Gears' END AS value, 'context-1' AS version FROM rev WHERE code % 4 = 1)
+    SELECT r.code, CASE WHEN r.status = 'pending' AND h.field = 'family' AND h.value IS NOT NULL THEN h.value WHEN r.status = 'pending' AND h.field = 'category' THEN NULL ELSE r.family END AS family,
+        CASE WHEN r.status = 'pending' AND h.field = 'family' AND h.value IS NOT NULL THEN 'Propuesta previa mas reciente conservada (context-1); no cumple aprobacion automatica'
+             WHEN r.status = 'pending' AND h.field = 'category' THEN 'Revision previa permite solo categoria; familia pendiente' ELSE r.reason END AS reason FROM rev r LEFT JOIN h ON r.code = h.code""")
+def earlier_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reviewed(spark, sf_dir).select("code", "family", "status", "reason")
+    some, k = rows.where("code % 4 = 1").select("code"), F.col("code")
+    newest = some.select("code", F.when(k % 3 == 0, "family").otherwise("category").alias("field"), F.when(k % 6 != 3, "Gears").alias("value"), F.lit("context-1").alias("version"), F.lit(1).alias("step"))
+    older = some.select("code", F.lit("family").alias("field"), F.lit("Rings").alias("value"), F.lit("conditional-1").alias("version"), F.lit(0).alias("step"))
+    return classify.with_history(rows, older.unionByName(newest), "code", ["step"]).select("code", "family", "reason")
+
+
+@query(f"""{DECIDED} SELECT code, CASE WHEN size % 5 = 0 THEN 'Bolts' WHEN size % 5 = 1 THEN NULL WHEN size % 9 = 0 THEN 'Gears' ELSE family END AS family,
+    CASE WHEN size % 5 = 0 THEN 'Revisor' WHEN size % 5 = 1 THEN 'Revisar: rechazada por revisor' WHEN size % 9 = 0 THEN 'Alta manual' ELSE method END AS method FROM decided""")
+def human_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("size")
+    d = classify.decide(F.when(size % 5 == 0, "approved").when(size % 5 == 1, "rejected").when(size % 5 == 2, "pending"), F.lit("Bolts"), F.when(size % 9 == 0, "manual").otherwise("import"), F.lit("Gears"), F.struct("family", "method"))
+    return classified(spark, sf_dir).withColumn("d", d).select("code", "d.family", "d.method")
+
+
+@query(f"{REVIEWED} SELECT code, array_to_string(CASE WHEN list_contains(lex, 'Hot items') THEN list_filter(lex, lambda x: x <> 'Rings') ELSE lex END, '/') AS families FROM rev")
+def overridden_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classified(spark, sf_dir).select("code", F.array_join(classify.without_overridden(F.col("by_name"), "Hot items", "Rings"), "/").alias("families"))
+
+
+# ---------------------------------------------------------------- sites
+@query(f"""WITH {CODED}, p AS (SELECT site, nullif(regexp_extract(code, '^(CO|PE|CL)[\\s_\\-]', 1), '') AS prefix, code FROM coded), c AS (SELECT site, prefix, count(*) AS n FROM p GROUP BY 1, 2),
+    e AS (SELECT site, coalesce(sum(n) FILTER (prefix IS NOT NULL), 0) / sum(n) AS share, (array_agg(prefix ORDER BY n DESC, prefix) FILTER (prefix IS NOT NULL))[1] AS top, max(n) FILTER (prefix IS NOT NULL) / sum(n) FILTER (prefix IS NOT NULL) AS dominance FROM c GROUP BY site),
+    s AS (SELECT s_suppkey AS site, s_name || CASE s_suppkey % 4 WHEN 0 THEN ' north' WHEN 1 THEN ' South' ELSE '' END AS text FROM supplier), w AS (SELECT s.*, e.*, CASE WHEN text LIKE '%north%' THEN 'NATION_1' WHEN text LIKE '%South%' THEN 'NATION_2' END AS word FROM s LEFT JOIN e ON s.site = e.site)
+    SELECT site, coalesce(word, CASE WHEN share >= 0.3 AND dominance >= 0.5 THEN top END) AS country, CASE WHEN word IS NOT NULL THEN 'palabra clave' WHEN share >= 0.3 AND dominance >= 0.5 AND top IS NOT NULL THEN 'prefijo de códigos' ELSE 'sin evidencia' END AS country_source FROM w""")
+def site_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prefix = F.nullif(F.regexp_extract("code", r"^(CO|PE|CL)[\s_\-]", 1), F.lit(""))
+    proof = sites.prefix_evidence(_coded(spark, sf_dir).select("site", prefix.alias("prefix")), "site", "prefix")
+    k = F.col("s_suppkey")
+    rows = read(spark, sf_dir, "supplier").select(k.alias("site"), F.concat("s_name", F.when(k % 4 == 0, " north").when(k % 4 == 1, " South").otherwise("")).alias("text")).join(proof, "site", "left")
+    found = sites.country(F.col("text"), demo.country_rules, F.col("prefixed_share"), F.col("top_prefix"), F.col("dominance"), least_dominance=0.5)
+    return rows.select("site", found.alias("c")).select("site", "c.country", F.col("c.source").alias("country_source"))
+
+
+@query(f"WITH {OBS_SQL} SELECT site, count(*) AS n_rows, arg_min(l_returnflag || code, [l_orderkey, l_linenumber, code]) AS first_name FROM obs GROUP BY site")
+def site_first_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = observations(spark, sf_dir).withColumn("name", F.concat("l_returnflag", F.col("code").cast("string")))
+    return sites.site_names(rows, "site", "name", ["l_orderkey", "l_linenumber", "code"])
+
+
+@query("SELECT s_suppkey AS site, CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE 'rule' END AS value FROM supplier")
+def manual_sites_stay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "supplier")
+    return rows.select(F.col("s_suppkey").alias("site"), sites.protect_manual(F.col("s_name"), F.when(F.col("s_suppkey") % 3 == 0, "manual").otherwise("palabra clave"), F.lit("rule")).alias("value"))
+
+
+@query("SELECT s_suppkey AS site, row_number() OVER (ORDER BY nullif(n_name, 'NATION_7') IS NOT NULL, s_name, s_suppkey) AS place FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
+def sites_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acervo.operators.numbering import dense_ids
+    from acervo.plans.frames import site_table
+
+    rows = site_table(spark, sf_dir).join(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site"), "s_name"), "site")
+    return dense_ids(rows.select("site", F.col("country").isNotNull().alias("known"), "s_name"), ["known", "s_name", "site"], "place").select("site", "place")
+
+
+# ---------------------------------------------------------------- detail, stock and sets
+@query(f"""WITH {OBS_SQL} SELECT code, site, country, site_type, stock, site_type IN ({AVAILABLE_SQL}) AS available FROM obs WHERE code IN (3, 5, 8) ORDER BY available DESC, stock DESC, site, code LIMIT 40""")
+def detail_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    free = F.col("site_type").isin(*AVAILABLE)
+    rows = observations(spark, sf_dir).where(F.col("code").isin(3, 5, 8)).select("code", "site", "country", "site_type", "stock", free.alias("available"))
+    return rows.orderBy(F.desc("available"), F.desc("stock"), "site", "code").limit(40)
+
+
+@query(f"""WITH {OBS_SQL}, q AS (SELECT coalesce(country, 'Sin país') AS country, site_type, CAST(sum(CAST(stock AS DECIMAL(18,2))) AS DOUBLE) AS stock FROM obs WHERE stock > 0 AND site_type NOT IN ({AVAILABLE_SQL}) GROUP BY 1, 2)
+    SELECT country, string_agg(site_type || ': ' || CAST(CAST(stock AS BIGINT) AS VARCHAR), ' · ' ORDER BY site_type) AS unavailable FROM q GROUP BY country""")
+def unavailable_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = inventory.unavailable_map(observations(spark, sf_dir), AVAILABLE)
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("unavailable")), lambda e: F.concat(e["key"], F.lit(": "), e["value"].cast("long").cast("string"))), " · ")
+    return made.select("country", text.alias("unavailable"))
+
+
+@query(f"""WITH {OBS_SQL}, s AS (SELECT code, coalesce(country, 'Sin país') AS country, CAST(sum(CAST(stock AS DECIMAL(18,2))) AS DOUBLE) AS quantity FROM obs WHERE site_type IN ({AVAILABLE_SQL}) AND stock > 0 GROUP BY 1, 2) SELECT code, country, quantity FROM s""")
+def exploded_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory.stock_map(observations(spark, sf_dir), AVAILABLE).select("code", F.explode("stock_by_country").alias("country", "quantity"))
+
+
+@query(f"""WITH {OBS_SQL}, s AS (SELECT code, CAST(sum(CAST(stock AS DECIMAL(18,2))) AS DOUBLE) AS total FROM obs WHERE site_type IN ({AVAILABLE_SQL}) AND stock > 0 GROUP BY 1) SELECT code, row_number() OVER (ORDER BY total DESC, code) AS place FROM s""")
+def order_by_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products in order of their stock over all countries; the total orders only and is not returned."""
+    from acervo.operators.numbering import dense_ids
+
+    made = inventory.stock_map(observations(spark, sf_dir), AVAILABLE)
+    total = F.aggregate(F.map_values("stock_by_country"), F.lit(0).cast("decimal(38,2)"), lambda a, x: (a + inventory.money(x)).cast("decimal(38,2)"))
+    return dense_ids(made.select("code", (-total).alias("less")), ["less", "code"], "place").select("code", "place")
+
+
+@query("SELECT DISTINCT p_brand AS brand FROM part WHERE p_brand IS NOT NULL AND p_brand <> ''")
+def raw_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").where("p_brand <> ''").select(F.col("p_brand").alias("brand")).distinct()
+
+
+@query(f"{REVIEWED} SELECT code, list_sort(list_distinct(lex)) = list_sort(list_distinct(grp)) AS same, len(list_intersect(lex, grp)) AS shared FROM rev")
+def evidence_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    same = F.array_sort(F.array_distinct("by_name")) == F.array_sort(F.array_distinct("by_label"))
+    return classified(spark, sf_dir).select("code", same.alias("same"), F.size(F.array_intersect("by_name", "by_label")).cast("long").alias("shared"))
+
+
+_TAX = [(f, c, demo.code_prefix(f)) for f, (c, _, _) in sorted(demo.taxonomy.items())]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{c}', '{p}', {'true' if any(f == x for x, _ in demo.family_patterns) else 'false'})" for f, c, p in _TAX) + ") t(family, category, prefix, has_pattern)")
+def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = {f for f, _ in demo.family_patterns}
+    return spark.createDataFrame([(f, c, p, f in named) for f, c, p in _TAX], "family string, category string, prefix string, has_pattern boolean")
+
+
+# ---------------------------------------------------------------- profiles
+@query("""WITH l AS (UNPIVOT (SELECT CAST(p_partkey AS VARCHAR) AS code, p_brand, p_type, CAST(p_size AS VARCHAR) AS p_size, CASE WHEN p_size % 4 <> 0 THEN p_name END AS p_name FROM part) ON p_brand, p_type, p_size, p_name INTO NAME field VALUE value),
+    g AS (SELECT p_name AS product, field, count(DISTINCT value) AS n FROM l JOIN (SELECT CAST(p_partkey AS VARCHAR) AS code, p_name FROM part) USING (code) WHERE field <> 'p_name' GROUP BY 1, 2),
+    c AS (SELECT field, count(DISTINCT value) AS n_values, round(100.0 * (1 - count(*) / (SELECT count(*) FROM part)), 4) AS null_percent FROM l GROUP BY field)
+    SELECT c.field, n_values, null_percent, coalesce((SELECT count(*) FROM g WHERE g.field = c.field AND n > 1), 0) AS varying FROM c""")
+def grouping_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = read(spark, sf_dir, "part").select("p_name", "p_brand", "p_type", F.col("p_size").cast("string").alias("p_size"), F.when(F.col("p_size") % 4 != 0, F.col("p_name")).alias("named"))
+    return profile.grouping_fields(part, "p_name", {"p_brand": "p_brand", "p_type": "p_type", "p_size": "p_size", "p_name": "named"})
+
+
+_FINDINGS = [("Textos", "empty or null", "coalesce(length(text), 0) = 0"), ("Textos", "grave accents", "regexp_matches(text, '[òàèìù]')"), ("Tamaño", "over 10,000 characters", "length(text) > 10000")]
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT {i} AS place, '{a}' AS area, '{b}' AS finding, count(*) FILTER ({c}) AS n FROM documents" for i, (a, b, c) in enumerate(_FINDINGS, 1)) + ")")
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    tests = [F.coalesce(F.length(text), F.lit(0)) == 0, F.coalesce(T.grave_accents(text), F.lit(False)), F.coalesce(F.length(text) > 10_000, F.lit(False))]
+    return profile.findings(read(spark, sf_dir, "documents"), [(a, b, t) for (a, b, _), t in zip(_FINDINGS, tests, strict=True)])
+
+
+@query("""WITH k AS (SELECT p_partkey, p_name, sha256('1:' || p_partkey) AS h FROM part) SELECT p_partkey, p_name FROM k ORDER BY h, p_partkey LIMIT 15""")
+def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.seeded_sample(read(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey", seed=1, rows=15)
+
+
+@query("""WITH c AS (SELECT p_brand AS value, count(*) AS n FROM part GROUP BY 1) SELECT value AS mode_value, n AS mode_count, round(100.0 * n / (SELECT count(*) FROM part), 4) AS mode_percent FROM c ORDER BY n DESC, value LIMIT 1""")
+def mode_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.columns(read(spark, sf_dir, "part"), ["p_brand"]).select("mode_value", "mode_count", "mode_percent")
+
+
+@query("""WITH k AS (SELECT *, regexp_replace(upper(p_brand), '[^A-Z0-9]+', '', 'g') || '|' || p_size AS key FROM part), g AS (SELECT key, count(*) AS members, count(DISTINCT p_name) AS names FROM k GROUP BY 1 HAVING count(*) > 1) SELECT key, members, names FROM g""")
+def equal_brand_and_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "part").withColumn("key", F.concat_ws("|", T.compact_key(F.col("p_brand")), F.col("p_size").cast("string")))
+    return rows.groupBy("key").agg(F.count("*").alias("members"), F.count_distinct("p_name").alias("names")).where("members > 1")
+
+
+@query(f"""WITH {OBS_SQL}, s AS (SELECT code, sum(CASE WHEN site_type IN ({AVAILABLE_SQL}) THEN CAST(greatest(stock, 0) AS DECIMAL(18,2)) ELSE 0 END) AS free, count(DISTINCT CASE WHEN stock > 0 THEN country END) AS n_countries FROM obs GROUP BY code)
+    SELECT code, CAST(free AS DOUBLE) AS free, n_countries FROM s""")
+def stocked_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    free = F.when(F.col("site_type").isin(*AVAILABLE), inventory.money(F.greatest("stock", F.lit(0.0)))).otherwise(F.lit(0).cast("decimal(18,2)"))
+    return observations(spark, sf_dir).groupBy("code").agg(F.sum(free).cast("double").alias("free"), F.count_distinct(F.when(F.col("stock") > 0, F.col("country"))).alias("n_countries"))
+
+
+@query("""SELECT doc_id, lang FROM documents WHERE regexp_matches(' ' || trim(regexp_replace(strip_accents(upper(replace(text, 'ß', 'ss'))), '[^A-Z0-9]+', ' ', 'g')), ' ENT') AND regexp_matches(' ' || trim(regexp_replace(strip_accents(upper(replace(text, 'ß', 'ss'))), '[^A-Z0-9]+', ' ', 'g')), ' LA')""")
+def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").where(search.matches(T.spaced_key(F.col("text")), "ENT LA")).select("doc_id", "lang")
+
+
+@query("""WITH a AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events) SELECT user_id, event_id, event_type, place FROM a WHERE place <= 10""")
+def history_last_ten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.last_rows(read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], 10).select("user_id", "event_id", "event_type", "place")

@@ -23,7 +23,8 @@ def query(sql: str):
 def _column_sql(c: str) -> str:
     return f"""SELECT '{c}' AS column_name, count({c}) AS filled, round(100.0 * (count(*) - count({c})) / count(*), 4) AS null_percent, count(DISTINCT {c}) AS distinct_values,
         (SELECT CAST({c} AS VARCHAR) FROM p WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, CAST({c} AS VARCHAR) LIMIT 1) AS mode_value,
-        (SELECT count(*) FROM p WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC LIMIT 1) AS mode_count FROM p"""
+        (SELECT count(*) FROM p WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC LIMIT 1) AS mode_count,
+        round(100.0 * (SELECT count(*) FROM p WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC LIMIT 1) / count(*), 4) AS mode_percent FROM p"""
 
 
 @query("WITH p AS (SELECT p_name, p_brand, p_type, p_size, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_type END AS p_some FROM part) " + " UNION ALL ".join(map(_column_sql, ["p_name", "p_brand", "p_type", "p_size", "p_some"])))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from acervo.functions import text as T
 from acervo.operators import checks, classify, codes, inventory, labels, profile, search, sites
+from acervo.operators.numbering import dense_ids
 from acervo.plans.frames import AVAILABLE, AVAILABLE_SQL, OBS_SQL, PRODUCTS_SQL, observations, products, read
 from acervo.rulepack import demo
 
@@ -133,11 +134,12 @@ def text_key_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", keys.alias("k")).select("doc_id", "k.compact", "k.spaced")
 
 
-@query(r"""SELECT doc_id, CASE WHEN regexp_matches(lower(text), '\bdo not use\b|\bobsolete\b|\bworthless\b|\btrash\b') THEN 'Revisar: marcado no usar / eliminar' ELSE 'Activo' END AS status,
-    regexp_matches(text, '[àèìòùÀÈÌÒÙ]') AS has_grave, length(text) AS n FROM documents WHERE length(text) >= 20""")
+@query(r"""SELECT doc_id, CASE WHEN length(regexp_replace(strip_accents(upper(coalesce(text, ''))), '[^A-Z0-9]+', '', 'g')) < 3 THEN 'Revisar: descripción inválida' WHEN regexp_matches(lower(text), '\bdo not use\b|\bobsolete\b|\bworthless\b|\btrash\b') THEN 'Revisar: marcado no usar / eliminar' ELSE 'Activo' END AS status,
+    regexp_matches(text, '[òàèìù]') AS has_grave, length(text) AS n FROM documents""")
 def operational_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").where(F.length("text") >= 20)
-    return docs.select("doc_id", T.operational_status(F.col("text"), F.col("text"), demo.flag_pattern).alias("status"), T.grave_accents(F.col("text")).alias("has_grave"), F.length("text").cast("long").alias("n"))
+    text = F.col("text")
+    base = F.when(F.length(T.compact_key(text)) >= 3, text)
+    return read(spark, sf_dir, "documents").select("doc_id", T.operational_status(text, base, demo.flag_pattern).alias("status"), T.grave_accents(text).alias("has_grave"), F.length(text).cast("long").alias("n"))
 
 
 @query(f"""WITH {PRODUCTS_SQL} SELECT code, name, price FROM products WHERE ' ' || upper(name) LIKE '% RE%' ESCAPE '\\' AND ' ' || upper(name) LIKE '% W%' ESCAPE '\\' ORDER BY price DESC, name, code LIMIT 50""")
@@ -191,10 +193,13 @@ def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT (SELECT count(*) FROM rows WHERE stock >= 10) AS accepted, (SELECT count(*) FROM rows WHERE stock < 10) AS unresolved,
         (SELECT count(*) FROM old WHERE code NOT IN (SELECT code FROM now)) AS absent_codes, (SELECT count(*) FROM now WHERE code NOT IN (SELECT code FROM old)) AS missing_masters""")
 def publish_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from acervo.operators.publication import preview
+    from acervo.operators.publication import code_changes
 
     obs = observations(spark, sf_dir)
-    return preview(obs.where("load = 2000").withColumn("accepted", F.col("stock") >= 10), obs.where("load = 1999")).select("accepted", "unresolved", "absent_codes", "missing_masters")
+    now = obs.where("load = 2000")
+    counts = now.agg(F.count_if(F.col("stock") >= 10).alias("accepted"), F.count_if(F.col("stock") < 10).alias("unresolved"))
+    changes = code_changes(now, obs.where("load = 1999")).withColumnRenamed("new_codes", "missing_masters")
+    return counts.withColumn("one", F.lit(1)).join(changes.withColumn("one", F.lit(1)), "one").drop("one")
 
 
 @query(f"""WITH {OBS_SQL}, active AS (SELECT site, max(load) AS load FROM obs GROUP BY site), mapped AS (SELECT p_partkey AS code, p_partkey % 97 AS master FROM part WHERE p_partkey % 3 <> 0)
@@ -207,19 +212,21 @@ def current_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publication.current_inventory(obs, "site", "load", mapped).select("code", "site", "load", "stock", "master")
 
 
-@query(f"""WITH {OBS_SQL}, m AS (SELECT p_partkey AS master, CASE WHEN p_size % 9 = 0 THEN 'manual' ELSE 'import' END AS origin FROM part WHERE p_size % 4 <> 0)
-    SELECT master, origin FROM m WHERE origin = 'manual' OR EXISTS (SELECT 1 FROM obs WHERE obs.code = m.master AND load = 2001)""")
+@query(f"""WITH {OBS_SQL}, m AS (SELECT p_partkey AS master, CASE WHEN p_size % 9 = 0 THEN 'manual' ELSE 'import' END AS origin, CASE WHEN p_size % 4 = 0 THEN 'inactive' ELSE 'active' END AS status FROM part)
+    SELECT master, origin, status FROM m WHERE origin = 'manual' OR EXISTS (SELECT 1 FROM obs WHERE obs.code = m.master AND load = 2001)""")
 def current_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     from acervo.operators import publication
 
-    masters = read(spark, sf_dir, "part").where("p_size % 4 <> 0").select(F.col("p_partkey").alias("master"), F.when(F.col("p_size") % 9 == 0, "manual").otherwise("import").alias("origin"))
+    size = F.col("p_size")
+    masters = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("master"), F.when(size % 9 == 0, "manual").otherwise("import").alias("origin"), F.when(size % 4 == 0, "inactive").otherwise("active").alias("status"))
     return publication.current_catalog(masters, observations(spark, sf_dir).where("load = 2001").select(F.col("code").alias("master")))
 
 
-@query(f"""WITH {OBS_SQL}, e AS (SELECT o_custkey % 2000 AS code, o_orderkey % 100 AS site, o_orderkey AS entry FROM orders WHERE o_orderpriority = '1-URGENT')
+@query(f"""WITH {OBS_SQL}, e AS (SELECT o_custkey AS code, s.site, o_orderkey AS entry FROM orders JOIN (SELECT DISTINCT l_orderkey, l_suppkey AS site FROM lineitem) s ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT')
     SELECT e.entry, e.code, e.site, o.stock FROM e JOIN obs o ON e.code = o.code AND e.site = o.site""")
 def manual_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select((F.col("o_custkey") % 2000).alias("code"), (F.col("o_orderkey") % 100).alias("site"), F.col("o_orderkey").alias("entry"))
+    at = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("entry"), F.col("l_suppkey").alias("site")).distinct()
+    entries = read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("code"), F.col("o_orderkey").alias("entry")).join(at, "entry")
     return entries.join(observations(spark, sf_dir).select("code", "site", "stock"), ["code", "site"]).select("entry", "code", "site", "stock")
 
 
@@ -231,14 +238,14 @@ def retired_code_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.carry_over(version("OLD-", "p_partkey % 3 <> 1", F.col("p_name")), version("NEW-", "p_partkey % 3 <> 2", F.upper("p_name")), "code", ["standard_code"], ["name"])
 
 
-@query(f"""{DECIDED}, src AS (SELECT code % 500 AS master, string_agg(CAST(code AS VARCHAR), ', ' ORDER BY CAST(code AS VARCHAR)) AS source_codes, count(*) AS n FROM decided GROUP BY 1)
-    SELECT d.code, d.name, d.family, source_codes, n FROM decided d JOIN src ON d.code = src.master""")
+@query(f"""{DECIDED}, src AS (SELECT CAST(ceil(sqrt(code)) AS BIGINT) AS master, string_agg(CAST(code AS VARCHAR), ', ' ORDER BY CAST(code AS VARCHAR)) AS source_codes, count(*) AS n FROM decided GROUP BY 1)
+    SELECT d.code, d.name, d.family, source_codes, coalesce(n, 0) AS n FROM decided d LEFT JOIN src ON d.code = src.master""")
 def mart_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     from acervo.operators import publication
 
     rows = classified(spark, sf_dir)
-    links = rows.select((F.col("code") % 500).alias("master"), F.col("code").cast("string").alias("source_code"))
-    return publication.catalogue_view(rows.select("code", "name", "family"), links).where("n > 0")  # the SQL lists linked products only
+    links = rows.select(F.ceil(F.sqrt("code")).cast("long").alias("master"), F.col("code").cast("string").alias("source_code"))
+    return publication.catalogue_view(rows.select("code", "name", "family"), links)
 
 
 @query(f"""{DECIDED}, s AS (SELECT family, code AS item, row_number() OVER (PARTITION BY family ORDER BY sha256('"' || code || '"'), code) AS place FROM decided WHERE family IS NOT NULL) SELECT family, item, place FROM s WHERE place <= 5""")
@@ -247,12 +254,12 @@ def sample_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.stratified_sample(rows, "family", "item").withColumn("place", F.col("place").cast("long"))
 
 
-@query(f"""{DECIDED} SELECT code, CASE WHEN family IS NULL AND starts_with(method, 'Revisar: conflicto') THEN 'conflict' WHEN family IS NULL THEN 'no rule' WHEN label = 'PROMO' THEN 'promotion' ELSE 'ready' END AS reason, size AS weight
-    FROM decided ORDER BY weight DESC, code LIMIT 500""")
+@query(f"""{DECIDED} SELECT code, CASE WHEN family IS NULL AND starts_with(method, 'Revisar: conflicto') THEN 'conflict' WHEN family IS NULL THEN 'no rule' WHEN label = 'PROMO' THEN 'promotion' ELSE 'ready' END AS reason, size AS weight, row_number() OVER (ORDER BY size DESC, code) AS place FROM decided""")
 def pending_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.col("family").isNull()
     reason = F.when(none & F.col("method").startswith("Revisar: conflicto"), "conflict").when(none, "no rule").when(F.col("label") == "PROMO", "promotion").otherwise("ready")
-    return classified(spark, sf_dir).select("code", reason.alias("reason"), F.col("size").alias("weight")).orderBy(F.desc("weight"), "code").limit(500)
+    rows = classified(spark, sf_dir).select("code", reason.alias("reason"), F.col("size").alias("weight"), (-F.col("size")).alias("less"))
+    return dense_ids(rows, ["less", "code"], "place").drop("less")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
