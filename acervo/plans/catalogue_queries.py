@@ -244,9 +244,9 @@ def issue_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.orderBy("severity", F.desc("n"), "field", "code")))  # one row for each kind of issue
 
 
-@query("""SELECT s_nationkey, count(DISTINCT s_name) AS n_values FROM supplier GROUP BY 1 HAVING count(DISTINCT s_name) > 1""")
+@query("""SELECT c_nationkey AS site, count(DISTINCT c_mktsegment) AS n_names FROM customer GROUP BY 1 HAVING count(DISTINCT c_mktsegment) > 1""")
 def site_name_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.conflicts(read(spark, sf_dir, "supplier"), "s_nationkey", ["s_name"]).select("s_nationkey", "n_values")
+    return checks.conflicts(read(spark, sf_dir, "customer"), "c_nationkey", ["c_mktsegment"]).select(F.col("c_nationkey").alias("site"), F.col("n_values").alias("n_names"))
 
 
 _IDENTITY = ["l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax", "l_linenumber", "l_suppkey", "l_shipdate", "l_extendedprice"]

@@ -157,7 +157,7 @@ CATALOGUE = f"""{DECIDED}, {OBS_SQL}, free AS (SELECT code, {'CAST(sum(CAST(stoc
 def named_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = inventory.available(observations(spark, sf_dir), AVAILABLE).where("load = 2000")
     free = obs.groupBy("code").agg(F.sum(inventory.money(F.col("stock"))).cast("double").alias("stock"))
-    rows = classified(spark, sf_dir).join(free, "code", "left")
+    rows = classified(spark, sf_dir).join(free, "code", "left").withColumn("status", F.lit(T.ACTIVE))
     named = search.filters()
     one = rows.agg(*[F.count_if(named[k]).alias(k) for k in ("classified", "review", "with_stock", "without_stock")])
     return one.unpivot([], one.columns, "filter_name", "n")
