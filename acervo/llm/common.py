@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from acervo.session import cut, fresh_path, partitions, shared_dir, unused
 
-__all__ = ["bounded_batches", "connected_components", "cut", "fresh_path", "partitions", "shared_dir", "sized_broadcast", "strongest", "unused"]
+__all__ = ["bounded_batches", "connected_components", "cut", "fresh_path", "numbered_columns", "partitions", "shared_dir", "sized_broadcast", "strongest", "unused"]
 
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -27,6 +27,11 @@ def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> SparkSession:
     return spark
 
 
+def numbered_columns(docs: DataFrame, column: str) -> tuple[DataFrame, str]:
+    """``docs`` with columns ``c0, c1, ...`` and the new name of ``column``: for Python stages, which take no dots in names."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), f"c{docs.columns.index(column)}"
+
+
 def sized_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
     """Hint a broadcast only when the counted ``rows`` do not exceed ``most``."""
     return F.broadcast(df) if rows <= most else df

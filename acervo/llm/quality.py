@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acervo.llm.bpe import batches_of
-from acervo.llm.common import bounded_batches
+from acervo.llm.common import bounded_batches, numbered_columns
 from acervo.llm.features import QUALITY, quality_features
 from acervo.llm.learn import cut_points, grow, held_out, labelled_sample, labelled_texts, sigmoid
 
@@ -135,10 +135,11 @@ def score_quality(docs: DataFrame, model: AdditiveModel, doc_id: str = "doc_id",
 
 def keep_good(docs: DataFrame, model: AdditiveModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` (all columns) that the model does not reject."""
+    plain, column = numbered_columns(docs, text)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in batches_of(whole, text):
-                yield batch.filter(pa.array(model.score(quality_features(batch.column(text))) >= threshold))
+            for batch in batches_of(whole, column):
+                yield batch.filter(pa.array(model.score(quality_features(batch.column(column))) >= threshold))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return plain.mapInArrow(rows, plain.schema).toDF(*docs.columns)

@@ -18,7 +18,7 @@ lines; an empty text is one blank line; a null host is a host of its own; every
 row is a page, repeated ids and rows included; a text of any length is one array
 of lines; an empty table gives an empty result.  All other columns pass through
 (work columns take names that ``docs`` does not have), and ``n_lines`` and
-``n_dropped`` (long) replace columns of those names.
+``n_dropped`` (long), or the names asked for, replace columns of those names.
 """
 
 from __future__ import annotations
@@ -59,10 +59,12 @@ def line_dedup(
     min_pages: int = 5,
     broadcast_lines: int = 50_000,
     salts: int = 64,
+    n_lines_col: str = "n_lines",
+    n_dropped_col: str = "n_dropped",
 ) -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text``, plus ``n_lines`` and ``n_dropped``."""
     marked = cut(boilerplate(docs, host, text, ratio, min_pages), "lines")
-    site, drop, work, salt, row_salt = unused([*docs.columns, "n_lines", "n_dropped"], "site", "drop", "work", "salt", "row_salt")
+    site, drop, work, salt, row_salt = unused([*docs.columns, n_lines_col, n_dropped_col], "site", "drop", "work", "salt", "row_salt")
     by_host = marked.groupBy(F.col("_host").alias(site)).agg(F.collect_list("_digest").alias(drop))
     same = F.col(host).eqNullSafe(F.col(site))
     if marked.count() <= broadcast_lines:
@@ -73,10 +75,10 @@ def line_dedup(
     lines = F.split(text, "\n", -1)
     kept = F.filter(lines, lambda x: _blank(x) | ~F.array_contains(F.col(drop), _digest(x)))
     counted = F.struct(F.size(lines).alias("all"), F.when(F.col(drop).isNull(), lines).otherwise(kept).alias("kept"))
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    columns = [c for c in docs.columns if c not in (n_lines_col, n_dropped_col)]
     n_lines, n_kept = F.col(work)["all"], F.size(F.col(work)["kept"])
     return met.withColumn(work, counted).select(
         *[F.array_join(F.col(work)["kept"], "\n").alias(text) if c == text else F.col(f"`{c}`") for c in columns],
-        F.when(F.col(text).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
-        F.when(F.col(text).isNull(), 0).otherwise(n_lines - n_kept).cast("long").alias("n_dropped"),
+        F.when(F.col(text).isNull(), 0).otherwise(n_lines).cast("long").alias(n_lines_col),
+        F.when(F.col(text).isNull(), 0).otherwise(n_lines - n_kept).cast("long").alias(n_dropped_col),
     )

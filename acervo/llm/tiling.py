@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from acervo.llm.bpe import batches_of
-from acervo.llm.common import bounded_batches, cut, unused
+from acervo.llm.common import bounded_batches, cut, numbered_columns
 from acervo.llm.textkit import LOWER, blocks, mix, ngrams, ranges, shingles, span_hash, text_buffer, words
 
 SEED = 5
@@ -322,5 +322,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = COVERAGE) -> DataFrame:
     """The rows of ``docs`` (all columns) that are not leaks."""
-    (verdict,) = unused(docs.columns, "verdict")
-    return judged(docs, benchmark, text, item_id, item_text, least, verdict, docs.columns).where(~(F.col(verdict)["coverage"] >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain, column = numbered_columns(docs, text)
+    found = judged(plain, benchmark, column, item_id, item_text, least, "verdict", plain.columns)
+    return found.where(~(F.col("verdict")["coverage"] >= least)).drop("verdict").toDF(*docs.columns)

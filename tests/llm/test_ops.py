@@ -536,3 +536,38 @@ def test_pipeline_keeps_one_row_of_repeated_and_null_ids(spark):
     assert found.columns == docs.columns
     want = [(5, a, "r"), (9, b + " tail", "s"), (9, c, "s"), (None, None, "s"), (20, "", "s"), (21, "", "s"), (None, d, "s")]
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+
+
+def test_pipeline_of_awkward_rows(spark):
+    """Nulls, empty and long texts, repeated rows and clashing columns through every stage; then an empty table."""
+    import corpus_pipeline
+
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    some = [tuple(r) for r in base.orderBy("doc_id").limit(60).collect()]
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    awkward = [(9001, None, "en", "s1", 0), (9002, "", None, None, None), (None, None, None, None, None), (9003, some[0][1], "en", "s1", 1), (9004, leak, "en", "s2", len(leak)), (9005, " ".join(r[1] or "" for r in some), "en", "s3", 1), some[5], some[5]]
+    docs = clashing(spark.createDataFrame(some + awkward, base.schema)).withColumns({c: F.lit(c) for c in ("row", "rest", "none", "verdict", "n_lines", "sig", "member", "y", "fold", "features")})
+    for name, stage in corpus_pipeline.STAGES:
+        before, n = docs, docs.count()
+        docs = stage(spark, before, SF)
+        if name == "tokens":
+            break
+        docs = docs.cache()
+        assert docs.columns == before.columns and docs.dtypes == before.dtypes, name
+        found = docs.collect()
+        assert all(r["row"] == "row" and r["key"] == "of key" and r["a.b"] == "of a.b" for r in found), name
+        if name in ("quality", "benchmark", "near_duplicates"):
+            kept = {(r["doc_id"], r["text"]) for r in found}
+            assert kept <= {(r["doc_id"], r["text"]) for r in before.collect()} and len(found) <= n
+        if name == "quality":
+            assert any(r["doc_id"] == 9004 for r in found)
+        if name == "near_duplicates":
+            assert len(found) == len({(r["doc_id"], r["text"]) for r in found})
+        if name == "benchmark":
+            assert not any(r["doc_id"] == 9004 for r in found)
+    want = brute.bpe_rows([(r["doc_id"], r["text"]) for r in before.collect()], TOKENIZER)
+    assert {tuple(r[c] for c in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")) for r in docs.collect()} == want
+    empty = base.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, SF).cache()
+        assert empty.count() == 0
