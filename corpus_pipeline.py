@@ -12,6 +12,14 @@ but the last return the columns of ``documents``.
    other columns stays.
 4. ``benchmark``: documents that hold a benchmark item go.
 5. ``tokens``: ids of the whole remaining texts.
+
+Defined cases: rows with a null or empty text are scored by the quality model as
+empty texts and go or stay by that; if they stay they have no lines to lose, link
+with nothing, hold no benchmark item and have no ids.  Of rows equal in id and
+text one stays; a null id is kept as it is.  Texts of any length are read whole.
+An empty table gives an empty result at each stage.  Other columns, whatever their
+names, pass through all stages but the last (work columns take names that
+``documents`` does not have).
 """
 
 from __future__ import annotations
@@ -20,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acervo.llm import lexicon, minhash, quality, site_lines, tiling
-from acervo.llm.common import cut, partitions
+from acervo.llm.common import cut, partitions, unused
 from acervo.llm.queries import table, tokenizer_file
 
 
@@ -29,25 +37,30 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = site_lines.line_dedup(docs)
-    counted = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cleaned.withColumn("n_chars", counted).select(*docs.columns)
+    lines, dropped = unused(docs.columns, "lines", "dropped")
+    cleaned = site_lines.line_dedup(docs, n_lines_col=lines, n_dropped_col=dropped)
+    counted = F.when(F.col(dropped) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cleaned.withColumn("n_chars", counted).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     count = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
-    keyed, key = (docs, "doc_id") if count.n == count.d else (row_keys(docs), "_row")
+    (row,) = unused(docs.columns, "row")
+    keyed, key = (docs, "doc_id") if count.n == count.d else (row_keys(docs, row), row)
     gone = minhash.near_duplicates(keyed, doc_id=key).where("NOT kept").select(F.col("doc_id").alias(key))
-    return keyed.join(gone, key, "left_anti").select(*docs.columns)
+    return keyed.join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def row_keys(docs: DataFrame) -> DataFrame:
-    """One row of each distinct (doc_id, text), with its key ``_row`` ascending by id (null last)."""
+def row_keys(docs: DataFrame, row: str) -> DataFrame:
+    """One row of each distinct (doc_id, text), with its key ``row`` ascending by id (null last)."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    one = docs.groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("_none"), *others)).alias("_rest")).select("doc_id", "text", *[F.col("_rest")[c].alias(c) for c in others])
+    fields = [F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]]
+    (rest,) = unused(["doc_id", "text"], "rest")
+    one = docs.groupBy("doc_id", "text").agg(F.min(F.struct(*fields)).alias(rest))
+    one = one.select("doc_id", "text", *[F.col(rest)[f"c{i}"].alias(c) for i, c in enumerate(others)])
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("text")]
     dealt = one.repartitionByRange(partitions(docs.sparkSession), *order[:2]).sortWithinPartitions(*order)
-    return cut(dealt.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    return cut(dealt.withColumn(row, F.monotonically_increasing_id()), "rows")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
