@@ -153,7 +153,7 @@ def technical_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {OBS_SQL}, {STAGED}, held AS (SELECT *, product IN ('DEFAULTITEM', 'DEFAULTLABOR', 'DEFAULTMISC', 'SYSTEMDEFAULT') AND l_linenumber % 2 = 0 AS out FROM staged WHERE status = 'quarantined' AND load = {LOAD}),
     good AS (SELECT * FROM staged WHERE status = 'accepted' AND load = {LOAD}), masters AS (SELECT DISTINCT code FROM obs WHERE code % 7 <> 0)
     SELECT (SELECT count(*) FROM good) AS accepted, (SELECT count(*) FROM held WHERE out) AS excluded, (SELECT count(*) FROM held WHERE NOT out) AS unresolved, (SELECT count(*) FROM good WHERE code NOT IN (SELECT code FROM masters)) AS missing_masters,
-        (SELECT count(*) FROM (SELECT DISTINCT code FROM obs WHERE load = {LOAD - 1}) WHERE code NOT IN (SELECT code FROM good)) AS absent_codes, (SELECT count(DISTINCT code) FROM good WHERE code % 5 = 0) AS pending_families, 1 AS global_errors""")
+        (SELECT count(*) FROM (SELECT DISTINCT code FROM obs WHERE load = {LOAD - 1}) WHERE code NOT IN (SELECT code FROM good)) AS absent_codes, (SELECT count(DISTINCT code) FROM good WHERE code % 5 = 0) AS pending_families, CAST(1 AS BIGINT) AS global_errors""")
 def preview_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = staged(spark, sf_dir)
     now = rows.where(F.col("load") == LOAD)
@@ -241,7 +241,7 @@ def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT *, row_number() OVER (ORDER BY severity, n DESC, field, code) AS place FROM c""")
 def issue_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = checks.report(_issue_rows(spark, sf_dir))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("severity", F.desc("n"), "field", "code")))  # one row for each kind of issue
+    return rows.withColumn("place", F.row_number().over(Window.orderBy("severity", F.desc("n"), "field", "code")).cast("long"))  # one row for each kind of issue
 
 
 @query("""SELECT c_nationkey AS site, count(DISTINCT c_mktsegment) AS n_names FROM customer GROUP BY 1 HAVING count(DISTINCT c_mktsegment) > 1""")
@@ -473,4 +473,4 @@ def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH a AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events) SELECT user_id, event_id, event_type, place FROM a WHERE place <= 10""")
 def history_last_ten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.last_rows(read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], 10).select("user_id", "event_id", "event_type", "place")
+    return checks.last_rows(read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], 10).select("user_id", "event_id", "event_type", F.col("place").cast("long").alias("place"))

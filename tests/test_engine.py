@@ -348,3 +348,35 @@ def test_review_gives_a_code_at_once(catalogue):
     after = products(engine)["008"]
     assert after.family == "Widgets" and after.standard_code and engine.search(after.standard_code)[1] == 1
     assert engine.state()["latest"]["products"] > 0 and len(engine.sites()) == 3
+
+
+def test_http_commands(catalogue, tmp_path):
+    import http.client
+    import json
+    import threading
+
+    from acervo.server import Commands, serve
+
+    server, token = serve(Commands(catalogue, f"{tmp_path}/inbox"))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    port = server.server_address[1]
+
+    def ask(method, path, body=None, host=None, key=token):
+        link = http.client.HTTPConnection("127.0.0.1", port, timeout=120)
+        link.request(method, path, None if body is None else json.dumps(body), {"Host": host or f"127.0.0.1:{port}", **({"X-Catalog-Token": key} if method == "POST" else {})})
+        answer = link.getresponse()
+        return answer.status, json.loads(answer.read())
+
+    try:
+        code, found = ask("GET", "/api/search?q=ring&limit=2")
+        assert code == 200 and found["total"] >= 2 and len(found["rows"]) == 2 and "stock" not in found["rows"][0]
+        code, info = ask("GET", f"/api/product?id={found['rows'][0]['master_id']}")
+        assert code == 200 and info["product"]["master_id"] == found["rows"][0]["master_id"]
+        assert ask("GET", "/api/search", host="elsewhere:1")[0] == 403 and ask("GET", "/api/none")[0] == 404
+        assert ask("POST", "/api/link", {"source_id": 1, "target_id": 1}, key="wrong")[0] == 403
+        code, refused = ask("POST", "/api/link", {"source_id": 1, "target_id": 1, "actor": "ana", "reason": "same"})
+        assert code == 400 and "itself" in refused["error"]
+        assert ask("POST", "/api/propose", {"name": "small ring"})[0] == 200
+        assert ask("POST", "/api/import", {"filename": "x.csv", "content": ""})[0] == 400
+    finally:
+        server.shutdown()
