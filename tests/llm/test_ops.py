@@ -379,6 +379,30 @@ def test_bpe_round_trip(spark):
     assert out.decoded == "hello</w> world</w>" and out.token_ids == brute.library(TOKENIZER).encode("Hello World").ids
 
 
+def test_both_encoders_against_the_library_on_adversarial_texts(tmp_path):
+    """Normalising and splitting of plain and odd words, by the lexicon's encoder and by the shards' encoder."""
+    import pyarrow as pa
+
+    from acervo.llm.bpe import LibraryEncoder
+
+    rng = random.Random(11)
+    pieces = ["'s", "'T", "'re", "don't", "I'LL", "x" * 120, "12345", "½", "²", "ß", "ẞ", "İ", "ǅ", "ﬁ", "e\u0301", "\u0301", "\u200b", "\u00a0", "\u2028", "日本", "👍🏽", "<|endoftext|>", "<|", "|>", "~~", "a\u00adb", "Å", "\u212b", "\x00", "\x1c", "\x85", "''", "´", "_", "ÀÉ", "ŁÓDŹ"]
+    texts = [None, "", " ", *pieces]
+    for _ in range(600):
+        own = [rng.choice(pieces) if rng.random() < 0.5 else "".join(chr(rng.choice([rng.randrange(33, 127), rng.randrange(160, 256), rng.randrange(0x100, 0x3000)])) for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 12))]
+        texts.append("".join(x + rng.choice(["", " ", "\n", "\t", "  "]) for x in own))
+    library = brute.library(TOKENIZER)
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    pre = lexicon.Pretokenizer(TOKENIZER)
+    known = sorted({p.encode() for p in pre.split(["the", "don't", "LEXICON", "x" * 120, "ßå"])[0].to_pylist()})
+    path = tmp_path / "lexicon"
+    path.write_bytes(lexicon.compile_lexicon(known, lexicon.Merges(pre.spec, pre.letters)))
+    for encoder in (lexicon.TransducerEncoder(TOKENIZER, str(path)), LibraryEncoder(TOKENIZER)):
+        coded = encoder.encode(pa.array(texts, pa.string()))
+        flat, at = coded.flat().tolist(), coded.token_bounds.tolist()
+        assert [flat[a:b] for a, b in zip(at, at[1:])] == want
+
+
 def test_automaton_is_minimal_and_exact():
     words = sorted({a + b for a in ("re", "un", "pre", "x") for b in ("do", "doing", "seen", "ing")})
     arcs, final = lexicon.minimal_automaton([w.encode() for w in words])
