@@ -101,10 +101,10 @@ def file_issues(columns: Sequence[str], required: Sequence[str], rows: int) -> l
 
 
 def product_rows(rows: DataFrame, code: str, order: Sequence[str], fields: Sequence[str], ordinal: str, status: str = "status") -> DataFrame:
-    """Per code: the first filled value of each field, the ordinals of its rows in order, and whether any is quarantined."""
+    """Per code: the first filled value of each field, its first row and number of rows, and whether any is quarantined."""
     filled = first_filled(rows, code, order, fields)
-    listed = rows.groupBy(code).agg(F.array_sort(F.collect_list(ordinal)).alias("rows"), F.bool_or(F.col(status) == "quarantined").alias("quarantined"))
-    return filled.join(listed, code)
+    counted = rows.groupBy(code).agg(F.min(ordinal).alias("first_row"), F.count("*").alias("n_rows"), F.bool_or(F.col(status) == "quarantined").alias("quarantined"))
+    return filled.join(counted, code)
 
 
 def newest(rows: DataFrame, key: str, order: Sequence[str], keep: Sequence[str]) -> DataFrame:

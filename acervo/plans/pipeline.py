@@ -451,7 +451,7 @@ class Engine:
         self.applied(load_id, f"unlink {link_id}", actor, {"audit": event}, links=cut(links.withColumn("undone", F.col("undone") | (F.col("link_id") == link_id)), "links"), standards=cut(old.unionByName(fresh), "standards"))
 
     def propose(self, description: str, brand: str | None = None, model: str | None = None) -> dict:
-        """What creating a product would give; nothing is written."""
+        """What creating a product would give, with its first exact equals and similar products; nothing is written."""
         one = self.spark.createDataFrame([(description, brand, model)], "description string, brand string, model string")
         base = T.normal_name(F.col("description"), self.pack)
         key = T.brand_key(F.col("brand"), self.pack.placeholders, self.pack.brand_aliases)
@@ -469,7 +469,7 @@ class Engine:
         standards = self.table("standards")
         exact = standards.where(F.col("duplicate_key") == out["duplicate_key"])
         alike, _ = search.search(standards, " ".join(out["words"].split()[:3]), limit=8)
-        out["exact"] = [r.master_id for r in exact.select("master_id").collect()]
+        out["exact"] = [r.master_id for r in exact.select("master_id").orderBy("master_id").limit(MOST_ROWS).collect()]
         out["similar"] = [r.master_id for r in alike.join(exact.select("master_id"), "master_id", "left_anti").select("master_id").collect()]
         return out
 
