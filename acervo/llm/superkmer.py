@@ -8,10 +8,12 @@ and earlier start) is removed; windows are judged on the input.
    its minimiser.  Consecutive windows with one minimiser travel together, as
    one packed string of their words, to the minimiser's bucket.
 2. Seeds that are very frequent would draw many windows to one bucket.  A first
-   pass counts minimisers; those with more than ``1 / HOT`` of all super-k-mers
-   (at most ``HOT`` of them, so they fit a broadcast) are ordered after all
-   other seeds, in all later tasks alike.  A window all of whose seeds are
-   frequent lies inside one frequent passage.
+   pass counts minimisers: each task keeps a summary of ``4 * HOT`` counters
+   (Misra-Gries: no count is short by more than a ``4 * HOT``-th of the task's
+   super-k-mers), and summaries are added up.  All minimisers with more than
+   ``1 / HOT`` of all super-k-mers, and at most ``2 * HOT``, so that they fit a
+   broadcast, are ordered after all other seeds, in all later tasks alike.  A
+   window all of whose seeds are frequent lies inside one frequent passage.
 3. Within a block of whole documents only the first occurrence of each window is
    sent on; the block's other occurrences are repeats whatever else exists.  So a
    passage in any number of documents reaches its bucket once for each block.
@@ -48,7 +50,8 @@ from acervo.llm.textkit import mix, ngrams, ranges, span_hash
 
 WINDOW = 20
 SEED = 4
-HOT = 4096
+HOT = 1 << 16
+LEAST_HOT = 64  # super-k-mers that no small table calls frequent
 LATE = np.uint64(1) << np.uint64(63)
 BLOCK_BYTES = 3 << 20
 BUCKETS_A_PARTITION, BUCKET_WINDOWS = 8, 1 << 18
@@ -158,27 +161,47 @@ def _found(doc: np.ndarray, start: np.ndarray, window: int) -> tuple[list[int],
     return ids, out
 
 
+class Summary:
+    """Counts of the most frequent numbers of a stream, in bounded memory."""
+
+    def __init__(self, most: int):
+        self.most, self.value, self.count, self.total = most, np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+
+    def add(self, keys: np.ndarray) -> None:
+        self.total += len(keys)
+        value, times = np.unique(keys, return_counts=True)
+        every, where = np.unique(np.concatenate((self.value, value)), return_inverse=True)
+        count = np.bincount(where, np.concatenate((self.count, times)), len(every)).astype(np.int64)
+        if len(every) > self.most:
+            count -= np.partition(count, len(count) - self.most - 1)[len(count) - self.most - 1]
+            every, count = every[count > 0], count[count > 0]
+        self.value, self.count = every, count
+
+
 def _hot_counter(window: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Minimisers of a block that hold at least a ``HOT``-th of its super-k-mers, with their number; null: all, and all windows."""
+        """Frequent minimisers of a task's super-k-mers with their number; null: all super-k-mers, and all windows."""
+        seen, windows = Summary(4 * HOT), 0
         for whole in batches:
             for batch in batches_of(whole, "text", BLOCK_BYTES):
                 w = Words(batch.column("text"))
                 at, key, _ = minimisers(word_hashes(w), w.bounds, np.zeros(0, np.uint64), window, seed)
                 a, _b = runs_of(at, key)
-                value, times = np.unique(key[a], return_counts=True)
-                often = times > max(1, len(a) // HOT)
-                yield pa.RecordBatch.from_arrays([pa.array([None, *value[often].view(np.int64).tolist()], pa.int64()), pa.array([len(a), *times[often].tolist()], pa.int64()), pa.array([len(at), *[0] * int(often.sum())], pa.int64())], ["key", "n", "windows"])
+                seen.add(key[a])
+                windows += len(at)
+        often = seen.count > max(1, seen.total // (4 * HOT))
+        value, times = seen.value[often], seen.count[often]
+        yield pa.RecordBatch.from_arrays([pa.array([None, *value.view(np.int64).tolist()], pa.int64()), pa.array([seen.total, *times.tolist()], pa.int64()), pa.array([windows, *[0] * len(value)], pa.int64())], ["key", "n", "windows"])
 
     return run
 
 
 def frequent_seeds(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, int]:
-    """Minimisers with more than a ``HOT``-th of all super-k-mers, ascending, at most ``HOT``; and the number of windows."""
+    """Minimisers with more than a ``HOT``-th of all super-k-mers (and some with more than half of that), ascending; and the number of windows."""
     counted = docs.mapInArrow(_hot_counter(window, seed), "key long, n long, windows long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("windows").alias("windows"))
     counted = cut(counted, "seeds")
     total, windows = (x or 0 for x in counted.where("key IS NULL").agg(F.sum("n"), F.sum("windows")).first())
-    rows = counted.where("key IS NOT NULL").where(F.col("n") > total / HOT).collect()
+    rows = counted.where("key IS NOT NULL").where(F.col("n") > max(LEAST_HOT, total // (2 * HOT))).collect()
     return np.sort(np.array([r.key for r in rows], np.int64).view(np.uint64)), windows
 
 

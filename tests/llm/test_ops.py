@@ -338,10 +338,25 @@ def test_remove_repeats(spark, docs):
 def test_remove_repeats_hot_and_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(superkmer, "BLOCK_BYTES", 400)
     monkeypatch.setattr(superkmer, "HOT", 3)
+    monkeypatch.setattr(superkmer, "LEAST_HOT", 0)
     got = rows(superkmer.remove_repeats(spark.createDataFrame(texts(), DOCS)), "doc_id", "n_words", "n_removed", "kept_sha256")
     assert got == brute.repeat_rows(texts())
 
 
+def test_summary_misses_no_frequent_key():
+    rng = np.random.default_rng(4)
+    keys = np.minimum(rng.zipf(1.3, 60_000), 1 << 20).astype(np.uint64)
+    seen = superkmer.Summary(100)
+    for part in np.array_split(keys, 37):
+        seen.add(part)
+        assert len(seen.value) <= 100
+    value, times = np.unique(keys, return_counts=True)
+    found = dict(zip(seen.value.tolist(), seen.count.tolist()))
+    assert seen.total == len(keys)
+    for v, n in zip(value.tolist(), times.tolist()):
+        assert n - len(keys) / 100 <= found.get(v, 0) <= n
+
+
 def test_remove_repeats_ids(spark):
     line = " ".join(f"k{i}" for i in range(25))
     found = superkmer.remove_repeats(spark.createDataFrame([(None, line), (4, line), (4, line), (4, None)], DOCS)).collect()
