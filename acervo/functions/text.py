@@ -23,7 +23,7 @@ def _fold_tables() -> tuple[str, str, list[tuple[str, str]]]:
     """Single-letter folds for ``translate`` and longer ones, for the Latin, letter-like and form blocks."""
     single_from, single_to, longer = [], [], []
     gone = []
-    for code in [*range(0xA0, 0x250), *range(0x300, 0x370), *range(0x1E00, 0x1F00), *range(0x2000, 0x2070), *range(0x2070, 0x20A0), *range(0x2100, 0x2190), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]:
+    for code in [*range(0xA0, 0x250), *range(0x300, 0x370), *range(0x1E00, 0x1F00), *range(0x2000, 0x2070), *range(0x2070, 0x20A0), *range(0x20D0, 0x2190), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]:
         c = chr(code)
         folded = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
         if folded == c:
@@ -39,9 +39,12 @@ def _fold_tables() -> tuple[str, str, list[tuple[str, str]]]:
 
 
 _FROM, _TO, _LONGER = _fold_tables()
-_LONG_CLASS = "[" + "".join(c for c, _ in _LONGER) + "]"
-_AROUND = f"(?<={_LONG_CLASS})|(?={_LONG_CLASS})"
-_LONG_MAP = "\x02".join(f"{c}\x01{folded}" for c, folded in _LONGER)
+#: Characters that fold to several letters pass as marks of the last private plane, so one range finds them.
+_MARKS = [chr(0x10FF00 + i) for i in range(len(_LONGER))]
+_FROM = "".join(c for c, _ in _LONGER) + _FROM
+_TO = "".join(_MARKS) + _TO
+_MARK = "[\\x{10FF00}-\\x{10FFFD}]"
+_LONG_MAP = "\x02".join(f"{m}\x01{folded}" for m, (_, folded) in zip(_MARKS, _LONGER, strict=True))
 
 
 def let(value: Column, body) -> Column:
@@ -58,14 +61,17 @@ def fold(c: Column) -> Column:
     """Compatibility decomposition without combining marks, for the blocks of the table.
 
     Single letters are translated at once.  A text with characters that fold to
-    several letters is split around those alone and each is looked up.
+    several letters is split before those alone and each is looked up.  (Texts are
+    taken to hold no characters from U+10FF00 on, the end of the last private plane.)
     """
-    return let(F.translate(c, _FROM, _TO), lambda m: F.when(m.rlike(_LONG_CLASS), F.array_join(_folded(m), "")).otherwise(m))
+    return let(F.translate(c, _FROM, _TO), lambda m: F.when(m.rlike(_MARK), F.array_join(_folded(m), "")).otherwise(m))
 
 
 def _folded(text: Column) -> Column:
+    """The parts of a text, each with the mark that it begins with looked up."""
     table = F.str_to_map(F.lit(_LONG_MAP), F.lit("\x02"), F.lit("\x01"))
-    return F.transform(F.split(text, _AROUND), lambda x: F.when(F.length(x) == 1, F.coalesce(F.try_element_at(table, x), x)).otherwise(x))
+    first = lambda x: F.try_element_at(table, F.substring(x, 1, 1))
+    return F.transform(F.split(text, f"(?={_MARK})"), lambda x: F.when(x.rlike(f"^{_MARK}"), F.concat(first(x), F.substring(x, 2, 2147483647))).otherwise(x))
 
 
 def search_key(c: Column) -> Column:

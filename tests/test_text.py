@@ -64,3 +64,25 @@ def test_rule_packs_are_checked():
         RulePack("x", taxonomy={"A": ("c", "C", "F"), "Bundles": ("c", "C", "F")})
     with pytest.raises(ValueError):
         RulePack("x", replacements=(("(", ""),))
+
+
+def test_fold_is_compatibility_decomposition_without_marks(spark):
+    import random
+    import unicodedata
+
+    r = random.Random(1)
+    blocks = [(32, 127), (0xA0, 0x250), (0x300, 0x370), (0x1E00, 0x1F00), (0x2000, 0x2070), (0x20D0, 0x2190), (0xFB00, 0xFB07), (0xFF01, 0xFF5F)]
+    texts = ["", "ﬁn½ Ǆ…x ™№", "…", "a²³ œ Æ ß ﬃ"] + ["".join(chr(r.randrange(*r.choice(blocks))) for _ in range(20)) for _ in range(400)]
+    want = ["".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)) for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.fold(F.col("t")).alias("f")).orderBy("i").collect()
+    assert [x.f for x in rows] == want
+
+
+def test_general_number_prints_as_python_does(spark):
+    import random
+
+    r = random.Random(2)
+    values = [0.0, 13.0, 2.5, 1234.567, 12.3456789, 1234567.5, 1.23e-5, 100000.5, 90123.45, 12345650.0, 12345550.0, -12345650.0, 999999.5, 9999995.0, 1e100, 1e-300, -3.25]
+    values += [round(r.uniform(0, 1e5), 2) for _ in range(500)] + [r.uniform(-1, 1) * 10 ** r.randint(-8, 12) for _ in range(500)] + [float(r.randrange(10**6, 10**9)) for _ in range(500)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", T.general_number(F.col("v")).alias("g")).collect()
+    assert [(x.v, x.g) for x in rows] == [(x.v, f"{x.v:g}") for x in rows]
