@@ -34,6 +34,7 @@ from acervo.llm.learn import cut_points, grow, held_out, labelled_sample, labell
 
 SAMPLE = 8_000  # labelled documents of each class that a model may learn from
 THRESHOLD = 0.3
+BLOCK_BYTES = 3 << 20  # of text whose features are computed at a time
 
 
 class AdditiveModel:
@@ -101,7 +102,7 @@ def features_of(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in batches_of(whole, "text"):
+            for batch in batches_of(whole, "text", BLOCK_BYTES):
                 x = quality_features(batch.column("text"))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], flat], [*keep, "features"])
@@ -125,7 +126,7 @@ def score_quality(docs: DataFrame, model: AdditiveModel, doc_id: str = "doc_id",
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in batches_of(whole, "text"):
+            for batch in batches_of(whole, "text", BLOCK_BYTES):
                 score = model.score(quality_features(batch.column("text")))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -139,7 +140,7 @@ def keep_good(docs: DataFrame, model: AdditiveModel, text: str = "text", thresho
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in batches_of(whole, column):
+            for batch in batches_of(whole, column, BLOCK_BYTES):
                 yield batch.filter(pa.array(model.score(quality_features(batch.column(column))) >= threshold))
 
     return plain.mapInArrow(rows, plain.schema).toDF(*docs.columns)
