@@ -41,3 +41,11 @@ def carry_over(old: DataFrame, new: DataFrame, key: str, sticky: list[str], fres
     columns += [F.coalesce(f"o.{c}", f"n.{c}").alias(c) for c in sticky]
     columns += [F.when(F.col(f"n.{key}").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in fresh]
     return o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer").select(*columns)
+
+
+def add_missing(known: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``known`` and those rows of ``found`` whose key it does not have, one for each key (the least by its other columns)."""
+    others = [c for c in known.columns if c != key]
+    fresh = found.where(F.col(key).isNotNull()).join(known.select(key), key, "left_anti")
+    one = fresh.groupBy(key).agg(F.min(F.struct(*others)).alias("_r")) if others else fresh.select(key).distinct()
+    return known.unionByName(one.select(key, *[F.col("_r")[c].alias(c) for c in others]))

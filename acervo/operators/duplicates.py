@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acervo.functions.text import group_id
+from acervo.functions.text import compact_key, group_id
 from acervo.operators.numbering import dense_ids
 
 #: Kinds of groups.
 SAME, OTHER = "Mismo país", "Otro país"
 
 
+def key_of(base: Column, brand_key: Column, model: Column) -> Column:
+    """What equal products share: the compact base name, the brand's key and the compact model; null without a name."""
+    return F.when(base.isNotNull(), F.concat_ws("|", compact_key(base), F.coalesce(brand_key, F.lit("")), compact_key(model)))
+
+
 def groups(products: DataFrame, key: str, code: str = "code") -> DataFrame:
     """Members of keys that hold at least two products, with group id and size.
 

@@ -10,6 +10,7 @@ from acervo.operators import checks, classify, codes, duplicates, inventory, lab
 from acervo.plans.frames import AVAILABLE, AVAILABLE_SQL, OBS_SQL, ORDER, observations, read
 from acervo.plans.pipeline import PUBLISHED_FLAGS
 from acervo.plans.rule_queries import ASSIGNED, CODED, DECIDED, _coded, classified
+from acervo.plans.text_queries import _KEY, _PLACE, BASES, BRANDS, NUMBERS, _brands, _names, _numbers
 from acervo.rulepack import demo
 
 QUERIES, ORACLES = {}, {}
@@ -337,6 +338,78 @@ def overridden_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(spark, sf_dir).select("code", F.array_join(classify.without_overridden(F.col("by_name"), "Hot items", "Rings"), "/").alias("families"))
 
 
+_CATEGORY = "CASE r.family " + " ".join(f"WHEN '{f}' THEN '{v[0]}'" for f, v in demo.taxonomy.items()) + " END"
+
+
+@query(f"{REVIEWED} SELECT r.code, r.status, r.family, {_CATEGORY} AS category, CASE WHEN r.code % 3 = 0 THEN d.name END AS master_name FROM rev r JOIN decided d ON d.code = r.code")
+def review_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    families = spark.createDataFrame([(f, c) for f, (c, _, _) in demo.taxonomy.items()], "family string, category string")
+    masters = read(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("code"), F.col("p_name").alias("master_name"))
+    return reviewed(spark, sf_dir).join(F.broadcast(families), "family", "left").join(masters, "code", "left").select("code", "status", "family", "category", "master_name")
+
+
+@query(f"""WITH {BASES}, k AS (SELECT *, regexp_replace(strip_accents(upper(base)), '[^A-Z0-9]+', '', 'g') AS nk, {_KEY.format("brand")} AS bk, coalesce({_KEY.format("model")}, '') AS mk FROM b)
+    SELECT code, CASE WHEN base IS NOT NULL THEN nk || '|' || CASE bk WHEN 'BRAND1' THEN 'BRAND01' WHEN 'BRAND2' THEN 'BRAND02' ELSE bk END || '|' || mk END AS key FROM k""")
+def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _names(spark, sf_dir).withColumn("base", T.normal_name(F.col("raw"), demo))
+    return rows.select("code", duplicates.key_of(F.col("base"), T.brand_key(F.col("brand"), demo.placeholders, demo.brand_aliases), F.col("model")).alias("key"))
+
+
+@query("""WITH l AS (UNPIVOT (SELECT p_partkey, p_size, p_brand, p_type FROM part) ON p_brand, p_type INTO NAME field VALUE value), a AS (SELECT field, value, row_number() OVER (ORDER BY field, value) AS value_id FROM (SELECT DISTINCT field, value FROM l WHERE p_size % 4 = 0)),
+    b AS (SELECT field, value, (SELECT max(value_id) FROM a) + row_number() OVER (ORDER BY field, value) AS value_id FROM (SELECT DISTINCT field, value FROM l WHERE (field, value) NOT IN (SELECT (field, value) FROM a)))
+    SELECT field, value, value_id FROM a UNION ALL SELECT field, value, value_id FROM b""")
+def labels_two_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary after a second load: values of the first keep their ids, new ones continue."""
+    part = read(spark, sf_dir, "part")
+    long = lambda rows: labels.unpivot_labels(rows, ["p_partkey"], ["p_brand", "p_type"])
+    first, _ = labels.encode(long(part.where("p_size % 4 = 0")))
+    return labels.encode(long(part), first.select("field", "value", "value_id"))[0]
+
+
+@query("""WITH o AS (SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey, upper(c_name) AS c_name, c_acctbal * 2 AS c_acctbal FROM customer WHERE c_custkey % 5 <> 0)
+    SELECT c_custkey, coalesce(o.c_acctbal, n.c_acctbal) AS balance, coalesce(n.c_name, o.c_name) AS name FROM o FULL OUTER JOIN n USING (c_custkey)""")
+def upsert_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load's names replace the stored ones; what the store alone decides stays."""
+    rows = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    fresh = rows.where("c_custkey % 5 <> 0").select("c_custkey", F.upper("name").alias("name"), (F.col("balance") * 2).alias("balance"))
+    return codes.carry_over(rows.where("c_custkey % 3 <> 0"), fresh, "c_custkey", ["balance"], ["name"])
+
+
+@query(f"""WITH {BRANDS}, k AS (SELECT code, raw, coalesce({_KEY.format('raw')}, '') AS k FROM b), f AS (SELECT CASE k WHEN 'BRAND1' THEN 'BRAND01' WHEN 'BRAND2' THEN 'BRAND02' ELSE k END AS brand_key, raw FROM k WHERE k <> '' AND k NOT IN ({_PLACE})),
+    o AS (SELECT DISTINCT brand_key, 'kept ' || brand_key AS brand FROM f WHERE ends_with(brand_key, '1')) SELECT brand_key, brand FROM o UNION ALL SELECT brand_key, min(raw) FROM f WHERE brand_key NOT IN (SELECT brand_key FROM o) GROUP BY 1""")
+def brands_get_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = T.brand_key(F.col("raw"), demo.placeholders, demo.brand_aliases)
+    found = _brands(spark, sf_dir).select(key.alias("brand_key"), F.col("raw").alias("brand")).where("brand_key IS NOT NULL")
+    kept = found.where(F.col("brand_key").endswith("1")).select("brand_key", F.concat(F.lit("kept "), "brand_key").alias("brand")).distinct()
+    return codes.add_missing(kept, found, "brand_key")
+
+
+@query(f"WITH {BRANDS} SELECT DISTINCT raw AS spelling, CASE {_KEY.format('raw')} WHEN 'BRAND1' THEN 'BRAND01' WHEN 'BRAND2' THEN 'BRAND02' ELSE {_KEY.format('raw')} END AS brand_key FROM b WHERE raw IS NOT NULL AND {_KEY.format('raw')} <> '' AND {_KEY.format('raw')} NOT IN ({_PLACE})")
+def brand_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = T.brand_key(F.col("raw"), demo.placeholders, demo.brand_aliases)
+    return _brands(spark, sf_dir).select(F.col("raw").alias("spelling"), key.alias("brand_key")).where("brand_key IS NOT NULL").distinct()
+
+
+@query(f"""WITH {OBS_SQL}, m AS (SELECT code, CAST(ceil(sqrt(code)) AS BIGINT) AS master FROM (SELECT DISTINCT code FROM obs)) SELECT m.master, count(DISTINCT m.code) AS n_codes, count(*) AS n_rows, min(m.code) AS first_code FROM obs JOIN m ON obs.code = m.code GROUP BY 1""")
+def codes_by_master(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = observations(spark, sf_dir).select("code")
+    per = rows.groupBy("code").agg(F.count("*").alias("n")).withColumn("master", F.ceil(F.sqrt("code")).cast("long"))
+    return per.groupBy("master").agg(F.count("*").alias("n_codes"), F.sum("n").alias("n_rows"), F.min("code").alias("first_code"))
+
+
+@query(f"""WITH {NUMBERS}, n AS (SELECT id, CASE WHEN raw = '' THEN NULL WHEN regexp_full_match(raw, '[+-]?[0-9]+') THEN regexp_replace(raw, '^(-?)0+([0-9])', '\1\2') WHEN regexp_full_match(raw, '[+-]?[0-9]+[,.][0-9]+') AND NOT regexp_matches(raw, '[,.][0-9]{{3}}$') THEN replace(raw, ',', '.')
+    WHEN regexp_full_match(raw, '[+-]?[0-9]{{1,3}}(\.[0-9]{{3}})+,[0-9]+') THEN replace(replace(raw, '.', ''), ',', '.') END AS normal FROM t) SELECT t.id, t.raw, n.normal FROM t JOIN n USING (id)""")
+def raw_with_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _numbers(spark, sf_dir)
+    normal = raw.select("id", T.decimal_text(F.col("raw"))["value"].alias("normal"))
+    return raw.join(normal, "id").select("id", "raw", "normal")
+
+
+@query("SELECT o_orderkey AS run_id, o_orderstatus AS summary FROM orders ORDER BY o_orderkey DESC, o_orderstatus LIMIT 1")
+def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderstatus").alias("summary")).orderBy(F.desc("run_id"), "summary").limit(1)
+
+
 # ---------------------------------------------------------------- sites
 @query(f"""WITH {CODED}, p AS (SELECT site, nullif(regexp_extract(code, '^(CO|PE|CL)[\\s_\\-]', 1), '') AS prefix, code FROM coded), c AS (SELECT site, prefix, count(*) AS n FROM p GROUP BY 1, 2),
     e AS (SELECT site, coalesce(sum(n) FILTER (prefix IS NOT NULL), 0) / sum(n) AS share, (array_agg(prefix ORDER BY n DESC, prefix) FILTER (prefix IS NOT NULL))[1] AS top, max(n) FILTER (prefix IS NOT NULL) / sum(n) FILTER (prefix IS NOT NULL) AS dominance FROM c GROUP BY site),

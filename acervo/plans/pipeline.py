@@ -297,7 +297,7 @@ class Engine:
         used = codes.high_water(old.select(F.col("standard_code").alias("code")).unionByName(links.select(F.col("retired_code").alias("code"))).where("code IS NOT NULL"))
         numbered = codes.assign(item.select(F.col("code").alias("item"), "prefix", "existing_code"), used).select(F.col("item").alias("code"), F.col("code").alias("standard_code"))
         wide = item.join(numbered, "code").join(stock, "master_id", "left").join(seen, "master_id", "left").join(legacy, "master_id", "left")
-        key = F.when(F.col("base").isNotNull() & (F.col("status") == T.ACTIVE), F.concat_ws("|", T.compact_key(F.col("base")), F.coalesce("brand_key", F.lit("")), T.compact_key(F.col("model"))))
+        key = F.when(F.col("status") == T.ACTIVE, duplicates.key_of(F.col("base"), F.col("brand_key"), F.col("model")))
         words = T.spaced_key(F.concat_ws(" ", "name", "brand", "model", "standard_code", F.array_join("legacy_codes", " "), "description"))
         fresh = wide.select("master_id", "code", "standard_code", "name", "brand", "model", "family", "method", "status", key.alias("duplicate_key"), F.coalesce("countries", F.array().cast("array<string>")).alias("countries"), F.coalesce("stock_by_country", F.create_map().cast("map<string,double>")).alias("stock_by_country"), F.coalesce("stock", F.lit(0.0)).alias("stock"), words.alias("search_text"), "legacy_codes", "origin")
         fresh = cut(fresh, "fresh")
@@ -464,7 +464,7 @@ class Engine:
         made = self.spark.createDataFrame([(row.base, brand_name, row.model, row.brand_key)], "base string, brand string, model string, brand_key string")
         made = made.withColumn("by_name", classify.families_of_name(F.col("base"), self.pack))
         decision = classify.combine(F.col("base"), F.col("by_name"), F.array().cast("array<string>"), self.pack.generic_families, F.lit("ITEM"), F.lit("ITEM"), self.pack.bundle_family, self.pack.staff_family)
-        dup = F.concat_ws("|", T.compact_key(F.col("base")), F.coalesce("brand_key", F.lit("")), T.compact_key(F.col("model")))
+        dup = duplicates.key_of(F.col("base"), F.col("brand_key"), F.col("model"))
         out = made.select(T.standard_name(F.col("base"), F.col("brand"), F.col("model")).alias("name"), "brand", "model", decision.alias("d"), dup.alias("duplicate_key"), T.spaced_key(F.col("base")).alias("words")).select("*", "d.family", "d.method").drop("d").first().asDict()
         standards = self.table("standards")
         exact = standards.where(F.col("duplicate_key") == out["duplicate_key"])
