@@ -63,14 +63,18 @@ def strongest(rows: DataFrame, weight: str, name: str, most: int) -> DataFrame:
     return rows.where((F.col(weight) > 0) & ((step > cut_at) | (step == cut_at) & (part < below)))
 
 
+EDGES_A_FILE = 200_000
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Components of an undirected graph as ``(node, component)``, component = smallest node.
 
     Alternating large-star and small-star contraction; every step is a keyed
     minimum (combined before the shuffle) and an equi-join, so a hub with any
     number of neighbours needs no group in memory.  Only the edge count and a
-    checksum reach the driver.  Nulls and self loops are ignored; nodes without
-    an edge are not returned.
+    checksum reach the driver.  The count also sets the number of files that an
+    iteration writes, ``EDGES_A_FILE`` edges to each: few edges are few tasks.
+    Nulls and self loops are ignored; nodes without an edge are not returned.
     """
     e = cut(
         edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
@@ -96,6 +100,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .union(low.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        e = cut(small, "edges")
+        e = cut(small.coalesce(-(-now[0] // EDGES_A_FILE)), "edges")
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
