@@ -397,8 +397,8 @@ def codes_by_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.groupBy("master").agg(F.count("*").alias("n_codes"), F.sum("n").alias("n_rows"), F.min("code").alias("first_code"))
 
 
-@query(f"""WITH {NUMBERS}, n AS (SELECT id, CASE WHEN raw = '' THEN NULL WHEN regexp_full_match(raw, '[+-]?[0-9]+') THEN regexp_replace(raw, '^(-?)0+([0-9])', '\1\2') WHEN regexp_full_match(raw, '[+-]?[0-9]+[,.][0-9]+') AND NOT regexp_matches(raw, '[,.][0-9]{{3}}$') THEN replace(raw, ',', '.')
-    WHEN regexp_full_match(raw, '[+-]?[0-9]{{1,3}}(\.[0-9]{{3}})+,[0-9]+') THEN replace(replace(raw, '.', ''), ',', '.') END AS normal FROM t) SELECT t.id, t.raw, n.normal FROM t JOIN n USING (id)""")
+@query(f"""WITH {NUMBERS}, n AS (SELECT id, CASE WHEN raw = '' THEN NULL WHEN regexp_full_match(raw, '[+-]?[0-9]+') THEN regexp_replace(raw, '^(-?)0+([0-9])', '\\1\\2') WHEN regexp_full_match(raw, '[+-]?[0-9]+[,.][0-9]+') AND NOT regexp_matches(raw, '[,.][0-9]{{3}}$') THEN replace(raw, ',', '.')
+    WHEN regexp_full_match(raw, '[+-]?[0-9]{{1,3}}(\\.[0-9]{{3}})+,[0-9]+') THEN replace(replace(raw, '.', ''), ',', '.') END AS normal FROM t) SELECT t.id, t.raw, n.normal FROM t JOIN n USING (id)""")
 def raw_with_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _numbers(spark, sf_dir)
     normal = raw.select("id", T.decimal_text(F.col("raw"))["value"].alias("normal"))

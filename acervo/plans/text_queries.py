@@ -95,10 +95,6 @@ def name_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _names(spark, sf_dir).select("code", T.normal_name(F.col("raw"), demo).alias("base"))
 
 
-def _keyed(c: str) -> str:
-    return f"replace(replace(replace(strip_accents(upper({c})), ' ', ''), '-', ''), '#', '')"
-
-
 @query(f"""WITH {BASES}, k AS (SELECT *, regexp_replace(strip_accents(upper(base)), '[^A-Z0-9]+', '', 'g') AS nk, {_KEY.format("brand")} AS bk, {_KEY.format("model")} AS mk FROM b),
     a AS (SELECT *, bk <> '' AND position(bk IN nk) = 0 AS add_brand FROM k), m AS (SELECT *, mk <> '' AND position(mk IN (CASE WHEN add_brand THEN nk || bk ELSE nk END)) = 0 AS add_model FROM a)
     SELECT code, base || CASE WHEN add_brand THEN ' ' || brand ELSE '' END || CASE WHEN add_model THEN ' ' || model ELSE '' END AS name FROM m""")
