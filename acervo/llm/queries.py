@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators: ``opN_<name>(spark, sf_dir)`` and their SQL.
+"""Registered queries of the thirteen operators: ``opN_<name>(spark, sf_dir)`` and their SQL.
 
 Each query applies its operator, with production parameters, to its whole table
 and derives the contract's columns from what the operator returns.
@@ -7,8 +7,9 @@ and derives the contract's columns from what the operator returns.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from acervo.llm import crosspolytope, lexicon, minhash, quality, site_lines, sst, superkmer, tiling, toxicity, url_filter
+from acervo.llm import codebooks, crosspolytope, lexicon, minhash, mixing, quality, site_lines, sst, superkmer, tiling, toxicity, url_filter, whitening
 
 #: Fixed values of the url contract: host, path, verdict.
 URL_RULES = [
@@ -79,6 +80,22 @@ def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.find_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op11_tsqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each vector and component; a deviation that does not fit a long is null."""
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    long = rows.withColumn("deviation", F.col("deviation").try_cast("long")).select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c"))
+    return long.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
+def op12_part_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = codebooks.compress(table(spark, sf_dir, "embeddings"))
+    return rows.select("vec_id", "code", "error", F.col("label_error").cast("long").alias("label_error"), "codebooks_sha256")
+
+
+def op13_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def line_dedup_sql(docs: str) -> str:
     """DuckDB SQL of :func:`site_lines.line_dedup`: ``docs`` plus n_lines, n_dropped, new_text."""
     return f"""
@@ -134,9 +151,44 @@ QUERIES = {
     "op8_toxicity_trees": op8_toxicity_trees,
     "op9_url_filter": op9_url_filter,
     "op10_string_tiling": op10_string_tiling,
+    "op11_tsqr_whitening": op11_tsqr_whitening,
+    "op12_part_codebooks": op12_part_codebooks,
+    "op13_fair_mixing": op13_fair_mixing,
 }
 
+OP13_SQL = r"""
+WITH sized AS (
+    SELECT row_number() OVER () AS row_id, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+totals AS (
+    SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM sized GROUP BY source),
+capped AS (SELECT *, ([3, 1, 2])[(place - 1) % 3 + 1] AS weight, 2 * source_size AS cap FROM totals),
+ordered AS (
+    SELECT row_number() OVER below AS k, sum(cap) OVER below AS full_caps, sum(weight) OVER () - sum(weight) OVER below AS open_weights, lead(cap::DOUBLE / weight) OVER below AS next_ratio
+    FROM capped WINDOW below AS (ORDER BY cap::DOUBLE / weight, place ROWS UNBOUNDED PRECEDING)),
+levels AS (
+    SELECT 0 AS k, 1.5 * (SELECT sum(source_size) FROM totals) / (SELECT sum(weight) FROM capped) AS level, (SELECT min(cap::DOUBLE / weight) FROM capped) AS next_ratio
+    UNION ALL
+    SELECT k, (1.5 * (SELECT sum(source_size) FROM totals) - full_caps) / open_weights, next_ratio FROM ordered WHERE open_weights > 0),
+level AS (SELECT arg_min(level, k)::DOUBLE AS level FROM levels WHERE level <= next_ratio),
+aimed AS (SELECT source, place, source_size, least(weight * level, cap::DOUBLE) AS target FROM capped, level),
+queued AS (
+    SELECT s.row_id, a.place, a.target, s.size, t.turn, md5(coalesce(s.doc_id::VARCHAR, '') || '/' || t.turn) AS drawn
+    FROM sized s JOIN aimed a ON s.source IS NOT DISTINCT FROM a.source, (VALUES (0), (1)) t(turn) WHERE s.size > 0),
+served AS (
+    SELECT *, sum(size) OVER (PARTITION BY place ORDER BY turn, drawn, size, row_id ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM queued),
+pieces AS (
+    SELECT *, least(size, greatest(0, floor(target)::BIGINT - (upto - size))) AS n, floor(target) / target AS finish, true AS inside FROM served WHERE upto > floor(target) AND upto - size < floor(target)
+    UNION ALL
+    SELECT *, upto - floor(target)::BIGINT, upto / target, false FROM served WHERE upto > floor(target) AND upto - size < floor(target)
+    UNION ALL
+    SELECT *, size, upto / target, false FROM served WHERE NOT (upto > floor(target) AND upto - size < floor(target))),
+mixed AS (SELECT *, sum(n) OVER (ORDER BY finish, place, turn, drawn, size, row_id ROWS UNBOUNDED PRECEDING)::BIGINT - n AS before FROM pieces),
+taken AS (SELECT row_id, sum(greatest(0, least(n, (SELECT floor(1.5 * sum(source_size))::BIGINT FROM totals) - before)))::BIGINT AS taken FROM mixed GROUP BY row_id)
+SELECT s.doc_id, s.size::BIGINT AS size, a.source_size, a.target, coalesce(t.taken, 0) AS taken
+FROM sized s JOIN aimed a ON s.source IS NOT DISTINCT FROM a.source LEFT JOIN taken t USING (row_id)"""
+
 ORACLES = {
+    "op13_fair_mixing": OP13_SQL,
     "op3_site_lines": OP3_SQL,
     "op9_url_filter": OP9_SQL,
 }
