@@ -236,6 +236,14 @@ def brand_key(c: Column, placeholders: Sequence[str], aliases: dict[str, str]) -
     return let(compact_key(c), lambda k: F.when((k != "") & ~k.isin(*placeholders), F.coalesce(alias(k), k)))
 
 
+def canonical_brand(key: Column, aliases: dict[str, str]) -> Column:
+    """The name that the alias table gives a brand's key; null where it has none."""
+    out = F.lit(None).cast("string")
+    for name in sorted(set(aliases.values()), reverse=True):
+        out = F.when(key == compact_key(F.lit(name)), F.lit(name)).otherwise(out)
+    return out
+
+
 def standard_model(c: Column, placeholders: Sequence[str]) -> Column:
     text = F.trim(F.regexp_replace(F.regexp_replace(F.upper(c), r"(?U)\s*[-–]\s*", "-"), SPACES, " "))
     return let(text, lambda t: let(compact_key(t), lambda k: F.when((k != "") & ~k.isin(*placeholders), t)))

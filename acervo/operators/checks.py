@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType, StringType
 
 from acervo.functions import text as T
 
@@ -82,8 +83,13 @@ def first_row(rows: DataFrame, key: str, order: Sequence[str], keep: Sequence[st
 
 
 def first_filled(rows: DataFrame, key: str, order: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """Per field the first value in order that is not null, zero or empty."""
-    full = lambda c: F.when(F.coalesce(F.col(c).cast("string"), F.lit("")).isin("", "0", "0.0", "false"), None).otherwise(F.col(c))
+    """Per field the first value in order that is not null, an empty text, false or a number that is zero (a text "0" is filled)."""
+
+    def full(c: str) -> Column:
+        kind = rows.schema[c].dataType
+        empty = F.col(c) == "" if isinstance(kind, StringType) else ~F.col(c) if isinstance(kind, BooleanType) else F.col(c) == 0 if isinstance(kind, NumericType) else F.lit(False)
+        return F.when(~empty, F.col(c))
+
     return rows.groupBy(key).agg(*[F.min_by(full(c), F.when(full(c).isNotNull(), F.struct(*order))).alias(c) for c in fields])
 
 
@@ -94,6 +100,17 @@ def best_spelling(rows: DataFrame, key: str, spelling: str, order: Sequence[str]
     return ranked.where("_r = 1").select(key, spelling, "n")
 
 
+def spellings_by_code(rows: DataFrame, code: str, spelling: str, order: Sequence[str]) -> DataFrame:
+    """``code, spelling, place``: the spelling in each code's first row and where that row stands; a code counts once, however many rows it has."""
+    head = rows.groupBy(code).agg(F.min(F.struct(*order)).alias("place"), F.min_by(spelling, F.struct(*order)).alias("spelling"))
+    return head.where(F.coalesce("spelling", F.lit("")) != "")
+
+
+def brand_names(spelled: DataFrame, key: Column) -> DataFrame:
+    """``brand_key, spelling, n``: the spelling that most codes have, the one seen first on ties."""
+    return best_spelling(spelled.withColumn("brand_key", key).where("brand_key IS NOT NULL"), "brand_key", "spelling", ["place"])
+
+
 def file_issues(columns: Sequence[str], required: Sequence[str], rows: int) -> list[tuple[str, str, str]]:
     """Issues of a file as a whole ``(severity, field, code)``: a required column that is not there, no rows."""
     found = [("error", c, "missing_column") for c in missing_columns(columns, required)]
@@ -101,12 +118,21 @@ def file_issues(columns: Sequence[str], required: Sequence[str], rows: int) -> l
 
 
 def product_rows(rows: DataFrame, code: str, order: Sequence[str], fields: Sequence[str], ordinal: str, status: str = "status") -> DataFrame:
-    """Per code: the first filled value of each field, its first row and number of rows, and whether any is quarantined."""
+    """Per code: the first filled value of each field, its first row and number of rows, and whether any is quarantined.
+
+    The rows themselves stay where they are, a code's number of them has no bound
+    (:func:`row_list` lists those of a few codes).
+    """
     filled = first_filled(rows, code, order, fields)
     counted = rows.groupBy(code).agg(F.min(ordinal).alias("first_row"), F.count("*").alias("n_rows"), F.bool_or(F.col(status) == "quarantined").alias("quarantined"))
     return filled.join(counted, code)
 
 
+def row_list(rows: DataFrame, code: str, ordinal: str) -> DataFrame:
+    """``code, rows``: the ordinals of each code's rows, ascending; for chosen codes, as a code's rows are collected."""
+    return rows.groupBy(code).agg(F.array_sort(F.collect_list(ordinal)).alias("rows"))
+
+
 def newest(rows: DataFrame, key: str, order: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """Kept columns of each key's last row in the full order."""
     return rows.groupBy(key).agg(F.max_by(F.struct(*keep), F.struct(*order)).alias("_h")).select(key, *[f"_h.{c}" for c in keep])

@@ -66,7 +66,7 @@ def combine(name: Column, by_name: Column, by_label: Column, generic: Sequence[s
 
 
 #: Statuses and reasons of the conservative review, and the names of what waits.
-APPROVED, PENDING, QUARANTINED = "approved_by_rule", "pending", "quarantined"
+APPROVED, PENDING, QUARANTINED, BY_PERSON, REFUSED = "approved_by_rule", "pending", "quarantined", "approved_by_reviewer", "rejected"
 AGREE, NAME_ONLY, LABEL_ONLY, UNCLEAR = "Objeto principal y etiqueta especifica coinciden", "Descripcion sugiere familia; etiquetas ausentes o distintas", "Solo etiqueta: descripcion requiere revision", "Evidencias ambiguas o contradictorias"
 SOURCE_PENDING = "Validacion de origen pendiente"
 PACKAGE_NOTE, WARNING_NOTE, TYPE_NOTE, MASTER_NOTE = "; validar composicion del paquete", "; advertencia operacional", "; validar tipo de servicio/repuesto/cargo", "; maestro existente requiere aprobacion explicita"
@@ -144,3 +144,24 @@ def pending_group(status: Column, reason: Column, n_lexical: Column, n_labels: C
         .when(family.isNotNull(), WAITING[5])
         .otherwise(WAITING[6])
     )
+
+
+def written_back(reviews: DataFrame, products: DataFrame, version: str, code: str = "code") -> DataFrame:
+    """Conservative ``reviews`` that wait or that a rule approved, with the family and method that the rules gave their ``products (code, family, method)``.
+
+    A sure method approves, any other waits; quarantined reviews and those that a
+    person decided stay, also where the product shows that decision.
+    """
+    said = products.select(code, F.col("family").alias("_family"), F.col("method").alias("_method"))
+    touched = F.col("_method").isNotNull() & ~F.col("_method").isin(BY_REVIEWER, BY_REJECTION) & F.col("status").isin(PENDING, APPROVED)
+    change = {"family": F.col("_family"), "status": F.when(F.col("_method") == HIGH, APPROVED).otherwise(PENDING), "reason": F.concat(F.lit(f"{version}: "), F.col("_method"))}
+    return reviews.join(said, code, "left").withColumns({c: F.when(touched, v).otherwise(F.col(c)) for c, v in change.items()}).select(*reviews.columns)
+
+
+def with_decisions(reviews: DataFrame, decisions: DataFrame, key: str = "master_id") -> DataFrame:
+    """Reviews under what people decided of their products (``decision, reviewed_family``): an approval or a rejection replaces status and family."""
+    met = reviews.join(decisions.select(key, "decision", "reviewed_family"), key, "left")
+    approved, rejected = F.col("decision") == "approved", F.col("decision") == "rejected"
+    status = F.when(approved, BY_PERSON).when(rejected, REFUSED).otherwise(F.col("status"))
+    family = F.when(approved, F.col("reviewed_family")).when(~F.coalesce(rejected, F.lit(False)), F.col("family"))
+    return met.withColumns({"family": family, "status": status}).select(*reviews.columns)

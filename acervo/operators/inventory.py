@@ -16,11 +16,21 @@ from acervo.functions.text import general_number
 
 #: Fixed value: the bucket of stock whose site has no country.
 NO_COUNTRY = "Sin país"
+#: Fixed value: the kind of a site that has none.
+NO_KIND = "Sin tipo"
 
 
-def money(c: Column) -> Column:
-    """Exact addition: doubles with two decimals are added as decimals."""
-    return c.cast("decimal(18,2)")
+#: Type in which amounts are added: exact to ten decimals.
+AMOUNT = "decimal(38,10)"
+
+
+def total(amount: Column) -> Column:
+    """The sum of doubles, the same in any order: added as decimals with ten places.
+
+    Amounts too large for that (from 1e28 on) make the whole sum one of doubles.
+    """
+    exact = amount.try_cast(AMOUNT)
+    return F.when(F.count(exact) == F.count(amount), F.coalesce(F.try_sum(exact).cast("double"), F.sum(amount))).otherwise(F.sum(amount))
 
 
 def available(obs: DataFrame, types: Sequence[str]) -> DataFrame:
@@ -30,7 +40,7 @@ def available(obs: DataFrame, types: Sequence[str]) -> DataFrame:
 def stock_by_country(obs: DataFrame, types: Sequence[str], code: str = "code") -> DataFrame:
     """``code, country, quantity``: positive stock at available kinds of sites."""
     country = F.coalesce("country", F.lit(NO_COUNTRY))
-    return available(obs, types).groupBy(code, country.alias("country")).agg(F.sum(money(F.col("stock"))).cast("double").alias("quantity"))
+    return available(obs, types).groupBy(code, country.alias("country")).agg(total(F.col("stock")).alias("quantity"))
 
 
 def stock_map(obs: DataFrame, types: Sequence[str], code: str = "code") -> DataFrame:
@@ -58,26 +68,51 @@ def country_counts(obs: DataFrame, types: Sequence[str], code: str = "code") ->
 
 def stock_summary(obs: DataFrame, types: Sequence[str], keys: Sequence[str] = ("country",)) -> DataFrame:
     """Available stock, and stock that is there but not available, by country."""
-    positive = F.when(F.col("stock") > 0, money(F.col("stock")))
+    positive = F.when(F.col("stock") > 0, F.col("stock"))
     free = F.col("site_type").isin(*types)
-    zero = F.lit(0).cast("decimal(18,2)")
+    none = F.lit(0.0)
     return obs.withColumn("country", F.coalesce("country", F.lit(NO_COUNTRY))).groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when(free, positive)), zero).cast("double").alias("available"),
-        F.coalesce(F.sum(F.when(~free, positive)), zero).cast("double").alias("unavailable"),
+        F.coalesce(total(F.when(free, positive)), none).alias("available"),
+        F.coalesce(total(F.when(~free, positive)), none).alias("unavailable"),
     )
 
 
 def stock_by_kind(obs: DataFrame, code: str = "code", name: str = "name") -> DataFrame:
-    return obs.groupBy(code, name, F.coalesce("country", F.lit(NO_COUNTRY)).alias("country"), "site_type").agg(F.sum(money(F.col("stock"))).cast("double").alias("stock"))
+    return obs.groupBy(code, name, F.coalesce("country", F.lit(NO_COUNTRY)).alias("country"), "site_type").agg(total(F.col("stock")).alias("stock"))
 
 
 def unavailable_share(obs: DataFrame, types: Sequence[str]) -> DataFrame:
-    all_, off = money(F.greatest("stock", F.lit(0.0))), ~F.col("site_type").isin(*types)
-    return obs.agg(F.sum(F.when(off, all_)).cast("double").alias("unavailable"), F.sum(all_).cast("double").alias("total")).withColumn("share", F.round(F.col("unavailable") / F.col("total"), 6))
+    all_, off = F.greatest("stock", F.lit(0.0)), ~F.col("site_type").isin(*types)
+    return obs.agg(total(F.when(off, all_)).alias("unavailable"), total(all_).alias("total")).withColumn("share", F.round(F.col("unavailable") / F.col("total"), 6))
 
 
 def unavailable_map(obs: DataFrame, types: Sequence[str]) -> DataFrame:
     """``country, unavailable``: positive stock at other than available kinds of sites, as a sorted map by kind."""
     off = obs.where(~F.col("site_type").isin(*types) & (F.col("stock") > 0))
-    per = off.groupBy(F.coalesce("country", F.lit(NO_COUNTRY)).alias("country"), "site_type").agg(F.sum(money(F.col("stock"))).cast("double").alias("stock"))
+    per = off.groupBy(F.coalesce("country", F.lit(NO_COUNTRY)).alias("country"), "site_type").agg(total(F.col("stock")).alias("stock"))
     return per.groupBy("country").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("site_type", "stock")))).alias("unavailable"))
+
+
+def own_rows(products: DataFrame, rows: DataFrame, sites: DataFrame, types: Sequence[str]) -> DataFrame:
+    """What is seen of each product: the rows of its own load under its own codes, with country and kind of the site.
+
+    ``products`` has ``master_id, load_id, legacy_codes``, ``rows`` ``load_id, code,
+    site, stock`` (and more), ``sites`` ``site, country, site_type``.  A row of
+    another load, older or newer, is not the product's.
+    """
+    codes = products.select("master_id", "load_id", F.explode("legacy_codes").alias("code"))
+    met = rows.join(codes, ["load_id", "code"]).join(sites.select("site", "country", "site_type"), "site", "left")
+    return met.withColumn("available", F.coalesce(F.col("site_type").isin(*types), F.lit(False)))
+
+
+def in_detail_order(rows: DataFrame) -> DataFrame:
+    """Available stock first, then by stock."""
+    return rows.orderBy(F.desc("available"), F.desc("stock"), "site", "code")
+
+
+def stock_of_products(rows: DataFrame, *keys: str) -> DataFrame:
+    """``keys, country, available, unavailable``: positive stock by country, what is not available as a map by kind of site."""
+    kind = F.when(~F.col("available"), F.coalesce("site_type", F.lit(NO_KIND)))
+    per = rows.where("stock > 0").groupBy(*keys, F.coalesce("country", F.lit(NO_COUNTRY)).alias("country"), kind.alias("kind")).agg(total(F.col("stock")).alias("n"))
+    off = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("kind", "n")))))
+    return per.groupBy(*keys, "country").agg(F.coalesce(F.sum(F.when(F.col("kind").isNull(), F.col("n"))), F.lit(0.0)).alias("available"), off.alias("unavailable"))

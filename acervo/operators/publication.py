@@ -85,6 +85,23 @@ def preview(incoming: DataFrame, published: DataFrame, technical: DataFrame, mas
     return one.drop("_one").withColumn("global_errors", F.lit(global_errors).cast("long"))
 
 
+def load_states(loads: DataFrame, publications: DataFrame, source: str = "source", load: str = "load_id") -> DataFrame:
+    """``loads`` with what was published of their source: ``active``, ``stale``, ``already_published``.
+
+    A load is stale when the source's newest *published* load is newer, whatever has
+    been staged since; ``active`` is null where nothing is published.
+    """
+    newest = publications.groupBy(source).agg(F.max(load).alias("active"))
+    known, active = F.col("active").isNotNull(), F.col("active")
+    return loads.join(newest, source, "left").withColumns({"stale": known & (F.col(load) < active), "already_published": known & (F.col(load) == active)})
+
+
+def load_inventory(rows: DataFrame, masters: DataFrame, sites: DataFrame, columns: Sequence[str], code: str = "code", site: str = "site") -> DataFrame:
+    """A load's accepted rows whose code has a product and whose site is known: ``master_id``, code, site and ``columns``."""
+    kept = rows.where("status = 'accepted'").join(masters.select(code, "master_id"), code)
+    return kept.join(sites.select(site).distinct(), site, "left_semi").select("master_id", code, site, *columns)
+
+
 def catalogue_view(products: DataFrame, links: DataFrame) -> DataFrame:
     """Every product with the sorted source codes that map to it: a null list and ``n`` 0 where none does."""
     own = links.groupBy("master").agg(F.array_join(F.array_sort(F.collect_list("source_code")), ", ").alias("source_codes"), F.count("*").alias("n"))

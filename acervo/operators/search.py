@@ -35,7 +35,7 @@ def filters() -> dict[str, Column]:
 
 
 #: What a search returns: the internal total is for ordering only, stock is never added across countries.
-SHOWN = "master_id code standard_code name brand model family method status duplicate_group duplicate_kind countries stock_by_country legacy_codes origin".split()
+SHOWN = "master_id code standard_code name brand model category family product_type package method status duplicate_group duplicate_kind countries stock_by_country sites_with_stock legacy_codes retired_codes origin".split()
 
 
 def in_list(text: Column, value: str) -> Column:
@@ -43,15 +43,24 @@ def in_list(text: Column, value: str) -> Column:
     return F.concat(F.lit(", "), text, F.lit(",")).contains(f", {value},")
 
 
-def search(catalogue: DataFrame, query_key: str = "", country: str | None = None, named: str | None = None, limit: int = 50, offset: int = 0, family: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """``(page, total)``: coded products first, then stock, name and id; unknown filter names are ignored."""
-    rows = catalogue.where(matches(F.col("search_text"), query_key))
+def matching(catalogue: DataFrame, query_key: str = "", country: str | None = None, named: str | None = None, family: str | None = None, category: str | None = None) -> DataFrame:
+    """Products that fit; unknown filter names are ignored.
+
+    A country finds the products that have stock there; to be seen there is not enough.
+    """
+    rows = catalogue.where(matches(F.col("search_text"), query_key)) if query_key else catalogue
     if country:
-        rows = rows.where(F.array_contains("countries", country))
+        rows = rows.where(F.map_contains_key("stock_by_country", country))
+    if category:
+        rows = rows.where(F.col("category") == category)
     if family:
         rows = rows.where(F.col("family") == family)
-    if named in filters():
-        rows = rows.where(filters()[named])
+    return rows.where(filters()[named]) if named in filters() else rows
+
+
+def search(catalogue: DataFrame, query_key: str = "", country: str | None = None, named: str | None = None, limit: int = 50, offset: int = 0, family: str | None = None, category: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(page, total)`` of :func:`matching`: coded products first, then stock, name and id."""
+    rows = matching(catalogue, query_key, country, named, family, category)
     order = [F.col("standard_code").isNull(), F.desc_nulls_last("stock"), F.asc_nulls_first("name"), F.col("master_id")]
     shown = [c for c in SHOWN if c in catalogue.columns]
     return rows.orderBy(*order).limit(offset + min(limit, MOST_ROWS)).offset(offset).select(*shown), rows.agg(F.count("*").alias("total"))

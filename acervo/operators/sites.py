@@ -46,3 +46,30 @@ def protect_manual(old: Column, old_source: Column, new: Column) -> Column:
 
 def site_names(rows: DataFrame, site: str, name: str, order: Sequence[str]) -> DataFrame:
     return rows.groupBy(site).agg(F.count("*").alias("n_rows"), F.min_by(name, F.struct(*order)).alias("first_name"))
+
+
+MANUAL, BY_RULE = "manual", "regla"
+
+
+def merged(old: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Stored sites under newly derived ones: names follow the load; country and kind each stay where a person set them.
+
+    Both have ``keys, site_name, country, country_source, site_type, type_source``;
+    sites that the load does not have stay as they are.
+    """
+    o, n = old.alias("o"), fresh.alias("n")
+    same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
+    is_old, is_new = F.col("o.country_source").isNotNull(), F.col("n.country_source").isNotNull()
+    pick = lambda value, source: F.when(is_new & ~(is_old & (F.col(f"o.{source}") == MANUAL)), F.col(f"n.{value}")).otherwise(F.col(f"o.{value}")).alias(value)
+    name = F.coalesce("n.site_name", "o.site_name").alias("site_name")
+    return o.join(n, same, "full_outer").select(*[F.coalesce(f"o.{k}", f"n.{k}").alias(k) for k in keys], name, pick("country", "country_source"), pick("country_source", "country_source"), pick("site_type", "type_source"), pick("type_source", "type_source"))
+
+
+def set_by_hand(table: DataFrame, me: Column, country: Column | None, kind: Column | None) -> DataFrame:
+    """``table`` with what is given of ``country`` and ``kind`` set, and marked as set by a person, where ``me`` holds."""
+    changes = {}
+    for value, source, given in (("country", "country_source", country), ("site_type", "type_source", kind)):
+        if given is not None:
+            changes[value] = F.when(me, given).otherwise(F.col(value))
+            changes[source] = F.when(me, MANUAL).otherwise(F.col(source))
+    return table.withColumns(changes) if changes else table

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from acervo.functions import text as T
-from acervo.operators import checks, classify, codes, duplicates, inventory, labels, profile, publication, search, sites
-from acervo.plans.frames import AVAILABLE, AVAILABLE_SQL, OBS_SQL, ORDER, observations, read
+from acervo.operators import checks, classify, codes, duplicates, inventory, labels, profile, publication, search, sites, wordindex
+from acervo.plans.frames import AVAILABLE, AVAILABLE_SQL, OBS_SQL, ORDER, observations, read, site_table, stored
 from acervo.plans.pipeline import PUBLISHED_FLAGS
 from acervo.plans.rule_queries import ASSIGNED, CODED, DECIDED, _coded, classified
 from acervo.plans.text_queries import _KEY, _PLACE, BASES, BRANDS, NUMBERS, _brands, _names, _numbers
 from acervo.rulepack import demo
+from acervo.session import partitions
 
 QUERIES, ORACLES = {}, {}
 
@@ -27,19 +28,41 @@ def query(sql: str):
 LOAD = 2000  # the year that counts as the load at hand; the one before it as the published one
 
 # ---------------------------------------------------------------- the catalogue as one table
-CATALOGUE = f"""{ASSIGNED}, {OBS_SQL}, free AS (SELECT code, CAST(sum(CAST(stock AS DECIMAL(18,2))) AS DOUBLE) AS stock FROM obs WHERE site_type IN ({AVAILABLE_SQL}) AND stock > 0 AND load = {LOAD} GROUP BY code),
+CATALOGUE = f"""{ASSIGNED}, {OBS_SQL}, free AS (SELECT code, sum(stock) AS stock FROM obs WHERE site_type IN ({AVAILABLE_SQL}) AND stock > 0 AND load = {LOAD} GROUP BY code),
+    has AS (SELECT code, list(DISTINCT coalesce(country, 'Sin país')) AS stocked FROM obs WHERE site_type IN ({AVAILABLE_SQL}) AND stock > 0 AND load = {LOAD} GROUP BY code),
     seen AS (SELECT code, list_sort(list(DISTINCT country) FILTER (country IS NOT NULL)) AS countries FROM obs WHERE load = {LOAD} GROUP BY code),
     cat0 AS (SELECT d.code AS master_id, m.code AS standard_code, d.name, p_brand AS brand, d.family, d.method, CASE WHEN d.size % 17 = 0 THEN 'Revisar: marcado no usar / eliminar' ELSE 'Activo' END AS status,
-        CASE WHEN d.size % 9 = 0 THEN 'manual' ELSE 'import' END AS origin, f.stock, coalesce(s.countries, []) AS countries, p_name || '|' || p_brand AS key, CASE WHEN d.size % 4 = 0 THEN 2 ELSE 1 END AS n_codes,
+        CASE WHEN d.size % 9 = 0 THEN 'manual' ELSE 'import' END AS origin, f.stock, h.stocked, coalesce(s.countries, []) AS countries, p_name || '|' || p_brand AS key, CASE WHEN d.size % 4 = 0 THEN 2 ELSE 1 END AS n_codes,
         trim(regexp_replace(upper(d.name || ' ' || p_brand || coalesce(' ' || m.code, '')), '[^A-Z0-9]+', ' ', 'g')) AS search_text
-        FROM decided d JOIN part ON d.code = p_partkey JOIN made m ON m.item = d.code LEFT JOIN free f ON f.code = d.code LEFT JOIN seen s ON s.code = d.code),
+        FROM decided d JOIN part ON d.code = p_partkey JOIN made m ON m.item = d.code LEFT JOIN free f ON f.code = d.code LEFT JOIN has h ON h.code = d.code LEFT JOIN seen s ON s.code = d.code),
     shared AS (SELECT key, max(n) > 1 AS shared FROM (SELECT key, c, count(*) AS n FROM (SELECT key, unnest(countries) AS c FROM cat0) GROUP BY 1, 2) GROUP BY key),
     kinds AS (SELECT c.key, CASE WHEN bool_or(len(countries) = 0) OR coalesce(any_value(shared), false) THEN 'Mismo país' ELSE 'Otro país' END AS kind FROM cat0 c LEFT JOIN shared h ON c.key = h.key GROUP BY c.key HAVING count(*) > 1),
     cat AS (SELECT c.*, k.kind AS duplicate_kind FROM cat0 c LEFT JOIN kinds k ON c.key = k.key)"""
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every part as a product with code, stock, countries and duplicates."""
+    """The stored catalogue: every part as a product with code, stock, countries and duplicates."""
+    return stored(spark, sf_dir, "catalogue", lambda: _catalogue(spark, sf_dir))
+
+
+def word_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue's stored index of word prefixes, sorted by key."""
+    def build() -> DataFrame:
+        made = wordindex.postings(catalogue(spark, sf_dir), "master_id", "search_text").withColumns({"live": F.lit(True), "seq": F.lit(1).cast("long")})
+        return made.repartition(partitions(spark), "key").sortWithinPartitions("key", "id")
+
+    return stored(spark, sf_dir, "words", build)
+
+
+def found(spark: SparkSession, sf_dir: str, query_key: str) -> DataFrame:
+    """Products with a word for every token, by the index."""
+    index = word_index(spark, sf_dir)
+    ids, most = wordindex.intersected([wordindex.found(index, t) for t in wordindex.tokens_of(query_key)])
+    ids = ids.withColumnRenamed("id", "master_id")
+    return catalogue(spark, sf_dir).join(F.broadcast(ids) if most <= wordindex.FEW else ids, "master_id", "left_semi")
+
+
+def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = classified(spark, sf_dir)
     table = F.create_map(*[F.lit(x) for f in demo.taxonomy for x in (f, demo.code_prefix(f))])
     items = rows.withColumn("prefix", F.try_element_at(table, F.col("family")))
@@ -48,10 +71,10 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     used = codes.high_water(items.where("existing_code IS NOT NULL").select(F.col("existing_code").alias("code")))
     coded = codes.assign(items, used, item="master_id").withColumnRenamed("code", "standard_code")
     obs = observations(spark, sf_dir).where(F.col("load") == LOAD).withColumnRenamed("code", "master_id")
-    free = inventory.available(obs, AVAILABLE).groupBy("master_id").agg(F.sum(inventory.money(F.col("stock"))).cast("double").alias("stock"))
+    free = inventory.stock_map(obs, AVAILABLE, "master_id").drop("stock_text").withColumn("stock", F.aggregate(F.map_values("stock_by_country"), F.lit(0.0), lambda a, x: a + x))
     out = coded.join(free, "master_id", "left").join(inventory.presence(obs, "master_id"), "master_id", "left")
     out = out.select(
-        "master_id", "standard_code", "name", "brand", "family", "method", F.when(F.col("size") % 17 == 0, T.FLAGGED).otherwise(T.ACTIVE).alias("status"), F.when(F.col("size") % 9 == 0, "manual").otherwise("import").alias("origin"), "stock",
+        "master_id", "standard_code", "name", "brand", "family", "method", F.when(F.col("size") % 17 == 0, T.FLAGGED).otherwise(T.ACTIVE).alias("status"), F.when(F.col("size") % 9 == 0, "manual").otherwise("import").alias("origin"), "stock", "stock_by_country",
         F.coalesce("countries", F.array().cast("array<string>")).alias("countries"), F.concat_ws("|", "name", "brand").alias("key"), F.when(F.col("size") % 4 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"))).alias("legacy_codes"),
         T.spaced_key(F.concat_ws(" ", "name", "brand", "standard_code")).alias("search_text"),
     )
@@ -72,19 +95,19 @@ def all_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unpivot([], one.columns, "filter_name", "n")
 
 
-_WHERE = "WHERE ' ' || search_text LIKE '% R%' AND ' ' || search_text LIKE '% BRAND%' AND list_contains(countries, 'NATION_3')"
+_WHERE = "WHERE ' ' || search_text LIKE '% R%' AND ' ' || search_text LIKE '% BRAND%' AND list_contains(stocked, 'NATION_3')"
 _ORDER = "ORDER BY standard_code IS NULL, stock DESC NULLS LAST, name ASC NULLS FIRST, master_id"
 
 
 @query(f"{CATALOGUE} SELECT master_id, standard_code, name, brand, family, method, status, duplicate_kind, origin, array_to_string(countries, ', ') AS countries FROM cat {_WHERE} {_ORDER} LIMIT 50 OFFSET 10")
 def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page, _ = search.search(catalogue(spark, sf_dir), "R BRAND", country="NATION_3", limit=50, offset=10)
+    page, _ = search.search(found(spark, sf_dir, "R BRAND"), country="NATION_3", limit=50, offset=10)
     return page.select("master_id", "standard_code", "name", "brand", "family", "method", "status", "duplicate_kind", "origin", F.array_join("countries", ", ").alias("countries"))
 
 
 @query(f"{CATALOGUE} SELECT count(*) AS total FROM cat {_WHERE} AND family IS NOT NULL")
 def search_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(catalogue(spark, sf_dir), "R BRAND", country="NATION_3", named="classified")[1]
+    return search.search(found(spark, sf_dir, "R BRAND"), country="NATION_3", named="classified")[1]
 
 
 @query(f"{CATALOGUE} SELECT master_id, ', ' || array_to_string(countries, ', ') || ',' LIKE '%, NATION_1,%' AS stands_in FROM cat")
@@ -117,16 +140,12 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     AND ' ' || o.search_text LIKE '% ' || split_part(me.search_text, ' ', 2) || '%' WHERE o.key <> me.key""")
 def similar_not_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products whose text starts words with the first two of another's, without its exact equals; asked for every product whose id 20 divides."""
-    every = catalogue(spark, sf_dir).select("master_id", "search_text", "key")
+    every = catalogue(spark, sf_dir)
     words = F.split("search_text", " ")
-    word = F.explode(F.array_distinct(F.split("search_text", " ")))
-    asked = every.where("master_id % 20 = 0").select(F.col("master_id").alias("me"), F.col("key").alias("mine"), words[0].alias("a"), words[1].alias("b"))
-    prefixes = asked.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("prefix")).distinct()
-    lengths = [r[0] for r in prefixes.select(F.length("prefix")).distinct().collect()]
-    known = every.select("master_id", word.alias("w")).select("master_id", F.explode(F.array(*[F.when(F.length("w") >= n, F.substring("w", 1, n)) for n in lengths])).alias("prefix")).where("prefix IS NOT NULL").distinct().join(F.broadcast(prefixes), "prefix")
-    first = asked.join(known.withColumnRenamed("master_id", "other"), F.col("a") == F.col("prefix")).drop("prefix")
-    both = first.join(known, (F.col("b") == F.col("prefix")) & (F.col("other") == F.col("master_id"))).drop("prefix", "master_id")
-    return both.join(every.select(F.col("master_id").alias("other"), "key"), "other").where("key <> mine").select(F.col("me").alias("master_id"), F.col("other").alias("similar_id"))
+    asked = every.where("master_id % 20 = 0").select(F.col("master_id").alias("query"), F.explode(F.array(words[0], words[1])).alias("token"))
+    met = wordindex.answers(word_index(spark, sf_dir), asked)
+    mine, other = every.select(F.col("master_id").alias("query"), F.col("key").alias("mine")), every.select(F.col("master_id").alias("id"), "key")
+    return met.join(mine, "query").join(other, "id").where("key <> mine").select(F.col("query").alias("master_id"), F.col("id").alias("similar_id"))
 
 
 # ---------------------------------------------------------------- loads and validation
@@ -215,13 +234,24 @@ def export_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = staged(spark, sf_dir).where("status = 'accepted'")
     masters = read(spark, sf_dir, "part").where("p_partkey % 7 <> 0").select(F.col("p_partkey").alias("code"))
     known = read(spark, sf_dir, "supplier").where("s_suppkey % 6 <> 0").select(F.col("s_suppkey").alias("site"))
-    return rows.join(masters, "code", "left_semi").join(known, "site", "left_semi").select("l_orderkey", "l_linenumber", "code", "site", "stock")
+    return publication.load_inventory(rows, masters.withColumn("master_id", F.col("code")), known, ["l_orderkey", "l_linenumber", "stock"]).drop("master_id")
+
+
+_FILES = ["region", "nation", "supplier", "customer"]
 
 
-@query("SELECT 'error' AS severity, unnest(['r_comment', 'file']) AS field, unnest(['missing_column', 'empty_file']) AS code")
+@query(" UNION ALL ".join(f"SELECT '{t}' AS file, 'error' AS severity, c AS field, 'missing_column' AS code FROM (SELECT unnest(['{t[0]}_name', '{t[0]}_acctbal']) AS c) WHERE c NOT IN (SELECT column_name FROM (DESCRIBE {t}))" for t in _FILES)
+    + " UNION ALL " + " UNION ALL ".join(f"SELECT '{t}', 'error', 'file', 'empty_file' FROM (SELECT count(*) AS n FROM {t} WHERE {t[0]}_name LIKE '%9') WHERE n = 0" for t in _FILES))
 def file_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    empty = read(spark, sf_dir, "region").where("r_regionkey < 0")
-    return spark.createDataFrame(checks.file_issues(empty.columns, ["r_name", "r_comment"], empty.count()), "severity string, field string, code string")
+    """Issues of tables as whole files: required columns they lack, and no rows left (names that end in 9 count as rows)."""
+    found = None
+    for t in _FILES:
+        rows = read(spark, sf_dir, t)
+        n = rows.where(F.col(f"{t[0]}_name").endswith("9")).limit(1).count()
+        issues = checks.file_issues(rows.columns, [f"{t[0]}_name", f"{t[0]}_acctbal"], n)
+        one = spark.createDataFrame([(t, *i) for i in issues], "file string, severity string, field string, code string")
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 _ISSUES = """i AS (SELECT c_custkey, c_acctbal < 0 AS warn, c_custkey % 11 = 0 AS bad FROM customer)"""
@@ -439,21 +469,21 @@ def manual_sites_stay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT s_suppkey AS site, row_number() OVER (ORDER BY nullif(n_name, 'NATION_7') IS NOT NULL, s_name, s_suppkey) AS place FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
 def sites_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     from acervo.operators.numbering import dense_ids
-    from acervo.plans.frames import site_table
 
     rows = site_table(spark, sf_dir).join(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site"), "s_name"), "site")
     return dense_ids(rows.select("site", F.col("country").isNotNull().alias("known"), "s_name"), ["known", "s_name", "site"], "place").select("site", "place")
 
 
 # ---------------------------------------------------------------- detail, stock and sets
-@query(f"""WITH {OBS_SQL} SELECT code, site, country, site_type, stock, site_type IN ({AVAILABLE_SQL}) AS available FROM obs WHERE code IN (3, 5, 8) ORDER BY available DESC, stock DESC, site, code LIMIT 40""")
+@query(f"""WITH {OBS_SQL} SELECT code, site, country, site_type, stock, site_type IN ({AVAILABLE_SQL}) AS available FROM obs WHERE code IN (3, 5, 8) AND load = {LOAD} ORDER BY available DESC, stock DESC, site, code LIMIT 40""")
 def detail_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    free = F.col("site_type").isin(*AVAILABLE)
-    rows = observations(spark, sf_dir).where(F.col("code").isin(3, 5, 8)).select("code", "site", "country", "site_type", "stock", free.alias("available"))
-    return rows.orderBy(F.desc("available"), F.desc("stock"), "site", "code").limit(40)
+    product = spark.createDataFrame([(1, LOAD, [3, 5, 8])], "master_id long, load_id int, legacy_codes array<long>")
+    rows = observations(spark, sf_dir).select("code", "site", "stock", F.col("load").alias("load_id")).where(F.col("code").isin(3, 5, 8))
+    mine = inventory.own_rows(product, rows, site_table(spark, sf_dir), AVAILABLE)
+    return inventory.in_detail_order(mine.select("code", "site", "country", "site_type", "stock", "available")).limit(40)
 
 
-@query(f"""WITH {OBS_SQL}, q AS (SELECT coalesce(country, 'Sin país') AS country, site_type, CAST(sum(CAST(stock AS DECIMAL(18,2))) AS DOUBLE) AS stock FROM obs WHERE stock > 0 AND site_type NOT IN ({AVAILABLE_SQL}) GROUP BY 1, 2)
+@query(f"""WITH {OBS_SQL}, q AS (SELECT coalesce(country, 'Sin país') AS country, site_type, sum(stock) AS stock FROM obs WHERE stock > 0 AND site_type NOT IN ({AVAILABLE_SQL}) GROUP BY 1, 2)
     SELECT country, string_agg(site_type || ': ' || CAST(CAST(stock AS BIGINT) AS VARCHAR), ' · ' ORDER BY site_type) AS unavailable FROM q GROUP BY country""")
 def unavailable_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = inventory.unavailable_map(observations(spark, sf_dir), AVAILABLE)
@@ -461,18 +491,18 @@ def unavailable_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("country", text.alias("unavailable"))
 
 
-@query(f"""WITH {OBS_SQL}, s AS (SELECT code, coalesce(country, 'Sin país') AS country, CAST(sum(CAST(stock AS DECIMAL(18,2))) AS DOUBLE) AS quantity FROM obs WHERE site_type IN ({AVAILABLE_SQL}) AND stock > 0 GROUP BY 1, 2) SELECT code, country, quantity FROM s""")
+@query(f"""WITH {OBS_SQL}, s AS (SELECT code, coalesce(country, 'Sin país') AS country, sum(stock) AS quantity FROM obs WHERE site_type IN ({AVAILABLE_SQL}) AND stock > 0 GROUP BY 1, 2) SELECT code, country, quantity FROM s""")
 def exploded_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.stock_map(observations(spark, sf_dir), AVAILABLE).select("code", F.explode("stock_by_country").alias("country", "quantity"))
 
 
-@query(f"""WITH {OBS_SQL}, s AS (SELECT code, CAST(sum(CAST(stock AS DECIMAL(18,2))) AS DOUBLE) AS total FROM obs WHERE site_type IN ({AVAILABLE_SQL}) AND stock > 0 GROUP BY 1) SELECT code, row_number() OVER (ORDER BY total DESC, code) AS place FROM s""")
+@query(f"""WITH {OBS_SQL}, s AS (SELECT code, sum(stock) AS total FROM obs WHERE site_type IN ({AVAILABLE_SQL}) AND stock > 0 GROUP BY 1) SELECT code, row_number() OVER (ORDER BY total DESC, code) AS place FROM s""")
 def order_by_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products in order of their stock over all countries; the total orders only and is not returned."""
     from acervo.operators.numbering import dense_ids
 
     made = inventory.stock_map(observations(spark, sf_dir), AVAILABLE)
-    total = F.aggregate(F.map_values("stock_by_country"), F.lit(0).cast("decimal(38,2)"), lambda a, x: (a + inventory.money(x)).cast("decimal(38,2)"))
+    total = F.aggregate(F.map_values("stock_by_country"), F.lit(0.0), lambda a, x: a + x)
     return dense_ids(made.select("code", (-total).alias("less")), ["less", "code"], "place").select("code", "place")
 
 
@@ -487,13 +517,15 @@ def evidence_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(spark, sf_dir).select("code", same.alias("same"), F.size(F.array_intersect("by_name", "by_label")).cast("long").alias("shared"))
 
 
-_TAX = [(f, c, demo.code_prefix(f)) for f, (c, _, _) in sorted(demo.taxonomy.items())]
+_TAX = ", ".join(f"('{f}', '{c}', '{demo.code_prefix(f)}')" for f, (c, _, _) in sorted(demo.taxonomy.items()))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{c}', '{p}', {'true' if any(f == x for x, _ in demo.family_patterns) else 'false'})" for f, c, p in _TAX) + ") t(family, category, prefix, has_pattern)")
+@query(f"""{DECIDED}, tax(family, category, prefix) AS (VALUES {_TAX}) SELECT t.category, t.family, t.prefix, count(d.code) AS products, bool_or(d.code IS NOT NULL) AS used FROM tax t LEFT JOIN decided d ON d.family = t.family GROUP BY ALL""")
 def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = {f for f, _ in demo.family_patterns}
-    return spark.createDataFrame([(f, c, p, f in named) for f, c, p in _TAX], "family string, category string, prefix string, has_pattern boolean")
+    """Every family of the pack with its category, code prefix and products: a family is kept though nothing uses it."""
+    known = spark.createDataFrame([(f, c, demo.code_prefix(f)) for f, (c, _, _) in demo.taxonomy.items()], "family string, category string, prefix string")
+    used = classified(spark, sf_dir).where("family IS NOT NULL").groupBy("family").agg(F.count("*").alias("n"))
+    return F.broadcast(known).join(used, "family", "left").select("category", "family", "prefix", F.coalesce("n", F.lit(0)).alias("products"), F.col("n").isNotNull().alias("used"))
 
 
 # ---------------------------------------------------------------- profiles
@@ -532,11 +564,11 @@ def equal_brand_and_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("key").agg(F.count("*").alias("members"), F.count_distinct("p_name").alias("names")).where("members > 1")
 
 
-@query(f"""WITH {OBS_SQL}, s AS (SELECT code, sum(CASE WHEN site_type IN ({AVAILABLE_SQL}) THEN CAST(greatest(stock, 0) AS DECIMAL(18,2)) ELSE 0 END) AS free, count(DISTINCT CASE WHEN stock > 0 THEN country END) AS n_countries FROM obs GROUP BY code)
+@query(f"""WITH {OBS_SQL}, s AS (SELECT code, coalesce(sum(greatest(stock, 0)) FILTER (site_type IN ({AVAILABLE_SQL})), 0) AS free, count(DISTINCT CASE WHEN stock > 0 THEN country END) AS n_countries FROM obs GROUP BY code)
     SELECT code, CAST(free AS DOUBLE) AS free, n_countries FROM s""")
 def stocked_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    free = F.when(F.col("site_type").isin(*AVAILABLE), inventory.money(F.greatest("stock", F.lit(0.0)))).otherwise(F.lit(0).cast("decimal(18,2)"))
-    return observations(spark, sf_dir).groupBy("code").agg(F.sum(free).cast("double").alias("free"), F.count_distinct(F.when(F.col("stock") > 0, F.col("country"))).alias("n_countries"))
+    free = F.when(F.col("site_type").isin(*AVAILABLE), F.greatest("stock", F.lit(0.0)))
+    return observations(spark, sf_dir).groupBy("code").agg(F.coalesce(inventory.total(free), F.lit(0.0)).alias("free"), F.count_distinct(F.when(F.col("stock") > 0, F.col("country"))).alias("n_countries"))
 
 
 @query("""SELECT doc_id, lang FROM documents WHERE regexp_matches(' ' || trim(regexp_replace(strip_accents(upper(replace(text, 'ß', 'ss'))), '[^A-Z0-9]+', ' ', 'g')), ' ENT') AND regexp_matches(' ' || trim(regexp_replace(strip_accents(upper(replace(text, 'ß', 'ss'))), '[^A-Z0-9]+', ' ', 'g')), ' LA')""")

@@ -6,10 +6,13 @@ cost = extended price, load = year of shipping); a product is a part.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acervo.rulepack import demo
+from acervo.session import cut
 
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
 ORDER_SQL = ", ".join(ORDER)
@@ -20,6 +23,26 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_KEPT: dict[tuple[str, str, str], tuple[tuple, DataFrame]] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table in the shared folder, written once a session for the tables as they are.
+
+    It is written anew when a file of ``sf_dir`` has come, gone, or has another size or time.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    state = []
+    while files.hasNext():
+        f = files.next()
+        state.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    key, stamp = (spark.sparkContext.applicationId, sf_dir, name), tuple(sorted(state))
+    if key not in _KEPT or _KEPT[key][0] != stamp:
+        _KEPT[key] = stamp, cut(build(), name)
+    return _KEPT[key][1]
+
+
 def site_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``site, country, site_type``; nations are a fixed list of 25, suppliers grow with the data."""
     nation = F.broadcast(read(spark, sf_dir, "nation"))

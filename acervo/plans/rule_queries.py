@@ -148,7 +148,7 @@ def search_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy(F.desc("price"), "name", "code").limit(50).select("code", "name", "price")
 
 
-CATALOGUE = f"""{DECIDED}, {OBS_SQL}, free AS (SELECT code, {'CAST(sum(CAST(stock AS DECIMAL(18,2))) AS DOUBLE)'} AS stock FROM obs WHERE site_type IN ({AVAILABLE_SQL}) AND stock > 0 AND load = 2000 GROUP BY code),
+CATALOGUE = f"""{DECIDED}, {OBS_SQL}, free AS (SELECT code, sum(stock) AS stock FROM obs WHERE site_type IN ({AVAILABLE_SQL}) AND stock > 0 AND load = 2000 GROUP BY code),
     cat AS (SELECT d.code, family, method, stock FROM decided d LEFT JOIN free f ON d.code = f.code)"""
 
 
@@ -156,7 +156,7 @@ CATALOGUE = f"""{DECIDED}, {OBS_SQL}, free AS (SELECT code, {'CAST(sum(CAST(stoc
     UNION ALL SELECT 'with_stock', count(*) FILTER (stock > 0) FROM cat UNION ALL SELECT 'without_stock', count(*) FILTER (stock IS NULL OR stock <= 0) FROM cat""")
 def named_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = inventory.available(observations(spark, sf_dir), AVAILABLE).where("load = 2000")
-    free = obs.groupBy("code").agg(F.sum(inventory.money(F.col("stock"))).cast("double").alias("stock"))
+    free = obs.groupBy("code").agg(inventory.total(F.col("stock")).alias("stock"))
     rows = classified(spark, sf_dir).join(free, "code", "left").withColumn("status", F.lit(T.ACTIVE))
     named = search.filters()
     one = rows.agg(*[F.count_if(named[k]).alias(k) for k in ("classified", "review", "with_stock", "without_stock")])

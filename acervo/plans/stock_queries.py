@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acervo.operators import checks, duplicates, inventory
-from acervo.plans.frames import AVAILABLE, AVAILABLE_SQL, OBS_SQL, ORDER, ORDER_SQL, PRODUCTS_SQL, observations, products, read
+from acervo.plans.frames import AVAILABLE, AVAILABLE_SQL, OBS_SQL, ORDER, ORDER_SQL, PRODUCTS_SQL, SITES_SQL, observations, products, read, site_table
 
 QUERIES, ORACLES = {}, {}
 
@@ -20,7 +20,7 @@ def query(sql: str):
 
 
 FREE = f"site_type IN ({AVAILABLE_SQL}) AND stock > 0"
-MONEY = "CAST(sum(CAST(stock AS DECIMAL(18,2))) AS DOUBLE)"
+MONEY = "sum(stock)"
 BY_COUNTRY = f"by_country AS (SELECT code, coalesce(country, 'Sin país') AS country, {MONEY} AS quantity FROM obs WHERE {FREE} GROUP BY 1, 2)"
 
 
@@ -29,11 +29,23 @@ def stock_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.stock_by_country(observations(spark, sf_dir), AVAILABLE)
 
 
-@query(f"""WITH {OBS_SQL}, {BY_COUNTRY} SELECT code, string_agg(country || ': ' || CAST(quantity AS BIGINT)::VARCHAR, ' · ' ORDER BY country) AS stock_text FROM by_country GROUP BY code""")
+@query(f"""WITH {OBS_SQL}, {BY_COUNTRY} SELECT code, string_agg(country || ': ' || format('{{:g}}', quantity), ' · ' ORDER BY country) AS stock_text FROM by_country GROUP BY code""")
 def stock_map_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.stock_map(observations(spark, sf_dir), AVAILABLE).select("code", "stock_text")
 
 
+_PARTS = "CAST(l_quantity AS DECIMAL(12,2)) * CAST(l_discount AS DECIMAL(12,2)) * CAST(l_tax AS DECIMAL(12,2))"
+
+
+@query(f"""WITH {SITES_SQL}, seen AS (SELECT l_partkey AS code, l_suppkey AS site, {_PARTS} AS amount FROM lineitem)
+    SELECT code, coalesce(country, 'Sin país') AS country, CAST(sum(amount) AS DOUBLE) AS quantity FROM seen JOIN sites USING (site) WHERE site_type IN ({AVAILABLE_SQL}) AND amount > 0 GROUP BY 1, 2""")
+def fractional_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stocks with six decimals keep all of them; the SQL multiplies and adds decimals, not doubles."""
+    amount = F.col("l_quantity") * F.col("l_discount") * F.col("l_tax")
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("code"), F.col("l_suppkey").alias("site"), amount.alias("stock"))
+    return inventory.stock_by_country(rows.join(site_table(spark, sf_dir), "site"), AVAILABLE)
+
+
 @query(f"""WITH {OBS_SQL} SELECT code, coalesce(string_agg(DISTINCT country, ', ' ORDER BY country), '') AS countries, count(DISTINCT country) AS n_countries FROM obs GROUP BY code""")
 def presence_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = inventory.presence(observations(spark, sf_dir))
@@ -51,8 +63,8 @@ def country_filter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {OBS_SQL} SELECT coalesce(country, 'Sin país') AS country,
-    coalesce(CAST(sum(CASE WHEN {FREE} THEN CAST(stock AS DECIMAL(18,2)) END) AS DOUBLE), 0) AS available,
-    coalesce(CAST(sum(CASE WHEN site_type NOT IN ({AVAILABLE_SQL}) AND stock > 0 THEN CAST(stock AS DECIMAL(18,2)) END) AS DOUBLE), 0) AS unavailable FROM obs GROUP BY 1""")
+    coalesce(sum(stock) FILTER ({FREE}), 0) AS available,
+    coalesce(sum(stock) FILTER (site_type NOT IN ({AVAILABLE_SQL}) AND stock > 0), 0) AS unavailable FROM obs GROUP BY 1""")
 def stock_detail_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.stock_summary(observations(spark, sf_dir), AVAILABLE)
 
@@ -62,8 +74,7 @@ def view_stock_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.stock_by_kind(observations(spark, sf_dir).join(products(spark, sf_dir).select("code", "name"), "code"))
 
 
-@query(f"""WITH {OBS_SQL}, t AS (SELECT CAST(sum(CASE WHEN site_type NOT IN ({AVAILABLE_SQL}) THEN CAST(greatest(stock, 0) AS DECIMAL(18,2)) END) AS DOUBLE) AS unavailable,
-    CAST(sum(CAST(greatest(stock, 0) AS DECIMAL(18,2))) AS DOUBLE) AS total FROM obs) SELECT unavailable, total, round(unavailable / total, 6) AS share FROM t""")
+@query(f"""WITH {OBS_SQL}, t AS (SELECT sum(greatest(stock, 0)) FILTER (site_type NOT IN ({AVAILABLE_SQL})) AS unavailable, sum(greatest(stock, 0)) AS total FROM obs) SELECT unavailable, total, round(unavailable / total, 6) AS share FROM t""")
 def unavailable_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.unavailable_share(observations(spark, sf_dir), AVAILABLE)
 

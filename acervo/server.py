@@ -42,10 +42,13 @@ def plain(value):
 
 
 class Commands:
-    """What a request may ask for: ``reads`` take the query's fields, ``changes`` the body's."""
+    """What a request may ask for: ``reads`` take the query's fields, ``changes`` the body's.
+
+    Fixed values, the contract with clients: the paths, the token's header.
+    """
 
     def __init__(self, engine: Engine, inbox: str, mart: str | None = None, sheet: str | None = None):
-        self.engine, self.inbox, self.mart, self.sheet = engine, Path(inbox), mart, sheet
+        self.engine, self.inbox, self.mart, self.sheet = engine, inbox.rstrip("/"), mart, sheet
         self.lock = threading.Lock()
         self.reads: dict[str, Callable[[dict], object]] = {"/api/state": self.state, "/api/search": self.search, "/api/product": lambda q: engine.detail(int(q["id"]))}
         self.free: dict[str, Callable[[dict], object]] = {"/api/propose": lambda d: engine.propose(d["name"], d.get("brand"), d.get("model"))}
@@ -68,7 +71,7 @@ class Commands:
         return self.engine.state(int(q["load"]) if q.get("load") else None)
 
     def search(self, q: dict):
-        rows, total = self.engine.search(q.get("q", ""), q.get("country"), q.get("status"), int(q.get("limit", 50)), int(q.get("offset", 0)), q.get("family"))
+        rows, total = self.engine.search(q.get("q", ""), q.get("country"), q.get("status"), int(q.get("limit", 50)), int(q.get("offset", 0)), q.get("family"), q.get("category"))
         return {"total": total, "rows": rows}
 
     def receive(self, d: dict):
@@ -77,13 +80,8 @@ class Commands:
         if not name.lower().endswith(".xlsx"):
             raise Rejected("an .xlsx file is needed")
         key = hashlib.sha256(content).hexdigest()
-        self.inbox.mkdir(parents=True, exist_ok=True)
-        path = self.inbox / f"{key}.xlsx"
-        path.write_bytes(content)
-        spark = self.engine.spark
-        xlsx.register(spark)
-        reader = spark.read.format("acervo_xlsx")
-        frame = (reader.option("sheet", self.sheet) if self.sheet else reader).load(str(path))
+        own = xlsx.found_books(self.engine.spark, self.engine.store.put(f"{self.inbox}/{key}.xlsx", content))
+        frame = xlsx.books(own, xlsx.header(own, self.sheet), self.sheet).drop("path")
         return self.engine.run(frame, d.get("source") or "upload", key, d.get("actor") or "people", d.get("reason") or "upload", self.mart)
 
     def create(self, d: dict):

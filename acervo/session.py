@@ -5,9 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _MADE: list[tuple[SparkSession, str]] = []
 
@@ -66,6 +68,37 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Remove the intermediate tables that are written inside, once the command around it is done."""
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        mine, _MADE[before:] = _MADE[before:], []
+        for _, path in mine:
+            remove(spark, path)
+
+
+HOT = 1024
+
+
+def counted_join(rows: DataFrame, side: DataFrame, keys: Sequence[str], weight: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``side``, which holds each key once (nulls are a key) and in ``weight`` its number of rows.
+
+    Keys that hold more than a ``HOT`` th of the ``total`` rows, fewer than ``HOT`` of
+    them, are broadcast, so their rows stay where they are; the others meet by a
+    hash join.  Rows without a key in ``side`` are left out.
+    """
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    more = [F.col(f"r.{c}") for c in side.columns if c not in keys]
+    heavy = F.col(weight) * HOT > total
+    hot, cold = side.where(heavy), side.where(~heavy)
+    met = rows.alias("l").join(F.broadcast(hot.alias("r")), same).select("l.*", *more)
+    others = rows.alias("l").join(F.broadcast(hot.select(*keys).alias("r")), same, "left_anti")
+    return met.unionByName(others.alias("l").join(cold.alias("r"), same).select("l.*", *more))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

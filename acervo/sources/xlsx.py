@@ -1,7 +1,8 @@
 """XLSX source: one named sheet as text columns with the row's ordinal.
 
-``spark.read.format("acervo_xlsx").option("sheet", name).load(path)`` after
-:func:`register`.  Cells are text as the file states it (leading zeros survive
+:func:`books` reads files of any Hadoop file system, as Spark's ``binaryFile`` source
+lists and opens them, in a batch or a stream; ``spark.read.format("acervo_xlsx")``
+after :func:`register` reads those of a folder that every machine has.  Cells are text as the file states it (leading zeros survive
 where the cell is text), empty cells are empty strings, and ``row_number``
 counts from 2, the first row below the header.  The reader needs only the
 standard library.  Each file is one partition: a worksheet is one compressed
@@ -10,13 +11,17 @@ XML stream, so files, not parts of files, are read in parallel.
 
 from __future__ import annotations
 
+import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import islice
 from pathlib import Path
+from typing import BinaryIO
 from xml.etree import ElementTree
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -46,8 +51,8 @@ def _sheet_path(book: zipfile.ZipFile, sheet: str | None) -> str:
     raise ValueError(f"sheet {sheet!r} has no part")
 
 
-def rows(path: str, sheet: str | None = None) -> Iterator[list[str]]:
-    """All rows of a sheet as lists of text."""
+def rows(path: str | BinaryIO, sheet: str | None = None) -> Iterator[list[str]]:
+    """All rows of a sheet as lists of text, of a file by its path or open."""
     with zipfile.ZipFile(path) as book:
         shared: list[str] = []
         if "xl/sharedStrings.xml" in book.namelist():
@@ -117,5 +122,56 @@ class XlsxSource(DataSource):
         return _Reader(schema, self.options)
 
 
+BATCH = 10_000
+BINARY = "path string, modificationTime timestamp, length long, content binary"
+
+
+def table_rows(content: bytes, columns: Sequence[str], sheet: str | None) -> Iterator[tuple]:
+    """``(ordinal, cells of columns)`` of a file's rows below its header; columns that the file lacks are empty."""
+    lines = rows(io.BytesIO(content), sheet)
+    at = {h.strip(): i for i, h in enumerate(next(lines, []))}
+    for number, cells in enumerate(lines, start=2):
+        yield (number, *[cells[at[c]] if c in at and at[c] < len(cells) else "" for c in columns])
+
+
+def header(files: DataFrame, sheet: str | None = None) -> list[str]:
+    """Column names of the first file in order of its path."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                names = [h.strip() for h in next(rows(io.BytesIO(content.as_py()), sheet), []) if h.strip()]
+                yield pa.RecordBatch.from_arrays([pa.array([names], pa.list_(pa.string()))], ["names"])
+
+    first = files.select("path").orderBy("path").first()
+    found = files.where(files.path == first.path).select("content").mapInArrow(read, "names array<string>").first() if first else None
+    return found.names if found else []
+
+
+def books(files: DataFrame, columns: Sequence[str], sheet: str | None = None) -> DataFrame:
+    """``path, row_number, columns`` of all rows of ``files`` (``path, content``, as ``binaryFile`` reads them).
+
+    A file is read in one task, as a worksheet is one compressed stream, and its rows
+    leave in batches of ``BATCH``.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                lines = table_rows(content.as_py(), columns, sheet)
+                while chunk := list(islice(lines, BATCH)):
+                    numbers, *cells = zip(*chunk, strict=True)
+                    arrays = [pa.array([path.as_py()] * len(chunk)), pa.array(numbers, pa.int64()), *[pa.array(c, pa.string()) for c in cells]]
+                    yield pa.RecordBatch.from_arrays(arrays, ["path", ORDINAL, *columns])
+
+    kinds = [StructField("path", StringType()), StructField(ORDINAL, LongType()), *[StructField(c, StringType()) for c in columns]]
+    return files.select("path", "content").mapInArrow(read, StructType(kinds))
+
+
+def found_books(spark: SparkSession, path: str) -> DataFrame:
+    """The XLSX files of a folder, or one file."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(XlsxSource)

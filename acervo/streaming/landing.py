@@ -10,9 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from acervo.plans.pipeline import Engine
-from acervo.sources import files
+from acervo.sources import files, xlsx
 
-MOST_FILES = 1000  # of a micro-batch
+MOST_FILES, MOST_BOOKS = 1000, 50  # of a micro-batch
 
 
 def watch(spark: SparkSession, folder: str, schema: StructType, engine: Engine, source: str, checkpoint: str) -> StreamingQuery:
@@ -41,6 +41,27 @@ def watch(spark: SparkSession, folder: str, schema: StructType, engine: Engine,
     return stream.writeStream.foreachBatch(stage).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def watch_books(spark: SparkSession, folder: str, engine: Engine, source: str, checkpoint: str, sheet: str | None = None, most: int = MOST_BOOKS) -> StreamingQuery:
+    """Stage every new XLSX file of ``folder``, on any file system that Spark reads, each as a load of its own.
+
+    Spark's file source remembers which files a checkpoint has seen; a load's key is
+    the file's SHA-256, so a replayed batch, a fresh checkpoint or a renamed copy
+    stages nothing twice.
+    """
+    stream = spark.readStream.format("binaryFile").schema(xlsx.BINARY).option("pathGlobFilter", "*.xlsx").option("maxFilesPerTrigger", most).load(folder)
+
+    def stage(batch: DataFrame, batch_id: int) -> None:
+        hashed = batch.select("path", F.sha2("content", 256).alias("sha256"))
+        loaded = engine.table("files").where(F.col("source") == source)
+        one = hashed.groupBy("sha256").agg(F.min("path").alias("path"))
+        for r in files.new_files(one, loaded).orderBy("path").collect():
+            own = xlsx.found_books(batch.sparkSession, r.path)
+            rows = xlsx.books(own, xlsx.header(own, sheet), sheet).drop("path")
+            engine.stage(rows, source, r.sha256, batch.sparkSession.createDataFrame([(r.sha256,)], "sha256 string"))
+
+    return stream.writeStream.foreachBatch(stage).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def _plain(path: str) -> str:
     """A path as both file listings write it: local ones without their scheme."""
     return "/" + path.split(":", 1)[1].lstrip("/") if path.startswith("file:") else path

@@ -60,7 +60,7 @@ def loaded(engine, spark):
 
 
 def products(engine):
-    return {r.code: r for r in engine.store.read("standards").collect()}
+    return {r.code: r for r in engine.table("standards").collect()}
 
 
 def test_load_standardise_and_repeat(spark, catalogue):
@@ -110,7 +110,7 @@ def test_link_and_unlink(catalogue):
     with pytest.raises(Rejected):
         engine.link(a, a, 1)
     made = engine.create("r9", "silver ring")
-    assert engine.store.read("standards").where(F.col("master_id") == made).first().standard_code == "HW-RNG-00003"
+    assert engine.table("standards").where(F.col("master_id") == made).first().standard_code == "HW-RNG-00003"
     engine.unlink(link, 1)
     assert products(engine)["002"].standard_code == before["002"].standard_code
     with pytest.raises(Rejected):
