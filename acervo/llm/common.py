@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acervo.session import cut, fresh_path, partitions, shared_dir, unused
+from acervo.session import counted_join, cut, fresh_path, partitions, shared_dir, unused
 
 __all__ = ["bounded_batches", "connected_components", "counted_join", "cut", "finite_vectors", "fresh_path", "numbered_columns", "partitions", "shared_dir", "sized_broadcast", "strongest", "unused"]
 
@@ -38,25 +37,6 @@ def sized_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-HOT = 1024
-
-
-def counted_join(rows: DataFrame, side: DataFrame, keys: Sequence[str], weight: str, total: int) -> DataFrame:
-    """``rows`` with the columns of ``side``, which holds each key once (nulls are a key) and in ``weight`` its number of rows.
-
-    Keys that hold more than a ``HOT`` th of the ``total`` rows, fewer than ``HOT`` of
-    them, are broadcast, so their rows stay where they are; the others meet by a
-    hash join.  Rows without a key in ``side`` are left out.
-    """
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    more = [F.col(f"r.{c}") for c in side.columns if c not in keys]
-    heavy = F.col(weight) * HOT > total
-    hot, cold = side.where(heavy), side.where(~heavy)
-    met = rows.alias("l").join(F.broadcast(hot.alias("r")), same).select("l.*", *more)
-    others = rows.alias("l").join(F.broadcast(hot.select(*keys).alias("r")), same, "left_anti")
-    return met.unionByName(others.alias("l").join(cold.alias("r"), same).select("l.*", *more))
-
-
 def finite_vectors(table: DataFrame, embedding: str, *others: Column) -> DataFrame:
     """``others`` and ``vec`` (doubles) of the rows whose vector holds finite numbers only, and at least one."""
     vec = F.col(embedding).cast("array<double>")

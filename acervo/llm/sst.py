@@ -25,7 +25,8 @@ attempt returns, so lost executors and repeated tasks leave no wrong shard.
 
 Defined cases: a null text counts as empty (only the end id); rows with a null
 id have no key and are left out; rows of the same id follow each other in order
-of their texts and are all kept (a lookup returns the first); an empty table
+of their texts and are all kept (a lookup returns the first); texts of any length
+are encoded whole, one block of at most 24 MB or one text at a time; an empty table
 gives no shard.  Only id and text are read, so other columns cannot clash.
 """
 
@@ -47,6 +48,7 @@ from acervo.llm.bpe import LibraryEncoder, batches_of
 from acervo.llm.common import cut, fresh_path, partitions
 
 BLOCK_BYTES = 64 << 10
+SHARD_BYTES = 256 << 20  # of text to a shard, about
 RESTART = 16
 BLOOM_BITS, BLOOM_PROBES = 10, 7
 FOOTER = struct.Struct("<QQQQQQBB6x")
@@ -228,8 +230,9 @@ def open_shard(uri: str) -> Table:
 def write_shards(docs: DataFrame, directory: str, tokenizer: str, end_id: int | None = 2, doc_id: str = "doc_id", text: str = "text", shards: int | None = None) -> DataFrame:
     """Encode whole texts and write them as shards; returns the manifest (one row a shard, in key order).
 
-    ``shards`` defaults to the session's shuffle partitions; a shard's documents
-    stream through its task a batch at a time.
+    Without ``shards`` there are as many as the texts ask for, ``SHARD_BYTES`` of text to
+    each, and the session's shuffle partitions at least; a shard's documents stream
+    through its task a batch at a time, texts of any length whole.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +264,10 @@ def write_shards(docs: DataFrame, directory: str, tokenizer: str, end_id: int |
             yield pa.RecordBatch.from_pylist([{"shard": shard, "path": f"{directory}/{name}", "first_id": writer.ids[0], "last_id": writer.ids[-1], "n_docs": len(writer.ids), "n_tokens": writer.n_tokens, "n_bytes": writer.at}], schema=_MANIFEST)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
-    n = shards or partitions(docs.sparkSession)
+    n = shards
+    if not n:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        n = max(partitions(docs.sparkSession), -(-size // SHARD_BYTES))
     dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     return cut(dealt.mapInArrow(write, MANIFEST), "manifest")
 
@@ -292,7 +298,7 @@ def read_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                 if out:
                     yield _rows(out, with_ids)
 
-    n = partitions(manifest.sparkSession)
+    n = max(partitions(manifest.sparkSession), manifest.count())  # a file to a task
     return offset.repartition(n, "path").mapInArrow(read, schema)
 
 

@@ -60,6 +60,21 @@ def test_shards_null_and_repeated_ids(spark):
     assert sst.token_shards(spark.createDataFrame([], DOCS), TOKENIZER).count() == 0
 
 
+def test_shards_grow_in_number_with_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(sst, "SHARD_BYTES", 2000)
+    table = spark.createDataFrame([(i, f"word {i} " * 20) for i in range(300)], DOCS)
+    manifest = sst.write_shards(table, sst.fresh_path(spark, "t"), TOKENIZER)
+    files = manifest.orderBy("first_id").collect()
+    assert len(files) > 15 and sum(r.n_docs for r in files) == 300 and max(r.n_docs for r in files) < 60
+    assert all(a.last_id < b.first_id for a, b in zip(files, files[1:], strict=False))
+    shards = [sst.open_shard(r.path) for r in files]
+    for key in (0, 17, 151, 299):
+        (hit,) = [t for t, r in zip(shards, files, strict=True) if r.first_id <= key <= r.last_id]
+        assert len(hit.get(key)) > 20
+    rows_ = sst.read_shards(manifest).orderBy("doc_id").collect()
+    assert [r.doc_id for r in rows_] == list(range(300)) and rows_[5].start == sum(r.n_tokens for r in rows_[:5])
+
+
 def test_shard_many_blocks(tmp_path):
     keys = list(range(-900, 900, 3))
     with open(tmp_path / "x.sst", "wb") as f:
