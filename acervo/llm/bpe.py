@@ -11,6 +11,7 @@ library's own normaliser and pre-tokeniser.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import re
 
@@ -29,6 +30,9 @@ _ODD = re.compile("[^\x21-\x7eÀ-ÖØ-öø-ÿ]|<\\|")
 _PLAIN = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\na-zß-öø-ÿ0-9]+")
 
 
+_LIBC = ctypes.CDLL(None)
+
+
 def byte_letters() -> str:
     """The letter that stands for each byte value: printable ones themselves, the others from 256 on."""
     kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -188,4 +192,11 @@ def batches_of(batch: pa.RecordBatch, column: str, most: int = 6 << 20):
     _, offsets = text_buffer(batch.column(column))
     for lo, hi in blocks(offsets, most):
         yield batch.slice(lo, hi - lo)
-        pa.default_memory_pool().release_unused()  # a worker shares its executor's memory with the JVM
+        given_back()
+
+
+def given_back() -> None:
+    """Return free memory to the system: a worker, which lives on after its task, shares its executor's with the JVM."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):  # of glibc
+        _LIBC.malloc_trim(0)
