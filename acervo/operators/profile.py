@@ -93,6 +93,13 @@ def fragmentation(table: DataFrame, key: str, label: str, top: int = 5) -> DataF
     return ranked.groupBy(key).agg(F.count("*").alias("n_labels"), shown.alias("top_labels"))
 
 
+def fragmentation_of(table: DataFrame, key: str, labels: Sequence[str], top: int = 5) -> DataFrame:
+    """:func:`fragmentation` of several label fields at once: a row for each key and ``field``; nulls are no label."""
+    long = table.select(key, *labels).unpivot([key], list(labels), "field", "_label").where("_label IS NOT NULL")
+    pair = long.select(F.struct(key, "field").alias("_pair"), "_label")
+    return fragmentation(pair, "_pair", "_label", top).select(f"_pair.{key}", "_pair.field", "n_labels", "top_labels")
+
+
 def code_scheme(c: Column, countries: Sequence[str]) -> Column:
     """Kind of a code: the first pattern that holds."""
     one = "|".join(countries)

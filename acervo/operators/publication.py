@@ -96,6 +96,12 @@ def load_states(loads: DataFrame, publications: DataFrame, source: str = "source
     return loads.join(newest, source, "left").withColumns({"stale": known & (F.col(load) < active), "already_published": known & (F.col(load) == active)})
 
 
+def manual_overlaps(entries: DataFrame, current: DataFrame, product: str = "master_id", site: str = "site") -> DataFrame:
+    """Stocks that people entered by hand for a product at a site that the current inventory has too: both amounts side by side."""
+    seen = current.select(product, site, F.col("stock"))
+    return entries.join(seen, [product, site])
+
+
 def load_inventory(rows: DataFrame, masters: DataFrame, sites: DataFrame, columns: Sequence[str], code: str = "code", site: str = "site") -> DataFrame:
     """A load's accepted rows whose code has a product and whose site is known: ``master_id``, code, site and ``columns``."""
     kept = rows.where("status = 'accepted'").join(masters.select(code, "master_id"), code)

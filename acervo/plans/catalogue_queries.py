@@ -95,19 +95,19 @@ def all_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unpivot([], one.columns, "filter_name", "n")
 
 
-_WHERE = "WHERE ' ' || search_text LIKE '% R%' AND ' ' || search_text LIKE '% BRAND%' AND list_contains(stocked, 'NATION_3')"
+_WHERE = "WHERE ' ' || search_text LIKE '% R%' AND ' ' || search_text LIKE '% BRAND%' AND list_contains(stocked, 'NATION_24')"
 _ORDER = "ORDER BY standard_code IS NULL, stock DESC NULLS LAST, name ASC NULLS FIRST, master_id"
 
 
 @query(f"{CATALOGUE} SELECT master_id, standard_code, name, brand, family, method, status, duplicate_kind, origin, array_to_string(countries, ', ') AS countries FROM cat {_WHERE} {_ORDER} LIMIT 50 OFFSET 10")
 def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page, _ = search.search(found(spark, sf_dir, "R BRAND"), country="NATION_3", limit=50, offset=10)
+    page, _ = search.search(found(spark, sf_dir, "R BRAND"), country="NATION_24", limit=50, offset=10)
     return page.select("master_id", "standard_code", "name", "brand", "family", "method", "status", "duplicate_kind", "origin", F.array_join("countries", ", ").alias("countries"))
 
 
 @query(f"{CATALOGUE} SELECT count(*) AS total FROM cat {_WHERE} AND family IS NOT NULL")
 def search_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(found(spark, sf_dir, "R BRAND"), country="NATION_3", named="classified")[1]
+    return search.search(found(spark, sf_dir, "R BRAND"), country="NATION_24", named="classified")[1]
 
 
 @query(f"{CATALOGUE} SELECT master_id, ', ' || array_to_string(countries, ', ') || ',' LIKE '%, NATION_1,%' AS stands_in FROM cat")

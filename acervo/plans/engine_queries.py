@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from acervo.functions import text as T
-from acervo.operators import asof, checks, inventory, links, merkle, publication, rulematch, search, sites, sketches, wordindex
+from acervo.operators import asof, checks, deltas, inventory, links, merkle, publication, rulematch, search, sites, sketches, wordindex
 from acervo.plans.catalogue_queries import CATALOGUE, found
 from acervo.plans.frames import AVAILABLE, AVAILABLE_SQL, OBS_SQL, ORDER, ORDER_SQL, SITES_SQL, observations, read, site_table
 from acervo.rulepack import demo
-from acervo.session import cut
+from acervo.session import cut, fresh_path
+from acervo.streaming import pointer
 
 QUERIES, ORACLES = {}, {}
 
@@ -72,11 +73,11 @@ def engine_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- search
-@query(f"""{CATALOGUE}, holds AS (SELECT DISTINCT code AS master_id FROM obs WHERE load = 2000 AND site_type IN ({AVAILABLE_SQL}) AND stock > 0 AND country = 'NATION_2')
+@query(f"""{CATALOGUE}, holds AS (SELECT DISTINCT code AS master_id FROM obs WHERE load = 2000 AND site_type IN ({AVAILABLE_SQL}) AND stock > 0 AND country = 'NATION_24')
     SELECT master_id FROM cat WHERE ' ' || search_text LIKE '% BRAND%' AND master_id IN (SELECT master_id FROM holds)""")
 def engine_search_country(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products with stock in a country; those only seen there are not found."""
-    return search.matching(found(spark, sf_dir, "BRAND"), country="NATION_2").select("master_id")
+    return search.matching(found(spark, sf_dir, "BRAND"), country="NATION_24").select("master_id")
 
 
 #: Query texts: the first words of products and customers' segments, of one to three tokens, some of which nothing holds.
@@ -231,6 +232,20 @@ def load_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.latest(asked, publications, "l_shipdate", "snapshot_at", ["source"], ["load_id"], ["load_id", "snapshot_at"])
 
 
+@query("""WITH pub AS (SELECT DISTINCT o_custkey % 25 AS source, o_orderkey AS load_id, o_orderdate AS snapshot_at FROM orders WHERE o_orderdate < (SELECT max(o_orderdate) FROM orders)),
+    seen AS (SELECT *, max(load_id) OVER (PARTITION BY source ORDER BY snapshot_at, load_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM pub) SELECT source, load_id, snapshot_at, previous FROM seen WHERE previous IS NULL OR load_id > previous""")
+def load_pointer_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every takeover of a source's current load, by the stateful stream over the orders as publications; those of the last day still wait."""
+    folder, path = fresh_path(spark, "pointer"), f"{sf_dir}/orders.parquet"
+    orders = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/orders.parque[t]")  # a pattern: a stream takes no single file by its name
+    rows = orders.select((F.col("o_custkey") % 25).cast("string").alias("source"), F.col("o_orderkey").alias("load_id"), F.col("o_orderdate").cast("timestamp").alias("snapshot_at"))
+    with pointer.rocks(spark):
+        pointer.changes(rows, "1 hour").writeStream.format("parquet").option("path", f"{folder}/changes").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    kind = spark.read.parquet(path).schema["o_orderdate"].dataType
+    found = spark.read.schema(pointer.CHANGE).parquet(f"{folder}/changes")
+    return found.select(F.col("source").cast("long").alias("source"), "load_id", F.col("snapshot_at").cast(kind).alias("snapshot_at"), "previous")
+
+
 @query("""WITH pub AS (SELECT o_custkey % 25 AS source, o_orderdate AS since, max(o_orderkey) AS load_id FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2), asked AS (SELECT DISTINCT o_custkey % 25 AS source, o_orderdate AS at FROM orders WHERE o_orderstatus = 'P'),
     cur AS (SELECT a.source, a.at, (SELECT arg_max(load_id, since) FROM pub p WHERE p.source = a.source AND p.since <= a.at) AS load_id FROM asked a)
     SELECT c.source, c.at, c.load_id, count(l_partkey) AS n_rows, coalesce(sum(l_quantity), 0) AS stock FROM cur c LEFT JOIN lineitem l ON l.l_orderkey = c.load_id GROUP BY 1, 2, 3""")
@@ -289,3 +304,74 @@ def rule_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rulematch.match_rules(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", rules, "fits").select(F.explode("fits").alias("at"))
     named = spark.createDataFrame(list(enumerate(words)), "at int, word string")
     return found.groupBy("at").agg(F.count("*").alias("n_docs")).join(F.broadcast(named), "at").select("word", "n_docs")
+
+
+# ---------------------------------------------------------------- signed changes
+_MOVED = f"""{SITES_SQL}, final AS (SELECT site, CASE WHEN site % 10 = 3 THEN 'NATION_1' WHEN site % 10 = 4 THEN NULL ELSE country END AS country, CASE WHEN site % 10 = 3 THEN 'branch' WHEN site % 10 = 7 THEN 'transit' ELSE site_type END AS site_type FROM sites),
+    seen AS (SELECT CASE WHEN l_partkey % 50 = 0 THEN l_partkey + 1 ELSE l_partkey END AS code, coalesce(country, 'Sin país') AS place, country, l_quantity AS stock, site_type IN ({AVAILABLE_SQL}) AND l_quantity > 0 AS free FROM lineitem JOIN final ON l_suppkey = site)"""
+
+
+def _changed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("code"), F.col("l_suppkey").alias("site"), F.col("l_quantity").alias("stock"))
+    known, last = site_table(spark, sf_dir), F.col("site") % 10
+    before = known.where(last.isin(3, 4, 7))
+    after = before.withColumns({"country": F.when(last == 3, "NATION_1").when(last != 4, F.col("country")), "site_type": F.when(last == 3, "branch").when(last == 7, "transit").otherwise(F.col("site_type"))})
+    stored = cut(deltas.cells(rows, known, AVAILABLE), "cells")
+    changed = cut(deltas.merged(stored, deltas.site_change(rows, before, after, AVAILABLE)), "cells")
+    moves = changed.where("code % 50 = 0").select("code", (F.col("code") + 1).alias("target")).distinct()
+    return deltas.merged(changed, deltas.link_change(changed, moves))
+
+
+@query(f"""WITH {_MOVED} SELECT code, place AS country, coalesce(sum(stock) FILTER (free), 0) AS quantity, count(*) FILTER (free) AS n_stock, count(*) AS n_rows FROM seen GROUP BY 1, 2""")
+def stock_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stock by country after sites changed and codes were linked: the first cells with signed ones added; the SQL starts from the rows."""
+    return _changed_cells(spark, sf_dir).select("code", "country", F.col("quantity").cast("double").alias("quantity"), "n_stock", "n_rows")
+
+
+_GROUPED = """groups AS (SELECT key, count(*) AS members, bool_or(len(countries) = 0) AS unknown FROM keyed WHERE key IS NOT NULL GROUP BY key HAVING count(*) > 1), shared AS (SELECT key, max(n) > 1 AS shared FROM (SELECT key, c, count(*) AS n FROM (SELECT key, unnest(countries) AS c FROM keyed WHERE key IS NOT NULL) GROUP BY 1, 2) GROUP BY key)
+    SELECT g.key, members, CASE WHEN unknown OR coalesce(shared, false) THEN 'Mismo país' ELSE 'Otro país' END AS kind FROM groups g LEFT JOIN shared s ON g.key = s.key"""
+
+
+@query(f"""WITH {_MOVED}, own AS (SELECT code, list_sort(list(DISTINCT country) FILTER (country IS NOT NULL)) AS countries FROM seen WHERE code % 4 <> 0 OR place IN ('NATION_1', 'NATION_2') GROUP BY code),
+    keyed AS (SELECT code // 3 AS key, coalesce(countries, []) AS countries FROM own), {_GROUPED}""")
+def groups_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of duplicate groups after the countries of many members changed, from counts by key with signed ones added."""
+    now = _changed_cells(spark, sf_dir).where("code % 4 <> 0 OR country IN ('NATION_1', 'NATION_2')")
+    after = deltas.products(now).withColumn("key", F.floor(F.col("code") / 3))
+    before = after.withColumns({"countries": F.when(F.col("code") % 5 == 0, F.slice("countries", 1, 1)).otherwise(F.col("countries"))}).where("code % 7 <> 0")
+    stored = cut(deltas.members(before, "key"), "members")
+    touched = "code % 5 = 0 OR code % 7 = 0"
+    counts = deltas.merged_members(stored, deltas.members(before.where(touched), "key", sign=-1), deltas.members(after.where(touched), "key"), key="key")
+    return deltas.kinds(counts, "key")
+
+
+# ---------------------------------------------------------------- smaller figures
+@query("""WITH c AS (SELECT p_brand AS key, field, value, count(*) AS n FROM (UNPIVOT (SELECT p_brand, p_type, p_name, CAST(p_size AS VARCHAR) AS p_size, CAST(p_size % 3 AS VARCHAR) AS class FROM part) ON p_type, p_name, p_size, class INTO NAME field VALUE value) GROUP BY 1, 2, 3),
+    r AS (SELECT *, row_number() OVER (PARTITION BY key, field ORDER BY n DESC, value) AS place FROM c) SELECT key, field, count(*) AS n_labels, string_agg(value || ' (' || n || ')', ', ' ORDER BY place) FILTER (place <= 5) AS top_labels FROM r GROUP BY 1, 2""")
+def fragmentation_of_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each of four label fields the distinct labels of a key and its five most frequent ones."""
+    from acervo.operators import profile
+
+    part = read(spark, sf_dir, "part").withColumns({"class": (F.col("p_size") % 3).cast("string"), "p_size": F.col("p_size").cast("string")})
+    return profile.fragmentation_of(part, "p_brand", ["p_type", "p_name", "p_size", "class"]).withColumnRenamed("p_brand", "key")
+
+
+@query(f"""WITH {OBS_SQL} SELECT code, coalesce(sum(greatest(stock, 0)) FILTER (site_type IN ({AVAILABLE_SQL})), 0) AS free, coalesce(string_agg(DISTINCT country, ', ' ORDER BY country) FILTER (stock > 0 AND site_type IN ({AVAILABLE_SQL})), '') AS countries FROM obs GROUP BY code""")
+def stocked_country_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Available stock of each code and the countries that have some."""
+    free, has = F.col("site_type").isin(*AVAILABLE), F.col("stock") > 0
+    return observations(spark, sf_dir).groupBy("code").agg(F.coalesce(inventory.total(F.when(free, F.greatest("stock", F.lit(0.0)))), F.lit(0.0)).alias("free"), F.array_join(F.array_sort(F.collect_set(F.when(free & has, F.col("country")))), ", ").alias("countries"))
+
+
+@query("SELECT l_partkey AS code, string_agg(l_orderkey, ',' ORDER BY l_orderkey) AS rows, count(*) AS n FROM lineitem WHERE l_partkey % 20 = 0 GROUP BY 1")
+def rows_of_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row list of every code that 20 divides."""
+    rows = read(spark, sf_dir, "lineitem").where("l_partkey % 20 = 0").select(F.col("l_partkey").alias("code"), "l_orderkey")
+    return checks.row_list(rows, "code", "l_orderkey").select("code", F.array_join(F.transform("rows", lambda r: r.cast("string")), ",").alias("rows"), F.size("rows").cast("long").alias("n"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE json_extract_string(props, '$.k') IN (SELECT CAST(r_regionkey * 7 AS VARCHAR) FROM region)")
+def json_in_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payload rows whose code is one of a list that another table gives."""
+    wanted = read(spark, sf_dir, "region").select((F.col("r_regionkey") * 7).cast("string").alias("k"))
+    return read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k")).join(wanted, "k", "left_semi").select("event_id", "k")

@@ -13,7 +13,7 @@ import json
 import time
 from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime, timezone
-from functools import wraps
+from functools import partial, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +22,9 @@ from acervo.functions import text as T
 from acervo.operators import checks, classify, codes, duplicates, inventory, labels, links, profile, publication, search, sites, wordindex
 from acervo.operators.numbering import dense_ids
 from acervo.rulepack import RulePack
-from acervo.session import cut, tidy
+from acervo.session import cut, tidy, together
 from acervo.sources.buckets import Buckets
-from acervo.sources.store import Store, Written
+from acervo.sources.store import Store, Written, empty
 
 #: Headers of the source's sheet, their columns here, and the values that enumerations and flags may have.
 HEADERS = {
@@ -51,6 +51,7 @@ MORE = ("category", *NUMBERS[1:], *FLAGS, *PUBLISHED_FLAGS, "bin_location", "she
 ROWS = (*COLUMNS, *MORE)
 MOST_ROWS, MOST_SITES = search.MOST_ROWS, 5000
 MOST_CHANGES = 16  # folders of a bucket of the index after which it is written anew
+WORDS_A_PRODUCT = 40  # postings, about: what the index's number of buckets is taken from
 FEW_FOUND = 64  # products that a search fetches from their buckets alone
 
 STANDARD = (
@@ -295,22 +296,21 @@ class Engine:
         tables, fresh = self.standard_tables(load_id, instead, only, restored)
         if restored is not None:  # where the load has no row of it, it comes back as it was left
             fresh = fresh.unionByName(restored.drop("duplicate_group", "duplicate_kind").join(fresh, "master_id", "left_anti").select(*fresh.columns))
-        stored: dict[str, DataFrame | Written] = {name: self.store.write(name, df) for name, df in {**instead, **tables}.items() if name != "standards"}
+        stored: dict[str, DataFrame | Written] = {name: df for name, df in {**instead, **tables}.items() if name != "standards"}
         summary, more = None, {"audit": self.event("load", load_id, action, None, None, actor, action)}
         if only is None:
             live = links.open_links(instead.get("links", self.table("links"))).select(F.col("source_id").alias("master_id"))
             old = instead.get("standards", before)
             rest = old.drop("duplicate_group", "duplicate_kind").join(fresh.select("master_id"), "master_id", "left_anti").join(live, "master_id", "left_anti")
-            parts = self.catalogue.whole(self.grouped(rest.unionByName(fresh)), stored["masters"].rows.count())
+            parts = self.catalogue.whole(self.grouped(rest.unionByName(fresh)), tables["masters"].rows.count())
             standards = self.spark.read.schema(STANDARD).parquet(*[w.path for w in parts.values() if w.path]) if any(w.path for w in parts.values()) else self.rows_as("standards", [])
-            summary = self.summarised(load_id, standards, stored["sites"].rows, before)
+            summary, words = together(partial(self.summarised, load_id, standards, tables["sites"].rows, before), partial(self.reindexed, before, standards, at))
             run = (self.table("runs").agg(F.coalesce(F.max("run_id"), F.lit(0))).first()[0] + 1, load_id, json.dumps(summary, sort_keys=True, ensure_ascii=False))
             more = {"runs": self.rows_as("runs", [run]), "audit": self.event("load", load_id, action, None, {"products": summary["products"]}, actor, action)}
             if self.store.has(f"proposals.{load_id}"):
                 own = standards.where((F.col("load_id") == load_id) & (F.col("origin") == "import"))
                 stored[f"proposals.{load_id}"] = self.store.write("proposals", classify.written_back(self.proposals(load_id), own, self.pack.version))
             stored |= parts
-            words = self.reindexed(before, standards, at)
         else:
             changed = self.regrouped(before, fresh, removed)
             stored |= self.catalogue.changed(changed, removed)
@@ -340,11 +340,10 @@ class Engine:
     def reindexed(self, before: DataFrame, after: DataFrame, at: int) -> tuple[dict, dict]:
         """What a commit replaces and adds in the index of words when some products change."""
         if self.words.count() and self.words.folders() < MOST_CHANGES:
-            return {}, self.words.added(cut(wordindex.changes(before, after, "master_id", "search_text", at + 1), "words"))
+            return {}, self.words.added(wordindex.changes(before, after, "master_id", "search_text", at + 1))
         every = after if not self.words.count() else self.table("standards").join(after.select("master_id"), "master_id", "left_anti").join(before.select("master_id"), "master_id", "left_anti").unionByName(after)
         made = wordindex.postings(every, "master_id", "search_text").withColumns({"live": F.lit(True), "seq": F.lit(at + 1).cast("long")})
-        made = cut(made, "words")
-        return self.words.whole(made, made.count()), {}
+        return self.words.whole(made, WORDS_A_PRODUCT * every.count()), {}
 
     def brand_table(self, rows: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Brands by key, where a known name stays, then the alias table's, then the spelling of most codes; and the spellings."""
@@ -358,14 +357,14 @@ class Engine:
         own, origins = masters.where(F.col("source") == source).select("code", "master_id"), masters.select("master_id", "origin")
         live = links.open_links(log)
         if live.isEmpty():
-            nothing = self.spark.createDataFrame([], "node long, root long, steps long")
+            nothing = empty(self.spark, "node long, root long, steps long")
             return own.withColumn("linked", F.lit(False)).join(origins, "master_id"), live, nothing
         live = cut(live, "links")
         forest = cut(links.roots(live), "forest")
         return links.under_roots(own, forest, "master_id").join(origins, "master_id"), live, forest
 
-    def standard_tables(self, load_id: int, instead: Mapping[str, DataFrame], only: DataFrame | None = None, restored: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
-        """The tables that a load's standardisation replaces, and its products without their duplicate groups.
+    def standard_tables(self, load_id: int, instead: Mapping[str, DataFrame], only: DataFrame | None = None, restored: DataFrame | None = None) -> tuple[dict[str, Written], DataFrame]:
+        """The tables that a load's standardisation replaces, stored already, and its products without their duplicate groups.
 
         With ``only`` no table but the products of those masters.
         """
@@ -373,13 +372,16 @@ class Engine:
         source = self.load(load_id).source
         rows = self.rows_of(load_id).where("code IS NOT NULL")
         if only is None:
-            site_rows = cut(self.site_table(rows.where("site IS NOT NULL"), source, instead.get("sites")), "sites")
-            masters = get("masters")
-            masters = cut(masters.unionByName(self.with_masters(rows.where("status = 'accepted'").select("code"), masters, source)), "masters")
-            brands, spelled = self.brand_table(rows, get("brands"))
-            brands = cut(brands, "brands")
+            known = get("masters")
+            named, spelled = self.brand_table(rows, get("brands"))
             spellings = spelled.select(F.lit(source).alias("source"), "brand_key", "spelling").unionByName(get("brand_aliases")).distinct()
-            tables = {"sites": site_rows, "masters": masters, "brands": brands, "brand_aliases": spellings}
+            write = lambda name, make: (name, self.store.write(name, make()))
+            tables = dict(together(
+                partial(write, "sites", lambda: self.site_table(rows.where("site IS NOT NULL"), source, instead.get("sites"))),
+                partial(write, "masters", lambda: known.unionByName(self.with_masters(rows.where("status = 'accepted'").select("code"), known, source))),
+                partial(write, "brands", lambda: named), partial(write, "brand_aliases", lambda: spellings),
+            ))
+            site_rows, masters, brands = (tables[name].rows for name in ("sites", "masters", "brands"))
         else:
             site_rows, masters, brands, tables = get("sites"), get("masters"), get("brands"), {}
         mapped, live, forest = self.mapped(source, masters, get("links"))
@@ -423,18 +425,21 @@ class Engine:
     def summarised(self, load_id: int, standards: DataFrame, site_rows: DataFrame, before: DataFrame) -> dict:
         """The figures of a run: products, codes, methods, duplicates, brands and sites."""
         known = before.where("standard_code IS NOT NULL").select("standard_code")
-        new_codes = standards.where("standard_code IS NOT NULL").join(known, "standard_code", "left_anti").count()
         same, cross = (F.col("duplicate_kind") == k for k in ("Mismo país", "Otro país"))
-        one = standards.agg(
+        whole = standards.agg(
             F.count("*").alias("products"), F.count("family").alias("classified"), F.count("standard_code").alias("with_code"), F.count_distinct("duplicate_group").alias("groups"),
             F.count_distinct(F.when(same, F.col("duplicate_group"))).alias("groups_same_country"), F.count_distinct(F.when(cross, F.col("duplicate_group"))).alias("groups_other_country"),
             F.count("duplicate_group").alias("duplicate_products"), F.count_distinct("brand").alias("brands"),
-        ).first().asDict()
+        )
         counts = lambda df, c: {r[0]: r[1] for r in df.groupBy(c).count().collect()}
-        one |= {"load_id": load_id, "new_codes": new_codes, "percent": round(100 * one["classified"] / one["products"], 1) if one["products"] else 0.0}
-        one |= {"methods": counts(standards, T.short_method(F.col("method"))), "statuses": counts(standards, "status"), "raw_brands": self.rows_of(load_id).agg(F.count_distinct("brand")).first()[0]}
-        one |= {"sites_by_country": counts(site_rows, F.coalesce("country", F.lit(inventory.NO_COUNTRY))), "sites_by_type": counts(site_rows, "site_type")}
-        return one
+        figures = {
+            "one": lambda: whole.first().asDict(), "new_codes": lambda: standards.where("standard_code IS NOT NULL").join(known, "standard_code", "left_anti").count(),
+            "methods": lambda: counts(standards, T.short_method(F.col("method"))), "statuses": lambda: counts(standards, "status"), "raw_brands": lambda: self.rows_of(load_id).agg(F.count_distinct("brand")).first()[0],
+            "sites_by_country": lambda: counts(site_rows, F.coalesce("country", F.lit(inventory.NO_COUNTRY))), "sites_by_type": lambda: counts(site_rows, "site_type"),
+        }
+        found = dict(zip(figures, together(*figures.values()), strict=True))
+        one = found.pop("one")
+        return one | {"load_id": load_id, "percent": round(100 * one["classified"] / one["products"], 1) if one["products"] else 0.0} | found
 
     def latest_summary(self) -> dict | None:
         row = self.table("runs").orderBy(F.desc("run_id")).first()
@@ -450,7 +455,10 @@ class Engine:
         return {"import": staged, "standardization": summary, "export": self.refresh_export(export_to) if export_to else None}
 
     def start(self, export_to: str | None = None) -> dict | None:
-        """Standardise the newest load if that was never done, and export if asked to; what a server does first."""
+        """What a server does first: check the store, standardise the newest load if that was never done, and export if asked to."""
+        problems = self.problems()
+        if problems:
+            raise Rejected("the store is damaged: " + "; ".join(problems))
         newest = self.table("loads").agg(F.max("load_id")).first()[0]
         if newest and self.latest_summary() is None:
             self.standardise(newest, "start")
@@ -458,6 +466,29 @@ class Engine:
             self.refresh_export(export_to)
         return self.latest_summary()
 
+    def problems(self) -> list[str]:
+        """What is wrong with the store: folders that are gone, products or codes that stand twice, links in a circle."""
+        found = [f"{p} is missing" for p in self.store.missing()]
+        if found:
+            return found
+        twice = lambda df, *keys: not df.groupBy(*keys).count().where("count > 1").isEmpty()
+        standards, masters = self.table("standards"), self.table("masters")
+        tests = {
+            "a product stands twice": lambda: twice(standards, "master_id"), "a standard code stands twice": lambda: twice(standards.where("standard_code IS NOT NULL"), "standard_code"),
+            "a master number stands twice": lambda: twice(masters, "master_id"), "a source's code has two masters": lambda: twice(masters, "source", "code"),
+        }
+        found = [name for name, is_so in zip(tests, together(*tests.values()), strict=True) if is_so]
+        try:
+            links.roots(cut(links.open_links(self.table("links")), "links"))
+        except links.Cycle as circle:
+            found.append(str(circle))
+        return found
+
+    def overlaps(self) -> DataFrame:
+        """Stocks that people entered for a product at a site that the current inventory has too."""
+        entries = self.table("manual_entries").select("master_id", "site", F.col("stock").alias("entered"))
+        return publication.manual_overlaps(entries, self.inventory().select("master_id", "site", F.col("amount").alias("stock")))
+
     # ------------------------------------------------------------ people
     @tidied
     def review(self, master_id: int, decision: str, family: str | None, revision: str, actor: str, reason: str) -> None:
@@ -678,7 +709,7 @@ class Engine:
         return classify.with_decisions(self.proposals(load_id).join(own, "code", "left"), self.table("reviews"))
 
     def table_of_snapshots(self) -> DataFrame:
-        return self.store.read("snapshots") if self.store.has("snapshots") else self.spark.createDataFrame([], "source string, load_id long, code string, site string, amount double")
+        return self.store.read("snapshots") if self.store.has("snapshots") else empty(self.spark, "source string, load_id long, code string, site string, amount double, master_id long")
 
     @tidied
     def publish(self, load_id: int, token: str, snapshot_at: str | None, full_snapshot: bool = False, date_basis: str = "confirmed", actor: str = "people", reason: str = "publication") -> dict:
@@ -868,15 +899,15 @@ class Engine:
             "inventory": publication.load_inventory(facts, own, site_rows.where(F.col("source") == (load.source if load else "")), ["stock", "cost", "replacement_cost", "load_id"]),
             "metadata": self.spark.createDataFrame([(k, None if v is None else str(v)) for k, v in info.items()], "name string, value string"),
         }
-        for name, df in tables.items():
-            df.write.parquet(f"{path}/{name}")
-        back = {name: self.spark.read.parquet(f"{path}/{name}") for name in tables}
-        if back["products"].groupBy("master_id").count().where("count > 1").count():
-            raise ValueError("products are not unique")
+        together(*[partial(df.write.parquet, f"{path}/{name}") for name, df in tables.items()])
+        back = {name: self.spark.read.schema(df.schema).parquet(f"{path}/{name}") for name, df in tables.items()}
+        wrong = {"products are not unique": lambda: back["products"].groupBy("master_id").count().where("count > 1").isEmpty()}
         for name in ("stock_by_country", "source_codes"):
-            if back[name].join(back["products"], "master_id", "left_anti").count():
-                raise ValueError(f"{name} names unknown products")
-        return {name: df.count() for name, df in back.items()}
+            wrong[f"{name} names unknown products"] = back[name].join(back["products"], "master_id", "left_anti").isEmpty
+        for problem, fine in zip(wrong, together(*wrong.values()), strict=True):
+            if not fine:
+                raise ValueError(problem)
+        return dict(zip(back, together(*[df.count for df in back.values()]), strict=True))
 
 
 #: Fixed value: the method of a product whose link was undone.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acervo.functions import text as T
-from acervo.operators import checks, classify, codes, inventory, labels, profile, search, sites
+from acervo.operators import checks, classify, codes, inventory, labels, profile, publication, search, sites
 from acervo.operators.numbering import dense_ids
 from acervo.plans.frames import AVAILABLE, AVAILABLE_SQL, OBS_SQL, PRODUCTS_SQL, observations, products, read
 from acervo.rulepack import demo
@@ -205,8 +205,6 @@ def publish_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {OBS_SQL}, active AS (SELECT site, max(load) AS load FROM obs GROUP BY site), mapped AS (SELECT p_partkey AS code, p_partkey % 97 AS master FROM part WHERE p_partkey % 3 <> 0)
     SELECT o.code, o.site, o.load, o.stock, m.master FROM obs o JOIN active a ON o.site = a.site AND o.load = a.load LEFT JOIN mapped m ON o.code = m.code""")
 def current_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from acervo.operators import publication
-
     obs = observations(spark, sf_dir)
     mapped = read(spark, sf_dir, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("code"), (F.col("p_partkey") % 97).alias("master"))
     return publication.current_inventory(obs, "site", "load", mapped).select("code", "site", "load", "stock", "master")
@@ -215,8 +213,6 @@ def current_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {OBS_SQL}, m AS (SELECT p_partkey AS master, CASE WHEN p_size % 9 = 0 THEN 'manual' ELSE 'import' END AS origin, CASE WHEN p_size % 4 = 0 THEN 'inactive' ELSE 'active' END AS status FROM part)
     SELECT master, origin, status FROM m WHERE origin = 'manual' OR EXISTS (SELECT 1 FROM obs WHERE obs.code = m.master AND load = 2001)""")
 def current_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from acervo.operators import publication
-
     size = F.col("p_size")
     masters = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("master"), F.when(size % 9 == 0, "manual").otherwise("import").alias("origin"), F.when(size % 4 == 0, "inactive").otherwise("active").alias("status"))
     return publication.current_catalog(masters, observations(spark, sf_dir).where("load = 2001").select(F.col("code").alias("master")))
@@ -227,7 +223,7 @@ def current_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 def manual_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("entry"), F.col("l_suppkey").alias("site")).distinct()
     entries = read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("code"), F.col("o_orderkey").alias("entry")).join(at, "entry")
-    return entries.join(observations(spark, sf_dir).select("code", "site", "stock"), ["code", "site"]).select("entry", "code", "site", "stock")
+    return publication.manual_overlaps(entries, observations(spark, sf_dir), "code").select("entry", "code", "site", "stock")
 
 
 @query("""WITH o AS (SELECT p_partkey AS code, 'OLD-' || p_partkey AS standard_code, p_name AS name FROM part WHERE p_partkey % 3 <> 1), n AS (SELECT p_partkey AS code, 'NEW-' || p_partkey AS standard_code, upper(p_name) AS name FROM part WHERE p_partkey % 3 <> 2)
@@ -241,8 +237,6 @@ def retired_code_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{DECIDED}, src AS (SELECT CAST(ceil(sqrt(code)) AS BIGINT) AS master, string_agg(CAST(code AS VARCHAR), ', ' ORDER BY CAST(code AS VARCHAR)) AS source_codes, count(*) AS n FROM decided GROUP BY 1)
     SELECT d.code, d.name, d.family, source_codes, coalesce(n, 0) AS n FROM decided d LEFT JOIN src ON d.code = src.master""")
 def mart_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from acervo.operators import publication
-
     rows = classified(spark, sf_dir)
     links = rows.select(F.ceil(F.sqrt("code")).cast("long").alias("master"), F.col("code").cast("string").alias("source_code"))
     return publication.catalogue_view(rows.select("code", "name", "family"), links)

@@ -13,12 +13,15 @@ from __future__ import annotations
 import argparse
 import base64
 import hashlib
+import io
 import json
 import secrets
+import tarfile
 import threading
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from pathlib import Path
+from typing import BinaryIO
 from urllib.parse import parse_qs, urlsplit
 
 from pyspark.sql import Row, SparkSession
@@ -41,6 +44,23 @@ def plain(value):
     return [plain(v) for v in value] if isinstance(value, (list, tuple)) else value
 
 
+class Pieces(io.RawIOBase):
+    """A file object over pieces of bytes."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.held = pieces, b""
+
+    def read(self, n: int = -1) -> bytes:
+        while n < 0 or len(self.held) < n:
+            piece = next(self.pieces, None)
+            if piece is None:
+                break
+            self.held += piece
+        n = len(self.held) if n < 0 else n
+        out, self.held = self.held[:n], self.held[n:]
+        return out
+
+
 class Commands:
     """What a request may ask for: ``reads`` take the query's fields, ``changes`` the body's.
 
@@ -84,6 +104,15 @@ class Commands:
         frame = xlsx.books(own, xlsx.header(own, self.sheet), self.sheet).drop("path")
         return self.engine.run(frame, d.get("source") or "upload", key, d.get("actor") or "people", d.get("reason") or "upload", self.mart)
 
+    def archive(self, out: BinaryIO) -> None:
+        """The exported mart as a tar archive, written piece by piece: no file is held whole."""
+        store = self.engine.store
+        with tarfile.open(fileobj=out, mode="w|") as tar:
+            for name, size in store.files(self.mart):
+                entry = tarfile.TarInfo(name)
+                entry.size = size
+                tar.addfile(entry, Pieces(store.chunks(f"{self.mart}/{name}")))
+
     def create(self, d: dict):
         made = self.engine.create(d["request_id"], d["name"], d.get("brand"), d.get("model"), bool(d.get("confirm_duplicate")), d.get("product_type", "ITEM"), d.get("site"), d.get("stock"), d.get("actor") or "people", d.get("reason") or "new product")
         return self.exported({"master_id": made})
@@ -149,11 +178,25 @@ def handler(commands: Commands, token: str) -> type[BaseHTTPRequestHandler]:
             url = urlsplit(self.path)
             if self.headers.get("Host") != self.here:
                 return self.answer(403, {"error": "unknown host"})
+            if url.path == "/api/download":
+                return self.download()
             command = commands.reads.get(url.path)
             if command is None:
                 return self.answer(404, {"error": "unknown path"})
             self.run(lambda: command({k: v[0] for k, v in parse_qs(url.query).items()}))
 
+        def download(self) -> None:
+            if commands.mart is None:
+                return self.answer(400, {"error": "nothing is exported"})
+            self.send_response(200)
+            self.send_header("Content-Type", "application/x-tar")
+            self.send_header("Content-Disposition", 'attachment; filename="mart.tar"')
+            self.send_header("Connection", "close")
+            self.end_headers()
+            with commands.lock:  # no command replaces the mart meanwhile
+                commands.archive(self.wfile)
+            self.close_connection = True
+
         def do_POST(self) -> None:
             known = self.headers.get("Host") == self.here and self.headers.get("Origin") in (None, f"http://{self.here}")
             if not known or not secrets.compare_digest(self.headers.get("X-Catalog-Token") or "", token):

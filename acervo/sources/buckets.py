@@ -15,7 +15,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acervo.sources.store import Store, Written
+from acervo.sources.store import Store, Written, empty
 
 ROWS = 50_000
 PART = "bucket__"
@@ -53,7 +53,7 @@ class Buckets:
         chosen = None if buckets is None else set(buckets)
         paths = [p for b, t in sorted(self.tables(manifest).items()) if chosen is None or b in chosen for p in manifest["tables"][t]]
         spark = self.store.spark
-        return spark.read.schema(self.schema).parquet(*paths) if paths else spark.createDataFrame([], self.schema)
+        return spark.read.schema(self.schema).parquet(*paths) if paths else empty(spark, self.schema)
 
     def of_keys(self, keys: Iterable) -> DataFrame:
         """The buckets that can hold ``keys``; callers still filter by them."""

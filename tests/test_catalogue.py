@@ -6,9 +6,10 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from acervo.operators import asof, checks, inventory, links, publication, sites, wordindex
+from acervo.operators import asof, checks, deltas, duplicates, inventory, links, publication, sites, wordindex
 from acervo.plans.pipeline import SHOWN, Engine, Rejected
 from acervo.rulepack import demo
+from acervo.session import cut
 from acervo.sources import buckets
 from acervo.sources.buckets import Buckets
 from acervo.sources.store import Store
@@ -289,3 +290,83 @@ def test_load_states_and_site_rules(spark):
     new = spark.createDataFrame([("a", "A2", "Y", "palabra clave", "branch", "regla"), ("b", "B2", "Y", "palabra clave", "branch", "regla"), ("d", "D", "Y", "palabra clave", "branch", "regla")], schema)
     found = {r.site: tuple(r)[1:] for r in sites.merged(old, new, ["site"]).collect()}
     assert found == {"a": ("A2", None, "manual", "branch", "regla"), "b": ("B2", "Y", "palabra clave", "transit", "manual"), "c": ("C", "X", "manual", "office", "manual"), "d": ("D", "Y", "palabra clave", "branch", "regla")}
+
+
+# ---------------------------------------------------------------- the store
+def test_old_versions_are_given_up(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    store.commit({"a": spark.range(1), "b": spark.range(5)}, "one")
+    for n in (2, 3, 4):
+        store.commit({"a": spark.range(n)}, f"a {n}")
+    kept = store.at(3)
+    assert store.expire(2) == 2 and store.version() == 4
+    assert store.read("a").count() == 4 and store.read("b").count() == 5 and store.read("a", kept).count() == 3
+    assert store.missing() == [] and store.expire(2) == 0
+    store.commit({"a": spark.range(9)}, "five")
+    assert store.version() == 5 and store.expire(1) == 2 and store.read("a").count() == 9 and store.read("b").count() == 5
+
+
+def test_a_damaged_store_does_not_start(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/store", demo)
+    assert engine.problems() == [] and engine.start() is None
+    masters = engine.rows_as("masters", [("s", "1", 1, "import"), ("s", "1", 2, "import"), ("t", "1", 2, "import")])
+    links_ = engine.rows_as("links", [(1, 1, "1", 2, None, [], False, "a", "r", "t"), (2, 2, "1", 1, None, [], False, "a", "r", "t")])
+    engine.store.commit({"masters": masters, "links": links_}, "broken")
+    assert engine.problems() == ["a master number stands twice", "a source's code has two masters", "2 links lead in a circle"]
+    with pytest.raises(Rejected, match="damaged"):
+        engine.start()
+
+
+def test_a_failed_export_leaves_the_old_mart(spark, tmp_path, monkeypatch):
+    engine = Engine(spark, f"file://{tmp_path}/store", demo)
+    engine.stage(spark.createDataFrame([row(2, "001", "small ring")], SCHEMA), "src", "k1")
+    engine.standardise(1)
+    path = f"file://{tmp_path}/mart"
+    engine.export(path)
+    broken = F.raise_error(F.lit("no room"))
+    monkeypatch.setattr(publication, "load_inventory", lambda rows, *a: rows.withColumn("x", broken))
+    with pytest.raises(Exception, match="no room"):
+        engine.export(path)
+    assert spark.read.parquet(f"{path}/inventory").count() == 1 and [p.name for p in tmp_path.iterdir() if "draft" in p.name] == []
+
+
+def test_signed_changes_equal_computing_again(spark):
+    rng = random.Random(9)
+    types = ["branch"]
+    rows = [(f"c{rng.randrange(12)}", f"s{rng.randrange(6)}", round(rng.uniform(-1, 3), 4)) for _ in range(150)]
+    place = {f"s{i}": (rng.choice(["X", "Y", None]), rng.choice(["branch", "office"])) for i in range(5)}
+    frame = lambda r: spark.createDataFrame(r, "code string, site string, stock double")
+    table = lambda p: spark.createDataFrame([(s, *v) for s, v in p.items()], "site string, country string, site_type string")
+    stored = deltas.cells(frame(rows), table(place), types)
+    for step in range(4):
+        if step % 2:
+            moves = {"c1": "c2", "c3": "c2"} if step == 1 else {"c2": "c4", "c9": "c8"}
+            stored = deltas.merged(stored, deltas.link_change(stored, spark.createDataFrame(list(moves.items()), "code string, target string")))
+            rows = [(moves.get(c, c), s, n) for c, s, n in rows]
+        else:
+            after = {s: (rng.choice(["X", "Y", "Z", None]), rng.choice(["branch", "office"])) for s in rng.sample(sorted(place), 2)}
+            stored = deltas.merged(stored, deltas.site_change(frame(rows), table({s: place[s] for s in after}), table(after), types))
+            place |= after
+        stored = cut(stored, "cells")
+        again = deltas.cells(frame(rows), table(place), types)
+        assert sorted(map(str, stored.collect())) == sorted(map(str, again.collect()))
+    obs = frame(rows).join(table(place), "site", "left")
+    want = inventory.presence(obs).join(inventory.stock_map(obs, types), "code", "left")
+    got = {r.code: (r.stock_by_country, r.countries) for r in deltas.products(stored).collect()}
+    assert got == {r.code: (r.stock_by_country or {}, r.countries) for r in want.collect()}
+
+
+def test_signed_members_equal_counting_again(spark):
+    rng = random.Random(3)
+    schema = "id int, key string, countries array<string>"
+    make = lambda: {i: (rng.choice(["k1", "k2", "k3", None]), sorted(rng.sample(["X", "Y", "Z"], rng.randrange(3)))) for i in range(9)}
+    frame = lambda d: spark.createDataFrame([(i, *v) for i, v in d.items()], schema)
+    now = make()
+    stored = deltas.members(frame(now), "key")
+    for _ in range(4):
+        later = now | {i: v for i, v in make().items() if rng.random() < 0.4}
+        moved = [i for i in now if now[i] != later[i]]
+        stored = cut(deltas.merged_members(stored, deltas.members(frame({i: now[i] for i in moved}), "key", sign=-1), deltas.members(frame({i: later[i] for i in moved}), "key"), key="key"), "members")
+        now = later
+        want = {(r.key, r.members, r.kind) for r in duplicates.kinds(frame(now), "key").collect()}
+        assert {(r.key, r.members, r.kind) for r in deltas.kinds(stored, "key").collect()} == want

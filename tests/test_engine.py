@@ -352,12 +352,16 @@ def test_review_gives_a_code_at_once(catalogue):
 
 def test_http_commands(catalogue, tmp_path):
     import http.client
+    import io
     import json
+    import tarfile
     import threading
 
     from acervo.server import Commands, serve
 
-    server, token = serve(Commands(catalogue, f"{tmp_path}/inbox"))
+    mart = f"file://{tmp_path}/mart"
+    catalogue.export(mart)
+    server, token = serve(Commands(catalogue, f"{tmp_path}/inbox", mart))
     threading.Thread(target=server.serve_forever, daemon=True).start()
     port = server.server_address[1]
 
@@ -378,5 +382,10 @@ def test_http_commands(catalogue, tmp_path):
         assert code == 400 and "itself" in refused["error"]
         assert ask("POST", "/api/propose", {"name": "small ring"})[0] == 200
         assert ask("POST", "/api/import", {"filename": "x.csv", "content": ""})[0] == 400
+        link = http.client.HTTPConnection("127.0.0.1", port, timeout=120)
+        link.request("GET", "/api/download", None, {"Host": f"127.0.0.1:{port}"})
+        with tarfile.open(fileobj=io.BytesIO(link.getresponse().read())) as tar:
+            tar.extractall(tmp_path / "got", filter="data")
+        assert catalogue.spark.read.parquet(f"file://{tmp_path}/got/products").count() == catalogue.spark.read.parquet(f"{mart}/products").count() > 0
     finally:
         server.shutdown()

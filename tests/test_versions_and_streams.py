@@ -123,14 +123,14 @@ def test_pointer_stream_gives_the_batch_answer(spark, tmp_path):
     start, rng = datetime.datetime(2024, 1, 1), random.Random(5)
     rows = [(rng.choice(["a", "a", "a", "b", None]), i + rng.randrange(8), start + datetime.timedelta(minutes=i)) for i in range(50)] + [("a", 60, None), ("b", None, start)]
     rng.shuffle(rows)
-    before = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions")}
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", pointer.STORE)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "2")
 
     def feed(name, some):
         spark.createDataFrame(some, schema).coalesce(1).write.json(f"{tmp_path}/in/{name}")
-        stream = pointer.changes(spark.readStream.schema(schema).json(f"{tmp_path}/in/*"), "2 hours")
-        stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp").option("path", f"{tmp_path}/out").trigger(availableNow=True).start().awaitTermination()
+        with pointer.rocks(spark):
+            stream = pointer.changes(spark.readStream.schema(schema).json(f"{tmp_path}/in/*"), "2 hours")
+            stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp").option("path", f"{tmp_path}/out").trigger(availableNow=True).start().awaitTermination()
 
     try:
         feed("1", rows[:30])
@@ -138,8 +138,7 @@ def test_pointer_stream_gives_the_batch_answer(spark, tmp_path):
         feed("3", [("z", 1, start + datetime.timedelta(days=2))])  # time goes on
         feed("4", [("a", 999, start), ("a", 5, start)])  # too late
     finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     plain = lambda df: sorted(map(str, df.select("source", "load_id", "snapshot_at", "previous").collect()))
     want = plain(pointer.takeovers(spark.createDataFrame(rows, schema)))
     assert plain(spark.read.parquet(f"{tmp_path}/out")) == want and len(want) > 8
