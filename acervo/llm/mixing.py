@@ -94,12 +94,13 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", source: str = "source",
     sized = cut(sized.withColumn("row", F.monotonically_increasing_id()), "sized")
     sources = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), "totals")
     aimed = cut(targets(sources, weights, share, passes), "targets")
-    whole = aimed.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("words"), F.coalesce(F.sum("n_docs"), F.lit(0)).alias("docs")).first()
+    whole = aimed.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("words"), F.coalesce(F.sum("n_docs"), F.lit(0)).alias("docs"), F.count("*").alias("sources")).first()
     budget = int(min(share, passes) * whole["words"])
 
     placed = cut(counted_join(sized, aimed.select("source", "n_docs", "place", "source_size", "target"), ["source"], "n_docs", whole["docs"]), "placed")
     queued = placed.where("size > 0").withColumn("turn", F.explode(F.array(*[F.lit(p) for p in range(passes)])))
-    queued = queued.where(F.col("turn") * F.col("source_size") <= F.col("target") + 1)  # later turns lie behind the target
+    # a turn that begins further behind the target than all words lost to rounding is never reached
+    queued = queued.where(F.col("turn") * F.col("source_size") <= F.col("target") + whole["sources"])
     drawn = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.col("turn").cast("string")))
     queued = queued.select("row", "place", "target", "size", "turn", drawn.alias("drawn"))
     shuffled = ["turn", "drawn", "size", "row"]
