@@ -23,7 +23,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_KEPT: dict[tuple[str, str, str], tuple[tuple, DataFrame]] = {}
+_KEPT: dict[tuple, tuple[tuple, DataFrame]] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -37,7 +37,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
     while files.hasNext():
         f = files.next()
         state.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
-    key, stamp = (spark.sparkContext.applicationId, sf_dir, name), tuple(sorted(state))
+    key, stamp = (spark.sparkContext.applicationId, id(spark), sf_dir, name), tuple(sorted(state))
     if key not in _KEPT or _KEPT[key][0] != stamp:
         _KEPT[key] = stamp, cut(build(), name)
     return _KEPT[key][1]

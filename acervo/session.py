@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 T = TypeVar("T")
 _MADE: list[tuple[SparkSession, str]] = []
+_SCOPE: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("scope", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,9 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder, removed when the driver exits."""
+    """A new path below the shared folder, removed with the command around it or when the driver exits."""
     path = f"{shared_dir(spark)}/acervo-{label}-{uuid.uuid4().hex}"
-    _MADE.append((spark, path))
+    made = _SCOPE.get()
+    (_MADE if made is None else made).append((spark, path))
     return path
 
 
@@ -73,12 +76,16 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 
 @contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
-    """Remove the intermediate tables that are written inside, once the command around it is done."""
-    before = len(_MADE)
+    """Remove the intermediate tables that are written inside, once the command around it is done.
+
+    Each command has a scope of its own, also where several run at once.
+    """
+    mine: list[tuple[SparkSession, str]] = []
+    outer = _SCOPE.set(mine)
     try:
         yield
     finally:
-        mine, _MADE[before:] = _MADE[before:], []
+        _SCOPE.reset(outer)
         for _, path in mine:
             remove(spark, path)
 
@@ -94,7 +101,7 @@ def together(*jobs: Callable[[], T]) -> list[T]:
     if len(jobs) < 2:
         return [job() for job in jobs]
     with ThreadPoolExecutor(min(AT_ONCE, len(jobs))) as pool:
-        running = [pool.submit(job) for job in jobs]
+        running = [pool.submit(copy_context().run, job) for job in jobs]
     return [r.result() for r in running]
 
 

@@ -370,3 +370,34 @@ def test_signed_members_equal_counting_again(spark):
         now = later
         want = {(r.key, r.members, r.kind) for r in duplicates.kinds(frame(now), "key").collect()}
         assert {(r.key, r.members, r.kind) for r in deltas.kinds(stored, "key").collect()} == want
+
+
+def test_commands_at_once_remove_their_own_tables_only(spark):
+    import threading
+
+    from acervo.session import fresh_path, tidy, together
+
+    inside, done = threading.Event(), threading.Event()
+    seen = {}
+
+    def slow():
+        with tidy(spark):
+            seen["slow"] = cut(spark.range(3), "slow")
+            inside.set()
+            done.wait(60)
+            seen["rows"] = seen["slow"].count()
+
+    other = threading.Thread(target=slow)
+    other.start()
+    inside.wait(60)
+    with tidy(spark):
+        first, second = together(lambda: cut(spark.range(5), "a"), lambda: cut(spark.range(6), "b"))
+        assert (first.count(), second.count()) == (5, 6)
+        paths = first.inputFiles() + second.inputFiles()
+    done.set()
+    other.join()
+    assert seen["rows"] == 3 and fresh_path(spark, "x")
+    store = Store(spark, fresh_path(spark, "s"))
+    assert not any(store._fs.exists(store._path(p)) for p in [*paths, *seen["slow"].inputFiles()])
+    with pytest.raises(ZeroDivisionError):
+        together(lambda: 1, lambda: 1 // 0)
