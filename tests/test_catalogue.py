@@ -263,6 +263,42 @@ def test_index_answers_like_a_scan_after_changes(spark):
     assert wordindex.tokens_of("RING R RINGS B B") == ["RINGS", "B"]
 
 
+def shuffled_rows(spark, job) -> int:
+    """Rows that ``job`` writes to shuffles."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+
+    def written() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = written()
+    job()
+    return written() - before
+
+
+def test_index_answers_of_like_queries_are_not_shuffled_pair_by_pair(spark):
+    texts = spark.createDataFrame([(i, f"RING BOLT {i}") for i in range(400)], "id long, t string")
+    index = cut(wordindex.postings(texts, "id", "t").withColumns({"live": F.lit(True), "seq": F.lit(1).cast("long")}), "index")
+    queries = spark.createDataFrame([(q, t) for q in range(200) for t in ("RIN", "B")], "query long, token string")
+    made, broadcast = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert shuffled_rows(spark, lambda: made.append(wordindex.answers(index, queries).count())) < 40_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert made == [80_000]
+
+
+def test_expanded_meets_every_block_once(spark, monkeypatch):
+    monkeypatch.setattr(wordindex, "IDS", 7)
+    monkeypatch.setattr(wordindex, "ASKERS", 3)
+    members = spark.createDataFrame([(q, q % 2) for q in range(20)], "query long, class long")
+    matched = spark.createDataFrame([(c, i) for c in (0, 1, 2) for i in range(30 + c)], "class long, id long")
+    got = [tuple(r) for r in wordindex.expanded(members, matched).collect()]
+    assert sorted(got) == [(q, i) for q in range(20) for i in range(30 + q % 2)]
+
+
 # ---------------------------------------------------------------- as of
 def test_as_of_against_a_plain_search(spark, monkeypatch):
     rng = random.Random(4)
