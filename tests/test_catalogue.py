@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from acervo.operators import asof, checks, deltas, duplicates, inventory, links, publication, sites, wordindex
+from acervo.plans import catalogue_queries, engine_queries
 from acervo.plans.pipeline import SHOWN, Engine, Rejected
 from acervo.rulepack import demo
 from acervo.session import cut
@@ -291,6 +292,21 @@ def test_index_answers_of_like_queries_are_not_shuffled_pair_by_pair(spark):
 
 
 def test_expanded_meets_every_block_once(spark, monkeypatch):
+def test_similar_products_are_not_shuffled_pair_by_pair(spark, monkeypatch):
+    rows = [(i, f"RED RING {i}", f"k{i % 3}") for i in range(2000)]
+    table = spark.createDataFrame(rows, "master_id long, search_text string, key string")
+    index = cut(wordindex.postings(table, "master_id", "search_text").withColumns({"live": F.lit(True), "seq": F.lit(1).cast("long")}), "index")
+    monkeypatch.setattr(catalogue_queries, "catalogue", lambda *_: table)
+    monkeypatch.setattr(catalogue_queries, "word_index", lambda *_: index)
+    made, broadcast = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert shuffled_rows(spark, lambda: made.append(catalogue_queries.similar_not_equal(spark, "").count())) < 100_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert made == [sum(k != o for i, _, k in rows if i % 20 == 0 for _, _, o in rows)]
+
+
     monkeypatch.setattr(wordindex, "IDS", 7)
     monkeypatch.setattr(wordindex, "ASKERS", 3)
     members = spark.createDataFrame([(q, q % 2) for q in range(20)], "query long, class long")
