@@ -62,3 +62,21 @@ def retired(links: DataFrame, forest: DataFrame, code: str = "retired_code") ->
     """``root, retired_codes``: the codes given up by links anywhere below a root, in order."""
     met = links.where(F.col(code).isNotNull()).join(forest.select(F.col("node").alias("source_id"), "root"), "source_id")
     return met.groupBy("root").agg(F.array_sort(F.collect_list(code)).alias("retired_codes"))
+
+
+#: Characters of text that one group of a join hands out at most (a row at least).
+BLOCK = 2**28
+
+
+def with_text(forest: DataFrame, texts: DataFrame, text: str) -> DataFrame:
+    """``forest`` with the ``text`` of its root, from ``root, text`` with a row for each root.
+
+    A root's text grows with its tree and goes to every node of it, so the nodes of a
+    large tree are dealt in blocks, each of which gets one copy of the text.
+    """
+    per = forest.groupBy("root").agg(F.count("*").alias("nodes"))
+    sized = cut(texts.select("root", text).join(per, "root").withColumn("blocks", F.least("nodes", F.ceil(F.col("nodes") * F.length(text) / BLOCK) + 1)), "texts")
+    total = sized.agg(F.coalesce(F.sum("nodes"), F.lit(0))).first()[0]
+    dealt = counted_join(forest, sized.select("root", "nodes", "blocks"), ["root"], "nodes", total).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    copies = sized.select("root", text, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    return dealt.join(copies.hint("merge"), ["root", "block"]).select(*forest.columns, text)

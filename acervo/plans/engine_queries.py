@@ -141,7 +141,7 @@ def link_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = links.open_links(log)
     forest = links.roots(live)
     codes = links.retired(live, forest).select("root", F.array_join("retired_codes", ", ").alias("retired_codes"))
-    return forest.join(codes, "root").select("node", "root", "steps", "retired_codes")
+    return links.with_text(forest, codes, "retired_codes").select("node", "root", "steps", "retired_codes")
 
 
 # ---------------------------------------------------------------- sites, sources and brands

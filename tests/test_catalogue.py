@@ -291,7 +291,6 @@ def test_index_answers_of_like_queries_are_not_shuffled_pair_by_pair(spark):
     assert made == [80_000]
 
 
-def test_expanded_meets_every_block_once(spark, monkeypatch):
 def test_similar_products_are_not_shuffled_pair_by_pair(spark, monkeypatch):
     rows = [(i, f"RED RING {i}", f"k{i % 3}") for i in range(2000)]
     table = spark.createDataFrame(rows, "master_id long, search_text string, key string")
@@ -307,6 +306,7 @@ def test_similar_products_are_not_shuffled_pair_by_pair(spark, monkeypatch):
     assert made == [sum(k != o for i, _, k in rows if i % 20 == 0 for _, _, o in rows)]
 
 
+def test_expanded_meets_every_block_once(spark, monkeypatch):
     monkeypatch.setattr(wordindex, "IDS", 7)
     monkeypatch.setattr(wordindex, "ASKERS", 3)
     members = spark.createDataFrame([(q, q % 2) for q in range(20)], "query long, class long")
@@ -315,6 +315,17 @@ def test_similar_products_are_not_shuffled_pair_by_pair(spark, monkeypatch):
     assert sorted(got) == [(q, i) for q in range(20) for i in range(30 + q % 2)]
 
 
+def test_nodes_of_a_large_tree_get_its_codes_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(links, "BLOCK", 40_000, raising=False)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        df = engine_queries.link_forest(spark, "/root/testdata/sf0.01").withColumn("task", F.spark_partition_id())
+        got = df.where("root = 1").groupBy("task").count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+    assert len(got) > 2 and max(r["count"] for r in got) * 2 < sum(r["count"] for r in got)
+
+
 # ---------------------------------------------------------------- as of
 def test_as_of_against_a_plain_search(spark, monkeypatch):
     rng = random.Random(4)
