@@ -36,9 +36,9 @@ NUMBERS = """t AS (SELECT o_orderkey AS id, CASE o_orderkey % 8 WHEN 0 THEN prin
 
 def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     price, whole = F.col("o_totalprice"), F.floor("o_totalprice").cast("long")
-    two = F.format_string("%.2f", price)
+    two = T.fixed_number(price, 2)
     grouped = F.concat((whole / 1000).cast("long").cast("string"), F.lit("."), F.lpad((whole % 1000).cast("string"), 3, "0"), F.lit(",50"))
-    raw = choose("o_orderkey", 8, two, F.replace(two, F.lit("."), F.lit(",")), grouped, F.concat(F.lit("-"), F.col("o_orderkey").cast("string")), F.lit("n/a"), F.lit(""), F.format_string("%.1e", price), F.lit(None).cast("string"))
+    raw = choose("o_orderkey", 8, two, F.replace(two, F.lit("."), F.lit(",")), grouped, F.concat(F.lit("-"), F.col("o_orderkey").cast("string")), F.lit("n/a"), F.lit(""), T.exponent_number(price, 1), F.lit(None).cast("string"))
     return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), raw.alias("raw"))
 
 
