@@ -9,10 +9,10 @@ in whatever order links are undone.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acervo.session import counted_join, cut, unused
+from acervo.session import counted_join, cut, partitions, unused
 
 
 class Cycle(ValueError):
@@ -64,19 +64,40 @@ def retired(links: DataFrame, forest: DataFrame, code: str = "retired_code") ->
     return met.groupBy("root").agg(F.array_sort(F.collect_list(code)).alias("retired_codes"))
 
 
-#: Characters of text that one group of a join hands out at most (a row at least).
-BLOCK = 2**28
+#: Characters of text that one group of a join hands out at most (a row at least), and a task on average.
+BLOCK = 2**32
+#: How Parquet writes rows of megabytes: a text once in a file, pages looked at every few rows (by itself: dictionaries to 1 MB, every 100 rows).
+WIDE = {"parquet.dictionary.page.size": str(2**26), "parquet.page.size.row.check.min": "10"}
+
+
+def wide_rows(spark: SparkSession, text: str) -> None:
+    """Let Parquet files of a long repeated ``text`` be written in bounded memory, also by the caller; what the session or Hadoop's settings say stays.
+
+    Parquet compares every text with the least and the greatest so far, and drops both
+    where they are long, so it keeps none for this column.
+    """
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for key, value in {**WIDE, f"parquet.column.statistics.enabled#{text}": "false"}.items():
+        if spark.conf.get(key, None) is None and hadoop.get(key) is None:
+            spark.conf.set(key, value)
 
 
 def with_text(forest: DataFrame, texts: DataFrame, text: str) -> DataFrame:
     """``forest`` with the ``text`` of its root, from ``root, text`` with a row for each root.
 
     A root's text grows with its tree and goes to every node of it, so the nodes of a
-    large tree are dealt in blocks, each of which gets one copy of the text.
+    large tree are dealt in blocks, each of which gets one copy of the text.  Blocks are
+    numbered before they meet the text: a merge join makes one copy at a time, where
+    ``explode`` beside the text would hold all copies of a row at once.
     """
+    wide_rows(forest.sparkSession, text)
     per = forest.groupBy("root").agg(F.count("*").alias("nodes"))
-    sized = cut(texts.select("root", text).join(per, "root").withColumn("blocks", F.least("nodes", F.ceil(F.col("nodes") * F.length(text) / BLOCK) + 1)), "texts")
-    total = sized.agg(F.coalesce(F.sum("nodes"), F.lit(0))).first()[0]
+    sized = texts.select("root", text).join(per, "root").withColumn("chars", F.col("nodes") * F.length(text))
+    sized = cut(sized.withColumn("blocks", F.least("nodes", F.ceil(F.col("chars") / BLOCK) + 1)), "texts")
+    total, chars = sized.agg(F.coalesce(F.sum("nodes"), F.lit(0)), F.coalesce(F.sum(F.col("chars").cast("double")), F.lit(0.0))).first()
+    tasks = max(partitions(forest.sparkSession), int(chars // BLOCK) + 1)
     dealt = counted_join(forest, sized.select("root", "nodes", "blocks"), ["root"], "nodes", total).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    copies = sized.select("root", text, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    numbered = sized.select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    copies = numbered.join(sized.select("root", text).hint("merge"), "root")
+    dealt, copies = (side.repartition(tasks, "root", "block") for side in (dealt, copies))
     return dealt.join(copies.hint("merge"), ["root", "block"]).select(*forest.columns, text)

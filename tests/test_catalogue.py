@@ -326,6 +326,26 @@ def test_nodes_of_a_large_tree_get_its_codes_in_many_tasks(spark, monkeypatch):
     assert len(got) > 2 and max(r["count"] for r in got) * 2 < sum(r["count"] for r in got)
 
 
+def test_copies_of_a_long_text_are_never_held_together(spark, monkeypatch):
+    monkeypatch.setattr(links, "BLOCK", 40_000)
+    df = engine_queries.link_forest(spark, "/root/testdata/sf0.01")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    made = [line for line in plan.splitlines() if "Generate explode" in line]
+    assert made and not any("retired_codes" in line for line in made)
+    below = plan[plan.index("Generate explode") :].split("Join", 1)[0]
+    assert "retired_codes" not in below.split("Relation")[0]
+
+
+def test_pages_of_long_texts_are_written_in_bounded_memory(spark, tmp_path):
+    text, n = "x" * 3_000_000, 60
+    forest = spark.range(n).select(F.col("id").alias("node"), F.lit(1).cast("long").alias("root"), F.lit(1).cast("long").alias("steps"))
+    links.with_text(forest, spark.createDataFrame([(1, text)], "root long, t string"), "t").coalesce(1).write.option("compression", "none").parquet(str(tmp_path / "out"))
+    files = list((tmp_path / "out").glob("*.parquet"))
+    assert sum(f.stat().st_size for f in files) < 4 * len(text)
+    got = spark.read.parquet(str(tmp_path / "out")).where(F.col("t") == text).agg(F.count("*"), F.countDistinct("node")).first()
+    assert tuple(got) == (n, n)
+
+
 # ---------------------------------------------------------------- as of
 def test_as_of_against_a_plain_search(spark, monkeypatch):
     rng = random.Random(4)
